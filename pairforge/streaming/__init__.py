@@ -1,0 +1 @@
+"""Empty on purpose: every entry point of this library is a batch job."""
