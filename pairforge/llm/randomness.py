@@ -82,7 +82,8 @@ def candidates(text: Column) -> Column:
 def _encoding(core: Column) -> Column:
     """The smallest alphabet that holds the run; null for words, plain numbers and mixed signs."""
     digit, lower, upper = core.rlike("[0-9]"), core.rlike("[a-z]"), core.rlike("[A-Z]")
-    mixed = (digit.cast("int") + lower.cast("int") + upper.cast("int")) >= 2
+    # A capital before lower-case letters is a word, not a mixture.
+    mixed = (digit & (lower | upper)) | core.rlike("[A-Z].*[a-z].*[A-Z].*[a-z].*[A-Z]")
     return (
         F.when(core.rlike("^[0-9a-f]+$") & digit & lower, "hex")
         .when(core.rlike("^[0-9A-F]+$") & digit & upper, "HEX")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pairforge.llm import hash_tree, randomness
+from pairforge.llm import hash_tree, license_scan, line_templates, randomness
 
 QUERIES = {
+    "op3_template_tree": line_templates.op3_template_tree,
     "op4_hash_tree_shards": hash_tree.op4_hash_tree_shards,
+    "op7_license_digests": license_scan.op7_license_digests,
     "op9_randomness_battery": randomness.op9_randomness_battery,
 }
 
 SQL = {
+    "op3_template_tree": line_templates.sql(),
     "op4_hash_tree_shards": hash_tree.sql(),
+    "op7_license_digests": license_scan.sql(),
 }
