@@ -43,11 +43,12 @@ def known_table(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> Da
 def scan_licenses(docs: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
     """docs with digest, license_id (of the whole text), notices (array<string>: ids of whole lines, distinct, sorted) and n_notices added.
 
-    Lines are joined first; only the hits, keyed by the text's hash and length, are shuffled to meet their documents.
+    Lines are joined first; only the hits, keyed by the text's hash and length, are shuffled to meet their documents. Copies of a text
+    share one set of hits.
     """
     key = [F.xxhash64(text).alias("_h"), F.length(text).alias("_n")]
-    lines = docs.select(*key, F.explode(F.split(text, "\n")).alias("line")).select("_h", "_n", digest(F.col("line")).alias("digest"))
-    hits = lines.where("digest is not null").join(known, "digest").groupBy("_h", "_n", "license_id").agg(F.count("*").alias("n"))
+    lines = docs.select(*key, F.posexplode(F.split(text, "\n")).alias("pos", "line")).select("_h", "_n", "pos", digest(F.col("line")).alias("digest"))
+    hits = lines.where("digest is not null").join(known, "digest").select("_h", "_n", "pos", "license_id").distinct().groupBy("_h", "_n", "license_id").agg(F.count("*").alias("n"))
     hits = hits.groupBy("_h", "_n").agg(F.array_sort(F.collect_list(F.struct("license_id", "n"))).alias("notices"))
     whole = docs.select("*", *key, digest(F.col(text)).alias("digest")).join(known, "digest", "left")
     found = salted_join(whole, hits, ["_h", "_n"], "left").drop("_h", "_n")
