@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pairforge.llm import hash_tree, license_scan, line_templates, randomness
+from pairforge.llm import hash_tree, license_scan, line_templates, quality_fm, randomness, toxicity
 
 QUERIES = {
     "op3_template_tree": line_templates.op3_template_tree,
     "op4_hash_tree_shards": hash_tree.op4_hash_tree_shards,
+    "op6_factorisation_machine": quality_fm.op6_factorisation_machine,
     "op7_license_digests": license_scan.op7_license_digests,
     "op9_randomness_battery": randomness.op9_randomness_battery,
+    "op10_counterfactual_toxicity": toxicity.op10_counterfactual_toxicity,
 }
 
 SQL = {
