@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 SALTS = 8
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salts: int = SALTS, hint: str | None = None) -> DataFrame:
     """left join right on `on`; right has few rows a key. A hot key of left is dealt to `salts` partitions.
 
     Right is repeated `salts` times, so it should be the narrower table. how: inner or left.
+    hint: a join hint for right, such as merge where its growth rules a broadcast out.
     """
     others = [F.col(c) for c in left.columns if c not in on] or [F.monotonically_increasing_id()]
     salt = F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int")
     a = left.withColumn("_salt", salt)
     b = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    b = b.hint(hint) if hint else b
     return a.join(b, [*on, "_salt"], how).drop("_salt")
