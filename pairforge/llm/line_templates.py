@@ -60,17 +60,19 @@ def recurring(docs: DataFrame, scratch: Scratch, text: str = "text", min_texts:
     exact = salted_join(near, of_line, ["leaf", "masked"]).select("leaf", "template", "copy").distinct().groupBy("leaf", "template").agg(F.count("*").alias("n_texts"))
     single = bound.where("kinds = 1").select("leaf", "template", F.col("most").alias("n_texts"))
     found = single.unionByName(exact).where(F.col("n_texts") >= min_texts)
-    return scratch.keep(named.join(found, ["leaf", "template"]).select("masked", "template", "n_texts"))
+    return scratch.keep(salted_join(named, found, ["leaf", "template"]).select("masked", "template", "n_texts"))
 
 
 def drop_templates(docs: DataFrame, text: str = "text", min_texts: int = MIN_TEXTS) -> DataFrame:
     """docs with the recurring lines cut out of text; adds n_lines and n_dropped (long)."""
     scratch = Scratch(docs.sparkSession)
-    bad = recurring(docs, scratch, text, min_texts).select("masked").distinct()
+    # Lines meet the recurring ones by hash: a line's text does not travel. What is dropped grows with the corpus, so no broadcast.
+    bad = recurring(docs, scratch, text, min_texts).select(F.xxhash64("masked").alias("m")).distinct()
     lines = docs.select(F.xxhash64(text).alias("copy"), F.posexplode(F.split(text, "\n")).alias("pos", "line")).select("copy", "pos", masked(F.col("line")).alias("masked"))
-    hit = scratch.keep(salted_join(lines.where("masked != ''"), bad, ["masked"]).select("copy", "pos").distinct())
+    lines = lines.where("masked != ''").select("copy", "pos", F.xxhash64("masked").alias("m"))
+    hit = scratch.keep(salted_join(lines, bad, ["m"], hint="merge").select("copy", "pos").distinct())
     dropped = hit.groupBy("copy").agg(F.collect_set("pos").alias("_dropped"))
-    joined = salted_join(docs.withColumn("copy", F.xxhash64(text)), dropped, ["copy"], "left").drop("copy")
+    joined = salted_join(docs.withColumn("copy", F.xxhash64(text)), dropped, ["copy"], "left", hint="merge").drop("copy")
     parts, gone = F.split(text, "\n"), F.coalesce("_dropped", F.array().cast("array<int>"))
     kept = F.filter(parts, lambda x, i: ~F.array_contains(gone, i))
     return joined.withColumns(

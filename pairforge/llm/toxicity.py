@@ -1,6 +1,6 @@
 """Toxicity: a sparse logistic classifier of words, regularised by counterfactuals.
 
-Features are the presence of hashed words and of hashed word beginnings. Sentences of the labelled documents that name a
+Features are the presence of hashed words and of hashed word beginnings, weighted by their rarity in the labelled sample. Sentences of the labelled documents that name a
 group are copied with the group swapped for another of its kind, and the fit penalises the squared change of the score under
 each swap, so naming a group cannot carry toxicity by itself. L1 shrinkage leaves weights to telling words only, which
 keeps long clean documents clean. The fit runs on the driver over at most 2 * PER_CLASS labelled rows (the documented bound).
@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from pairforge.llm.tables import fold, table
 from pairforge.llm.words import Buckets, bucketed, labelled, words
 
-BUCKETS, PER_CLASS, EPOCHS, BATCH, RATE, SHRINK, SWAP_PENALTY = 1 << 18, 4000, 14, 256, 0.3, 2e-4, 1.0
-LEAST, BEGINNING = 0.7, 4
+BUCKETS, PER_CLASS, EPOCHS, BATCH, RATE, SHRINK, SWAP_PENALTY = 1 << 18, 4000, 20, 256, 0.1, 1e-3, 1.0
+LEAST, BEGINNINGS = 0.7, (3, 4, 5, 6)
 
 #: Terms that name a group, by kind. A swap puts another term of the kind in place.
 IDENTITIES = [
@@ -41,7 +41,7 @@ _SWAP = {a.encode(): kind[(i + 1) % len(kind)].encode() for kind in IDENTITIES f
 
 
 def present(found: list[bytes], buckets: Buckets) -> np.ndarray:
-    return np.unique(bucketed([*found, *(b"^" + w[:BEGINNING] for w in set(found) if len(w) > BEGINNING)], buckets))
+    return np.unique(bucketed([*found, *(b"^%d" % k + w[:k] for w in set(found) for k in BEGINNINGS if len(w) > k)], buckets))
 
 
 def swaps(text: bytes, buckets: Buckets) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -67,32 +67,39 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(rows: list[tuple[np.ndarray, int]], pairs: list[tuple[np.ndarray, np.ndarray]], penalty: float = SWAP_PENALTY) -> tuple[float, np.ndarray]:
-    """(bias, weights) by proximal Adagrad. pairs: the features that a swap adds and takes away."""
-    bias, w = -2.0, np.zeros(BUCKETS)
-    gb, gw = 1e-4, np.full(BUCKETS, 1e-4)
+    """(bias, weights) by proximal Adagrad, both classes weighing alike. pairs: the features that a swap adds and takes away."""
+    n = len(rows)
+    y = np.array([t for _, t in rows])
+    df = np.bincount(np.concatenate([i for i, _ in rows]), minlength=BUCKETS)
+    rarity = np.where((df >= 2) & (df < 0.3 * n), np.log((n + 1) / np.maximum(df, 1)), 0.0) / 4
+    found = [i[rarity[i] > 0] for i, _ in rows]
+    weight = np.where(y == 1, (y == 0).sum() / (y == 1).sum(), 1.0)
+    pairs = [(a, b) for a, b in pairs if rarity[a].any() or rarity[b].any()]
+    each = -(-len(pairs) * BATCH // n)
+    bias, w, turn = -1.0, np.zeros(BUCKETS), 0
+    gb, gw = 1e-3, np.full(BUCKETS, 1e-3)
     order = np.random.default_rng(5)
-    n_pairs = max(1, len(pairs))
-    each = max(1, len(pairs) * BATCH // max(1, len(rows)))
     for epoch in range(EPOCHS):
-        shuffled = order.permutation(len(rows))
-        for at in range(0, len(rows), BATCH):
-            part = [rows[i] for i in shuffled[at : at + BATCH]]
-            sizes = np.array([len(i) for i, _ in part])
-            row, ids = np.repeat(np.arange(len(part)), sizes), np.concatenate([i for i, _ in part])
-            logit = bias + np.bincount(row, w[ids], len(part))
-            err = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - np.array([y for _, y in part])) / len(part)
-            grad = np.bincount(ids, err[row], BUCKETS)
-            for k in range(each if pairs else 0):
-                plus, minus = pairs[(epoch * len(rows) + at + k) % n_pairs]
-                change = 2 * penalty * (w[plus].sum() - w[minus].sum()) / each
-                np.add.at(grad, plus, change)
-                np.add.at(grad, minus, -change)
+        shuffled, rate = order.permutation(n), RATE * (1 - epoch / EPOCHS)
+        for at in range(0, n, BATCH):
+            part = shuffled[at : at + BATCH]
+            sizes = np.array([len(found[i]) for i in part])
+            row, ids = np.repeat(np.arange(len(part)), sizes), np.concatenate([found[i] for i in part])
+            logit = bias + np.bincount(row, rarity[ids] * w[ids], len(part))
+            err = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[part]) * weight[part] / weight[part].sum()
+            grad = np.bincount(ids, rarity[ids] * err[row], BUCKETS)
+            for _ in range(each):
+                plus, minus = pairs[turn % len(pairs)]
+                turn += 1
+                change = 2 * penalty * ((rarity[plus] * w[plus]).sum() - (rarity[minus] * w[minus]).sum()) / each
+                np.add.at(grad, plus, change * rarity[plus])
+                np.add.at(grad, minus, -change * rarity[minus])
             gb, gw = gb + err.sum() ** 2, gw + grad**2
-            bias -= RATE * err.sum() / np.sqrt(gb)
-            rate = RATE / np.sqrt(gw)
-            w -= rate * grad
-            w = np.sign(w) * np.maximum(np.abs(w) - rate * SHRINK, 0)
-    return bias, w
+            bias -= rate * err.sum() / np.sqrt(gb)
+            step = rate / np.sqrt(gw)
+            w -= step * grad
+            w = np.sign(w) * np.maximum(np.abs(w) - step * SHRINK, 0)
+    return bias, w * rarity
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, per_class: int = PER_CLASS) -> tuple[float, np.ndarray]:
