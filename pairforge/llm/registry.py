@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pairforge.llm import hash_tree, license_scan, line_templates, quality_fm, randomness, toxicity
+from pairforge.llm import edit_match, hash_tree, license_scan, line_templates, quality_fm, randomness, soft_mixing, toxicity
 
 QUERIES = {
     "op3_template_tree": line_templates.op3_template_tree,
     "op4_hash_tree_shards": hash_tree.op4_hash_tree_shards,
+    "op5_pigeonhole_matches": edit_match.op5_pigeonhole_matches,
     "op6_factorisation_machine": quality_fm.op6_factorisation_machine,
     "op7_license_digests": license_scan.op7_license_digests,
+    "op8_soft_mixing": soft_mixing.op8_soft_mixing,
     "op9_randomness_battery": randomness.op9_randomness_battery,
     "op10_counterfactual_toxicity": toxicity.op10_counterfactual_toxicity,
 }
