@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pairforge.llm import edit_match, hash_tree, license_scan, line_templates, quality_fm, randomness, soft_mixing, toxicity
+from pairforge.llm import circulant_minhash, edit_match, hash_tree, license_scan, line_templates, quality_fm, randomness, soft_mixing, toxicity
 
 QUERIES = {
+    "op2_circulant_minhash": circulant_minhash.op2_circulant_minhash,
     "op3_template_tree": line_templates.op3_template_tree,
     "op4_hash_tree_shards": hash_tree.op4_hash_tree_shards,
     "op5_pigeonhole_matches": edit_match.op5_pigeonhole_matches,
