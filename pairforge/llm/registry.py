@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pairforge.llm import circulant_minhash, edit_match, hash_tree, license_scan, line_templates, quality_fm, randomness, soft_mixing, toxicity
+from pairforge.llm import circulant_minhash, cover_tree, edit_match, hash_tree, license_scan, line_templates, quality_fm, randomness, soft_mixing, toxicity
 
 QUERIES = {
+    "op1_cover_tree_topk": cover_tree.op1_cover_tree_topk,
     "op2_circulant_minhash": circulant_minhash.op2_circulant_minhash,
     "op3_template_tree": line_templates.op3_template_tree,
     "op4_hash_tree_shards": hash_tree.op4_hash_tree_shards,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_cover_tree_topk": cover_tree.sql(),
     "op3_template_tree": line_templates.sql(),
     "op4_hash_tree_shards": hash_tree.sql(),
     "op7_license_digests": license_scan.sql(),
