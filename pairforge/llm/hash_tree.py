@@ -6,7 +6,7 @@ wins, so children are chosen in proportion to weight. A child's draw depends on
 alone: a changed weight moves rows only into or out of that child's subtree. A new shard that opens
 a region of its own therefore takes rows only into itself.
 
-Defined cases: a null key hashes as the empty text; rows with one key share a shard; a null text has
+Columns of docs with the name of a result are replaced. Defined cases: a null key hashes as the empty text; rows with one key share a shard; a null text has
 size 16 and crc32 0; an empty table gives an empty result; other columns pass through untouched.
 """
 
@@ -20,6 +20,8 @@ from pairforge.llm.tables import table
 
 Tree = dict[str, dict[str, dict[int, float]]]
 
+COLUMNS = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+
 #: Rows that one sort of slots holds, about.
 SLOT_GROUP_ROWS = 50_000
 
@@ -72,6 +74,7 @@ def shard(docs: DataFrame, tree: Tree, key: str = "doc_id", text: str = "text")
     A shard is cut by leading digits of the md5 into groups that fit a sort; a group's first slot is the sum
     of the counts before it, so no task sorts a whole shard, whatever its size.
     """
+    docs = docs.drop(*COLUMNS[1:], "_md5", "_part", "_row", "_start", "_n")
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     n_shards = sum(len(s) for r in tree.values() for s in r.values())
@@ -91,10 +94,7 @@ def shard(docs: DataFrame, tree: Tree, key: str = "doc_id", text: str = "text")
     before = W.partitionBy("shard").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     starts = rows.groupBy("shard", "_part").agg(F.count("*").alias("_n")).select("shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     placed = rows.withColumn("_row", F.row_number().over(inside)).join(starts, ["shard", "_part"])
-    return placed.withColumn("slot", F.col("_start") + F.col("_row") - 1).drop("_row", "_start", "_part", "_md5")
-
-
-COLUMNS = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    return placed.withColumn("slot", F.col("_start") + F.col("_row") - 1).select(*docs.columns, *COLUMNS[1:])
 
 
 def op4_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,7 +64,8 @@ def recurring(docs: DataFrame, scratch: Scratch, text: str = "text", min_texts:
 
 
 def drop_templates(docs: DataFrame, text: str = "text", min_texts: int = MIN_TEXTS) -> DataFrame:
-    """docs with the recurring lines cut out of text; adds n_lines and n_dropped (long)."""
+    """docs with the recurring lines cut out of text; adds, or replaces, n_lines and n_dropped (long)."""
+    docs = docs.drop("n_lines", "n_dropped", "copy", "_dropped")
     scratch = Scratch(docs.sparkSession)
     # Lines meet the recurring ones by hash: a line's text does not travel. What is dropped grows with the corpus, so no broadcast.
     bad = recurring(docs, scratch, text, min_texts).select(F.xxhash64("masked").alias("m")).distinct()

@@ -137,6 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
 
 def score_quality(docs: DataFrame, model: Machine | float, text: str = "text") -> DataFrame:
     """docs with score (double) and predicted (int: 1 at a score of LEAST or more)."""
+    docs = docs.drop("score", "predicted")  # columns of these names are replaced
     if isinstance(model, float):
         return docs.withColumn("score", F.lit(model)).withColumn("predicted", (F.col("score") >= LEAST).cast("int"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: buckets x (rank + 1) doubles

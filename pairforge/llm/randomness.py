@@ -155,6 +155,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", rate: float = RATE) -> Dat
 
     Two passes over the texts without a shuffle of them: the first fills the histogram, the second applies its thresholds.
     """
+    docs = docs.drop("base_spans", "all_spans", "spans", "n_assign", "n_access", "n_hex", "base_sha256")  # replaced
     body = F.coalesce(F.col(text), F.lit(""))
     runs = docs.select(F.explode(candidates(body)).alias("_r")).select(F.col("_r.value").alias("value"))
     scored = runs.select(_band(F.col("value")).alias("band"), statistic(F.col("value")).alias("z")).where("z is not null")

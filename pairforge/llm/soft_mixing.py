@@ -121,7 +121,8 @@ def fit_rates(table: DataFrame, weights: np.ndarray, least: float = 0.0, cover:
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], least: float = 0.0, cover: bool = False) -> DataFrame:
-    """docs with tokens, posteriors and rate added."""
+    """docs with tokens, posteriors and rate added, or replaced."""
+    docs = docs.drop("tokens", "posteriors", "rate")
     domains = list(weights)
     w = np.array([weights[d] for d in domains]) / sum(weights.values())
     model = fit_membership(docs, labels, domains)

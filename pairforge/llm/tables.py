@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def only_documents(docs: DataFrame) -> DataFrame:
+    """The columns of documents; extra ones, whatever their names, are left out."""
+    return docs.select(*[c for c in DOCUMENT_COLUMNS if c in docs.columns])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

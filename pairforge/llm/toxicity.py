@@ -114,6 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
 
 def score_toxicity(docs: DataFrame, model: tuple[float, np.ndarray], text: str = "text") -> DataFrame:
     """docs with score (double) and predicted (int: 1 at a score of LEAST or more)."""
+    docs = docs.drop("score", "predicted")  # columns of these names are replaced
     telling = np.flatnonzero(model[1])
     shared = docs.sparkSession.sparkContext.broadcast((model[0], telling, model[1][telling]))  # at most BUCKETS weights
     names = docs.columns
