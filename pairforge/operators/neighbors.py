@@ -30,6 +30,7 @@ def block_pairs(home: DataFrame, visitors: DataFrame, work: Callable[[pd.DataFra
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = home.join(parts, "cell").withColumn("si", own("h")).withColumn("sj", each("v")).drop("h", "v")
     right = visitors.join(parts, "cell").withColumn("sj", own("v")).withColumn("si", each("h")).drop("h", "v")
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # names of its own where both sides are one table
     key = ["cell", "si", "sj"]
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(lambda a, b: work(a, b), schema)
 
@@ -67,6 +68,11 @@ def _cells(n_regions: int, sizes: list[int], radii: list[float]) -> list[Column]
     return out
 
 
+def _next_to(steps: Column) -> Callable[[Column], Column]:
+    """A cell's name so far -> its names with each of the steps."""
+    return lambda name: F.transform(steps, lambda s: F.when(name == "", s).otherwise(F.concat(name, F.lit(":"), s)))
+
+
 def similar_pairs(points: DataFrame, queries: DataFrame | None, radii: list[float], sizes: list[int], block: int = BLOCK) -> DataFrame:
     """points(iso_id, z: array of a vector a region) -> (a, b, pearson: array of a value a region).
 
@@ -77,8 +83,7 @@ def similar_pairs(points: DataFrame, queries: DataFrame | None, radii: list[floa
     home = points.select("iso_id", "z", F.concat_ws(":", *cells).alias("cell"))
     around: Column = F.array(F.lit(""))
     for c in cells:
-        steps = F.array(*[(c + s).cast("string") for s in (-1, 0, 1)])
-        around = F.flatten(F.transform(around, lambda p, steps=steps: F.transform(steps, lambda s: F.concat(p, F.when(p == "", F.lit("")).otherwise(F.lit(":")), s))))
+        around = F.flatten(F.transform(around, _next_to(F.array(*[(c + s).cast("string") for s in (-1, 0, 1)]))))
     visitors = (points if queries is None else queries).select("iso_id", "z", F.explode(around).alias("cell"))
     once = queries is None
 
