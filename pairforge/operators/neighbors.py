@@ -89,7 +89,7 @@ def similar_pairs(points: DataFrame, queries: DataFrame | None, radii: list[floa
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "pearson": []})
+            return pd.DataFrame({"a": [], "b": [], "pearson": pd.Series([], dtype=object)})
         x, y = _matrices(left.z), _matrices(right.z)
         i, j = within(x, y, radii)
         la, rb = left.iso_id.to_numpy()[i], right.iso_id.to_numpy()[j]
@@ -97,7 +97,7 @@ def similar_pairs(points: DataFrame, queries: DataFrame | None, radii: list[floa
         i, j, la, rb = i[keep], j[keep], la[keep], rb[keep]
         p = np.stack([(u[i] * v[j]).sum(1) / s for u, v, s in zip(x, y, sizes, strict=True)], 1) if len(i) else np.empty((0, n))
         a, b = (la, rb) if once else (rb, la)
-        return pd.DataFrame({"a": a, "b": b, "pearson": list(p)})
+        return pd.DataFrame({"a": a, "b": b, "pearson": pd.Series(list(p), dtype=object)})
 
     kind = dict(points.dtypes)["iso_id"]
     return block_pairs(home, visitors, work, f"a {kind}, b {kind}, pearson array<double>", block)

@@ -1,0 +1,278 @@
+"""Hand-made cases for each operator."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pairforge.functions import vectors as v
+from pairforge.operators import audit, compare, correctness, dbscan, dims, ks, neighbors, profiles
+from pairforge.operators.components import connected_components
+from pairforge.sources import lists
+from pairforge.sources.config import read_config
+from pairforge.sources.stages import load_or_compute, stage_path
+
+Z = {"iso1": {"r1": [1, -1, 1, -1, 1, -1], "r2": [1, -1, 1, -1]}, "iso2": {"r1": [1, 1, 1, -1, -1, -1], "r2": [-1, 1, -1, 1]}}
+
+
+def values(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def points(spark):
+    rows = [(i, [[float(x) for x in z["r1"]], [float(x) for x in z["r2"]]]) for i, z in Z.items()]
+    return spark.createDataFrame(rows, "iso_id string, z array<array<double>>")
+
+
+def test_distance_and_pearson(spark):
+    p = points(spark).withColumnRenamed("iso_id", "a").withColumnRenamed("z", "za")
+    q = points(spark).withColumnRenamed("iso_id", "b").withColumnRenamed("z", "zb")
+    pairs = p.join(q)
+    got = {}
+    for k, size in ((0, 6), (1, 4)):
+        for r in pairs.select("a", "b", v.distance(F.col("za")[k], F.col("zb")[k]).alias("d"), v.pearson(F.col("za")[k], F.col("zb")[k], size).alias("p")).collect():
+            got[r.a, r.b, k] = (r.d, r.p)
+            assert math.isclose(1 - r.d**2 / (2 * size), r.p, abs_tol=1e-12)
+    assert math.isclose(got["iso1", "iso2", 0][1], 2 / 6) and got["iso1", "iso2", 1][1] == -1
+    assert math.isclose(got["iso1", "iso2", 0][0], math.sqrt(8)) and got["iso2", "iso1", 1][0] == 4
+    assert got["iso1", "iso1", 0] == (0, 1)
+
+
+def test_conversions(spark):
+    one = spark.range(1)
+    d = v.distance_from_pearson(F.lit(0.99), 95)
+    row = one.select(d.alias("d"), v.pearson_from_distance(d, 95).alias("p"), v.pearson_from_distance(d, 93).alias("q")).first()
+    assert round(row.d, 4) == 1.3784 and math.isclose(row.p, 0.99, abs_tol=1e-7) and abs(row.q - 0.99) > 1e-6
+
+
+def test_zscore(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 3.0],), ([5.0, 5.0],), ([],)], "x array<double>")
+    got = [r.z for r in df.select(v.zscore(F.col("x")).alias("z")).collect()]
+    assert np.allclose(got[0], [-math.sqrt(1.5), 0, math.sqrt(1.5)]) and got[1] is None and got[2] is None
+
+
+def test_boxes(spark):
+    a = lambda *x: F.array(*[F.lit(float(i)) for i in x])
+    row = spark.range(1).select(
+        v.distance_to_box(a(3, 4), a(-1, -1), a(0, 0)).alias("out"), v.distance_to_box(a(0, 0), a(-1, -1), a(1, 1)).alias("inside"), v.box_in_ball(a(0, 0), a(3, 4), a(0, 0), F.lit(5.0)).alias("ball")
+    ).first()
+    assert row.out == 5 and row.inside == 0 and row.ball
+
+
+@pytest.mark.parametrize("radii,found", [([2.0, 3.0], 0), ([20.0, 3.0], 0), ([2.0, 30.0], 0), ([math.sqrt(8) + 1e-12, 4.0], 1), ([20.0, 30.0], 1)])
+def test_within_radii(spark, radii, found):
+    assert neighbors.similar_pairs(points(spark), None, radii, [6, 4]).count() == found
+
+
+def test_similarity_join_equals_brute_force_in_small_blocks(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(150, 2, 8))
+    x[70:110] = x[70] + rng.normal(scale=0.05, size=(40, 2, 8))
+    df = spark.createDataFrame([(i, z.tolist()) for i, z in enumerate(x)], "iso_id long, z array<array<double>>")
+    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if all(np.linalg.norm(x[i, k] - x[j, k]) <= 1.2 for k in range(2))}
+    got = neighbors.similar_pairs(df.repartition(5), None, [1.2, 1.2], [8, 8], block=16)
+    assert {(r.a, r.b) for r in got.collect()} == want and len(want) > 500
+    queries = df.where("iso_id % 7 = 0")
+    ranged = neighbors.similar_pairs(df, queries, [1.2, 1.2], [8, 8], block=16)
+    assert {(r.a, r.b) for r in ranged.collect()} == {p for i, j in want for p in ((i, j), (j, i)) if p[0] % 7 == 0}
+
+
+def test_components(spark):
+    path = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (300, 300), (None, 5)]
+    got = dict(values(connected_components(spark.createDataFrame(path, "src long, dst long"))))
+    assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 300: 300}
+    assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+EDGES = [("a1", "a2"), ("a1", "a3"), ("a1", "x"), ("a2", "a3"), ("a2", "x"), ("b1", "b2"), ("b1", "b3"), ("b1", "x"), ("b2", "b3"), ("b2", "x"), ("n1", "n2")]
+
+
+def clusters(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.cluster_id, set()).add(r.iso_id)
+    return sorted(map(sorted, out.values()))
+
+
+def test_dbscan(spark):
+    edges = spark.createDataFrame(EDGES, "a string, b string")
+    assert clusters(dbscan.dbscan(edges, 3)) == [["a1", "a2", "a3", "b1", "b2", "b3", "x"]]
+    full = [(f"{s}{i}", f"{s}{j}") for s in "ab" for i in range(1, 5) for j in range(i + 1, 5)] + [("a4", "y"), ("b4", "y")]
+    both = dbscan.dbscan(spark.createDataFrame(full, "a string, b string"), 3)
+    assert clusters(both) == [["a1", "a2", "a3", "a4", "y"], ["b1", "b2", "b3", "b4", "y"]]
+    assert values(dbscan.overlaps(both)) == [("y", 2)]
+    everyone = spark.createDataFrame([(x,) for x in ("a1", "y", "z")], "iso_id string")
+    assert values(dbscan.noise(everyone, both)) == [("z",)]
+    assert audit.difference(dbscan.dbscan(edges, 1), dbscan.single_link(edges)).count() == 0
+
+
+def test_audit_finds_planted_faults(spark):
+    edges = spark.createDataFrame(EDGES, "a string, b string")
+    good = dbscan.dbscan(edges, 3)
+    assert {r.violations for r in audit.audit(edges, good, 3).collect()} == {0}
+    bad = good.where("iso_id != 'b2'").select("cluster_id", "iso_id").unionByName(spark.createDataFrame([("a1", "n1")], "cluster_id string, iso_id string"))
+    found = {r.check: r.violations for r in audit.audit(edges, bad, 3).collect()}
+    assert found["existence"] == 1 and found["maximality"] > 0 and found["membership"] == 1
+    pairs = spark.createDataFrame([("a1", "a3"), ("a3", "a1"), ("n1", "n2")], "p string, q string")
+    assert values(audit.density_relations(pairs, good)) == [("a1", "a3", True, True), ("a3", "a1", False, True), ("n1", "n2", False, False)]
+
+
+def membership(spark, *sets):
+    return spark.createDataFrame([(i, x) for i, s in enumerate(sets) for x in s], "cluster_ord long, iso_id long")
+
+
+@pytest.mark.parametrize(
+    "second,counts,indexes",
+    [
+        ([[0, 1, 2], [3, 4]], (4, 0, 6), (1, 1, 1, 1)),
+        ([[0, 1], [2, 3, 4]], (2, 4, 4), (2 / 6, 4 / 8, (2 / 6 + 4 / 8) / 2, 6 / 10)),
+        ([[0, 1, 2, 3, 4]], (4, 6, 0), (4 / 10, 0, 0.2, 4 / 10)),
+        ([[0], [1], [2], [3], [4]], (0, 4, 6), (0, 6 / 10, 0.3, 6 / 10)),
+    ],
+)
+def test_pair_counts(spark, second, counts, indexes):
+    iso = spark.createDataFrame([(i,) for i in range(5)], "iso_id long")
+    for overlap in ("last", "any"):
+        got = compare.pair_counts(iso, membership(spark, [0, 1, 2], [3, 4]), membership(spark, *second), overlap)
+        assert values(got) == [counts]
+    assert np.allclose(values(compare.similarity_indexes(got))[0], indexes)
+
+
+def test_threshold_correctness(spark):
+    rows = "0,1,.993,.999 0,2,.999,.999 0,3,.993,.993 0,4,.999,.999 1,2,.999,.993 1,3,.999,.999 1,4,.999,.987 2,3,.987,.993 2,4,.987,.987 3,4,.987,.987"
+    pairs = [(int(a), int(b), [float(p), float(q)]) for a, b, p, q in (r.split(",") for r in rows.split())]
+    near = spark.createDataFrame([p for p in pairs if min(p[2]) > 0.99], "a long, b long, pearson array<double>")
+    iso = spark.createDataFrame([(i,) for i in range(5)], "iso_id long")
+    got = correctness.threshold_correctness(iso, membership(spark, [0, 4], [1, 2, 3]), near, [0.995] * 2, [0.99] * 2)
+    assert np.allclose(values(got)[0], (2 / 3, 3 / 4, 17 / 24, 5 / 7, 3 / 10))
+    with pytest.raises(ValueError):
+        correctness.threshold_correctness(iso, membership(spark, [0]), near, [0.9], [0.9])
+
+
+@pytest.mark.parametrize(
+    "d,weighted,p",
+    [
+        (0.012551140675228778, 1.3344417250372098, 0.056333948084030673),
+        (0.020994250092084221, 2.2321161106922904, 9.1952547690618487e-05),
+        (0.10940002986695607, 5.9607025940267331, 2.0031145985117265e-31),
+        (0.12087494989229668, 3.4518800006248673, 7.2679710168880621e-11),
+        (0.14107420744342106, 4.0330966968961857, 1.1220187699457781e-14),
+    ],
+)
+def test_ks_pvalue(spark, d, weighted, p):
+    en2 = (weighted / d) ** 2  # any sizes with this n1 n2 / (n1 + n2) do
+    row = spark.range(1).select(v.ks_pvalue(F.lit(d), F.lit(2 * en2), F.lit(2 * en2)).alias("p"), v.weighted_ks(F.lit(d), F.lit(2 * en2), F.lit(2 * en2)).alias("w")).first()
+    assert math.isclose(row.p, p, rel_tol=1e-9) and math.isclose(row.w, weighted, rel_tol=1e-12)
+
+
+def plain_ks(a, b):
+    both = np.unique(np.concatenate([a, b]))
+    return np.abs(np.searchsorted(np.sort(a), both, "right") / len(a) - np.searchsorted(np.sort(b), both, "right") / len(b)).max()
+
+
+def test_slot_ks_and_window_ks_equal_the_plain_statistic(spark):
+    rng = np.random.default_rng(1)
+    expected = rng.choice(np.linspace(0, 1, 30), 200)
+    groups = {g: rng.choice(np.linspace(-0.2, 1.2, 43), n) for g, n in ((0, 3), (1, 50), (2, 500))}
+    e = spark.createDataFrame([("r", float(x)) for x in expected], "region string, pearson double")
+    known = ks.expected_sample(e)
+    rows = spark.createDataFrame([(g, "r", float(x)) for g, xs in groups.items() for x in xs], "cluster_id long, region string, pearson double")
+    got = {r.cluster_id: r.d for r in ks.slot_ks(ks.intra_slots(rows, known), ["cluster_id"], known).collect()}
+    for g, xs in groups.items():
+        want = plain_ks(np.round(xs, 12), np.round(expected, 12))
+        assert math.isclose(got[g], want, abs_tol=1e-12)
+        two = ks.ks_two_samples(rows.where(F.col("cluster_id") == g).select("region", "pearson"), e).first()
+        assert math.isclose(two.d, want, abs_tol=1e-12) and (two.n1, two.n2) == (len(xs), 200)
+    same = ks.ks_two_samples(e, e).first()
+    assert same.d == 0 and same.p == 1
+
+
+def test_beta(spark):
+    got = ks.beta_cdf(np.array([0.9953, 0.9941, 0.9915]), 668.1768, 1.532336)
+    assert np.allclose(got, [0.10241, 0.05035, 0.01029], atol=2e-5)
+    assert np.allclose(ks.beta_cdf(np.array([0.0, 0.25, 0.5, 1.0]), 2, 2), [0, 0.15625, 0.5, 1], atol=1e-9)
+    rng = np.random.default_rng(2)
+    right = spark.createDataFrame([("r", float(x)) for x in rng.beta(2, 5, 2000)], "region string, pearson double")
+    assert ks.beta_ks(right, 2, 5).first().d < 0.04 < 0.3 < ks.beta_ks(right, 5, 2).first().d
+
+
+def test_describe(spark):
+    x = np.array([1.0, 2.0, 2.5, 7.0])
+    r = ks.describe(spark.createDataFrame([("r", float(i)) for i in x], "region string, d double"), ["d"], ["region"]).first()
+    m = x - x.mean()
+    assert r.n == 4 and (r["min"], r["max"]) == (1, 7)
+    assert np.allclose([r["mean"], r.variance, r.skewness, r.kurtosis], [x.mean(), x.var(ddof=1), (m**3).mean() / x.var() ** 1.5, (m**4).mean() / x.var() ** 2 - 3])
+
+
+def test_profiles(spark):
+    prints = [(1, "i1", "A", False), (2, "i1", "A", True), (3, "i1", "B", False), (4, "i1", "B", None), (5, "i2", "A", False), (6, "i2", "A", False), (7, "i2", "B", False), (8, "i3", "A", False), (9, "i1", "C", False)]
+    p = spark.createDataFrame(prints, "print_id long, iso_id string, region string, is_erroneous boolean")
+    assert values(profiles.newest_valid(p).where("region != 'C'").select("iso_id", "region", "print_id")) == [("i1", "A", 1), ("i1", "B", 3), ("i2", "A", 6), ("i2", "B", 7), ("i3", "A", 8)]
+    # The newest valid print of i2, A has no elements; 7 has a gap.
+    z = [(1, 1, 0.2), (1, 0, 0.1), (3, 0, 0.3), (3, 1, 0.4), (5, 0, 9.0), (7, 0, 1.0), (7, 2, 2.0), (8, 0, 5.0), (8, 1, 6.0)]
+    made = profiles.vectors(p, spark.createDataFrame(z, "print_id long, position int, z double"))
+    regions = spark.createDataFrame([("A", 2), ("B", 2)], "region string, disp_count int")
+    good, rejected = profiles.checked(made, regions)
+    assert values(good.select("iso_id", "region", "z")) == [("i1", "A", [0.1, 0.2]), ("i1", "B", [0.3, 0.4]), ("i3", "A", [5.0, 6.0])]
+    assert values(rejected.select("iso_id", "region")) == [("i2", "B")]
+    with pytest.raises(ValueError):
+        profiles.checked(made, regions, strict=True)
+    assert {r.iso_id for r in profiles.complete(good, regions).collect()} == {"i1"}
+    assert profiles.by_region(good.where("iso_id = 'i1'")).first().z == {"A": [0.1, 0.2], "B": [0.3, 0.4]}
+
+
+def test_replicates_are_capped_before_the_join(spark):
+    prints = spark.createDataFrame([(i, "i", "A", False) for i in range(12)], "print_id long, iso_id string, region string, is_erroneous boolean")
+    zs = spark.createDataFrame([(i, "A", [1.0, -1.0]) for i in range(12)], "print_id long, region string, z array<double>")
+    got = profiles.replicate_pairs(prints, zs, spark.createDataFrame([("A", 2)], "region string, disp_count int"))
+    assert got.count() == 45 and got.agg(F.min("p1")).first()[0] == 2 and {r.pearson for r in got.collect()} == {1.0}
+
+
+def test_sample(spark):
+    df = spark.range(1000).withColumnRenamed("id", "iso_id")
+    a, b = (values(profiles.exact_sample(df.repartition(n), 37)) for n in (1, 7))
+    assert a == b and len(a) == 37 and profiles.exact_sample(df, "All").count() == 1000
+
+
+def test_import(spark, tmp_path):
+    text = "Some title,x\n\nThreshold: ignored before the header,0\nCluster Id,Isolate\n1,I1\n1, I2\n\n1,I9\n1,I3\n2,I4\n1,I5\nCluster Id,Isolate\n1,I6\nThreshold: 0.99,\n3,I1\n"
+    (tmp_path / "c.csv").write_text(text)
+    (tmp_path / "ids.txt").write_text("'I1', 'I2 ',I3,'I9'\nignored\n")
+    known = spark.createDataFrame([(f"I{i}",) for i in range(1, 7)], "iso_id string")
+    got = lists.import_clusters(lists.read_lines(spark, str(tmp_path / "c.csv")), known).select("cluster_ord", "iso_id")
+    assert values(got) == [(0, "I1"), (0, "I2"), (0, "I3"), (1, "I4"), (2, "I5"), (2, "I6")]
+    kept = compare.without_singletons(got.withColumnRenamed("cluster_ord", "cluster_id"))
+    assert clusters(kept) == [["I1", "I2", "I3"], ["I5", "I6"]]
+    parts = values(lists.list_difference(known, lists.read_id_list(spark, str(tmp_path / "ids.txt"))))
+    assert parts == [("extra", "I9"), ("missing", "I4"), ("missing", "I5"), ("missing", "I6"), ("shared", "I1"), ("shared", "I2"), ("shared", "I3")]
+
+
+def test_config_and_stages(spark, tmp_path):
+    region = '{"name": "A", "dispCount": 95, "clusterThreshold": 0.99, "pearsonSimilarityThresholdAlpha": 0.99, "pearsonSimilarityThresholdBeta": 0.9, "betaDistributionAlpha": 2.0, "betaDistributionBeta": 3.0}'
+    (tmp_path / "c.json").write_text('{"regions": [%s], "minNeighbors": 3, "pointsPerLeaf": 8, "dimsPerSplit": 10, "isolateSubsetSize": "All"}' % region)
+    regions, parameters = read_config(spark, str(tmp_path / "c.json"))
+    assert round(regions.first().radius, 4) == 1.3784 and parameters["minNeighbors"] == 3
+    (tmp_path / "d.json").write_text('{"regions": [{"name": "A"}]}')
+    with pytest.raises(ValueError):
+        read_config(spark, str(tmp_path / "d.json"))
+    path = stage_path(str(tmp_path), "isolates", size="All", seed=1)
+    made = []
+    make = lambda: made.append(1) or spark.range(5)
+    assert load_or_compute(spark, path, make).count() == 5 and load_or_compute(spark, path, make).count() == 5 and len(made) == 1
+
+
+def test_dims(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(60, 6)) * np.arange(1, 7)
+    df = spark.createDataFrame([(i, "r", z.tolist()) for i, z in enumerate(x)], "iso_id long, region string, z array<double>")
+    planes = dims.split_planes(df, 4).collect()
+    assert sorted(r.dim for r in planes) == list(range(6)) and {r.round for r in planes} == {0, 1}
+    std = x.std(0)
+    c = [np.cov(x[:, k], x[:, std.argmax()])[0, 1] / (std[k] * std.max()) for k in range(6)]
+    order = sorted(range(6), key=lambda k: -std[k] * abs(c[k]))[:4]
+    assert [r.dim for r in sorted((r for r in planes if r.round == 0), key=lambda r: r["rank"])] == order
+    split = dims.median_split(df, [0, 1], [1.0, 2.0], ["region"]).first().split
+    p = np.sort(x[:, 0] + 2 * x[:, 1])
+    assert math.isclose(split, (p[30] + p[31]) / 2)
+    assert dims.median_split(df.where("iso_id < 1"), [0], [1.0], ["region"]).first().split == x[0, 0]
