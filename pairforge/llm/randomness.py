@@ -4,7 +4,7 @@ Candidates of the battery are runs of 20 or more key characters. Each gets an en
 base62, base64, base64url) from the characters that it holds, and three tests on its symbols' places in that alphabet:
 
 * chi-squared of the symbol counts against a uniform alphabet,
-* Wald-Wolfowitz runs above and below the middle of the alphabet,
+* runs of one character class (digits, small letters, capitals, signs) against their number in uniform text,
 * lag-1 serial correlation.
 
 Each is turned round into a test whose null is "as uneven as text": words repeat letters, stay in
@@ -44,7 +44,9 @@ ALPHABETS = {
 }
 #: Under the null the squared unevenness (A * sum p^2 - 1), the serial correlation, and the share of the expected runs.
 UNEVEN = {"hex": 0.5, "HEX": 0.5, "base32": 0.8, "base62": 2.0, "base64": 2.0, "base64url": 2.0}
-SERIAL, RUNS = 0.4, 0.6
+SERIAL, RUNS = 0.4, 0.65
+#: The chance that two symbols of an alphabet are of different classes.
+SWITCH = {k: 1 - sum((sum(c in part for c in a) / len(a)) ** 2 for part in (DIGITS, LOWER, UPPER, "+/-_")) for k, a in ALPHABETS.items()}
 #: First length of each band, the rate of false discoveries, and the bins of the statistic.
 BANDS, RATE, BIN, TOP = [20, 24, 32, 48], 0.01, 0.05, 400
 
@@ -112,18 +114,20 @@ def statistic(value: Column) -> Column:
     lookup = lambda d, e: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), e)
     core = F.regexp_replace(value, "=+$", "")
 
-    def joint(enc: Column, at: Column) -> Column:
+    kind = lambda x: F.when(x.between("a", "z"), 1).when(x.between("A", "Z"), 2).when(x.between("0", "9"), 3).otherwise(4)
+
+    def joint(enc: Column, chars: Column, at: Column) -> Column:
         size, n, uneven = F.length(lookup(ALPHABETS, enc)).cast("double"), F.size(at).cast("double"), lookup(UNEVEN, enc)
         squares = _sum(F.transform(F.array_distinct(at), lambda c: F.pow(F.size(F.filter(at, lambda x: x == c)).cast("double"), F.lit(2.0))))
         z_chi = (size - 1 + n * uneven - (size / n * squares - n)) / F.sqrt(2 * (size - 1 + 2 * n * uneven))
         serial = _let(_sum(at) / n, lambda mean: _let(F.transform(at, lambda x: x - mean), lambda dev: _sum(_neighbours(dev, lambda a, b: a * b)) / F.greatest(_sum(F.transform(dev, lambda x: x * x)), F.lit(1e-9))))
-        sides = F.transform(at, lambda x: x * 2 > size)
-        above = lambda side: F.size(F.filter(side, lambda x: x)).cast("double")
-        ratio = _let(sides, lambda side: (above(_neighbours(side, lambda a, b: a != b)) + 1) / (2 * above(side) * (n - above(side)) / n + 1))
+        switches = F.size(F.filter(_neighbours(F.transform(chars, kind), lambda a, b: a != b), lambda x: x)).cast("double")
+        ratio = (switches + 1) / (1 + (n - 1) * lookup(SWITCH, enc))
         return (z_chi + (F.lit(SERIAL) - F.abs(serial)) * F.sqrt(n) + (ratio - F.lit(RUNS)) * F.sqrt(n)) / math.sqrt(3)
 
-    places = lambda c, enc: F.transform(F.split(c, ""), lambda x: F.instr(lookup(ALPHABETS, enc), x).cast("double"))
-    return _let(core, lambda c: _let(_encoding(c), lambda enc: F.when(enc.isNotNull(), _let(places(c, enc), lambda at: joint(enc, at)))))
+    places = lambda chars, enc: F.transform(chars, lambda x: F.instr(lookup(ALPHABETS, enc), x).cast("double"))
+    tested = lambda chars, enc: _let(places(chars, enc), lambda at: joint(enc, chars, at))
+    return _let(core, lambda c: _let(_encoding(c), lambda enc: F.when(enc.isNotNull(), _let(F.split(c, ""), lambda chars: tested(chars, enc)))))
 
 
 def _band(value: Column) -> Column:
