@@ -70,7 +70,7 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     buckets = Buckets(BUCKETS)
     for batch in batches:
         made = [features(t, buckets) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-        yield pa.record_batch({"y": batch.column("y"), "ids": pa.array([i.astype(np.int32).tobytes() for i, _ in made], pa.binary()), "values": pa.array([v.tobytes() for _, v in made], pa.binary())})
+        yield pa.record_batch({"doc_id": batch.column("doc_id"), "y": batch.column("y"), "ids": pa.array([i.astype(np.int32).tobytes() for i, _ in made], pa.binary()), "values": pa.array([v.tobytes() for _, v in made], pa.binary())})
 
 
 def _sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -127,8 +127,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], prior: float) -> Machine
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, per_class: int = PER_CLASS) -> Machine | float:
     """The machine, or a constant score where labels of one class, or none, are there to learn from."""
     learn = [k for k in range(folds) if k != held_out]
-    sample = labelled(docs, labels, "quality", folds, learn, per_class).mapInArrow(_featurise, "y int, ids binary, values binary")
-    rows = [(np.frombuffer(r.ids, np.int32), np.frombuffer(r.values), r.y) for r in sample.collect()]
+    sample = labelled(docs, labels, "quality", folds, learn, per_class).mapInArrow(_featurise, "doc_id long, y int, ids binary, values binary")
+    # In the order of ids, so that the fit is the same whatever the partitions.
+    rows = [(np.frombuffer(r.ids, np.int32), np.frombuffer(r.values), r.y) for r in sorted(sample.collect(), key=lambda r: r.doc_id)]
     known = labels.where(fold(F.col("doc_id"), folds).isin(learn)).agg(F.avg(F.col("quality").cast("double")).alias("p")).first().p
     if len({y for _, _, y in rows}) < 2:
         return 1.0 if not rows else float(rows[0][2])

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pairforge.llm.tables import fold, table
 from pairforge.llm.words import Buckets, bucketed, labelled, words
 
-BUCKETS, PER_CLASS, EPOCHS, BATCH, RATE, SHRINK, SWAP_PENALTY = 1 << 18, 4000, 20, 256, 0.1, 1e-3, 1.0
+BUCKETS, PER_CLASS, STEPS, BATCH, RATE, SHRINK, SWAP_PENALTY = 1 << 18, 4000, 640, 256, 0.1, 1e-3, 1.0
 LEAST, BEGINNINGS = 0.7, (3, 4, 5, 6)
 
 #: Terms that name a group, by kind. A swap puts another term of the kind in place.
@@ -63,7 +63,7 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs = swaps(t, buckets)
             plus.append([np.setdiff1d(b, a).astype(np.int32).tobytes() for a, b in pairs])
             minus.append([np.setdiff1d(a, b).astype(np.int32).tobytes() for a, b in pairs])
-        yield pa.record_batch({"y": batch.column("y"), "ids": pa.array(ids, pa.binary()), "plus": pa.array(plus, pa.list_(pa.binary())), "minus": pa.array(minus, pa.list_(pa.binary()))})
+        yield pa.record_batch({"doc_id": batch.column("doc_id"), "y": batch.column("y"), "ids": pa.array(ids, pa.binary()), "plus": pa.array(plus, pa.list_(pa.binary())), "minus": pa.array(minus, pa.list_(pa.binary()))})
 
 
 def fit(rows: list[tuple[np.ndarray, int]], pairs: list[tuple[np.ndarray, np.ndarray]], penalty: float = SWAP_PENALTY) -> tuple[float, np.ndarray]:
@@ -79,8 +79,9 @@ def fit(rows: list[tuple[np.ndarray, int]], pairs: list[tuple[np.ndarray, np.nda
     bias, w, turn = -1.0, np.zeros(BUCKETS), 0
     gb, gw = 1e-3, np.full(BUCKETS, 1e-3)
     order = np.random.default_rng(5)
-    for epoch in range(EPOCHS):
-        shuffled, rate = order.permutation(n), RATE * (1 - epoch / EPOCHS)
+    epochs = -(-STEPS // -(-n // BATCH))  # as many steps whatever the number of rows
+    for epoch in range(epochs):
+        shuffled, rate = order.permutation(n), RATE * (1 - epoch / epochs)
         for at in range(0, n, BATCH):
             part = shuffled[at : at + BATCH]
             sizes = np.array([len(found[i]) for i in part])
@@ -102,14 +103,38 @@ def fit(rows: list[tuple[np.ndarray, int]], pairs: list[tuple[np.ndarray, np.nda
     return bias, w * rarity
 
 
+def calibrated(rows: list[tuple[np.ndarray, int]], pairs: list[tuple[np.ndarray, np.ndarray]], prior: float) -> tuple[float, np.ndarray]:
+    """fit(), with its logits stretched and moved so that they are probabilities for texts it has not seen.
+
+    A third of the rows at a time is scored by a fit on the others; a logistic curve of those logits, with label 1
+    weighing for its share `prior`, gives the stretch and the shift.
+    """
+    y = np.array([t for _, t in rows])
+    logit, part = np.zeros(len(rows)), np.arange(len(rows)) % 3
+    for k in range(3):
+        others = [r for r, p in zip(rows, part, strict=True) if p != k]
+        if len({t for _, t in others}) == 2:
+            bias, w = fit(others, pairs)
+            logit[part == k] = [bias + w[i].sum() for (i, _), p in zip(rows, part, strict=True) if p == k]
+    weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
+    stretch, shift = 1.0, 0.0
+    for _ in range(3000):
+        err = (1 / (1 + np.exp(-np.clip(stretch * logit + shift, -30, 30))) - y) * weight / weight.sum()
+        stretch, shift = max(0.1, stretch - 2 * (err * logit).sum()), shift - 2 * err.sum()
+    bias, w = fit(rows, pairs)
+    return float(stretch * bias + shift), stretch * w
+
+
 def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, per_class: int = PER_CLASS) -> tuple[float, np.ndarray]:
     learn = [k for k in range(folds) if k != held_out]
-    sample = labelled(docs, labels, "toxic", folds, learn, per_class).mapInArrow(_featurise, "y int, ids binary, plus array<binary>, minus array<binary>")
-    got = sample.collect()
+    sample = labelled(docs, labels, "toxic", folds, learn, per_class).mapInArrow(_featurise, "doc_id long, y int, ids binary, plus array<binary>, minus array<binary>")
+    got = sorted(sample.collect(), key=lambda r: r.doc_id)
     if len({r.y for r in got}) < 2:
         return (30.0 if got and got[0].y else -30.0), np.zeros(BUCKETS)
     read = lambda b: np.frombuffer(b, np.int32)
-    return fit([(read(r.ids), r.y) for r in got], [(read(a), read(b)) for r in got for a, b in zip(r.plus, r.minus, strict=True)])
+    prior = labels.where(fold(F.col("doc_id"), folds).isin(learn)).agg(F.avg(F.col("toxic").cast("double")).alias("p")).first().p
+    pairs = [(read(a), read(b)) for r in got for a, b in zip(r.plus, r.minus, strict=True)]
+    return calibrated([(read(r.ids), r.y) for r in got], pairs, min(max(prior, 0.01), 0.99))
 
 
 def score_toxicity(docs: DataFrame, model: tuple[float, np.ndarray], text: str = "text") -> DataFrame:

@@ -268,10 +268,9 @@ def test_toxicity_catches_words_and_ignores_groups(spark):
         rows.append((i, f"{prose(40)}. {who} {'vile' if bad else 'calm'} {prose(3)}. {prose(20)}"))
         labels.append((i, 1, int(bad)))
     model = toxicity.train(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
-    free = toxicity.fit
     held = [(1000, f"{prose(60)} vile {prose(10)}"), (1001, f"a muslim and a christian went home. {prose(60)}"), (1002, prose(70)), (1003, None), (1004, "")]
     got = {r.doc_id: r for r in toxicity.score_toxicity(documents(spark, held), model).collect()}
-    assert [got[i].predicted for i in range(1000, 1005)] == [1, 0, 0, 0, 0] and free is toxicity.fit
+    assert got[1000].score > 0.5 and all(got[i].score < 0.3 and got[i].predicted == 0 for i in range(1001, 1005))
     names = {r.doc_id: r.score for r in toxicity.score_toxicity(documents(spark, [(0, "the muslim calm"), (1, "the christian calm")]), model).collect()}
     assert abs(names[0] - names[1]) < 0.2
 
