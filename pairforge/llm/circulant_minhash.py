@@ -6,9 +6,9 @@ the elements, the second, shifted by k places on the circle, gives coordinate k
 ROWS coordinates make buckets; at a similarity of 0.75 a pair meets in none of them with probability (1 - 0.75^4)^32 < 6e-6.
 
 Texts with equal words are one node from the start, however many documents have them. A bucket never emits all its pairs: small ones (at most SMALL nodes) do,
-larger ones compare pivots, one of each of the smallest components at hand, with all other nodes, then drop the pivots, whose links are
-then all known, and drop out when one component is left. The number of pivots grows fourfold a round, so rounds stay few whatever a bucket
-holds, and no link between nodes of different components goes unverified. Similarity is exact, on full sets.
+larger ones compare a pivot, the node that meets most others, with the rest. Nodes that this does not bring into their bucket's largest component then meet all
+nodes of the bucket's other components in blocks of bounded size, where counts of the elements in PLACES cells, which bound an intersection from
+above, rule most pairs out; only the plausible ones become rows. No link between nodes of different components goes unverified. Similarity is exact, on full sets.
 
 Defined cases: a text without words, or null, has an empty set and is its own component; repeated rows are linked; rows without an id
 have the component of their text's documents, null if none has an id, and are not kept; an empty table gives an empty result.
@@ -19,18 +19,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from pairforge.llm.tables import table
 from pairforge.operators.components import connected_components
+from pairforge.operators.neighbors import block_pairs
 from pairforge.plans.joins import salted_join
 from pairforge.plans.scratch import Scratch
 
-WORDS, COORDINATES, ROWS, SMALL = 5, 128, 4, 12
+WORDS, COORDINATES, ROWS, SMALL, PLACES = 5, 128, 4, 12, 256
 BANDS = COORDINATES // ROWS
 PERCENT = 75
 #: Up to so many ids a join sends them to all tasks (16 MB); beyond, both sides are shuffled.
@@ -131,18 +132,20 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, elements) of the rows whose text is the node's."""
+    """(node, elements, sketch) of the rows whose text is the node's."""
     hashes = _Hashes()
     for batch in batches:
-        nodes, sets = [], []
+        nodes, sets, sketches = [], [], []
         for node, text in zip(batch.column("node").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
             words = _cut(text)
             if words and _node(words) == node:
                 nodes.append(node)
-                sets.append(shingles(words, hashes).view(np.int64))
+                elements = shingles(words, hashes)
+                sets.append(elements.view(np.int64))
+                sketches.append(np.bincount((elements >> np.uint64(40)).astype(np.int64) % PLACES, minlength=PLACES).astype(np.uint16).tobytes())
         offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
         values = np.concatenate(sets) if sets else np.empty(0, np.int64)
-        yield pa.record_batch({"node": pa.array(nodes, pa.binary()), "elements": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))})
+        yield pa.record_batch({"node": pa.array(nodes, pa.binary()), "elements": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values)), "sketch": pa.array(sketches, pa.binary())})
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -160,36 +163,49 @@ def _fits(na: str, nb: str):
     return 100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)
 
 
+def _sketch_pairs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of different components whose sketches leave a similarity of PERCENT possible.
+
+    A sketch counts a set's elements in PLACES cells, so the sum of the lesser counts is never under the size of the intersection.
+    """
+    names = ["a", "b"]
+    if not len(left) or not len(right):
+        return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
+    x, y = (np.stack([np.frombuffer(v, np.uint16) for v in side.sketch]) for side in (left, right))
+    n, comp, node = right.n.to_numpy(), right.comp.to_numpy(), right.iso_id.to_numpy()
+    out: list[tuple[bytes, bytes]] = []
+    for own, size, c, i in zip(x, left.n, left.comp, left.iso_id, strict=True):
+        most = np.minimum(y, own).sum(1, dtype=np.int64)
+        ok = (100 * most >= PERCENT * (size + n - most)) & (comp != c)
+        out += [(min(i, j), max(i, j)) for j in node[ok]]
+    return pd.DataFrame(out, columns=names).astype(object)
+
+
 def links(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """members(key, node, n) -> (src, dst): enough similar pairs to connect whatever similar pairs of a bucket connect."""
-    found = None
-    state = members.withColumn("comp", F.col("node"))
-    pivots_a_round = 1
-    while True:
-        parts = state.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("first"))
-        parts = scratch.keep(parts)
-        open_keys = parts.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("size")).where("comps > 1")
-        open_keys = scratch.keep(open_keys.select("key", "size"))
-        if open_keys.isEmpty():
-            return found if found is not None else members.sparkSession.createDataFrame([], "src binary, dst binary")
-        state = scratch.keep(salted_join(state, open_keys, ["key"]))
-        few = state.where(F.col("size") <= SMALL).drop("size")
-        left, right = [few.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "comp")]) for x in "ab"]
-        pairs = left.join(right, "key").where("node_a < node_b and comp_a != comp_b").drop("key")
-        many = state.where(F.col("size") > SMALL).drop("size")
-        smallest = W.partitionBy("key").orderBy("c", "first")
-        pivots = parts.join(open_keys.where(F.col("size") > SMALL), "key").withColumn("rank", F.row_number().over(smallest)).where(F.col("rank") <= pivots_a_round)
-        pivots = scratch.keep(pivots.select("key", F.col("first.node").alias("node_a"), F.col("first.n").alias("n_a"), F.col("comp").alias("comp_a")))
-        stars = salted_join(many.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "comp")]), pivots, ["key"]).where("comp_a != comp_b").drop("key")
-        pairs = pairs.unionByName(stars).where(_fits("n_a", "n_b")).withColumnsRenamed({"node_a": "a", "node_b": "b"}).drop("n_a", "n_b").distinct()
-        similar = scratch.keep(_verified(scratch.keep(pairs), sets))
-        new = similar.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        found = new if found is None else found.unionByName(new)
-        merged = connected_components(similar.select(F.col("comp_a").alias("src"), F.col("comp_b").alias("dst")), scratch)
-        rest = salted_join(many, pivots.select("key", F.col("node_a").alias("node")).withColumn("used", F.lit(True)), ["key", "node"], "left").where("used is null").drop("used")
-        relabelled = salted_join(rest, merged.withColumnsRenamed({"node": "comp", "component": "above"}), ["comp"], "left")
-        state = scratch.keep(relabelled.select("key", "node", "n", F.coalesce("above", "comp").alias("comp")))
-        pivots_a_round *= 4
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    state = scratch.keep(salted_join(members, scratch.keep(sizes), ["key"]))
+    few, many = state.where(F.col("size") <= SMALL), state.where(F.col("size") > SMALL)
+    left, right = [few.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n")]) for x in "ab"]
+    pairs = left.join(right, "key").where("node_a < node_b").drop("key")
+    # The node that meets most others over all its buckets is the middle of a group; all its buckets take it for their pivot.
+    scores = scratch.keep(many.groupBy("node").agg(F.sum("size").alias("score")))
+    many = scratch.keep(many.select("key", "node", "n").join(scores, "node"))
+    pivots = scratch.keep(many.groupBy("key").agg(F.max(F.struct("score", "node", "n")).alias("p")).select("key", F.col("p.node").alias("node_a"), F.col("p.n").alias("n_a")))
+    stars = salted_join(many.select("key", F.col("node").alias("node_b"), F.col("n").alias("n_b")), pivots, ["key"]).where("node_a != node_b").drop("key")
+    pairs = pairs.unionByName(stars.select(pairs.columns)).where(_fits("n_a", "n_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    first = scratch.keep(_verified(scratch.keep(pairs), sets))
+    # What the pivots have not brought into one component meets the rest of its bucket in blocks of sketches.
+    comps = connected_components(first.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch)
+    many = many.join(comps, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
+    many = scratch.keep(many)
+    parts = many.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("top"))
+    open_keys = scratch.keep(parts.where("comps > 1").select("key", F.col("top.comp").alias("top")))
+    rows = salted_join(many, open_keys, ["key"]).join(sets.select("node", "sketch"), "node")
+    rows = scratch.keep(rows.select(F.col("key").alias("cell"), F.col("node").alias("iso_id"), "n", "comp", "top", "sketch"))
+    plausible = block_pairs(rows.where("comp != top").drop("top"), rows.drop("top"), _sketch_pairs, "a binary, b binary").distinct()
+    second = scratch.keep(_verified(scratch.keep(plausible), sets))
+    return first.unionByName(second).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -209,7 +225,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = scratch.keep(salted_join(buckets, scratch.keep(shared), ["key"]))
     wanted = members.select("node").distinct().join(nodes.select("node", "first_id"), "node").select(F.col("first_id").alias("doc_id"), "node")
     # Repeated rows of an id give one set.
-    sets = scratch.keep(_texts_of(docs, scratch.keep(wanted)).mapInArrow(_full_sets, "node binary, elements array<long>").groupBy("node").agg(F.first("elements").alias("elements")))
+    sets = scratch.keep(_texts_of(docs, scratch.keep(wanted)).mapInArrow(_full_sets, "node binary, elements array<long>, sketch binary").groupBy("node").agg(F.first("elements").alias("elements"), F.first("sketch").alias("sketch")))
     joined = connected_components(links(members, sets, scratch), scratch)
     ids = joined.join(nodes.select("node", "first_id"), "node")
     least = ids.groupBy("component").agg(F.min("first_id").alias("component_id"))
