@@ -1,7 +1,7 @@
 """Licence scan by canonical digests.
 
 A text is put in canonical form (lower case; copyright lines out; every run of characters other than letters and digits is
-one space; equivalent spellings made equal) and hashed. Whole documents and whole lines are hash-joined
+one space; equivalent spellings made equal) and hashed, a whole text with SHA-256, a line with a 64-bit hash. Whole documents and whole lines are hash-joined
 to the digests of known whole texts. The known table is small by nature (a row for each licence text), and
 is left to Spark to broadcast or shuffle by its size.
 
@@ -17,40 +17,61 @@ from pyspark.sql import functions as F
 from pairforge.llm.licenses import EQUIVALENT, KNOWN
 from pairforge.llm.tables import table
 from pairforge.plans.joins import salted_join
+from pairforge.plans.scratch import Scratch
 
-COPYRIGHT = "(?m)^[^\\n]*(?:copyright (?:\\(c\\)|[0-9]{4})|\\(c\\) [0-9]{4}|all rights reserved)[^\\n]*$"
+COPYRIGHT = "copyright (?:\\(c\\)|[0-9]{4})|\\(c\\) [0-9]{4}|all rights reserved"
 
 
-def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), COPYRIGHT, " ")
-    out = F.trim(F.regexp_replace(out, "[^\\p{L}\\p{N}]+", " "))
+def _line(line: Column) -> Column:
+    """A lower-case line without other signs than letters and digits; nothing of a copyright line."""
+    return F.when(line.rlike(COPYRIGHT), "").otherwise(F.trim(F.regexp_replace(line, "[^\\p{L}\\p{N}]+", " ")))
+
+
+def _rule(found: str, put: str):
+    # Few texts hold the letters that a rule begins with, and a search for fixed letters is cheap.
+    start = found.split("(")[0].split("[")[0]
+    return lambda p: F.when(F.contains(p, F.lit(start)), F.regexp_replace(p, f"\\b{found}\\b", put)).otherwise(p)
+
+
+def _respelt(plain: Column) -> Column:
     for found, put in EQUIVALENT:
-        out = F.regexp_replace(out, f"\\b{found}\\b", put)
-    return out
+        plain = F.element_at(F.transform(F.array(plain), _rule(found, put)), 1)  # a name for the text so far, which a rule uses three times
+    return plain
+
+
+def canonical_lines(text: Column) -> Column:
+    return F.transform(F.split(F.lower(text), "\n"), _line)
 
 
-def digest(text: Column) -> Column:
-    c = canonical(text)
-    return F.when(c != "", F.sha2(c, 256))
+def canonical(lines: Column) -> Column:
+    """The canonical text of canonical lines."""
+    return _respelt(F.concat_ws(" ", F.filter(lines, lambda x: x != "")))
 
 
 def known_table(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(digest, license_id), one row a digest."""
-    rows = spark.createDataFrame(known, "license_id string, text string")
-    return rows.select("license_id", digest(F.col("text")).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    """(digest, line_key, license_id), one row a canonical text; line_key is null for texts of several lines."""
+    rows = spark.createDataFrame(known, "license_id string, text string").select("license_id", canonical(canonical_lines(F.col("text"))).alias("c"))
+    rows = rows.where("c != ''").groupBy("c").agg(F.min("license_id").alias("license_id"))
+    return rows.select(F.unhex(F.sha2("c", 256)).alias("digest"), F.xxhash64("c").alias("line_key"), "license_id")
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
-    """docs with digest, license_id (of the whole text), notices (array<string>: ids of whole lines, distinct, sorted) and n_notices added.
+    """docs with text replaced by digest (hex), license_id (of the whole text), notices (array<struct<license_id, n>>: whole lines) and n_notices.
 
-    Lines are joined first; only the hits, keyed by the text's hash and length, are shuffled to meet their documents. Copies of a text
-    share one set of hits.
+    Texts are read once, for a 256-bit digest of the whole and a 64-bit key of every line; they do not travel. Line hits are
+    keyed by the text's hash and length, so copies of a text share one set of hits.
     """
-    key = [F.xxhash64(text).alias("_h"), F.length(text).alias("_n")]
-    lines = docs.select(*key, F.posexplode(F.split(text, "\n")).alias("pos", "line")).select("_h", "_n", "pos", digest(F.col("line")).alias("digest"))
-    hits = lines.where("digest is not null").join(known, "digest").select("_h", "_n", "pos", "license_id").distinct().groupBy("_h", "_n", "license_id").agg(F.count("*").alias("n"))
-    hits = hits.groupBy("_h", "_n").agg(F.array_sort(F.collect_list(F.struct("license_id", "n"))).alias("notices"))
-    whole = docs.select("*", *key, digest(F.col(text)).alias("digest")).join(known, "digest", "left")
+    scratch = Scratch(docs.sparkSession)
+    docs = docs.drop("digest", "license_id", "notices", "n_notices", "_h", "_n", "_l")  # columns of these names are replaced
+    read = docs.select(*[c for c in docs.columns if c != text], F.xxhash64(text).alias("_h"), F.length(text).alias("_n"), canonical_lines(F.col(text)).alias("_l"))
+    c = canonical(F.col("_l"))
+    hashed = F.transform(F.array(c), lambda x: F.when(x != "", F.unhex(F.sha2(x, 256))))
+    read = read.withColumn("digest", F.element_at(hashed, 1)).withColumn("_l", F.transform("_l", lambda x: F.when(x != "", F.xxhash64(_respelt(x)))))
+    read = scratch.keep(read)
+    lines = read.select("_h", "_n", F.posexplode("_l").alias("pos", "line_key")).where("line_key is not null")
+    hits = lines.join(known.select("line_key", "license_id"), "line_key").select("_h", "_n", "pos", "license_id").distinct()
+    hits = hits.groupBy("_h", "_n", "license_id").agg(F.count("*").alias("n")).groupBy("_h", "_n").agg(F.array_sort(F.collect_list(F.struct("license_id", "n"))).alias("notices"))
+    whole = read.drop("_l").join(known.select("digest", "license_id"), "digest", "left").withColumn("digest", F.lower(F.hex("digest")))
     found = salted_join(whole, hits, ["_h", "_n"], "left").drop("_h", "_n")
     found = found.withColumn("notices", F.coalesce("notices", F.array().cast("array<struct<license_id:string,n:long>>")))
     return found.withColumn("n_notices", F.size("notices").cast("long"))
@@ -65,8 +86,7 @@ def op7_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql(known: list[tuple[str, str]] = KNOWN) -> str:
     def canon(x: str) -> str:
-        quoted = COPYRIGHT.replace("'", "''")
-        out = f"trim(regexp_replace(regexp_replace(lower({x}), '{quoted}', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+        out = f"trim(regexp_replace(regexp_replace(lower({x}), '(?m)^[^\\n]*(?:{COPYRIGHT})[^\\n]*$', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
         for found, put in EQUIVALENT:
             out = f"regexp_replace({out}, '\\b{found}\\b', '{put.replace('$', chr(92))}', 'g')"
         return out
