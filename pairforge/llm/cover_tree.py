@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pairforge.llm.tables import table
 from pairforge.plans.scratch import Scratch
 
-K, PIVOTS, SAMPLE, NODE, QUERY_NODE, LEAF, BRANCH, SALTS = 5, 64, 2048, 1024, 512, 32, 8, 16
+K, PIVOTS, SAMPLE, NODE, QUERY_NODE, LEAF, BRANCH, SALTS = 5, 64, 2048, 1024, 512, 192, 8, 16
 
 
 def integral(vector: Column) -> Column:
@@ -83,16 +83,19 @@ def dual_search(q: np.ndarray, qids: np.ndarray, floors: np.ndarray, d: np.ndarr
                 turn += 1
             continue
         scores = products(q[a.rows], d[b.rows])
-        for i, row in zip(a.rows, scores, strict=True):
-            for j in np.flatnonzero(row >= kth[i]):
-                if dids[b.rows[j]] != qids[i]:
-                    item = (int(row[j]), -int(dids[b.rows[j]]))
-                    if len(best[i]) < k:
-                        heapq.heappush(best[i], item)
-                    elif item > best[i][0]:
-                        heapq.heapreplace(best[i], item)
-                    if len(best[i]) == k:
-                        kth[i] = max(kth[i], best[i][0][0])
+        ids = dids[b.rows]
+        # What can enter a query's best: its k highest here, ties included, if they reach what it has.
+        enough = np.maximum(np.partition(scores, -k - 1, axis=1)[:, -k - 1], kth[a.rows]) if scores.shape[1] > k else kth[a.rows]
+        for r, j in zip(*np.nonzero(scores >= enough[:, None]), strict=True):
+            i = a.rows[r]
+            if ids[j] != qids[i]:
+                item = (int(scores[r, j]), -int(ids[j]))
+                if len(best[i]) < k:
+                    heapq.heappush(best[i], item)
+                elif item > best[i][0]:
+                    heapq.heapreplace(best[i], item)
+                if len(best[i]) == k:
+                    kth[i] = max(kth[i], best[i][0][0])
     return [(int(qids[i]), -minus, score) for i, found in enumerate(best) for score, minus in found]
 
 
