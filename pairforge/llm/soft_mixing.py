@@ -2,10 +2,10 @@
 
 1. A naive Bayes classifier of hashed words is fitted on documents that the labels table covers, PER_DOMAIN of each domain
    at most (the documented bound). A document counts as EVIDENCE words at most, so posteriors stay soft.
-2. For documents d with t_d words and posteriors p_d, the rates r_d >= least minimise |sum t_d r_d p_d - target|^2 in the
-   metric M = (sum t_d p_d p_d')^-1 by projected gradient from r = 1: y = M (sum t_d r_d p_d - target), then
-   r_d = max(least, r_d - p_d . y). Each step is one aggregate of K sums over the table of (t_d, p_d); the steps y so far are K numbers each,
-   and a rate is a function of them and p_d, so nothing is joined back and no lineage grows.
+2. For documents d with t_d words and posteriors p_d, the rates r_d >= least minimise |sum t_d r_d p_d - target|; of those that do, the rates nearest to 1 (sum t_d (r_d - 1)^2). These are
+   r_d = max(least, 1 - p_d . y) for K multipliers y, which Newton's method finds: a step solves (S + ridge) step = gradient, S = sum t_d p_d p_d' over the
+   documents above least, and is halved until the convex dual falls. A pass is one aggregate of K sums over the table of (t_d, p_d), so nothing is joined back
+   and no lineage grows. It ends when the target is met to CLOSE, or when no step lowers the dual; what is left of the target is returned, and logged if over CLOSE.
 3. A document is repeated floor(r_d + u) times, u in [0, 1) hashed from its id.
 
 Defined cases: null and empty texts have no words, the prior as posteriors, and weigh nothing; without labelled documents posteriors are
@@ -14,7 +14,8 @@ uniform; null ids hash alike; repeated rows get equal rates; an empty table, or
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import logging
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +29,7 @@ from pairforge.llm.words import Buckets, bucketed, words
 from pairforge.plans.scratch import Scratch
 
 BUCKETS, PER_DOMAIN, EVIDENCE, STEPS, CLOSE = 1 << 15, 500, 30, 40, 1e-4
+RIDGE = 1e-6
 WEIGHTS = {"en": 0.40, "de": 0.22, "fr": 0.22, "es": 0.16}
 
 
@@ -67,9 +69,9 @@ def fit_membership(docs: DataFrame, labels: DataFrame, domains: list[str], domai
     counts = np.full((BUCKETS, len(domains)), 0.1)
     seen = np.ones(len(domains))
     for r in sample.mapInArrow(_ids, "domain string, ids binary").collect():
-        k = domains.index(r.domain)
-        counts[:, k] += np.bincount(np.frombuffer(r.ids, np.int32), minlength=BUCKETS)
-        seen[k] += 1
+        counts[:, domains.index(r.domain)] += np.bincount(np.frombuffer(r.ids, np.int32), minlength=BUCKETS)
+    for r in known.groupBy("domain").count().collect():  # all labelled documents; only the words are learned from a sample
+        seen[domains.index(r["domain"])] += r["count"]
     return Membership(domains, seen / seen.sum(), np.log(counts / counts.sum(0)))
 
 
@@ -99,7 +101,7 @@ def rate(posteriors: Column, steps: list[np.ndarray], least: float) -> Column:
 
 
 def fit_rates(table: DataFrame, weights: np.ndarray, least: float = 0.0, cover: bool = False) -> list[np.ndarray]:
-    """The steps for table(tokens, posteriors). cover: the total is raised until no domain has to shrink; else it stays."""
+    """The first STEPS steps of plain projected gradient, whether or not they meet the target; mix uses solve_rates. cover: the total is raised until no domain has to shrink; else it stays."""
     k = len(weights)
     p = [F.col("posteriors")[i] for i in range(k)]
     sums = table.agg(*[F.sum(F.col("tokens") * p[i]).alias(f"s{i}") for i in range(k)], *[F.sum(F.col("tokens") * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]).first()
@@ -120,17 +122,88 @@ def fit_rates(table: DataFrame, weights: np.ndarray, least: float = 0.0, cover:
     return steps
 
 
+@dataclass
+class Fit:
+    steps: list[np.ndarray]  # for rate(): the multipliers, or none if all rates are 1
+    residual: float  # |tokens by domain - target| / |target|
+    passes: int
+
+
+def solve_rates(table: DataFrame, weights: np.ndarray, least: float = 0.0, cover: bool = False) -> Fit:
+    """The multipliers for table(tokens, posteriors). cover: as in fit_rates."""
+    k = len(weights)
+    p = [F.col("posteriors")[i] for i in range(k)]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def sums(y: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray, float]:
+        """Tokens by domain, S over the documents not below floor, and the documents' part of the dual."""
+        u = F.lit(1.0)
+        for i in range(k):
+            u = u - p[i] * F.lit(float(y[i]))
+        rows = table.select("tokens", "posteriors", u.alias("u")).withColumn("r", F.greatest(F.lit(float(floor)), F.col("u")))
+        t, u, r = F.col("tokens"), F.col("u"), F.col("r")
+        free = F.when(u >= F.lit(float(floor)), t).otherwise(0)
+        parts = [t * r * p[i] for i in range(k)] + [free * p[i] * p[j] for i, j in pairs] + [t * (r * u - r * r / 2)]
+        got = np.array([v or 0.0 for v in rows.agg(*[F.sum(x).alias(f"_{i}") for i, x in enumerate(parts)]).first()])
+        s = np.zeros((k, k))
+        for (i, j), v in zip(pairs, got[k:-1], strict=True):
+            s[i, j] = s[j, i] = v
+        return got[:k], s, got[-1]
+
+    return newton(sums, weights, least, cover)
+
+
+def newton(sums: Callable, weights: np.ndarray, least: float, cover: bool) -> Fit:
+    """solve_rates on sums(y, floor)."""
+    now, whole, _ = sums(np.zeros(len(weights)), -np.inf)
+    ridge = RIDGE * np.trace(whole) / len(weights)
+    if now.sum() <= 0:
+        return Fit([], 0.0, 1)
+    target = weights * ((now / weights).max() if cover else now.sum())
+    goal = CLOSE * np.linalg.norm(target)
+    y = centre = np.zeros(len(weights))
+    now, free, part = sums(y, least)
+    passes, best = 2, np.inf
+    # RIDGE keeps a step bounded where few documents are above least, and keeps the tokens ridge (y - centre) off the
+    # target; the centre follows y until that is nothing, or, if no rates meet the target, until they come no closer.
+    while (left := np.linalg.norm(now - target)) > goal:
+        slope = target - now + ridge * (y - centre)
+        dual = part + target @ y + ridge / 2 * (y - centre) @ (y - centre)
+        step = -np.linalg.solve(free + ridge * np.eye(len(y)), slope)
+        fall, share, found = -slope @ step, 1.0, None
+        while np.linalg.norm(slope) > goal / 10 and fall * share > 1e-13 * abs(dual) and found is None:
+            z = y + share * step
+            found = sums(z, least)
+            passes += 1
+            if found[2] + target @ z + ridge / 2 * (z - centre) @ (z - centre) > dual - 1e-4 * share * fall:
+                found, share = None, share / 2
+        if found is not None:
+            y, (now, free, part) = z, found
+        elif left < 0.9 * best:
+            best, centre = left, y
+        else:
+            break
+    return Fit([y] if y.any() or least > 1 else [], float(left / np.linalg.norm(target)), passes)
+
+
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], least: float = 0.0, cover: bool = False) -> DataFrame:
     """docs with tokens, posteriors and rate added, or replaced."""
+    return mix_with_fit(docs, labels, weights, least, cover)[0]
+
+
+def mix_with_fit(docs: DataFrame, labels: DataFrame, weights: dict[str, float], least: float = 0.0, cover: bool = False) -> tuple[DataFrame, Fit]:
+    """What mix returns, and how far the expected tokens are from the target."""
     docs = docs.drop("tokens", "posteriors", "rate")
     domains = list(weights)
     w = np.array([weights[d] for d in domains]) / sum(weights.values())
     model = fit_membership(docs, labels, domains)
     scratch = Scratch(docs.sparkSession)
     small = scratch.keep(with_membership(docs.select("text"), model).select("tokens", "posteriors"))
-    steps = fit_rates(small, w, least, cover)
+    fit = solve_rates(small, w, least, cover)
     scratch.forget(small)
-    return with_membership(docs, model).withColumn("rate", rate(F.col("posteriors"), steps, least))
+    if fit.residual > CLOSE:
+        logging.getLogger(__name__).warning("no rates of %s or more meet the target: residual %.2g after %d passes", least, fit.residual, fit.passes)
+    return with_membership(docs, model).withColumn("rate", rate(F.col("posteriors"), fit.steps, least)), fit
 
 
 def repeated(mixed: DataFrame) -> DataFrame:

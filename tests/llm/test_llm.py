@@ -327,6 +327,38 @@ def test_rates_by_projected_gradient_equal_a_plain_loop(spark):
     assert len(steps) > 1 and np.linalg.norm((p * (t * r)[:, None]).sum(0) - target) < 0.02 * np.linalg.norm(target)
 
 
+def test_mixing_meets_a_target_far_from_the_corpus(spark):
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([0.5] * 3, 2000) * 0.1 + np.eye(3)[rng.choice(3, 2000, p=[0.9, 0.05, 0.05])] * 0.9
+    t, w = rng.integers(1, 500, 2000), np.array([0.02, 0.49, 0.49])
+    table = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, p, strict=True)], "tokens long, posteriors array<double>")
+    fit = soft_mixing.solve_rates(table, w)
+    r = np.array([x[0] for x in table.select(soft_mixing.rate(F.col("posteriors"), fit.steps, 0.0)).collect()])
+    off = np.linalg.norm((p * (t * r)[:, None]).sum(0) / t.sum() - w) / np.linalg.norm(w)
+    assert off <= soft_mixing.CLOSE and np.isclose(off, fit.residual, atol=1e-8) and fit.passes < soft_mixing.STEPS and r.min() >= 0
+    # No domain falls below 0.03, so a target of 0.001 can't be met: that is said, and the result is no farther off than rates of 1.
+    p = 0.9 * p + 0.1 / 3
+    table = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, p, strict=True)], "tokens long, posteriors array<double>")
+    w = np.array([0.001, 0.4995, 0.4995])
+    start = np.linalg.norm((p * t[:, None]).sum(0) / t.sum() - w) / np.linalg.norm(w)
+    assert soft_mixing.CLOSE < soft_mixing.solve_rates(table, w).residual < start
+
+
+def test_mix_meets_targets_of_a_skewed_corpus(spark):
+    rng = np.random.default_rng(5)
+    words = {"en": "the and of with", "de": "der und von mit", "fr": "le et de avec"}
+    kinds = rng.choice(["en", "de", "fr"], 600, p=[0.9, 0.06, 0.04])
+    texts = [" ".join(rng.choice(words[k if x < 0.7 else "en"].split()) for x in rng.random(30) ** z) for k, z in zip(kinds, rng.uniform(0.2, 1, 600), strict=True)]
+    docs = spark.createDataFrame([(i, x, k, "s", 0) for i, (x, k) in enumerate(zip(texts, kinds.tolist(), strict=True))], DOCS)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    weights = {"en": 0.02, "de": 0.49, "fr": 0.49}
+    got, w = soft_mixing.mix(docs, labels, weights).toPandas(), np.array(list(weights.values()))
+    tokens = (np.array(got.posteriors.tolist()) * (got.tokens * got.rate).to_numpy()[:, None]).sum(0)
+    assert np.linalg.norm(tokens / got.tokens.sum() - w) <= soft_mixing.CLOSE * np.linalg.norm(w)
+    model = soft_mixing.fit_membership(docs, labels, list(weights), per_domain=10)
+    assert np.allclose(model.prior, (np.array([(kinds == k).sum() for k in weights]) + 1) / 603)
+
+
 def test_mixing_on_odd_rows(spark):
     labels = spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int")
     out = soft_mixing.mix(odd(spark), labels, soft_mixing.WEIGHTS).collect()
