@@ -5,7 +5,7 @@ token count, then the first DEPTH tokens. Within a leaf, a position's token is c
 of the leaf's weight, else the position is <*>; a line whose tokens agree with the leaf's
 constants at SIMILAR or more of all positions takes the leaf's template, any other is a template of its own.
 A line weighs as many different texts as hold it. Templates in MIN_TEXTS or more different texts are dropped
-from every document. Copies of one text count once, so a copied document does not lose its lines for being copied.
+from every document, and so are templates of LONG_WORDS or more tokens in LONG_TEXTS or more. Copies of one text count once, so a copied document does not lose its lines for being copied.
 
 Defined cases: null texts stay null with no lines; blank lines are kept and never counted as templates; repeated rows are
 treated alike; ids may be null or repeat, as documents are told apart by their texts; an empty table gives an empty result.
@@ -21,6 +21,7 @@ from pairforge.plans.joins import salted_join
 from pairforge.plans.scratch import Scratch
 
 DEPTH, SIMILAR, MIN_TEXTS = 3, 0.7, 10
+LONG_WORDS, LONG_TEXTS = 20, 2
 
 
 def masked(line: Column) -> Column:
@@ -29,20 +30,27 @@ def masked(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, text: str) -> DataFrame:
-    """(copy: the text's hash, masked, leaf); blank lines are left out."""
+    """(copy: the text's hash, masked, leaf, k: the token count); blank lines are left out."""
     lines = docs.select(F.xxhash64(text).alias("copy"), F.explode(F.split(text, "\n")).alias("line"))
     lines = lines.select("copy", masked(F.col("line")).alias("masked")).where("masked != ''")
     tokens = F.split("masked", " ")
-    return lines.select("copy", "masked", F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH)).alias("leaf"))
+    return lines.select("copy", "masked", F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH)).alias("leaf"), F.size(tokens).alias("k"))
 
 
-def recurring(docs: DataFrame, scratch: Scratch, text: str = "text", min_texts: int = MIN_TEXTS) -> DataFrame:
-    """(masked, template, n_texts): every masked line whose template recurs."""
+def _bar(k: Column, min_texts: int, long_words: int | None) -> Column:
+    """How many different texts a template of k tokens has to recur in."""
+    if long_words is None:
+        return F.lit(min_texts)
+    return F.when(k >= long_words, min(LONG_TEXTS, min_texts)).otherwise(min_texts)
+
+
+def recurring(docs: DataFrame, scratch: Scratch, text: str = "text", min_texts: int = MIN_TEXTS, long_words: int | None = LONG_WORDS) -> DataFrame:
+    """(masked, template, n_texts): every masked line whose template recurs. long_words None: one bar for all lengths."""
     lines = _lines(docs, text)
-    # Only hashes travel here. A leaf that all its lines together leave short of min_texts is out.
-    weights = lines.select("leaf", F.xxhash64("masked").alias("m"), "copy").distinct().groupBy("leaf").agg(F.count("*").alias("n"))
-    leaves = scratch.keep(weights.where(F.col("n") >= min_texts).select("leaf"))
-    near = scratch.keep(salted_join(lines, leaves, ["leaf"]).distinct())
+    # Only hashes travel here. A leaf that all its lines together leave short of its bar is out.
+    weights = lines.select("leaf", "k", F.xxhash64("masked").alias("m"), "copy").distinct().groupBy("leaf").agg(F.count("*").alias("n"), F.max("k").alias("k"))
+    leaves = scratch.keep(weights.where(F.col("n") >= _bar(F.col("k"), min_texts, long_words)).select("leaf"))
+    near = scratch.keep(salted_join(lines.drop("k"), leaves, ["leaf"]).distinct())
     own = scratch.keep(near.groupBy("leaf", "masked").agg(F.count("*").alias("n")))
     votes = own.select("leaf", "n", F.posexplode(F.split("masked", " ")).alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n"))
     best = votes.groupBy("leaf", "pos").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
@@ -51,24 +59,25 @@ def recurring(docs: DataFrame, scratch: Scratch, text: str = "text", min_texts:
     shape = shape.select("leaf", F.transform("shape", lambda x: x["token"]).alias("shape"))
     same = F.size(F.filter(F.zip_with(F.split("masked", " "), "shape", lambda a, b: a == b), lambda x: x))
     fits = same >= F.lit(SIMILAR) * F.size("shape")
-    named = salted_join(own, shape, ["leaf"]).select("leaf", "masked", "n", F.when(fits, F.concat_ws(" ", "shape")).otherwise(F.col("masked")).alias("template"))
+    named = salted_join(own, shape, ["leaf"]).select("leaf", "masked", "n", F.when(fits, F.concat_ws(" ", "shape")).otherwise(F.col("masked")).alias("template"), _bar(F.size("shape"), min_texts, long_words).alias("bar"))
     named = scratch.keep(named)
     # A text may hold several lines of one template; it counts once.
-    bound = named.groupBy("leaf", "template").agg(F.sum("n").alias("most"), F.count("*").alias("kinds")).where(F.col("most") >= min_texts)
-    merged = bound.where("kinds > 1").select("leaf", "template")
-    of_line = named.join(merged, ["leaf", "template"]).select("leaf", "masked", "template")
+    bound = named.groupBy("leaf", "template").agg(F.sum("n").alias("most"), F.count("*").alias("kinds"), F.max("bar").alias("bar")).where("most >= bar")
+    merged = bound.where("kinds > 1").select("leaf", "template", "bar")
+    of_line = named.join(merged.drop("bar"), ["leaf", "template"]).select("leaf", "masked", "template")
     exact = salted_join(near, of_line, ["leaf", "masked"]).select("leaf", "template", "copy").distinct().groupBy("leaf", "template").agg(F.count("*").alias("n_texts"))
     single = bound.where("kinds = 1").select("leaf", "template", F.col("most").alias("n_texts"))
-    found = single.unionByName(exact).where(F.col("n_texts") >= min_texts)
+    exact = exact.join(merged, ["leaf", "template"]).where("n_texts >= bar").drop("bar")
+    found = single.unionByName(exact)
     return scratch.keep(salted_join(named, found, ["leaf", "template"]).select("masked", "template", "n_texts"))
 
 
-def drop_templates(docs: DataFrame, text: str = "text", min_texts: int = MIN_TEXTS) -> DataFrame:
+def drop_templates(docs: DataFrame, text: str = "text", min_texts: int = MIN_TEXTS, long_words: int | None = LONG_WORDS) -> DataFrame:
     """docs with the recurring lines cut out of text; adds, or replaces, n_lines and n_dropped (long)."""
     docs = docs.drop("n_lines", "n_dropped", "copy", "_dropped")
     scratch = Scratch(docs.sparkSession)
     # Lines meet the recurring ones by hash: a line's text does not travel. What is dropped grows with the corpus, so no broadcast.
-    bad = recurring(docs, scratch, text, min_texts).select(F.xxhash64("masked").alias("m")).distinct()
+    bad = recurring(docs, scratch, text, min_texts, long_words).select(F.xxhash64("masked").alias("m")).distinct()
     lines = docs.select(F.xxhash64(text).alias("copy"), F.posexplode(F.split(text, "\n")).alias("pos", "line")).select("copy", "pos", masked(F.col("line")).alias("masked"))
     lines = lines.where("masked != ''").select("copy", "pos", F.xxhash64("masked").alias("m"))
     hit = scratch.keep(salted_join(lines, bad, ["m"], hint="merge").select("copy", "pos").distinct())
@@ -86,10 +95,16 @@ def drop_templates(docs: DataFrame, text: str = "text", min_texts: int = MIN_TEX
 
 
 def op3_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With one bar for all lengths, as its SQL states; op3_template_tree_whole has the lower bar for long lines too."""
+    return drop_templates(table(spark, sf_dir, "documents").select("doc_id", "text"), long_words=None)
+
+
+def op3_template_tree_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_templates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def sql() -> str:
+def sql(long_words: int | None = None) -> str:
+    bar = MIN_TEXTS if long_words is None else f"CASE WHEN named.k >= {long_words} THEN {min(LONG_TEXTS, MIN_TEXTS)} ELSE {MIN_TEXTS} END"
     return f"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
 l0 AS (SELECT doc_id, text, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM d),
@@ -101,7 +116,7 @@ b AS (SELECT k, lead, pos, CASE WHEN 2 * max(n) > sum(n) THEN arg_max(token, n)
 shape AS (SELECT k, lead, list(token ORDER BY pos) AS shape FROM b GROUP BY ALL),
 named AS (SELECT own.masked, own.k, own.lead, CASE WHEN list_sum([CASE WHEN own.toks[i] = shape.shape[i] THEN 1 ELSE 0 END FOR i IN range(1, own.k + 1)]) >= {SIMILAR} * own.k
   THEN array_to_string(shape.shape, ' ') ELSE own.masked END AS template FROM own JOIN shape ON own.k = shape.k AND own.lead = shape.lead),
-t AS (SELECT named.k, named.lead, template FROM named JOIN l ON l.masked = named.masked GROUP BY ALL HAVING count(DISTINCT text) >= {MIN_TEXTS}),
+t AS (SELECT named.k, named.lead, template FROM named JOIN l ON l.masked = named.masked GROUP BY ALL HAVING count(DISTINCT text) >= {bar}),
 bad AS (SELECT DISTINCT masked FROM named JOIN t ON named.k = t.k AND named.lead = t.lead AND named.template = t.template),
 c AS (SELECT DISTINCT text, pos FROM l WHERE masked IN (SELECT masked FROM bad)),
 g AS (SELECT text, list(pos) AS gone FROM c GROUP BY text)

@@ -152,6 +152,15 @@ def test_line_templates(spark):
     assert line_templates.drop_templates(empty(spark)).count() == 0
 
 
+def test_long_lines_of_few_texts_are_dropped(spark):
+    passage, short = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(50)), "a short line of seven words only"
+    for n in (1, 2, 9):
+        rows = [(i, f"{chr(97 + i) * 3} opens\n{passage}\n{short}\n{chr(97 + i) * 4} closes") for i in range(n)]
+        got = {r.doc_id: r for r in line_templates.drop_templates(documents(spark, rows)).collect()}
+        for i, text in rows:
+            assert got[i].text == (text if n == 1 else text.replace(passage + "\n", "")) and got[i].n_dropped == (n > 1)
+
+
 # 4: sharding
 
 
