@@ -14,17 +14,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm.licenses import EQUIVALENT, KNOWN
+from pairforge.llm.licenses import EQUIVALENT, KNOWN, more_whole_texts
 from pairforge.llm.tables import table
 from pairforge.plans.joins import salted_join
 from pairforge.plans.scratch import Scratch
 
 COPYRIGHT = "copyright (?:\\(c\\)|[0-9]{4})|\\(c\\) [0-9]{4}|all rights reserved"
+#: Lines that begin with the word or the sign and go on to a year or a name; the SQL does not state these. A licence's own lines may be
+#: broken before "copyright notice" or "copyright holders", and (c) may number a clause, so these words, and (c) without a year, are no names.
+NO_NAME = "notices?|holders?|owners?|laws?|licen[cs]e[sd]?|and|or|in|of|is|are|on|to|as|a(?!\\.)|an|any|this|that|which|if|be|it|for|from|with|under|shall|may|must|will|has|interests?|statements?|protection|acts?|treaty|treaties|disclaimers?|information|permissions?|claims?|grants?|infringements?|status|material|works?|line|page|year"
+HOLDER = f"^[^\\p{{L}}\\p{{N}}(©]*(?:(?:copyright|©)(?:[\\s:,]|\\(c\\)|©)*(?:[0-9]{{4}}|(?!(?:{NO_NAME})\\b)\\p{{L}})|\\(c\\).*\\b[0-9]{{4}}\\b)"
 
 
 def _line(line: Column) -> Column:
     """A lower-case line without other signs than letters and digits; nothing of a copyright line."""
-    return F.when(line.rlike(COPYRIGHT), "").otherwise(F.trim(F.regexp_replace(line, "[^\\p{L}\\p{N}]+", " ")))
+    return F.when(line.rlike(COPYRIGHT) | (line.rlike("copyright|©|\\(c\\)") & line.rlike(HOLDER)), "").otherwise(F.trim(F.regexp_replace(line, "[^\\p{L}\\p{N}]+", " ")))
 
 
 def _rule(found: str, put: str):
@@ -48,9 +52,9 @@ def canonical(lines: Column) -> Column:
     return _respelt(F.concat_ws(" ", F.filter(lines, lambda x: x != "")))
 
 
-def known_table(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
+def known_table(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, line_key, license_id), one row a canonical text; line_key is null for texts of several lines."""
-    rows = spark.createDataFrame(known, "license_id string, text string").select("license_id", canonical(canonical_lines(F.col("text"))).alias("c"))
+    rows = spark.createDataFrame(known if known is not None else KNOWN + more_whole_texts(), "license_id string, text string").select("license_id", canonical(canonical_lines(F.col("text"))).alias("c"))
     rows = rows.where("c != ''").groupBy("c").agg(F.min("license_id").alias("license_id"))
     return rows.select(F.unhex(F.sha2("c", 256)).alias("digest"), F.xxhash64("c").alias("line_key"), "license_id")
 

@@ -301,6 +301,20 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(empty(spark), known).count() == 0
 
 
+def test_copyright_heads_and_whole_texts(spark):
+    from pairforge.llm.licenses import KNOWN, more_whole_texts
+
+    mit = KNOWN[1][1]
+    heads = ["Copyright © 2021 A. B.", "© 2021 A. B.", "Copyright A. B., 2021", "# Copyright: The Authors", "(c) A. B., 2021"]
+    rows = [(i, h + "\n\n" + mit) for i, h in enumerate(heads)]
+    broken = mit.replace("above copyright", "above\ncopyright").replace("OR COPYRIGHT", "OR\nCOPYRIGHT")
+    rows += [(10, broken), (11, mit.replace(" copyright notice and", "\n"))]
+    rows += [(100 + i, t) for i, (_, t) in enumerate(more_whole_texts())]
+    got = {r.doc_id: r.license_id for r in license_scan.scan_licenses(documents(spark, rows), license_scan.known_table(spark)).collect()}
+    assert {got[i] for i in range(len(heads))} == {"MIT"} and got[10] == "MIT" and got[11] is None
+    assert [got[100 + i] for i in range(len(more_whole_texts()))] == [i for i, _ in more_whole_texts()]
+
+
 # 8: mixing
 
 
