@@ -16,7 +16,10 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
     """
     others = [F.col(c) for c in left.columns if c not in on] or [F.monotonically_increasing_id()]
     salt = F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int")
-    a = left.withColumn("_salt", salt)
-    b = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    name = "_salt"
+    while name.lower() in {c.lower() for c in [*left.columns, *right.columns]}:
+        name = "_" + name
+    a = left.withColumn(name, salt)
+    b = right.withColumn(name, F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     b = b.hint(hint) if hint else b
-    return a.join(b, [*on, "_salt"], how).drop("_salt")
+    return a.join(b, [*on, name], how).drop(name)

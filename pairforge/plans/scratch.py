@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,14 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where it is unset (local tests)."""
+    """The folder named by spark.checkpoint.dir. Only a session of one machine may go without: it gets a temporary folder, removed at exit."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='pairforge-')}"
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="pairforge-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        found = f"file://{path}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_made: list[Scratch] = []
+
+
+def clear_scratch() -> None:
+    """Delete the tables of all jobs so far; for the end of a session, before spark.stop()."""
+    while _made:
+        _made.pop().clear()
+
+
 class Scratch:
     """Parquet tables under one folder of a job. A lost executor costs a reread, not a recomputation."""
 
@@ -25,7 +40,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/pairforge-{uuid.uuid4().hex}"
         self.n = 0
-        atexit.register(self.clear)
+        _made.append(self)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write df, then read it back."""
@@ -49,3 +64,6 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+atexit.register(clear_scratch)

@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from pairforge.plans.scratch import clear_scratch
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -15,4 +17,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch()
     session.stop()
