@@ -11,7 +11,8 @@ nodes of the bucket's other components in blocks of bounded size, where counts o
 above, rule most pairs out; only the plausible ones become rows. No link between nodes of different components goes unverified. Similarity is exact, on full sets.
 
 Defined cases: a text without words, or null, has an empty set and is its own component; repeated rows are linked; rows without an id
-have the component of their text's documents, null if none has an id, and are not kept; an empty table gives an empty result.
+are linked like others, have the least id of their component, null if it has none, and are not kept; very long texts are read whole, and
+count exactly up to 2^32 elements in a sketch's cell; other columns of docs do not matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm.tables import table
+from pairforge.llm.tables import table, unused
+from pairforge.llm.words import hashed
 from pairforge.operators.components import connected_components
 from pairforge.operators.neighbors import block_pairs
 from pairforge.plans.joins import salted_join
@@ -35,15 +37,7 @@ WORDS, COORDINATES, ROWS, SMALL, PLACES = 5, 128, 4, 12, 256
 BANDS = COORDINATES // ROWS
 PERCENT = 75
 #: Up to so many ids a join sends them to all tasks (16 MB); beyond, both sides are shuffled.
-BROADCAST_IDS = 500_000
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 2_000_000:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
+BROADCAST_IDS = 200_000
 
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -55,13 +49,13 @@ def _mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingles(words: list[bytes], hashes: _Hashes) -> np.ndarray:
+def shingles(words: list[bytes]) -> np.ndarray:
     """The set of a text: distinct 64-bit hashes, sorted."""
     if not words:
         return np.empty(0, np.uint64)
     if len(words) < WORDS:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    h = hashed(words)
     n = len(h) - WORDS + 1
     total = np.zeros(n, np.uint64)
     for i in range(WORDS):
@@ -110,12 +104,11 @@ def _node(words: list[bytes]) -> bytes:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _Hashes()
     for batch in batches:
         sizes, nodes, keys = [], [], []
         for text in batch.column("text").cast(pa.binary()).to_pylist():
             words = _cut(text)
-            elements = shingles(words, hashes)
+            elements = shingles(words)
             sizes.append(len(elements))
             nodes.append(_node(words) if words else None)
             keys.append(bands(elements) if words else None)
@@ -123,7 +116,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = np.concatenate([[0], np.cumsum([BANDS if k is not None else 0 for k in keys])])
         yield pa.record_batch(
             {
-                "doc_id": batch.column("doc_id"),
+                **{c: batch.column(c) for c in batch.schema.names if c != "text"},
                 "n": pa.array(sizes, pa.int64()),
                 "node": pa.array(nodes, pa.binary()),
                 "keys": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values)),
@@ -133,16 +126,15 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, elements, sketch) of the rows whose text is the node's."""
-    hashes = _Hashes()
     for batch in batches:
         nodes, sets, sketches = [], [], []
         for node, text in zip(batch.column("node").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
             words = _cut(text)
             if words and _node(words) == node:
                 nodes.append(node)
-                elements = shingles(words, hashes)
+                elements = shingles(words)
                 sets.append(elements.view(np.int64))
-                sketches.append(np.bincount((elements >> np.uint64(40)).astype(np.int64) % PLACES, minlength=PLACES).astype(np.uint16).tobytes())
+                sketches.append(np.bincount((elements >> np.uint64(40)).astype(np.int64) % PLACES, minlength=PLACES).astype(np.uint32).tobytes())
         offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
         values = np.concatenate(sets) if sets else np.empty(0, np.int64)
         yield pa.record_batch({"node": pa.array(nodes, pa.binary()), "elements": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values)), "sketch": pa.array(sketches, pa.binary())})
@@ -171,7 +163,7 @@ def _sketch_pairs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     names = ["a", "b"]
     if not len(left) or not len(right):
         return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
-    x, y = (np.stack([np.frombuffer(v, np.uint16) for v in side.sketch]) for side in (left, right))
+    x, y = (np.stack([np.frombuffer(v, np.uint32) for v in side.sketch]) for side in (left, right))
     n, comp, node = right.n.to_numpy(), right.comp.to_numpy(), right.iso_id.to_numpy()
     out: list[tuple[bytes, bytes]] = []
     for own, size, c, i in zip(x, left.n, left.comp, left.iso_id, strict=True):
@@ -209,44 +201,67 @@ def links(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """docs(doc_id, text) join wanted(doc_id, node); wanted goes to all tasks while it is small."""
+    """docs(rid, text) join wanted(rid, node); wanted goes to all tasks while it is small."""
     small = wanted.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(wanted) if small else wanted.hint("merge"), "doc_id").select("node", "text")
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept, one row a document."""
-    scratch = Scratch(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    sketches = scratch.keep(docs.mapInArrow(_sketch, "doc_id long, n long, node binary, keys array<long>"))
-    nodes = scratch.keep(sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("n").alias("n"), F.first("keys").alias("keys")))
-    buckets = nodes.where("first_id is not null").select("node", "n", F.explode("keys").alias("key"))
+    return docs.select("rid", "text").join(F.broadcast(wanted) if small else wanted.hint("merge"), "rid").select("node", "text")
+
+
+def _judged(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """docs(doc_id, text, ...) -> (rows without their text, with n and node; nodes with the label and the least id of their component)."""
+    # A text is found again by a document's id, or, where it has none, by its hash; its words decide whether it is the one.
+    docs = docs.withColumn("rid", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    fields = ", ".join(f"{c} {t}" for c, t in docs.dtypes if c != "text")
+    rows = scratch.keep(docs.mapInArrow(_sketch, f"{fields}, n long, node binary, keys array<long>"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first_id"), F.min("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = scratch.keep(nodes)
+    buckets = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     members = scratch.keep(salted_join(buckets, scratch.keep(shared), ["key"]))
-    wanted = members.select("node").distinct().join(nodes.select("node", "first_id"), "node").select(F.col("first_id").alias("doc_id"), "node")
+    wanted = members.select("node").distinct().join(nodes.select("node", "rid"), "node").select("rid", "node")
     # Repeated rows of an id give one set.
     sets = scratch.keep(_texts_of(docs, scratch.keep(wanted)).mapInArrow(_full_sets, "node binary, elements array<long>, sketch binary").groupBy("node").agg(F.first("elements").alias("elements"), F.first("sketch").alias("sketch")))
     joined = connected_components(links(members, sets, scratch), scratch)
     ids = joined.join(nodes.select("node", "first_id"), "node")
     least = ids.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    grouped = salted_join(joined, least, ["component"]).select("node", "component_id")
-    of_node = scratch.keep(nodes.select("node", "first_id").join(grouped, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id")))
-    out = salted_join(sketches.select("doc_id", "n", "node"), of_node, ["node"], "left")
+    grouped = salted_join(joined, least, ["component"]).select("node", "component", "component_id")
+    of_node = nodes.select("node", "first_id").join(grouped, "node", "left")
+    # A component of rows without ids has none either.
+    alone = F.col("component").isNull()
+    of_node = of_node.select("node", F.coalesce("component", "node").alias("label"), F.when(alone, F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return rows.drop("keys", "rid"), scratch.keep(of_node)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept, one row a document."""
+    rows, of_node = _judged(docs.select("doc_id", "text"), Scratch(docs.sparkSession))
+    out = salted_join(rows, of_node.drop("label"), ["node"], "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group: the one with the least id. Rows without an id stay."""
+    """docs with one row of each component: the one with the least id, rows without an id last; of several texts of that id the one
+    with the least digest, of equal rows one. Ids may repeat: rows are told apart by id and text. Rows without words all stay."""
     scratch = Scratch(docs.sparkSession)
-    judged = scratch.keep(near_duplicates(docs).select("doc_id", "kept"))
-    gone = judged.where("not kept and doc_id is not null").select("doc_id").distinct()
-    small = gone.count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(gone) if small else gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
-    if judged.where("kept").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    (row,) = unused(docs, "row")
+    key = F.unhex(F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.coalesce("text", F.lit("")))))
+    rows, of_node = _judged(docs.select("doc_id", "text", key.alias("row")), scratch)
+    labelled = scratch.keep(salted_join(rows.where("node is not null").select("doc_id", "row", "node"), of_node.select("node", "label"), ["node"]))
+    winners = labelled.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("w"))
+    winners = scratch.keep(winners.select(F.col("w.row").alias("row")))
+    counted = scratch.keep(labelled.groupBy("row").agg(F.count("*").alias("c")))
+    gone = scratch.keep(counted.select("row").join(winners, "row", "left_anti").withColumnRenamed("row", row))
+    again = scratch.keep(counted.where("c > 1").join(winners, "row", "left_semi").select(F.col("row").alias(row)))
+
+    def listed(x: DataFrame) -> DataFrame:
+        return F.broadcast(x) if x.count() <= BROADCAST_IDS else x.hint("merge")
+
+    left = docs.withColumn(row, key).join(listed(gone), row, "left_anti")
+    if again.isEmpty():
+        return left.select(docs.columns)
+    one = left.join(listed(again), row, "left_semi").groupBy(row).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("of"))
+    return left.join(listed(again), row, "left_anti").select(docs.columns).unionByName(one.select("of.*"))
 
 
 def op2_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ unchanged in any passage within the budget; an Aho-Corasick automaton finds all
 one run, and Myers' bit-parallel distance is computed over the stretch that each group of hits allows. The benchmark is sent to the tasks in parts
 of at most PART_CHARS characters; a larger one costs more passes, not more memory.
 
-Defined cases: null and empty texts match nothing; items with fewer than LEAST_CHARS characters are left out (they would match common phrases);
+Defined cases: null and empty texts match nothing; items too short for an edit (fewer than 20 characters) match as whole words only, items without letters or digits match nothing;
+very long texts are read whole; other columns stay as they are;
 repeated items and documents give one row a pair of ids; an empty table gives an empty result; of several passages the least distance counts.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pairforge.llm.tables import table
 
-RATE, LEAST_CHARS, PART_CHARS = 0.05, 20, 2_000_000
+RATE, PART_CHARS = 0.05, 2_000_000
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -71,7 +72,8 @@ class Matcher:
         self.patterns = [Pattern(i, t) for i, t in items]
         found: dict[str, list[tuple[int, int]]] = {}
         for k, p in enumerate(self.patterns):
-            for offset, piece in pieces(p.text, p.budget):
+            # An item without a budget is met between word boundaries only: its one piece holds the spaces around it.
+            for offset, piece in pieces(p.text, p.budget) if p.budget else [(-1, f" {p.text} ")]:
                 found.setdefault(piece, []).append((k, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, places in found.items():
@@ -81,9 +83,9 @@ class Matcher:
     def matches(self, text: str) -> list[tuple[int, int]]:
         """(item id, distance) of all items that occur within their budget."""
         starts: dict[int, set[int]] = {}
-        for end, (length, places) in self.automaton.iter(text):
+        for end, (length, places) in self.automaton.iter(f" {text} "):
             for k, offset in places:
-                starts.setdefault(k, set()).add(end - length + 1 - offset)
+                starts.setdefault(k, set()).add(end - length - offset)
         out = []
         for k, places in starts.items():
             p, best = self.patterns[k], None
@@ -114,7 +116,7 @@ def _parts(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     for k in range(n_parts):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == k)
         rows = [(r.item_id, plain(r.text)) for r in part.collect()]  # one part, about PART_CHARS
-        yield sorted((i, t) for i, t in rows if len(t) >= LEAST_CHARS and i is not None)
+        yield sorted((i, t) for i, t in rows if t and i is not None)
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ label 1 among them (1 without labels: nothing is known against a text); repeated
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairforge.llm.tables import fold, table
-from pairforge.llm.words import Buckets, bucketed, labelled, words
+from pairforge.llm.words import bucketed, labelled, words
 
 BUCKETS, RANK, PER_CLASS, EPOCHS, BATCH, RATE, DECAY = 1 << 15, 8, 3000, 16, 256, 0.08, 1e-5
 LEAST = 0.3
 STATS = 16
+#: The end of a piece that ends in a sign, and a piece of signs only.
+_SIGN_END, _SIGNS_ONLY = re.compile(rb"[^A-Za-z0-9\x80-\xff\s](?!\S)"), re.compile(rb"(?<!\S)[^A-Za-z0-9\x80-\xff\s]+(?!\S)")
 
 
 def statistics(text: bytes, found: list[bytes], ids: np.ndarray) -> np.ndarray:
@@ -51,25 +54,24 @@ def statistics(text: bytes, found: list[bytes], ids: np.ndarray) -> np.ndarray:
             same,
             np.log1p(n) / 10,
             np.log1p(parts) / 10,
-            sum(1 for x in pieces if not x[-1:].isalnum() and x[-1] < 128) / max(1, len(pieces)),
-            sum(1 for x in pieces if not any(97 <= c <= 122 or 65 <= c <= 90 or c > 127 or 48 <= c <= 57 for c in x)) / max(1, len(pieces)),
+            len(_SIGN_END.findall(text)) / max(1, len(pieces)),
+            len(_SIGNS_ONLY.findall(text)) / max(1, len(pieces)),
         ]
     )
 
 
-def features(text: bytes | None, buckets: Buckets) -> tuple[np.ndarray, np.ndarray]:
+def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """Bucket ids with equal weights of unit norm together, then the statistics' own ids."""
     found = words(text)
-    ids = bucketed(found, buckets)
+    ids = bucketed(found, BUCKETS)
     unique = np.unique(ids)
     value = np.full(len(unique), 1 / np.sqrt(max(1, len(unique))))
     return np.concatenate([unique, np.arange(BUCKETS, BUCKETS + STATS)]), np.concatenate([value, statistics(text or b"", found, ids)])
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    buckets = Buckets(BUCKETS)
     for batch in batches:
-        made = [features(t, buckets) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        made = [features(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
         yield pa.record_batch({"doc_id": batch.column("doc_id"), "y": batch.column("y"), "ids": pa.array([i.astype(np.int32).tobytes() for i, _ in made], pa.binary()), "values": pa.array([v.tobytes() for _, v in made], pa.binary())})
 
 
@@ -145,9 +147,9 @@ def score_quality(docs: DataFrame, model: Machine | float, text: str = "text") -
     names = docs.columns
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, m = Buckets(BUCKETS), shared.value
+        m = shared.value
         for batch in batches:
-            scores = [m.score(*features(t, buckets)) for t in batch.column(text).cast(pa.binary()).to_pylist()]
+            scores = [m.score(*features(t)) for t in batch.column(text).cast(pa.binary()).to_pylist()]
             yield pa.record_batch([*batch.columns, pa.array(scores, pa.float64())], names=[*names, "score"])
 
     out = docs.mapInArrow(scored, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))

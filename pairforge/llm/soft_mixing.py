@@ -1,14 +1,15 @@
 """Mixing by soft membership: documents are repeated or thinned until expected domain tokens meet target weights.
 
 1. A naive Bayes classifier of hashed words is fitted on documents that the labels table covers, PER_DOMAIN of each domain
-   at most (the documented bound). A document counts as EVIDENCE words at most, so posteriors stay soft.
+   at most (the documented bound). The words of a text repeat each other, so n of them count as sqrt(n) at any n, and posteriors stay soft.
 2. For documents d with t_d words and posteriors p_d, the rates r_d >= least minimise |sum t_d r_d p_d - target|; of those that do, the rates nearest to 1 (sum t_d (r_d - 1)^2). These are
    r_d = max(least, 1 - p_d . y) for K multipliers y, which Newton's method finds: a step solves (S + ridge) step = gradient, S = sum t_d p_d p_d' over the
    documents above least, and is halved until the convex dual falls. A pass is one aggregate of K sums over the table of (t_d, p_d), so nothing is joined back
    and no lineage grows. It ends when the target is met to CLOSE, or when no step lowers the dual; what is left of the target is returned, and logged if over CLOSE.
 3. A document is repeated floor(r_d + u) times, u in [0, 1) hashed from its id.
 
-Defined cases: null and empty texts have no words, the prior as posteriors, and weigh nothing; without labelled documents posteriors are
+Defined cases: null and empty texts have no words, the prior as posteriors, and weigh nothing; very long texts are read whole; columns with the
+names of results are replaced, others stay; a domain with target 0 gets as little as `least` allows; without labelled documents posteriors are
 uniform; null ids hash alike; repeated rows get equal rates; an empty table, or one without words, has rate 1 everywhere.
 """
 
@@ -20,15 +21,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairforge.llm.tables import table
-from pairforge.llm.words import Buckets, bucketed, words
+from pairforge.llm.tables import table, unused
+from pairforge.llm.words import bucketed, words
 from pairforge.plans.scratch import Scratch
 
-BUCKETS, PER_DOMAIN, EVIDENCE, STEPS, CLOSE = 1 << 15, 500, 30, 40, 1e-4
+BUCKETS, PER_DOMAIN, CLOSE = 1 << 15, 500, 1e-4
 RIDGE = 1e-6
 WEIGHTS = {"en": 0.40, "de": 0.22, "fr": 0.22, "es": 0.16}
 
@@ -43,15 +45,14 @@ class Membership:
         n = len(ids)
         logit = np.log(self.prior)
         if n:
-            logit = logit + self.table[ids].sum(0) * (min(n, EVIDENCE) / n)
+            logit = logit + self.table[ids].sum(0) / np.sqrt(n)
         p = np.exp(logit - logit.max())
         return p / p.sum()
 
 
 def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    buckets = Buckets(BUCKETS)
     for batch in batches:
-        made = [bucketed(words(t), buckets).astype(np.int32).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        made = [bucketed(words(t), BUCKETS).astype(np.int32).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
         yield pa.record_batch({"domain": batch.column("domain"), "ids": pa.array(made, pa.binary())})
 
 
@@ -75,17 +76,19 @@ def fit_membership(docs: DataFrame, labels: DataFrame, domains: list[str], domai
     return Membership(domains, seen / seen.sum(), np.log(counts / counts.sum(0)))
 
 
-def with_membership(docs: DataFrame, model: Membership, text: str = "text") -> DataFrame:
-    """docs with tokens (long) and posteriors (array<double>, in the order of model.domains) added."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: buckets x domains doubles
+def with_membership(docs: DataFrame, shared: Broadcast, text: str = "text") -> DataFrame:
+    """docs with tokens (long) and posteriors (array<double>, in the order of the model's domains) added. shared: a Membership of fixed size."""
     names = docs.columns
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, m = Buckets(BUCKETS), shared.value
+        m = shared.value
         for batch in batches:
-            ids = [bucketed(words(t), buckets) for t in batch.column(text).cast(pa.binary()).to_pylist()]
-            posts = [m.posteriors(i).tolist() for i in ids]
-            yield pa.record_batch([*batch.columns, pa.array([len(i) for i in ids], pa.int64()), pa.array(posts, pa.list_(pa.float64()))], names=[*names, "tokens", "posteriors"])
+            counts, posts = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, len(m.domains)))
+            for i, t in enumerate(batch.column(text).cast(pa.binary())):
+                ids = bucketed(words(t.as_py()), BUCKETS)
+                counts[i], posts[i] = len(ids), m.posteriors(ids)
+            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * len(m.domains)
+            yield pa.record_batch([*batch.columns, pa.array(counts), pa.ListArray.from_arrays(pa.array(ends), pa.array(posts.ravel()))], names=[*names, "tokens", "posteriors"])
 
     fields = [T.StructField("tokens", T.LongType()), T.StructField("posteriors", T.ArrayType(T.DoubleType()))]
     return docs.mapInArrow(scored, T.StructType([*docs.schema.fields, *fields]))
@@ -100,28 +103,6 @@ def rate(posteriors: Column, steps: list[np.ndarray], least: float) -> Column:
     return F.aggregate(past, F.lit(1.0), lambda r, y: F.greatest(F.lit(float(least)), r - one(y)))
 
 
-def fit_rates(table: DataFrame, weights: np.ndarray, least: float = 0.0, cover: bool = False) -> list[np.ndarray]:
-    """The first STEPS steps of plain projected gradient, whether or not they meet the target; mix uses solve_rates. cover: the total is raised until no domain has to shrink; else it stays."""
-    k = len(weights)
-    p = [F.col("posteriors")[i] for i in range(k)]
-    sums = table.agg(*[F.sum(F.col("tokens") * p[i]).alias(f"s{i}") for i in range(k)], *[F.sum(F.col("tokens") * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    now = np.array([sums[f"s{i}"] or 0.0 for i in range(k)])
-    if now.sum() <= 0:
-        return []
-    metric = np.linalg.pinv(np.array([[sums[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]))
-    target = weights * ((now / weights).max() if cover else now.sum())
-    steps: list[np.ndarray] = []
-    while len(steps) < STEPS and np.linalg.norm(now - target) > CLOSE * np.linalg.norm(target):
-        steps.append(metric @ (now - target))
-        r = rate(F.col("posteriors"), steps, least)
-        got = table.select("tokens", "posteriors", r.alias("r")).agg(*[F.sum(F.col("tokens") * F.col("r") * p[i]).alias(f"s{i}") for i in range(k)]).first()
-        after = np.array([got[f"s{i}"] for i in range(k)])
-        if np.allclose(after, now, rtol=1e-9):
-            break
-        now = after
-    return steps
-
-
 @dataclass
 class Fit:
     steps: list[np.ndarray]  # for rate(): the multipliers, or none if all rates are 1
@@ -130,7 +111,7 @@ class Fit:
 
 
 def solve_rates(table: DataFrame, weights: np.ndarray, least: float = 0.0, cover: bool = False) -> Fit:
-    """The multipliers for table(tokens, posteriors). cover: as in fit_rates."""
+    """The multipliers for table(tokens, posteriors). cover: the total is raised until no domain has to shrink (of those with a target over 0); else it stays."""
     k = len(weights)
     p = [F.col("posteriors")[i] for i in range(k)]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
@@ -159,7 +140,7 @@ def newton(sums: Callable, weights: np.ndarray, least: float, cover: bool) -> Fi
     ridge = RIDGE * np.trace(whole) / len(weights)
     if now.sum() <= 0:
         return Fit([], 0.0, 1)
-    target = weights * ((now / weights).max() if cover else now.sum())
+    target = weights * ((now[weights > 0] / weights[weights > 0]).max() if cover else now.sum())
     goal = CLOSE * np.linalg.norm(target)
     y = centre = np.zeros(len(weights))
     now, free, part = sums(y, least)
@@ -186,33 +167,35 @@ def newton(sums: Callable, weights: np.ndarray, least: float, cover: bool) -> Fi
     return Fit([y] if y.any() or least > 1 else [], float(left / np.linalg.norm(target)), passes)
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], least: float = 0.0, cover: bool = False) -> DataFrame:
-    """docs with tokens, posteriors and rate added, or replaced."""
-    return mix_with_fit(docs, labels, weights, least, cover)[0]
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], least: float = 0.0, cover: bool = False, keep_text: bool = True) -> DataFrame:
+    """docs with tokens, posteriors and rate added, or replaced; without text if keep_text is not set."""
+    return mix_with_fit(docs, labels, weights, least, cover, keep_text)[0]
 
 
-def mix_with_fit(docs: DataFrame, labels: DataFrame, weights: dict[str, float], least: float = 0.0, cover: bool = False) -> tuple[DataFrame, Fit]:
-    """What mix returns, and how far the expected tokens are from the target."""
+def mix_with_fit(docs: DataFrame, labels: DataFrame, weights: dict[str, float], least: float = 0.0, cover: bool = False, keep_text: bool = True) -> tuple[DataFrame, Fit]:
+    """What mix returns, and how far the expected tokens are from the target. Every text is scored once."""
     docs = docs.drop("tokens", "posteriors", "rate")
     domains = list(weights)
     w = np.array([weights[d] for d in domains]) / sum(weights.values())
-    model = fit_membership(docs, labels, domains)
     scratch = Scratch(docs.sparkSession)
-    small = scratch.keep(with_membership(docs.select("text"), model).select("tokens", "posteriors"))
-    fit = solve_rates(small, w, least, cover)
-    scratch.forget(small)
+    shared = docs.sparkSession.sparkContext.broadcast(fit_membership(docs, labels, domains))
+    scored = with_membership(docs, shared)
+    scored = scratch.keep(scored if keep_text else scored.drop("text"))
+    shared.destroy()
+    fit = solve_rates(scored.select("tokens", "posteriors"), w, least, cover)
     if fit.residual > CLOSE:
         logging.getLogger(__name__).warning("no rates of %s or more meet the target: residual %.2g after %d passes", least, fit.residual, fit.passes)
-    return with_membership(docs, model).withColumn("rate", rate(F.col("posteriors"), fit.steps, least)), fit
+    return scored.withColumn("rate", rate(F.col("posteriors"), fit.steps, least)), fit
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
     """Each row floor(rate + u) times."""
     u = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit("mix")), 11).cast("double") / F.lit(float(2**53))
     copies = F.floor(F.col("rate") + u).cast("int")
-    return mixed.select("*", F.explode(F.array_repeat(F.lit(0), copies)).alias("_copy")).drop("_copy")
+    (copy,) = unused(mixed, "copy")
+    return mixed.select("*", F.explode(F.array_repeat(F.lit(0), copies)).alias(copy)).drop(copy)
 
 
 def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return mix(docs, table(spark, sf_dir, "labels"), WEIGHTS).select("doc_id", "tokens", "posteriors", "rate")
+    return mix(docs, table(spark, sf_dir, "labels"), WEIGHTS, keep_text=False).select("doc_id", "tokens", "posteriors", "rate")

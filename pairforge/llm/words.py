@@ -14,27 +14,18 @@ from pairforge.llm.tables import fold
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 
 
-class Buckets(dict):
-    """Word -> bucket, remembered for the words of a task. The memory is emptied at two million words."""
-
-    def __init__(self, size: int):
-        super().__init__()
-        self.size = size
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 2_000_000:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word) % self.size
-        return found
-
-
 def words(text: bytes | None) -> list[bytes]:
     """Letters A-Z in lower case; any byte over 127 counts as a letter."""
     return WORD.findall((text or b"").lower())
 
 
-def bucketed(found: list[bytes], buckets: Buckets) -> np.ndarray:
-    return np.fromiter(map(buckets.__getitem__, found), np.int64, len(found))
+def hashed(found: list[bytes]) -> np.ndarray:
+    """A 64-bit hash a word. Hashing is faster than a lookup in a table of words seen, and needs no memory."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+
+
+def bucketed(found: list[bytes], size: int) -> np.ndarray:
+    return (hashed(found) % np.uint64(size)).astype(np.int64)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, learn: list[int], per_class: int) -> DataFrame:
