@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.llm.tables import table, unused
-from pairforge.llm.words import hashed
+from pairforge.llm.words import hashed, small
 from pairforge.operators.components import connected_components
 from pairforge.operators.neighbors import block_pairs
 from pairforge.plans.joins import salted_join
@@ -104,7 +104,7 @@ def _node(words: list[bytes]) -> bytes:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         sizes, nodes, keys = [], [], []
         for text in batch.column("text").cast(pa.binary()).to_pylist():
             words = _cut(text)
@@ -126,7 +126,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, elements, sketch) of the rows whose text is the node's."""
-    for batch in batches:
+    for batch in small(batches):
         nodes, sets, sketches = [], [], []
         for node, text in zip(batch.column("node").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
             words = _cut(text)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.llm.tables import table
+from pairforge.llm.words import small
 
 RATE, PART_CHARS = 0.05, 2_000_000
 _OTHER = re.compile(r"[\W_]+")
@@ -129,7 +130,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def found(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = None
-            for batch in batches:
+            for batch in small(batches):
                 matcher = matcher or Matcher(shared.value)
                 rows = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for m in matcher.matches(plain(t))] if shared.value else []
                 ids, item_ids, distances = zip(*rows, strict=True) if rows else ((), (), ())
@@ -148,7 +149,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = None
-            for batch in batches:
+            for batch in small(batches):
                 matcher = matcher or Matcher(shared.value)
                 keep = [not (t and shared.value and matcher.matches(plain(t))) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))

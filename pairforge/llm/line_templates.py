@@ -1,14 +1,16 @@
 """Line dedup by a log-template tree of fixed depth. DataFrame and SQL functions only.
 
-A line is trimmed and cut at spaces; tokens that hold a digit become <*>. The tree's path to a leaf is the
-token count, then the first DEPTH tokens. Within a leaf, a position's token is constant if it holds more than half
-of the leaf's weight, else the position is <*>; a line whose tokens agree with the leaf's
-constants at SIMILAR or more of all positions takes the leaf's template, any other is a template of its own.
-A line weighs as many different texts as hold it. Templates in MIN_TEXTS or more different texts are dropped
-from every document, and so are templates of LONG_WORDS or more tokens in LONG_TEXTS or more. Copies of one text count once, so a copied document does not lose its lines for being copied.
-
-Defined cases: null texts stay null with no lines; blank lines are kept and never counted as templates; repeated rows are
-treated alike; ids may be null or repeat, as documents are told apart by their texts; an empty table gives an empty result.
+A line is trimmed and cut at spaces; tokens that hold a digit become <*>. The tree's path to a leaf is the token count, then the
+first DEPTH tokens. A line weighs as many different texts as hold it, and recurs if they reach its bar: MIN_TEXTS, or
+LONG_TEXTS for lines of LONG_WORDS or more tokens. In a leaf, lines that do not recur as they are get a template: a token stays if lines of its leaf
+that hold it at its place reach the bar together, any other becomes <*>. So a leaf makes as many templates as it has messages, and a line
+always matches its own. A template in which fewer than SIMILAR percent of the tokens stay is void; others recur if different texts with lines of that template reach the bar.
+Lines that recur, as they are or by their template, are dropped from every document. Copies of one text count once, so a copied document
+does not lose its lines for being copied. A field's value that itself reaches the bar in its leaf makes a template of its own.
+
+Lines and texts are told apart by MD5 digests of 128 bits. Defined cases: null texts stay null with no lines; blank lines, and lines of
+<*> only, are kept; repeated rows are treated alike; ids may be null or repeat, as documents are told apart by their texts; very long texts and lines are
+read whole, in time that grows with their length; columns with the names of results are replaced, others stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,11 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm.tables import table
+from pairforge.llm.tables import table, unused
 from pairforge.plans.joins import salted_join
 from pairforge.plans.scratch import Scratch
 
-DEPTH, SIMILAR, MIN_TEXTS = 3, 0.7, 10
+DEPTH, SIMILAR, MIN_TEXTS = 3, 70, 10
 LONG_WORDS, LONG_TEXTS = 20, 2
 
 
@@ -29,97 +31,102 @@ def masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(line)
 
 
-def _lines(docs: DataFrame, text: str) -> DataFrame:
-    """(copy: the text's hash, masked, leaf, k: the token count); blank lines are left out."""
-    lines = docs.select(F.xxhash64(text).alias("copy"), F.explode(F.split(text, "\n")).alias("line"))
-    lines = lines.select("copy", masked(F.col("line")).alias("masked")).where("masked != ''")
-    tokens = F.split("masked", " ")
-    return lines.select("copy", "masked", F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH)).alias("leaf"), F.size(tokens).alias("k"))
+def _digest(value: Column) -> Column:
+    return F.unhex(F.md5(value))
+
+
+def _constant(template: Column) -> Column:
+    """Whether it holds more than variable fields."""
+    return F.trim(F.replace(template, F.lit("<*>"), F.lit(""))) != ""
 
 
 def _bar(k: Column, min_texts: int, long_words: int | None) -> Column:
-    """How many different texts a template of k tokens has to recur in."""
+    """How many different texts a line of k tokens has to recur in."""
     if long_words is None:
         return F.lit(min_texts)
     return F.when(k >= long_words, min(LONG_TEXTS, min_texts)).otherwise(min_texts)
 
 
-def recurring(docs: DataFrame, scratch: Scratch, text: str = "text", min_texts: int = MIN_TEXTS, long_words: int | None = LONG_WORDS) -> DataFrame:
-    """(masked, template, n_texts): every masked line whose template recurs. long_words None: one bar for all lengths."""
-    lines = _lines(docs, text)
-    # Only hashes travel here. A leaf that all its lines together leave short of its bar is out.
-    weights = lines.select("leaf", "k", F.xxhash64("masked").alias("m"), "copy").distinct().groupBy("leaf").agg(F.count("*").alias("n"), F.max("k").alias("k"))
-    leaves = scratch.keep(weights.where(F.col("n") >= _bar(F.col("k"), min_texts, long_words)).select("leaf"))
-    near = scratch.keep(salted_join(lines.drop("k"), leaves, ["leaf"]).distinct())
-    own = scratch.keep(near.groupBy("leaf", "masked").agg(F.count("*").alias("n")))
-    votes = own.select("leaf", "n", F.posexplode(F.split("masked", " ")).alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n"))
-    best = votes.groupBy("leaf", "pos").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
-    constant = F.when(F.col("top.n") * 2 > F.col("all"), F.col("top.token")).otherwise(F.lit("<*>"))
-    shape = best.select("leaf", "pos", constant.alias("token")).groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("shape"))
-    shape = shape.select("leaf", F.transform("shape", lambda x: x["token"]).alias("shape"))
-    same = F.size(F.filter(F.zip_with(F.split("masked", " "), "shape", lambda a, b: a == b), lambda x: x))
-    fits = same >= F.lit(SIMILAR) * F.size("shape")
-    named = salted_join(own, shape, ["leaf"]).select("leaf", "masked", "n", F.when(fits, F.concat_ws(" ", "shape")).otherwise(F.col("masked")).alias("template"), _bar(F.size("shape"), min_texts, long_words).alias("bar"))
-    named = scratch.keep(named)
+def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(copy: the text's digest, pos, masked): lines that may recur."""
+    lines = docs.select(_digest(F.col(text)).alias("copy"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    return lines.select("copy", "pos", masked(F.col("line")).alias("masked")).where(_constant(F.col("masked")))
+
+
+def recurring(docs: DataFrame, lines: DataFrame, scratch: Scratch, text: str = "text", min_texts: int = MIN_TEXTS, long_words: int | None = LONG_WORDS) -> DataFrame:
+    """(m: the digest of a masked line, template: null if the line recurs as it is, n_texts) of every line that recurs.
+
+    lines(copy, pos, m, leaf, k): those of docs, as drop_templates keeps them. Only lines that need a template are read as texts again.
+    """
+    bar = _bar(F.col("k"), min_texts, long_words)
+    own = scratch.keep(lines.select("leaf", "k", "m", "copy").distinct().groupBy("leaf", "k", "m").agg(F.count("*").alias("n")))
+    rest = own.where(F.col("n") < bar)
+    # A leaf that all these lines together leave short of its bar has no template.
+    leaves = rest.groupBy("leaf", "k").agg(F.sum("n").alias("w"), F.count("*").alias("kinds")).where((F.col("w") >= bar) & (F.col("kinds") > 1))
+    near = scratch.keep(salted_join(rest, leaves.select("leaf", "k"), ["leaf", "k"]))
+    seen = lines_of(docs, text).select(_digest(F.col("masked")).alias("m"), "masked")
+    near = scratch.keep(salted_join(seen, near, ["m"]).groupBy("m").agg(*[F.first(c).alias(c) for c in ("masked", "leaf", "k", "n")]))
+    tokens = near.select("m", "leaf", "k", "n", F.posexplode(F.split("masked", " ")).alias("pos", "token"))
+    stay = tokens.groupBy("leaf", "k", "pos", "token").agg(F.sum("n").alias("w")).where(F.col("w") >= bar).select("leaf", "k", "pos", "token", F.lit(1).alias("same"))
+    words = salted_join(tokens, stay, ["leaf", "k", "pos", "token"], "left")
+    word = F.struct("pos", F.when(F.col("same") == 1, F.col("token")).otherwise("<*>").alias("word"))
+    shaped = words.groupBy("m", "k", "n").agg(F.count("same").alias("same"), F.array_sort(F.collect_list(word)).alias("words"))
+    named = shaped.where(F.lit(100) * F.col("same") >= SIMILAR * F.col("k")).select("m", "k", "n", F.concat_ws(" ", F.transform("words", lambda x: x["word"])).alias("template"))
+    named = scratch.keep(named.where(_constant(F.col("template"))).withColumn("t", _digest(F.col("template"))))
     # A text may hold several lines of one template; it counts once.
-    bound = named.groupBy("leaf", "template").agg(F.sum("n").alias("most"), F.count("*").alias("kinds"), F.max("bar").alias("bar")).where("most >= bar")
-    merged = bound.where("kinds > 1").select("leaf", "template", "bar")
-    of_line = named.join(merged.drop("bar"), ["leaf", "template"]).select("leaf", "masked", "template")
-    exact = salted_join(near, of_line, ["leaf", "masked"]).select("leaf", "template", "copy").distinct().groupBy("leaf", "template").agg(F.count("*").alias("n_texts"))
-    single = bound.where("kinds = 1").select("leaf", "template", F.col("most").alias("n_texts"))
-    exact = exact.join(merged, ["leaf", "template"]).where("n_texts >= bar").drop("bar")
-    found = single.unionByName(exact)
-    return scratch.keep(salted_join(named, found, ["leaf", "template"]).select("masked", "template", "n_texts"))
+    bound = named.groupBy("t", "k").agg(F.sum("n").alias("most")).where(F.col("most") >= bar).select("t")
+    named = scratch.keep(salted_join(named, bound, ["t"]))
+    exact = salted_join(lines.select("m", "copy"), named.select("m", "t", "k"), ["m"]).select("t", "k", "copy").distinct().groupBy("t", "k").agg(F.count("*").alias("n_texts"))
+    found = salted_join(named.select("m", "t", "template"), exact.where(F.col("n_texts") >= bar).drop("k"), ["t"]).select("m", "template", "n_texts")
+    as_is = own.where(F.col("n") >= bar).select("m", F.lit(None).cast("string").alias("template"), F.col("n").alias("n_texts"))
+    return scratch.keep(as_is.unionByName(found))
 
 
 def drop_templates(docs: DataFrame, text: str = "text", min_texts: int = MIN_TEXTS, long_words: int | None = LONG_WORDS) -> DataFrame:
-    """docs with the recurring lines cut out of text; adds, or replaces, n_lines and n_dropped (long)."""
-    docs = docs.drop("n_lines", "n_dropped", "copy", "_dropped")
+    """docs with the recurring lines cut out of text; adds, or replaces, n_lines and n_dropped (long). long_words None: one bar for all lengths."""
+    docs = docs.drop("n_lines", "n_dropped")
     scratch = Scratch(docs.sparkSession)
-    # Lines meet the recurring ones by hash: a line's text does not travel. What is dropped grows with the corpus, so no broadcast.
-    bad = recurring(docs, scratch, text, min_texts, long_words).select(F.xxhash64("masked").alias("m")).distinct()
-    lines = docs.select(F.xxhash64(text).alias("copy"), F.posexplode(F.split(text, "\n")).alias("pos", "line")).select("copy", "pos", masked(F.col("line")).alias("masked"))
-    lines = lines.where("masked != ''").select("copy", "pos", F.xxhash64("masked").alias("m"))
-    hit = scratch.keep(salted_join(lines, bad, ["m"], hint="merge").select("copy", "pos").distinct())
-    dropped = hit.groupBy("copy").agg(F.collect_set("pos").alias("_dropped"))
-    joined = salted_join(docs.withColumn("copy", F.xxhash64(text)), dropped, ["copy"], "left", hint="merge").drop("copy")
-    parts, gone = F.split(text, "\n"), F.coalesce("_dropped", F.array().cast("array<int>"))
-    kept = F.filter(parts, lambda x, i: ~F.array_contains(gone, i))
+    tokens = F.split("masked", " ")
+    lines = lines_of(docs, text).select("copy", "pos", _digest(F.col("masked")).alias("m"), F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH)).alias("leaf"), F.size(tokens).alias("k"))
+    lines = scratch.keep(lines)
+    bad = recurring(docs, lines, scratch, text, min_texts, long_words).select("m")
+    # Lines meet the recurring ones by digest: a line's text does not travel. What is dropped grows with the corpus, so no broadcast.
+    copy, dropped = unused(docs, "copy", "dropped")
+    hit = scratch.keep(salted_join(lines.select("copy", "pos", "m"), bad, ["m"], hint="merge").select("copy", "pos").distinct())
+    gone = hit.groupBy("copy").agg(F.collect_list("pos").alias(dropped)).withColumnRenamed("copy", copy)
+    joined = salted_join(docs.withColumn(copy, _digest(F.col(text))), gone, [copy], "left", hint="merge").drop(copy)
+    parts, gone = F.split(text, "\n"), F.coalesce(dropped, F.array().cast("array<int>"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)  # by hashing, so in linear time
+    kept = F.concat_ws("\n", F.element_at(F.transform(F.array(parts), lambda all_: F.transform(left, lambda i: all_[i])), 1))
     return joined.withColumns(
         {
-            text: F.when(F.col("_dropped").isNull(), F.col(text)).otherwise(F.concat_ws("\n", kept)),
+            text: F.when(F.col(dropped).isNull(), F.col(text)).otherwise(kept),
             "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long"),
             "n_dropped": F.size(gone).cast("long"),
         }
-    ).drop("_dropped")
+    ).drop(dropped)
 
 
 def op3_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With one bar for all lengths, as its SQL states; op3_template_tree_whole has the lower bar for long lines too."""
-    return drop_templates(table(spark, sf_dir, "documents").select("doc_id", "text"), long_words=None)
-
-
-def op3_template_tree_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_templates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def sql(long_words: int | None = None) -> str:
-    bar = MIN_TEXTS if long_words is None else f"CASE WHEN named.k >= {long_words} THEN {min(LONG_TEXTS, MIN_TEXTS)} ELSE {MIN_TEXTS} END"
+def sql() -> str:
+    bar = f"CASE WHEN k >= {LONG_WORDS} THEN {min(LONG_TEXTS, MIN_TEXTS)} ELSE {MIN_TEXTS} END"
+    constant = lambda x: f"trim(replace({x}, '<*>', '')) <> ''"
     return f"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
-l0 AS (SELECT doc_id, text, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM d),
-l1 AS (SELECT doc_id, text, pos, line, regexp_replace(trim(line, ' ' || chr(9) || chr(13)), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS masked FROM l0),
-l AS (SELECT doc_id, text, pos, line, masked, string_split(masked, ' ') AS toks FROM l1),
-own AS (SELECT masked, toks, len(toks) AS k, toks[1:{DEPTH}] AS lead, count(DISTINCT text) AS n FROM l WHERE masked <> '' GROUP BY ALL),
-v AS (SELECT k, lead, pos, token, sum(n) AS n FROM (SELECT k, lead, n, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos FROM own) GROUP BY ALL),
-b AS (SELECT k, lead, pos, CASE WHEN 2 * max(n) > sum(n) THEN arg_max(token, n) ELSE '<*>' END AS token FROM v GROUP BY ALL),
-shape AS (SELECT k, lead, list(token ORDER BY pos) AS shape FROM b GROUP BY ALL),
-named AS (SELECT own.masked, own.k, own.lead, CASE WHEN list_sum([CASE WHEN own.toks[i] = shape.shape[i] THEN 1 ELSE 0 END FOR i IN range(1, own.k + 1)]) >= {SIMILAR} * own.k
-  THEN array_to_string(shape.shape, ' ') ELSE own.masked END AS template FROM own JOIN shape ON own.k = shape.k AND own.lead = shape.lead),
-t AS (SELECT named.k, named.lead, template FROM named JOIN l ON l.masked = named.masked GROUP BY ALL HAVING count(DISTINCT text) >= {bar}),
-bad AS (SELECT DISTINCT masked FROM named JOIN t ON named.k = t.k AND named.lead = t.lead AND named.template = t.template),
-c AS (SELECT DISTINCT text, pos FROM l WHERE masked IN (SELECT masked FROM bad)),
-g AS (SELECT text, list(pos) AS gone FROM c GROUP BY text)
+l0 AS (SELECT DISTINCT text, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM d),
+l1 AS (SELECT text, pos, regexp_replace(trim(line, ' ' || chr(9) || chr(13)), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS masked FROM l0),
+l AS (SELECT text, pos, masked, string_split(masked, ' ') AS toks, len(toks) AS k, toks[1:{DEPTH}] AS lead FROM l1 WHERE {constant("masked")}),
+own AS (SELECT masked, toks, k, lead, count(DISTINCT text) AS n FROM l GROUP BY ALL),
+w AS (SELECT masked, k, lead, n, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos FROM own WHERE n < {bar}),
+stay AS (SELECT k, lead, pos, token, 1 AS same FROM w GROUP BY k, lead, pos, token HAVING sum(n) >= {bar}),
+named AS (SELECT masked, k, string_agg(CASE WHEN same = 1 THEN token ELSE '<*>' END, ' ' ORDER BY pos) AS template
+  FROM w LEFT JOIN stay USING (k, lead, pos, token) GROUP BY masked, k HAVING 100 * count(same) >= {SIMILAR} * k),
+t AS (SELECT k, template FROM named JOIN l USING (masked, k) WHERE {constant("template")} GROUP BY k, template HAVING count(DISTINCT text) >= {bar}),
+bad AS (SELECT masked FROM own WHERE n >= {bar} UNION SELECT masked FROM named JOIN t USING (k, template)),
+g AS (SELECT text, list(pos) AS gone FROM l WHERE masked IN (SELECT masked FROM bad) GROUP BY text)
 SELECT d.doc_id, CASE WHEN g.gone IS NULL THEN d.text ELSE array_to_string([d.parts[i] FOR i IN range(1, len(d.parts) + 1) IF NOT list_contains(g.gone, i)], chr(10)) END AS text,
   CAST(coalesce(len(d.parts), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(g.gone), 0) AS BIGINT) AS n_dropped
 FROM d LEFT JOIN g ON d.text = g.text

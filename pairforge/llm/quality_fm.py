@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairforge.llm.tables import fold, table
-from pairforge.llm.words import bucketed, labelled, words
+from pairforge.llm.words import bucketed, labelled, small, words
 
 BUCKETS, RANK, PER_CLASS, EPOCHS, BATCH, RATE, DECAY = 1 << 15, 8, 3000, 16, 256, 0.08, 1e-5
 LEAST = 0.3
@@ -70,7 +70,7 @@ def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         made = [features(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
         yield pa.record_batch({"doc_id": batch.column("doc_id"), "y": batch.column("y"), "ids": pa.array([i.astype(np.int32).tobytes() for i, _ in made], pa.binary()), "values": pa.array([v.tobytes() for _, v in made], pa.binary())})
 
@@ -148,7 +148,7 @@ def score_quality(docs: DataFrame, model: Machine | float, text: str = "text") -
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in small(batches):
             scores = [m.score(*features(t)) for t in batch.column(text).cast(pa.binary()).to_pylist()]
             yield pa.record_batch([*batch.columns, pa.array(scores, pa.float64())], names=[*names, "score"])
 

@@ -8,7 +8,6 @@ QUERIES = {
     "op1_cover_tree_topk": cover_tree.op1_cover_tree_topk,
     "op2_circulant_minhash": circulant_minhash.op2_circulant_minhash,
     "op3_template_tree": line_templates.op3_template_tree,
-    "op3_template_tree_whole": line_templates.op3_template_tree_whole,
     "op4_hash_tree_shards": hash_tree.op4_hash_tree_shards,
     "op5_pigeonhole_matches": edit_match.op5_pigeonhole_matches,
     "op6_factorisation_machine": quality_fm.op6_factorisation_machine,
@@ -21,7 +20,6 @@ QUERIES = {
 SQL = {
     "op1_cover_tree_topk": cover_tree.sql(),
     "op3_template_tree": line_templates.sql(),
-    "op3_template_tree_whole": line_templates.sql(line_templates.LONG_WORDS),
     "op4_hash_tree_shards": hash_tree.sql(),
     "op7_license_digests": license_scan.sql(),
 }

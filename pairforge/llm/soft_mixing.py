@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairforge.llm.tables import table, unused
-from pairforge.llm.words import bucketed, words
+from pairforge.llm.words import bucketed, small, words
 from pairforge.plans.scratch import Scratch
 
 BUCKETS, PER_DOMAIN, CLOSE = 1 << 15, 500, 1e-4
@@ -51,7 +51,7 @@ class Membership:
 
 
 def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         made = [bucketed(words(t), BUCKETS).astype(np.int32).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
         yield pa.record_batch({"domain": batch.column("domain"), "ids": pa.array(made, pa.binary())})
 
@@ -82,7 +82,7 @@ def with_membership(docs: DataFrame, shared: Broadcast, text: str = "text") -> D
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in small(batches):
             counts, posts = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, len(m.domains)))
             for i, t in enumerate(batch.column(text).cast(pa.binary())):
                 ids = bucketed(words(t.as_py()), BUCKETS)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairforge.llm.tables import fold, table
-from pairforge.llm.words import bucketed, labelled, words
+from pairforge.llm.words import bucketed, labelled, small, words
 from pairforge.plans.scratch import Scratch
 
 BUCKETS, PER_CLASS, STEPS, BATCH, RATE, SHRINK, SWAP_PENALTY = 1 << 18, 4000, 640, 256, 0.1, 1e-3, 1.0
@@ -57,7 +57,7 @@ def swaps(text: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         ids, changes = [], []
         for t in batch.column("text").cast(pa.binary()).to_pylist():
             ids.append(present(words(t)).astype(np.int32).tobytes())
@@ -161,7 +161,7 @@ def score_toxicity(docs: DataFrame, model: tuple[float, np.ndarray], text: str =
         bias, at, some = shared.value
         w = np.zeros(BUCKETS)
         w[at] = some
-        for batch in batches:
+        for batch in small(batches):
             logits = np.array([bias + w[present(words(t))].sum() for t in batch.column(text).cast(pa.binary()).to_pylist()])
             yield pa.record_batch([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(logits, -30, 30))), pa.float64())], names=[*names, "score"])
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,13 @@ def words(text: bytes | None) -> list[bytes]:
     return WORD.findall((text or b"").lower())
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of few, so that what a task makes of a batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def hashed(found: list[bytes]) -> np.ndarray:
     """A 64-bit hash a word. Hashing is faster than a lookup in a table of words seen, and needs no memory."""
     return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))

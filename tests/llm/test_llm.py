@@ -175,6 +175,37 @@ def test_long_lines_of_few_texts_are_dropped(spark):
             assert got[i].text == (text if n == 1 else text.replace(passage + "\n", "")) and got[i].n_dropped == (n > 1)
 
 
+def letters(i):
+    return "".join("abcdefghij"[int(c)] for c in str(i + 100))
+
+
+def test_leaf_makes_several_templates_and_none_for_a_lone_line(spark):
+    lines = [f"2024-01-0{i % 9} 10:00 7 user {letters(i)} logged in" for i in range(12)] + [f"2024-01-0{i % 9} 10:00 7 disk {letters(i)} is full" for i in range(11)]
+    lines += [f"2024-01-0{i % 9} 10:00 7 line {letters(i)} too rare" for i in range(9)]
+    many = [" ".join(letters(500 + k) for k in range(17)) + " ends like this"] * 12
+    lone = " ".join(letters(500 + k) for k in range(17)) + " ends quite otherwise"  # 17 of 20 tokens as in the others
+    rows = [(i, f"{letters(i) * 2} own\n{x}") for i, x in enumerate([*lines, *many])] + [(90, lone)] + [(91 + i, f"{i} 3.{i} 17\n{letters(i)} p") for i in range(12)]
+    docs = documents(spark, rows).withColumn("copy", F.lit("c")).withColumn("Dropped", F.lit("d")).withColumn("_salt", F.lit("s"))
+    out = line_templates.drop_templates(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
+    got = {r.doc_id: r for r in out.collect()}
+    gone = {i for i, r in got.items() if r.n_dropped}
+    assert gone == set(range(23)) | set(range(32, 44)) and all(got[i].text == t.split("\n")[0] for i, t in rows if i in gone)
+    assert all(got[i].text == t for i, t in rows if i not in gone) and {(r.copy, r.Dropped, r._salt) for r in got.values()} == {("c", "d", "s")}
+    scratch = Scratch(spark)
+    tokens = F.split("masked", " ")
+    kept = line_templates.lines_of(docs).select("copy", "pos", F.unhex(F.md5("masked")).alias("m"), F.xxhash64(F.size(tokens), F.slice(tokens, 1, 3)).alias("leaf"), F.size(tokens).alias("k"))
+    found = line_templates.recurring(docs, scratch.keep(kept), scratch).collect()
+    assert {r.template for r in found} == {None, "<*> <*> <*> user <*> logged in", "<*> <*> <*> disk <*> is full"}
+
+
+def test_templates_of_very_long_texts(spark):
+    long = "\n".join(f"{letters(i)} {letters(i + 7)} is one of many lines" for i in range(30_000))
+    wide = " ".join(letters(i) for i in range(50_000))
+    got = line_templates.drop_templates(documents(spark, [(1, long), (2, long + "\n" + wide), (3, "z\n" + wide)])).collect()
+    assert {r.doc_id: (r.n_lines, r.n_dropped) for r in got} == {1: (30_000, 0), 2: (30_001, 1), 3: (2, 1)}
+
+
 # 4: sharding
 
 
