@@ -1,19 +1,25 @@
-"""Exact top-k search by inner product with cover trees of queries and of data.
-
-The upper level of both trees is distributed: PIVOTS centres at most, chosen farthest-first from a sample of SAMPLE rows (the documented bound; it
-decides where centres lie, not what is found), split every set into cells of a centre and a covering radius, and large
-cells into nodes of about NODE rows (the vectors at one place included). A pair of nodes can be skipped if no product can reach the query node's
-worst kth score: centre . centre + |centre| radius + |centre'| radius' + radius radius' < worst. Worst scores come from a first round, in which every
-query node meets the data node whose centre suits it best. The pairs left go to tasks, which build the lower levels (children
-cover a node at half its radius) and descend both trees together, best bound first, under the same rule.
-
-Defined cases: vectors that are null, or hold null or non-finite components, take no part; vectors meet those of their own length only; of repeated
-ids the smallest vector counts; equal scores rank by smaller id; fewer than k candidates give fewer rows; an empty table gives an empty result.
+"""Exact top-k search by inner product with one cover tree of queries and data.
+
+The tree is built level by level as tables. A node has a centre and a covering radius. Of a node with more than NODE rows, farthest-first centres
+are chosen, the node's own first, until half its radius covers the node's rows of a sample (SAMPLE a node) or there are BRANCH; rows within half the
+radius of a centre go to the nearest one's child, so radii halve at least from level to level, and rows that no centre reaches
+are children of their own, with radius 0. The sample decides where centres lie, not what is found: every row is in the tree.
+A node's children of their own, and the rows of a node with NODE or fewer, are dealt to blocks, at most about NODE rows or QUERY_NODE queries each.
+
+The search starts with the pair of roots and replaces pairs by the pairs of their children, level by level, for all queries at once. A pair
+is skipped if no product can reach the query node's worst kth score: centre . centre' + |centre| radius' + |centre'| radius +
+radius radius' < worst. Worst scores come from a bounded sample of rows, then from each query block's own cell. Pairs of blocks that are
+left go to tasks, where a row's bound is its product itself: one matrix product a pair.
+
+Defined cases: vectors that are null, or hold null or non-finite components, take no part; nor do rows without an id; vectors meet those of their own
+length only; ids may repeat: every row is a candidate, for other rows of its id too, and every query row gives results; equal scores rank by smaller id;
+fewer than k candidates give fewer rows; other columns do not matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import heapq
+import functools
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -22,9 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pairforge.llm.tables import table
+from pairforge.plans.joins import salted_join
 from pairforge.plans.scratch import Scratch
 
-K, PIVOTS, SAMPLE, NODE, QUERY_NODE, LEAF, BRANCH, SALTS = 5, 64, 2048, 1024, 512, 192, 8, 16
+K, SAMPLE, BRANCH, NODE, QUERY_NODE, PART, SALTS = 5, 1024, 32, 1024, 512, 8192, 32
 
 
 def integral(vector: Column) -> Column:
@@ -33,31 +40,6 @@ def integral(vector: Column) -> Column:
     return F.when(ok, F.transform(vector, lambda x: F.floor(x.cast("double") * 256).cast("double")))
 
 
-class Node:
-    """Rows of a matrix under a centre and a covering radius; children cover it at half the radius."""
-
-    def __init__(self, x: np.ndarray, rows: np.ndarray):
-        self.rows, own = rows, x[rows]
-        self.center = own[np.argmin(((own - own.mean(0)) ** 2).sum(1))]
-        away = np.sqrt(((own - self.center) ** 2).sum(1))
-        self.radius, self.norm = float(away.max()), float(np.sqrt(self.center @ self.center))
-        self.children: list[Node] = []
-        if len(rows) > LEAF and self.radius > 0:
-            nearest, label = away, np.zeros(len(rows), np.int64)
-            for k in range(1, BRANCH):
-                far = int(nearest.argmax())
-                if nearest[far] <= self.radius / 2:
-                    break
-                d = np.sqrt(((own - own[far]) ** 2).sum(1))
-                label[d < nearest] = k
-                nearest = np.minimum(nearest, d)
-            self.children = [Node(x, rows[label == k]) for k in np.unique(label)]
-
-    def bound(self, other: Node) -> float:
-        top = float(self.center @ other.center) + self.norm * other.radius + other.norm * self.radius + self.radius * other.radius
-        return top + 1e-9 * (1 + abs(top))
-
-
 def products(q: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Exact integer products. Doubles hold them while they stay under 2^53."""
     if q.size and d.size and np.abs(q).max() * np.abs(d).max() * q.shape[1] >= 2**53:
@@ -66,123 +48,194 @@ def products(q: np.ndarray, d: np.ndarray) -> np.ndarray:
     return (q @ d.T).astype(np.int64)
 
 
-def dual_search(q: np.ndarray, qids: np.ndarray, floors: np.ndarray, d: np.ndarray, dids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, id, score) of each query's k best rows of d that reach its floor, its own id left out."""
-    best: list[list[tuple[int, int]]] = [[] for _ in qids]  # (score, -id), a heap of k at most
-    kth = floors.copy()
-    queries, data = Node(q, np.arange(len(q))), Node(d, np.arange(len(d)))
-    heap, turn = [(-queries.bound(data), 0, queries, data)], 1
-    while heap:
-        negative, _, a, b = heapq.heappop(heap)
-        if -negative < kth[a.rows].min():
-            continue
-        if a.children or b.children:
-            split = bool(a.children) and (not b.children or a.radius > b.radius)
-            for x, y in [(c, b) for c in a.children] if split else [(a, c) for c in b.children]:
-                heapq.heappush(heap, (-x.bound(y), turn, x, y))
-                turn += 1
-            continue
-        scores = products(q[a.rows], d[b.rows])
-        ids = dids[b.rows]
-        # What can enter a query's best: its k highest here, ties included, if they reach what it has.
-        enough = np.maximum(np.partition(scores, -k - 1, axis=1)[:, -k - 1], kth[a.rows]) if scores.shape[1] > k else kth[a.rows]
-        for r, j in zip(*np.nonzero(scores >= enough[:, None]), strict=True):
-            i = a.rows[r]
-            if ids[j] != qids[i]:
-                item = (int(scores[r, j]), -int(ids[j]))
-                if len(best[i]) < k:
-                    heapq.heappush(best[i], item)
-                elif item > best[i][0]:
-                    heapq.heapreplace(best[i], item)
-                if len(best[i]) == k:
-                    kth[i] = max(kth[i], best[i][0][0])
-    return [(int(qids[i]), -minus, score) for i, found in enumerate(best) for score, minus in found]
-
-
-def _centers(vectors: DataFrame, cells: int) -> dict[int, np.ndarray]:
-    """Farthest-first centres for every vector length in the sample."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    out = {}
-    for dim in {len(r.v) for r in rows}:
-        x = np.array([r.v for r in rows if len(r.v) == dim]).reshape(-1, dim)
-        chosen, away = [0], np.sqrt(((x - x[0]) ** 2).sum(1))
-        while len(chosen) < min(cells, len(x)) and away.max() > 0:
-            chosen.append(int(away.argmax()))
-            away = np.minimum(away, np.sqrt(((x - x[chosen[-1]]) ** 2).sum(1)))
-        out[dim] = x[chosen]
-    return out
-
-
-def _placed(vectors: DataFrame, centers: dict[int, np.ndarray], node_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(rows with their node, nodes with centre and radius). A length that the sample lacks has the origin for centre."""
-    shared = vectors.sparkSession.sparkContext.broadcast(centers)  # at most PIVOTS vectors a length, of SAMPLE rows
-
-    def place(batches):
-        for pdf in batches:
-            cells, away = np.zeros(len(pdf), np.int64), np.zeros(len(pdf))
-            lengths = pdf.v.map(len).to_numpy()
-            for dim in np.unique(lengths):
-                at = np.flatnonzero(lengths == dim)
-                x = np.stack([np.asarray(v) for v in pdf.v.iloc[at]]).reshape(len(at), dim)
-                c = shared.value.get(int(dim), np.zeros((1, dim)))
-                squares = (x**2).sum(1)[:, None] + (c**2).sum(1)[None] - 2 * x @ c.T
-                cells[at] = squares.argmin(1)
-                away[at] = np.sqrt(((x - c[cells[at]]) ** 2).sum(1))
-            yield pd.DataFrame({"vec_id": pdf.vec_id, "v": pdf.v, "dim": lengths, "cell": cells, "away": away})
-
-    rows = vectors.mapInPandas(place, "vec_id long, v array<double>, dim long, cell long, away double")
-    sizes = {(r.dim, r.cell): r.n for r in rows.groupBy("dim", "cell").agg(F.count("*").alias("n")).collect()}  # PIVOTS rows a length
-    parts = F.create_map(*[F.lit(x) for (dim, cell), n in sizes.items() for x in (f"{dim}:{cell}", -(-n // node_rows))]) if sizes else F.create_map(F.lit(""), F.lit(1))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.coalesce(F.element_at(parts, F.concat_ws(":", "dim", "cell")), F.lit(1))))
-    rows = rows.withColumn("node", F.concat_ws(":", "dim", "cell", "part")).drop("part")
-    spark = vectors.sparkSession
-    middle = [(int(dim), int(cell), [float(v) for v in centers[dim][cell]] if dim in centers else [0.0] * int(dim)) for dim, cell in sizes]
-    middles = spark.createDataFrame(middle, "dim long, cell long, center array<double>")
-    nodes = rows.groupBy("node", "dim", "cell").agg(F.max("away").alias("radius")).join(middles, ["dim", "cell"])
-    return rows, nodes.select("node", "dim", "radius", "center")
+def _matrix(v: pd.Series) -> np.ndarray:
+    return np.array([np.asarray(x, float) for x in v]).reshape(len(v), -1)
+
+
+def _distances(x: np.ndarray, center: np.ndarray) -> np.ndarray:
+    return np.sqrt(((x - center) ** 2).sum(1))
+
+
+def _chosen(sample: pd.DataFrame) -> pd.DataFrame:
+    """The centres of a node's children, and how far they reach. Without a centre yet, the row nearest to the mean is the root's."""
+    x, radius, center = _matrix(sample.v), sample.radius.iloc[0], sample.center.iloc[0]
+    if center is None:
+        centers, reach = [x[_distances(x, x.mean(0)).argmin()]], np.inf
+    else:
+        centers, reach = [np.asarray(center, float)], radius / 2
+        away = _distances(x, centers[0])
+        while away.max() > reach and len(centers) < BRANCH:
+            centers.append(x[away.argmax()])
+            away = np.minimum(away, _distances(x, centers[-1]))
+    return pd.DataFrame({"node": [sample.node.iloc[0]], "centers": [[c.tolist() for c in centers]], "reach": [reach]})
+
+
+def _assigned(rows: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
+    """rows with the child that covers them (null: a child of its own) and the distance from its centre, else from the node's."""
+    if not len(rows):
+        return rows[["rid", "vec_id", "v", "asked", "node"]].assign(child=pd.Series([], dtype="float"), away=pd.Series([], dtype="float"))
+    x, reach = _matrix(rows.v), chosen.reach.iloc[0]
+    first = nearest = None
+    for i, c in enumerate(chosen.centers.iloc[0]):
+        d = _distances(x, np.asarray(c, float))
+        if nearest is None:
+            first, nearest, child = d, d.copy(), np.zeros(len(x))
+        else:
+            child[d < nearest] = i
+            nearest = np.minimum(nearest, d)
+    child = np.where(nearest <= reach, child, np.nan)
+    return rows[["rid", "vec_id", "v", "asked", "node"]].assign(child=child, away=np.where(np.isnan(child), first, nearest))
+
+
+ROW = "rid long, vec_id long, v array<double>, asked boolean"
+
+
+def build(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """rows(rid, vec_id, v, asked) -> (rows with their cell and their distance from its centre, cells(cell, parent, center, radius))."""
+    none = F.lit(None)
+    state = rows.withColumn("node", F.size("v").cast("string")).withColumns({"n": F.lit(rows.count()).cast("long"), "radius": none.cast("double")})
+    info = state.select("node").distinct().select("node", none.cast("array<double>").alias("center"))
+    placed, cells = [], []
+    while not state.isEmpty():
+        order = W.partitionBy("node").orderBy(F.xxhash64("rid"), "rid")
+        sample = state.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE).join(info, "node")
+        chosen = scratch.keep(sample.groupBy("node").applyInPandas(_chosen, "node string, centers array<array<double>>, reach double"))
+        # A node's rows are dealt over tasks; its centres, BRANCH at most, go to each.
+        parts = F.ceil(F.col("n") / PART)
+        left = state.withColumn("part", F.pmod(F.xxhash64("rid"), parts))
+        right = chosen.join(state.select("node", parts.alias("parts")).distinct(), "node").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        moved = left.groupBy("node", "part").cogroup(right.groupBy("node", "part")).applyInPandas(_assigned, f"{ROW}, node string, child double, away double")
+        moved = scratch.keep(moved)
+        placed.append(moved.where("child is null").drop("child").withColumnRenamed("node", "cell"))
+        child = F.concat_ws("/", "node", F.col("child").cast("int").cast("string"))
+        inner = moved.where("child is not null").withColumn("node", child).drop("child")
+        sizes = scratch.keep(inner.groupBy("node").agg(F.count("*").alias("n"), F.max("away").alias("radius")))
+        made = chosen.select("node", F.posexplode("centers").alias("child", "center")).select(F.concat_ws("/", "node", "child").alias("cell"), F.col("node").alias("parent"), "center")
+        made = scratch.keep(made.join(sizes.select(F.col("node").alias("cell"), "radius"), "cell"))
+        cells.append(made)
+        inner = scratch.keep(salted_join(inner, sizes, ["node"]))
+        open_ = (F.col("n") > NODE) & (F.col("radius") > 0)
+        placed.append(inner.where(~open_).drop("n", "radius").withColumnRenamed("node", "cell"))
+        state = inner.where(open_).drop("away")
+        info = made.select(F.col("cell").alias("node"), "center")
+    empty = rows.where("false").select("rid", "vec_id", "v", "asked", F.lit("").alias("cell"), F.lit(0.0).alias("away"))
+    no_cells = rows.where("false").select(F.lit("").alias("cell"), F.lit("").alias("parent"), F.col("v").alias("center"), F.lit(0.0).alias("radius"))
+    return functools.reduce(DataFrame.unionByName, placed, empty), functools.reduce(DataFrame.unionByName, cells, no_cells)
+
+
+@dataclass
+class Tree:
+    rows: DataFrame  # rid, vec_id, v, asked, d_block, q_block
+    nodes: DataFrame  # cell, parent, center, radius
+    d_blocks: DataFrame  # block, cell, center, radius, n
+    q_blocks: DataFrame
+    depth: int
+
+
+def tree_of(rows: DataFrame, scratch: Scratch) -> Tree:
+    placed, cells = build(rows, scratch)
+    cells = scratch.keep(cells)
+    sizes = scratch.keep(placed.groupBy("cell").agg(F.ceil(F.count("*") / NODE).alias("d_parts"), F.greatest(F.lit(1), F.ceil(F.count_if("asked") / QUERY_NODE)).alias("q_parts")))
+    block = lambda parts, seed: F.concat_ws("#", "cell", F.pmod(F.xxhash64(F.lit(seed), F.col("rid")), F.col(parts)).cast("string"))
+    placed = scratch.keep(salted_join(placed, sizes, ["cell"]).withColumn("d_block", block("d_parts", "d")).withColumn("q_block", F.when(F.col("asked"), block("q_parts", "q"))).drop("d_parts", "q_parts"))
+
+    def blocks(name: str) -> DataFrame:
+        made = placed.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("block"), "cell").agg(F.max("away").alias("radius"), F.count("*").alias("n"))
+        return scratch.keep(made.join(cells.select("cell", "center"), "cell"))
+
+    depth = cells.agg(F.max(F.size(F.split("cell", "/"))).alias("d")).first().d or 0
+    return Tree(placed, cells, blocks("d_block"), blocks("q_block"), depth)
 
 
 def _searched(pairs: DataFrame, queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
-    """pairs(q_node, d_node): each query's best rows in each pair. A task gets two nodes, whose sizes are bounded."""
-
-    def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(left) and len(right):
-            q, d = (np.stack([np.asarray(v, float) for v in x.v]).reshape(len(x), -1) for x in (left, right))
-            rows = dual_search(q, left.vec_id.to_numpy(), left.floor.to_numpy(dtype=float), d, right.vec_id.to_numpy(), k)
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    left = queries.join(pairs.withColumnRenamed("q_node", "node"), "node").select(F.col("node").alias("q_node"), "d_node", "vec_id", "v", "floor")
-    right = data.join(pairs.withColumnRenamed("d_node", "node"), "node").select("q_node", F.col("node").alias("d_node"), "vec_id", "v")
-    return left.groupBy("q_node", "d_node").cogroup(right.groupBy("q_node", "d_node")).applyInPandas(search, "query_id long, vec_id long, score long")
+    """pairs(q, d) of blocks: each query's best rows in each pair, if they reach its floor. A task gets two blocks, whose sizes are bounded."""
+    names = ["query", "query_id", "vec_id", "score"]
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({n: pd.Series([], dtype="int64") for n in names})
+        scores, floors = products(_matrix(left.v), _matrix(right.v)), left.floor.to_numpy(float)
+        own, ids = left.rid.to_numpy(), right.vec_id.to_numpy()
+        # What can enter a query's best: its k highest here besides itself, ties included, if they reach what it has.
+        enough = np.maximum(np.partition(scores, -k - 1, axis=1)[:, -k - 1], floors) if scores.shape[1] > k else floors
+        i, j = np.nonzero((scores >= enough[:, None]) & (own[:, None] != right.rid.to_numpy()[None]))
+        order = np.lexsort((ids[j], -scores[i, j], i))
+        i, j = i[order], j[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j = i[place < k], j[place < k]
+        return pd.DataFrame({"query": own[i], "query_id": left.vec_id.to_numpy()[i], "vec_id": ids[j], "score": scores[i, j]})
+
+    q = queries.select(F.col("q_block").alias("q"), "rid", "vec_id", "v", "floor").join(pairs, "q")
+    d = data.select(F.col("d_block").alias("d"), "rid", "vec_id", "v").join(pairs, "d")
+    return q.groupBy("q", "d").cogroup(d.groupBy("q", "d")).applyInPandas(search, "query long, query_id long, vec_id long, score long")
+
+
+def _with_floors(rows: DataFrame, k: int) -> DataFrame:
+    """The query rows with floor, the kth score that they reach in a sample of SAMPLE rows."""
+    some = rows.orderBy(F.xxhash64("rid"), "rid").limit(SAMPLE).select("rid", "v").collect()
+    by_length = {n: (np.array([r.v for r in some if len(r.v) == n]).reshape(-1, n), np.array([r.rid for r in some if len(r.v) == n])) for n in {len(r.v) for r in some}}
+    shared = rows.sparkSession.sparkContext.broadcast(by_length)  # SAMPLE vectors
+    schema = f"{ROW}, q_block string, floor double"
+
+    def floors(batches):
+        for pdf in batches:
+            out = np.full(len(pdf), -np.inf)
+            lengths = pdf.v.map(len).to_numpy()
+            for n in np.unique(lengths):
+                x, ids = shared.value.get(int(n), (np.empty((0, n)), np.empty(0)))
+                at = np.flatnonzero(lengths == n)
+                if len(x) > k:
+                    scores = products(_matrix(pdf.v.iloc[at]), x).astype(float)
+                    scores[pdf.rid.to_numpy()[at][:, None] == ids[None]] = -np.inf
+                    out[at] = np.partition(scores, -k, axis=1)[:, -k]
+            yield pdf.assign(floor=out)
+
+    return rows.where("asked").select("rid", "vec_id", "v", "asked", "q_block").mapInPandas(floors, schema)
+
+
+def surviving_pairs(tree: Tree, floors: DataFrame, scratch: Scratch) -> DataFrame:
+    """(q, d): pairs of blocks that may hold a score at or over the worst of the query block. floors(q_block, floor)."""
+    worst = scratch.keep(floors.groupBy(F.col("q_block").alias("block")).agg(F.min("floor").alias("worst")))
+    q_blocks = tree.q_blocks.join(worst, "block")
+    parts = F.split("cell", "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.concat_ws("/", F.slice(parts, 1, i)))
+    of_cell = q_blocks.select(F.explode(above).alias("cell"), "worst").groupBy("cell").agg(F.min("worst").alias("worst"))
+    q_nodes = tree.nodes.join(of_cell, "cell")
+    side = lambda df, *more: df.select(F.col(df.columns[0]).alias("at"), F.col(df.columns[1]).alias("next"), "center", "radius", *more)
+
+    def steps(nodes: DataFrame, blocks: DataFrame, *more: str) -> DataFrame:
+        """(at, next): from a node to its children and blocks, from a block to itself."""
+        cols = ["center", "radius", *more]
+        return side(nodes.select("parent", "cell", *cols), *more).unionByName(side(blocks.select("cell", "block", *cols), *more)).unionByName(side(blocks.select("block", F.col("block").alias("same"), *cols), *more))
+
+    q = scratch.keep(steps(q_nodes, q_blocks, "worst").select(F.col("at").alias("q"), F.col("next").alias("q2"), F.col("center").alias("qc"), F.col("radius").alias("qr"), "worst"))
+    d = scratch.keep(steps(tree.nodes, tree.d_blocks).select(F.col("at").alias("d"), F.col("next").alias("d2"), F.col("center").alias("dc"), F.col("radius").alias("dr")))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    norm = lambda a: F.sqrt(dot(a, a))
+    bound = dot("qc", "dc") + norm("qc") * F.col("dr") + norm("dc") * F.col("qr") + F.col("qr") * F.col("dr")
+    roots = F.instr("cell", "/") == F.length("parent") + 1
+    pairs = q_nodes.where(roots & ~F.contains("parent", F.lit("/"))).select(F.col("cell").alias("q"), F.col("cell").alias("d"))
+    for _ in range(tree.depth):
+        both = salted_join(salted_join(pairs, q, ["q"], salts=SALTS), d, ["d"], salts=SALTS)
+        pairs = scratch.keep(both.where(bound + 1e-9 * (1 + F.abs(bound)) >= F.col("worst")).select(F.col("q2").alias("q"), F.col("d2").alias("d")))
+    return pairs
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """vectors(vec_id, v: array<double> of whole numbers) -> query_id, rank, vec_id, score."""
     scratch = Scratch(vectors.sparkSession)
-    vectors = scratch.keep(vectors.where("vec_id is not null and v is not null").groupBy("vec_id").agg(F.min("v").alias("v")))
-    asked = vectors.where(is_query)
-    n, m = vectors.count(), asked.count()
-    data, d_nodes = _placed(vectors, _centers(vectors, min(PIVOTS, max(1, n // NODE))), NODE)
-    queries, q_nodes = _placed(asked, _centers(asked, min(PIVOTS, max(1, m // QUERY_NODE))), QUERY_NODE)
-    data, queries = scratch.keep(data.select("vec_id", "v", "node")), scratch.keep(queries.select("vec_id", "v", "node"))
-    # Node tables have a row for some hundred vectors. Their pairs within a length are dealt over SALTS groups.
-    right = d_nodes.select("dim", F.col("node").alias("d_node"), F.col("radius").alias("d_radius"), F.col("center").alias("d_center"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"))
-    left = q_nodes.select("dim", F.col("node").alias("q_node"), F.col("radius").alias("q_radius"), F.col("center").alias("q_center"), F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])).alias("salt"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda a: F.sqrt(dot(a, a))
-    pairs = left.join(right, ["dim", "salt"]).withColumn("middle", dot("q_center", "d_center"))
-    bound = F.col("middle") + norm("q_center") * F.col("d_radius") + norm("d_center") * F.col("q_radius") + F.col("q_radius") * F.col("d_radius")
-    pairs = scratch.keep(pairs.select("q_node", "d_node", "middle", (bound + 1e-9 * (1 + F.abs(bound))).alias("bound")))
-    first = W.partitionBy("q_node").orderBy(F.desc("middle"), "d_node")
-    seeds = scratch.keep(pairs.withColumn("r", F.row_number().over(first)).where("r = 1").select("q_node", "d_node"))
-    seeded = scratch.keep(_searched(seeds, queries.withColumn("floor", F.lit(float("-inf"))), data, k))
-    worst = seeded.groupBy("query_id").agg(F.min("score").cast("double").alias("kth"), F.count("*").alias("c")).where(F.col("c") == k).select(F.col("query_id").alias("vec_id"), "kth")
-    floored = scratch.keep(queries.join(worst, "vec_id", "left").select("vec_id", "v", "node", F.coalesce("kth", F.lit(float("-inf"))).alias("floor")))
-    limits = floored.groupBy(F.col("node").alias("q_node")).agg(F.min("floor").alias("worst"))
-    rest = pairs.join(seeds, ["q_node", "d_node"], "left_anti").join(limits, "q_node").where("bound >= worst").select("q_node", "d_node")
-    found = seeded.unionByName(_searched(scratch.keep(rest), floored, data, k))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    rows = vectors.where("vec_id is not null and v is not null").select(F.col("vec_id").cast("long"), "v", F.coalesce(is_query, F.lit(False)).alias("asked"))
+    rows = scratch.keep(rows.withColumn("rid", F.monotonically_increasing_id()).select("rid", "vec_id", "v", "asked"))
+    tree = tree_of(rows, scratch)
+    asked = scratch.keep(_with_floors(tree.rows, k))
+    # First each query block meets a block of its own cell.
+    seeds = scratch.keep(tree.q_blocks.select(F.col("block").alias("q"), "cell").join(tree.d_blocks.groupBy("cell").agg(F.min("block").alias("d")), "cell").select("q", "d"))
+    seeded = scratch.keep(_searched(seeds, asked, tree.rows, k))
+    kth = seeded.groupBy("query").agg(F.min("score").cast("double").alias("kth"), F.count("*").alias("c")).where(F.col("c") == k).select(F.col("query").alias("rid"), "kth")
+    asked = scratch.keep(asked.join(kth, "rid", "left").select("rid", "vec_id", "v", "asked", "q_block", F.greatest("floor", F.coalesce("kth", F.lit(float("-inf")))).alias("floor")))
+    rest = scratch.keep(surviving_pairs(tree, asked.select("q_block", "floor"), scratch).join(seeds, ["q", "d"], "left_anti"))
+    found = seeded.unionByName(_searched(rest, asked, tree.rows, k))
+    order = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -193,9 +246,9 @@ def op1_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql() -> str:
     return f"""
-WITH v AS (SELECT vec_id, min([floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding]) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 GROUP BY vec_id),
-s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.v, d.v) AS BIGINT) AS score FROM v q JOIN v d ON d.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.rid, q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.v, d.v) AS BIGINT) AS score FROM v q JOIN v d ON d.rid <> q.rid WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= {K}
 """

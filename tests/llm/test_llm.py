@@ -44,33 +44,57 @@ def test_query_equals_sql(spark, name):
 # 1: top-k
 
 
+def brute_top(rows, k=5):
+    """query id -> sorted lists of (rank, id, score), one a query row; rows: (id, vector)."""
+    out = {}
+    for a, (i, v) in enumerate(rows):
+        if i % 50 == 0:
+            best = sorted((-int(np.dot(v, w)), j) for b, (j, w) in enumerate(rows) if a != b and len(v) == len(w))[:k]
+            out.setdefault(i, []).append([(r + 1, j, -s) for r, (s, j) in enumerate(best)])
+    return {i: sorted(x) for i, x in out.items()}
+
+
+def found_top(df):
+    out = {}
+    for r in cover_tree.top_k(df, F.col("vec_id") % 50 == 0, 5).collect():
+        out.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    return {i: sorted(x) for i, x in out.items()}
+
+
 def test_top_k_equals_brute_force_with_ties_and_repeats(spark):
     rng = np.random.default_rng(4)
     x = rng.integers(-4, 5, size=(700, 6)).astype(float)
     x[300:520] = x[300]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5, x[5].tolist()), (900, None), (None, [1.0] * 6), (901, [2.0, 3.0])]
-    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
-    got = {}
-    for r in cover_tree.top_k(df, F.col("vec_id") % 50 == 0, 5).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    want = {}
-    for q in range(0, 700, 50):
-        best = sorted(((-int(x[q] @ x[j]), j) for j in range(700) if j != q))[:5]
-        want[q] = [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
-    assert {q: sorted(v) for q, v in got.items()} == want
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5, x[5].tolist()), (7, [9.0] * 6), (7, [8.0] * 6), (100, [7.0] * 6), (901, [2.0, 3.0])]
+    df = spark.createDataFrame([*rows, (900, None), (None, [1.0] * 6)], "vec_id long, v array<double>").withColumn("rid", F.lit("x")).withColumn("asked", F.lit(3))
+    assert found_top(df) == {i: sorted(z for one in lists for z in one) for i, lists in brute_top(rows).items()}
     assert cover_tree.top_k(df.where("vec_id < 0"), F.col("vec_id") % 50 == 0).count() == 0
+    few = spark.createDataFrame([(50, [1.0]), (51, [2.0])], "vec_id long, v array<double>")
+    assert found_top(few) == {50: [(1, 51, 2)]}
 
 
-def test_dual_search_prunes_nothing_it_needs():
+def test_tree_halves_radii_and_prunes_clusters(spark):
     rng = np.random.default_rng(8)
-    centers = rng.normal(size=(6, 5)) * 500
-    d = np.floor(centers[rng.integers(0, 6, 3000)] + rng.normal(size=(3000, 5)) * 20)
-    q = np.floor(centers[:3].repeat(20, 0) + rng.normal(size=(60, 5)) * 20)
-    got = cover_tree.dual_search(q, np.arange(60) + 10_000, np.full(60, -np.inf), d, np.arange(3000), 5)
-    for i in range(60):
-        s = (d @ q[i]).astype(int)
-        want = sorted(range(3000), key=lambda j: (-s[j], j))[:5]
-        assert sorted(j for a, j, _ in got if a == i + 10_000) == sorted(want)
+    centers = rng.normal(size=(40, 8)) * 3000
+    x = np.floor(centers[rng.integers(0, 40, 24_000)] + rng.normal(size=(24_000, 8)) * 30)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    scratch = Scratch(spark)
+    rows = scratch.keep(df.select(F.col("vec_id").alias("rid"), "vec_id", "v", (F.col("vec_id") % 50 == 0).alias("asked")))
+    tree = cover_tree.tree_of(rows, scratch)
+    assert tree.rows.count() == 24_000 and tree.d_blocks.agg(F.sum("n")).first()[0] == 24_000 and tree.q_blocks.agg(F.sum("n")).first()[0] == 480
+    cells = {r.cell: r for r in tree.nodes.collect()}
+    assert all(c.radius <= cells[c.parent].radius / 2 for c in cells.values() if c.parent in cells) and tree.depth > 3
+    best = np.sort(x[::50] @ x.T, axis=1)[:, -6]
+    floors = spark.createDataFrame([(50 * i, float(v)) for i, v in enumerate(best)], "rid long, floor double").join(tree.rows.where("asked"), "rid").select("q_block", "floor")
+    left = cover_tree.surviving_pairs(tree, floors, scratch)
+    sizes = left.join(tree.q_blocks.select(F.col("block").alias("q"), F.col("n").alias("nq")), "q").join(tree.d_blocks.select(F.col("block").alias("d"), F.col("n").alias("nd")), "d")
+    computed = sizes.agg(F.sum(F.col("nq") * F.col("nd"))).first()[0]
+    assert computed < 0.2 * 480 * 24_000
+    got = found_top(df)
+    for i in range(0, 480, 7):
+        s = x @ x[50 * i]
+        want = sorted((j for j in range(24_000) if j != 50 * i), key=lambda j: (-s[j], j))[:5]
+        assert [j for _, j, _ in got[50 * i]] == want
 
 
 def test_integral_and_large_products(spark):
