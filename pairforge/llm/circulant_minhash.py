@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm.tables import table, unused
+from pairforge.llm.tables import BROADCAST_IDS, table, unused
 from pairforge.llm.words import hashed, small
 from pairforge.operators.components import connected_components
 from pairforge.operators.neighbors import block_pairs
@@ -36,8 +36,6 @@ from pairforge.plans.scratch import Scratch
 WORDS, COORDINATES, ROWS, SMALL, PLACES = 5, 128, 4, 12, 256
 BANDS = COORDINATES // ROWS
 PERCENT = 75
-#: Up to so many ids a join sends them to all tasks (16 MB); beyond, both sides are shuffled.
-BROADCAST_IDS = 200_000
 
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)

@@ -8,7 +8,7 @@ always matches its own. A template in which fewer than SIMILAR percent of the to
 Lines that recur, as they are or by their template, are dropped from every document. Copies of one text count once, so a copied document
 does not lose its lines for being copied. A field's value that itself reaches the bar in its leaf makes a template of its own.
 
-Lines and texts are told apart by MD5 digests of 128 bits. Defined cases: null texts stay null with no lines; blank lines, and lines of
+Lines are told apart by two 64-bit hashes and their token count, texts by a hash and their length. Defined cases: null texts stay null with no lines; blank lines, and lines of
 <*> only, are kept; repeated rows are treated alike; ids may be null or repeat, as documents are told apart by their texts; very long texts and lines are
 read whole, in time that grows with their length; columns with the names of results are replaced, others stay; an empty table gives an empty result.
 """
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm.tables import table, unused
+from pairforge.llm.tables import meet, table, unused
 from pairforge.plans.joins import salted_join
 from pairforge.plans.scratch import Scratch
 
@@ -26,18 +26,14 @@ DEPTH, SIMILAR, MIN_TEXTS = 3, 70, 10
 LONG_WORDS, LONG_TEXTS = 20, 2
 
 
-def masked(line: Column) -> Column:
-    line = F.btrim(line, F.lit(" \t\r"))
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(line)
-
-
-def _digest(value: Column) -> Column:
-    return F.unhex(F.md5(value))
+def masked(text: Column) -> Column:
+    """Tokens that hold a digit as <*>, in all lines of a text at once."""
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(text, "[^ \\n]*[0-9][^ \\n]*", "<*>")).otherwise(text)
 
 
 def _constant(template: Column) -> Column:
     """Whether it holds more than variable fields."""
-    return F.trim(F.replace(template, F.lit("<*>"), F.lit(""))) != ""
+    return F.when(F.contains(template, F.lit("<*>")), F.trim(F.replace(template, F.lit("<*>"), F.lit(""))) != "").otherwise(template != "")
 
 
 def _bar(k: Column, min_texts: int, long_words: int | None) -> Column:
@@ -47,38 +43,47 @@ def _bar(k: Column, min_texts: int, long_words: int | None) -> Column:
     return F.when(k >= long_words, min(LONG_TEXTS, min_texts)).otherwise(min_texts)
 
 
+def _copy(text: Column) -> Column:
+    """What tells texts apart: a 64-bit hash and the length."""
+    return F.struct(F.xxhash64(text).alias("h"), F.length(text).alias("n"))
+
+
 def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(copy: the text's digest, pos, masked): lines that may recur."""
-    lines = docs.select(_digest(F.col(text)).alias("copy"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    return lines.select("copy", "pos", masked(F.col("line")).alias("masked")).where(_constant(F.col("masked")))
+    """(copy, pos, masked, m, leaf, k) of lines that may recur. leaf, k and m, the hashes of the path and of the line, tell lines apart."""
+    lines = docs.select(_copy(F.col(text)).alias("copy"), F.posexplode(F.split(masked(F.col(text)), "\n")).alias("pos", "line"))
+    lines = lines.select("copy", "pos", F.btrim("line", F.lit(" \t\r")).alias("masked")).where(_constant(F.col("masked")))
+    k = F.size(F.split("masked", " "))
+    return lines.select("copy", "pos", "masked", F.xxhash64("masked").alias("m"), F.xxhash64(F.substring_index("masked", " ", DEPTH)).alias("leaf"), k.alias("k"))
+
+
+LINE = ["leaf", "k", "m"]
 
 
 def recurring(docs: DataFrame, lines: DataFrame, scratch: Scratch, text: str = "text", min_texts: int = MIN_TEXTS, long_words: int | None = LONG_WORDS) -> DataFrame:
-    """(m: the digest of a masked line, template: null if the line recurs as it is, n_texts) of every line that recurs.
+    """(leaf, k, m, template: null if the line recurs as it is, n_texts) of every line that recurs.
 
-    lines(copy, pos, m, leaf, k): those of docs, as drop_templates keeps them. Only lines that need a template are read as texts again.
+    lines: those of docs without masked, as drop_templates keeps them. Only lines that need a template are read as texts again.
     """
     bar = _bar(F.col("k"), min_texts, long_words)
-    own = scratch.keep(lines.select("leaf", "k", "m", "copy").distinct().groupBy("leaf", "k", "m").agg(F.count("*").alias("n")))
+    own = scratch.keep(lines.select(*LINE, "copy").distinct().groupBy(*LINE).agg(F.count("*").alias("n")))
     rest = own.where(F.col("n") < bar)
     # A leaf that all these lines together leave short of its bar has no template.
     leaves = rest.groupBy("leaf", "k").agg(F.sum("n").alias("w"), F.count("*").alias("kinds")).where((F.col("w") >= bar) & (F.col("kinds") > 1))
-    near = scratch.keep(salted_join(rest, leaves.select("leaf", "k"), ["leaf", "k"]))
-    seen = lines_of(docs, text).select(_digest(F.col("masked")).alias("m"), "masked")
-    near = scratch.keep(salted_join(seen, near, ["m"]).groupBy("m").agg(*[F.first(c).alias(c) for c in ("masked", "leaf", "k", "n")]))
-    tokens = near.select("m", "leaf", "k", "n", F.posexplode(F.split("masked", " ")).alias("pos", "token"))
-    stay = tokens.groupBy("leaf", "k", "pos", "token").agg(F.sum("n").alias("w")).where(F.col("w") >= bar).select("leaf", "k", "pos", "token", F.lit(1).alias("same"))
-    words = salted_join(tokens, stay, ["leaf", "k", "pos", "token"], "left")
+    near = scratch.keep(meet(rest, scratch.keep(leaves.select("leaf", "k")), ["leaf", "k"]))
+    near = scratch.keep(meet(lines_of(docs, text).select(*LINE, "masked"), near, LINE).groupBy(*LINE).agg(F.first("masked").alias("masked"), F.first("n").alias("n")))
+    tokens = near.select(*LINE, "n", F.posexplode(F.split("masked", " ")).alias("pos", "token")).withColumn("at", F.xxhash64("leaf", "k", "pos", "token"))
+    stay = scratch.keep(tokens.groupBy("at").agg(F.sum("n").alias("w"), F.first("k").alias("k")).where(F.col("w") >= bar).select("at", F.lit(1).alias("same")))
+    words = meet(tokens, stay, ["at"], "left")
     word = F.struct("pos", F.when(F.col("same") == 1, F.col("token")).otherwise("<*>").alias("word"))
-    shaped = words.groupBy("m", "k", "n").agg(F.count("same").alias("same"), F.array_sort(F.collect_list(word)).alias("words"))
-    named = shaped.where(F.lit(100) * F.col("same") >= SIMILAR * F.col("k")).select("m", "k", "n", F.concat_ws(" ", F.transform("words", lambda x: x["word"])).alias("template"))
-    named = scratch.keep(named.where(_constant(F.col("template"))).withColumn("t", _digest(F.col("template"))))
+    shaped = words.groupBy(*LINE, "n").agg(F.count("same").alias("same"), F.array_sort(F.collect_list(word)).alias("words"))
+    named = shaped.where(F.lit(100) * F.col("same") >= SIMILAR * F.col("k")).select(*LINE, "n", F.concat_ws(" ", F.transform("words", lambda x: x["word"])).alias("template"))
+    named = scratch.keep(named.where(_constant(F.col("template"))).withColumn("t", F.xxhash64("template")))
     # A text may hold several lines of one template; it counts once.
-    bound = named.groupBy("t", "k").agg(F.sum("n").alias("most")).where(F.col("most") >= bar).select("t")
-    named = scratch.keep(salted_join(named, bound, ["t"]))
-    exact = salted_join(lines.select("m", "copy"), named.select("m", "t", "k"), ["m"]).select("t", "k", "copy").distinct().groupBy("t", "k").agg(F.count("*").alias("n_texts"))
-    found = salted_join(named.select("m", "t", "template"), exact.where(F.col("n_texts") >= bar).drop("k"), ["t"]).select("m", "template", "n_texts")
-    as_is = own.where(F.col("n") >= bar).select("m", F.lit(None).cast("string").alias("template"), F.col("n").alias("n_texts"))
+    bound = named.groupBy("leaf", "k", "t").agg(F.sum("n").alias("most")).where(F.col("most") >= bar).select("leaf", "k", "t")
+    named = scratch.keep(salted_join(named, bound, ["leaf", "k", "t"]))
+    exact = meet(lines.select(*LINE, "copy"), named.select(*LINE, "t"), LINE).select("leaf", "k", "t", "copy").distinct().groupBy("leaf", "k", "t").agg(F.count("*").alias("n_texts"))
+    found = salted_join(named, exact.where(F.col("n_texts") >= bar), ["leaf", "k", "t"]).select(*LINE, "template", "n_texts")
+    as_is = own.where(F.col("n") >= bar).select(*LINE, F.lit(None).cast("string").alias("template"), F.col("n").alias("n_texts"))
     return scratch.keep(as_is.unionByName(found))
 
 
@@ -86,15 +91,13 @@ def drop_templates(docs: DataFrame, text: str = "text", min_texts: int = MIN_TEX
     """docs with the recurring lines cut out of text; adds, or replaces, n_lines and n_dropped (long). long_words None: one bar for all lengths."""
     docs = docs.drop("n_lines", "n_dropped")
     scratch = Scratch(docs.sparkSession)
-    tokens = F.split("masked", " ")
-    lines = lines_of(docs, text).select("copy", "pos", _digest(F.col("masked")).alias("m"), F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH)).alias("leaf"), F.size(tokens).alias("k"))
-    lines = scratch.keep(lines)
-    bad = recurring(docs, lines, scratch, text, min_texts, long_words).select("m")
-    # Lines meet the recurring ones by digest: a line's text does not travel. What is dropped grows with the corpus, so no broadcast.
+    lines = scratch.keep(lines_of(docs, text).drop("masked"))
+    bad = recurring(docs, lines, scratch, text, min_texts, long_words)
+    # Lines meet the recurring ones by hash: a line's text does not travel.
     copy, dropped = unused(docs, "copy", "dropped")
-    hit = scratch.keep(salted_join(lines.select("copy", "pos", "m"), bad, ["m"], hint="merge").select("copy", "pos").distinct())
-    gone = hit.groupBy("copy").agg(F.collect_list("pos").alias(dropped)).withColumnRenamed("copy", copy)
-    joined = salted_join(docs.withColumn(copy, _digest(F.col(text))), gone, [copy], "left", hint="merge").drop(copy)
+    hit = meet(lines.select("copy", "pos", *LINE), bad.select(*LINE), LINE).select("copy", "pos")
+    gone = hit.groupBy("copy").agg(F.collect_set("pos").alias(dropped)).withColumnRenamed("copy", copy)
+    joined = salted_join(docs.withColumn(copy, _copy(F.col(text))), gone, [copy], "left", hint="merge").drop(copy)
     parts, gone = F.split(text, "\n"), F.coalesce(dropped, F.array().cast("array<int>"))
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)  # by hashing, so in linear time
     kept = F.concat_ws("\n", F.element_at(F.transform(F.array(parts), lambda all_: F.transform(left, lambda i: all_[i])), 1))

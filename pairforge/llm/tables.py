@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairforge.plans.joins import salted_join
+
+#: Up to so many rows of numbers a join sends its right side to all tasks (some 20 MB); beyond, both sides are shuffled.
+BROADCAST_IDS = 200_000
+
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -31,3 +36,10 @@ def unused(df: DataFrame, *names: str) -> list[str]:
         out.append(name)
         taken.add(name.lower())
     return out
+
+
+def meet(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """left join right on `on`; right: a kept table of numbers. It goes to all tasks while it is small, else left's hot keys are salted."""
+    if right.count() <= BROADCAST_IDS:
+        return left.join(F.broadcast(right), on, how)
+    return salted_join(left, right, on, how, hint="merge")
