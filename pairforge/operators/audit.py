@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairforge.operators.components import connected_components
 from pairforge.operators.neighbors import directed
+from pairforge.plans.joins import salted_join
 
 
 def audit(edges: DataFrame, membership: DataFrame, min_neighbors: int) -> DataFrame:
@@ -46,7 +47,19 @@ def density_relations(pairs: DataFrame, membership: DataFrame) -> DataFrame:
 
 
 def difference(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(side, members): clusters, as sorted member lists, that only one of two clusterings has. No rows: they are equal."""
-    sets = lambda m: m.groupBy("cluster_id").agg(F.array_sort(F.collect_set("iso_id")).alias("members")).select("members").distinct()
-    a, b = sets(first), sets(second)
-    return a.exceptAll(b).select(F.lit("first").alias("side"), "members").unionByName(b.exceptAll(a).select(F.lit("second").alias("side"), "members"))
+    """(side, cluster_id, iso_id): the members of clusters that only one of two clusterings has, as a set. No rows: they are equal.
+
+    Clusters are compared by their size and two order-free 64-bit digests of their members; no cluster is gathered.
+    """
+
+    def digests(m: DataFrame) -> DataFrame:
+        two = [F.bit_xor(F.xxhash64(F.lit(k), F.col("iso_id"))).alias(f"d{k}") for k in (1, 2)]
+        return m.select("cluster_id", "iso_id").distinct().groupBy("cluster_id").agg(F.count("*").alias("size"), *two)
+
+    a, b, key = digests(first), digests(second), ["size", "d1", "d2"]
+
+    def only(side: str, own: DataFrame, other: DataFrame, members: DataFrame) -> DataFrame:
+        apart = own.join(other.select(key), key, "left_anti").select("cluster_id")
+        return salted_join(members.select("cluster_id", "iso_id").distinct(), apart, ["cluster_id"]).select(F.lit(side).alias("side"), "cluster_id", "iso_id")
+
+    return only("first", a, b, first).unionByName(only("second", b, a, second))

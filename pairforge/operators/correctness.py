@@ -21,14 +21,14 @@ def threshold_correctness(points: DataFrame, membership: DataFrame, near: DataFr
     """One row: correct_ds, correct_dd, mean, tc_score, squishy_ratio; null where a denominator is 0.
 
     near(a, b, pearson) holds all pairs above beta in every region. With alpha > beta every other pair is DD, so DD pairs
-    are counted from the totals and never made. membership(cluster_ord, iso_id); an entity's last cluster counts.
+    are counted from the totals and never made. membership(cluster_id, iso_id); an entity's last cluster counts.
     """
     if any(a <= b for a, b in zip(alphas, betas, strict=True)):
         raise ValueError("every alpha has to exceed its beta")
     one = F.lit(1).alias("_k")
-    home = cluster_map(membership).select("iso_id", "cluster_ord")
+    home = cluster_map(membership).select("iso_id", "cluster_id")
     rows = near.select("a", "b", pair_class(F.col("pearson"), alphas, betas).alias("kind")).where("kind != 'DD'")
-    sides = [home.select(F.col("iso_id").alias(x), F.col("cluster_ord").alias(f"c{x}")) for x in "ab"]
+    sides = [home.select(F.col("iso_id").alias(x), F.col("cluster_id").alias(f"c{x}")) for x in "ab"]
     rows = rows.join(sides[0], "a", "left").join(sides[1], "b", "left").withColumn("same", F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)))
     counts = rows.agg(
         F.count_if(F.col("kind") == "DS").alias("ds"),
@@ -36,7 +36,7 @@ def threshold_correctness(points: DataFrame, membership: DataFrame, near: DataFr
         F.count_if(F.col("kind") == "squishy").alias("squishy"),
         F.count_if(F.col("same")).alias("same_near"),
     ).select("*", one)
-    inside = home.join(points.select("iso_id"), "iso_id", "left_semi").groupBy("cluster_ord").agg(F.count("*").alias("n"))
+    inside = home.join(points.select("iso_id"), "iso_id", "left_semi").groupBy("cluster_id").agg(F.count("*").alias("n"))
     same = inside.agg(F.coalesce(F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("long")), F.lit(0)).alias("same")).select("*", one)
     total = points.agg((F.count("*") * (F.count("*") - 1) / 2).cast("long").alias("total")).select("*", one)
     t = counts.join(same, "_k").join(total, "_k").withColumn("dd", F.col("total") - F.col("ds") - F.col("squishy"))

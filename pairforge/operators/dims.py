@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pairforge.functions.vectors import projection
+from pairforge.plans.scratch import Scratch
 
 
 def exploded(profiles: DataFrame, *keys: str) -> DataFrame:
@@ -36,7 +37,8 @@ def split_planes(profiles: DataFrame, dims_per_split: int) -> DataFrame:
     """(region, round, rank, dim, coefficient): in every round the unused dimensions with the highest std * |correlation| with the
     main one, until none is left. Rounds are at most dims / dims_per_split, over a table of a row for each dimension.
     """
-    stats = dim_profile(profiles).select("region", "dim", "std").cache()
+    stats = dim_profile(profiles).select("region", "dim", "std")
+    stats = Scratch(profiles.sparkSession).keep(stats)
     unused, out, turn = stats, None, 0
     while not unused.isEmpty():
         mains = main_dims(unused)

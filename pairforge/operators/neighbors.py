@@ -1,9 +1,9 @@
 """Exact similarity joins of multi-block vectors.
 
-Entities are dealt to cells, a cell's sides are cut into sub-blocks of at most BLOCK rows, and a task gets one pair of sub-blocks,
-for which it computes one matrix product a region, the later regions only for pairs that the earlier ones left.
-Cells come from unit-norm projections: |proj(a) - proj(b)| <= distance(a, b), so with cells as wide as the radius only
-adjacent cells can hold neighbours, and nothing is lost. A cell that holds a third of all rows gives many sub-blocks, not one large task.
+Entities are dealt to the cells of PIVOTS pivots at most, chosen farthest-first from a bounded sample (which decides the cells, not what is found); a cell
+is cut into blocks of about BLOCK rows by the distance from its pivot. By the triangle inequality, two blocks whose distances from their pivots leave no
+pair within the radius in some region never meet. A task gets one pair of blocks that is left, for which it computes one matrix product a region,
+the later regions only for pairs that the earlier ones left. A cell that holds a third of all rows gives many blocks, not one large task.
 """
 
 from __future__ import annotations
@@ -12,12 +12,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.functions.vectors import projection
+from pairforge.plans.scratch import Scratch
 
 BLOCK = 1024
+PIVOTS, SAMPLE, ROWS_A_PIVOT, RINGS = 256, 2048, 256, 64
 #: Distances this near to a radius, relatively, are computed again from the difference itself.
 BAND = 1e-9
 
@@ -58,19 +60,73 @@ def within(a: list[np.ndarray], b: list[np.ndarray], radii: list[float]) -> tupl
     return i, j
 
 
-def _cells(n_regions: int, sizes: list[int], radii: list[float]) -> list[Column]:
-    """The cell of each region's projection: all of its elements, with signs from a fixed rule."""
-    out = []
-    for k in range(n_regions):
-        signs = [1.0 if bin(d * 2654435761 % 2**32).count("1") % 2 else -1.0 for d in range(sizes[k])]
-        key = projection(F.col("z")[k], list(range(sizes[k])), signs, unit=True)
-        out.append(F.floor(key / F.lit(radii[k] * (1 + BAND) + BAND)))
-    return out
+def _units(x: list[np.ndarray], center: list[np.ndarray], radii: list[float]) -> np.ndarray:
+    """The largest distance from a centre over the regions, in radii."""
+    return np.max([np.sqrt(((v - c) ** 2).sum(1)) / max(r, 1e-300) for v, c, r in zip(x, center, radii, strict=True)], axis=0)
 
 
-def _next_to(steps: Column) -> Callable[[Column], Column]:
-    """A cell's name so far -> its names with each of the steps."""
-    return lambda name: F.transform(steps, lambda s: F.when(name == "", s).otherwise(F.concat(name, F.lit(":"), s)))
+def _pivots(points: DataFrame, radii: list[float], n: int) -> list[np.ndarray]:
+    """Farthest-first centres, of a sample: one matrix a region."""
+    x = _matrices(pd.Series([r.z for r in points.orderBy(F.xxhash64("iso_id"), "iso_id").limit(SAMPLE).select("z").collect()]))
+    if not x:
+        return []
+    chosen = [0]
+    away = _units(x, [v[0] for v in x], radii)
+    while len(chosen) < min(n, len(x[0])) and away.max() > 0:
+        chosen.append(int(away.argmax()))
+        away = np.minimum(away, _units(x, [v[chosen[-1]] for v in x], radii))
+    return [v[chosen] for v in x]
+
+
+def _placed(rows: DataFrame, pivots: Broadcast, radii: list[float]) -> DataFrame:
+    """rows with cell, the nearest pivot, and away, the distance from it in each region."""
+    kinds = dict(rows.dtypes)
+
+    def place(batches):
+        for pdf in batches:
+            x = _matrices(pdf.z)
+            cell, best = np.zeros(len(pdf), np.int64), np.full(len(pdf), np.inf)
+            for k in range(len(pivots.value[0]) if len(pdf) else 0):
+                d = _units(x, [c[k] for c in pivots.value], radii)
+                cell[d < best] = k
+                best = np.minimum(best, d)
+            away = [np.sqrt(((v - c[cell]) ** 2).sum(1)) for v, c in zip(x, pivots.value, strict=True)] if len(pdf) else []
+            yield pdf.assign(cell=cell, away=pd.Series(list(np.stack(away, 1)) if away else [], dtype=object))
+
+    return rows.mapInPandas(place, f"iso_id {kinds['iso_id']}, z {kinds['z']}, cell long, away array<double>")
+
+
+def _blocked(placed: DataFrame, block: int) -> DataFrame:
+    """placed with part: a cell of more than `block` rows is cut into rings by the distance in the first region, a ring that is still too large by a hash."""
+    grid = [i / RINGS for i in range(1, RINGS)]
+    cuts = placed.groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx(F.col("away")[0], grid).alias("cuts"))
+    ring = F.size(F.filter("cuts", lambda c: c < F.col("away")[0])) * F.least(F.lit(RINGS), F.ceil(F.col("n") / block)) / RINGS
+    ringed = placed.join(F.broadcast(cuts), "cell").withColumn("ring", F.floor(ring)).drop("cuts", "n")  # PIVOTS rows at most
+    sizes = ringed.groupBy("cell", "ring").agg(F.ceil(F.count("*") / block).alias("parts"))
+    part = F.concat_ws(":", "cell", "ring", F.pmod(F.xxhash64("iso_id"), F.col("parts")))
+    return ringed.join(F.broadcast(sizes), ["cell", "ring"]).withColumn("part", part).drop("ring", "parts")  # PIVOTS * RINGS rows at most
+
+
+def near_blocks(left: DataFrame, right: DataFrame, pivots: list[np.ndarray], radii: list[float], once: bool) -> DataFrame:
+    """(pa, pb): pairs of blocks that may hold entities within the radii. once: both sides are one table, each pair comes one way round.
+
+    With D between two pivots, and distances from its own pivot in [lo, hi] in each block, no pair is nearer than D - hi - hi', lo - D - hi' or lo' - D - hi.
+    """
+
+    def blocks(rows: DataFrame, x: str) -> DataFrame:
+        each = [F.min(F.col("away")[k]).alias(f"lo{k}") for k in range(len(radii))] + [F.max(F.col("away")[k]).alias(f"hi{k}") for k in range(len(radii))]
+        return rows.groupBy("cell", "part").agg(*each).select(F.col("cell").alias(f"c{x}"), F.col("part").alias(f"p{x}"), *[F.col(f"{e}{k}").alias(f"{e}{x}{k}") for e in ("lo", "hi") for k in range(len(radii))])
+
+    n = len(pivots[0])
+    apart = [np.sqrt(((c[:, None] - c[None]) ** 2).sum(2)) for c in pivots]
+    spark = left.sparkSession
+    between = spark.createDataFrame([(i, j, [float(d[i, j]) for d in apart]) for i in range(n) for j in range(n)], "ca long, cb long, apart array<double>")  # PIVOTS^2 rows at most
+    both = blocks(left, "a").join(F.broadcast(between), "ca").join(blocks(right, "b"), "cb")
+    ok = F.col("pa") <= F.col("pb") if once else F.lit(True)
+    for k, r in enumerate(radii):
+        d, la, ha, lb, hb = F.col("apart")[k], *[F.col(f"{e}{x}{k}") for x in "ab" for e in ("lo", "hi")]
+        ok = ok & (F.greatest(d - ha - hb, la - d - hb, lb - d - ha) <= F.lit(r * (1 + 1e-6) + 1e-6))
+    return both.where(ok).select("pa", "pb")
 
 
 def similar_pairs(points: DataFrame, queries: DataFrame | None, radii: list[float], sizes: list[int], block: int = BLOCK) -> DataFrame:
@@ -78,14 +134,17 @@ def similar_pairs(points: DataFrame, queries: DataFrame | None, radii: list[floa
 
     Without queries: unordered pairs, a < b. With queries(iso_id, z): a is the query, b any other entity within the radii.
     """
-    n = len(radii)
-    cells = _cells(n, sizes, radii)
-    home = points.select("iso_id", "z", F.concat_ws(":", *cells).alias("cell"))
-    around: Column = F.array(F.lit(""))
-    for c in cells:
-        around = F.flatten(F.transform(around, _next_to(F.array(*[(c + s).cast("string") for s in (-1, 0, 1)]))))
-    visitors = (points if queries is None else queries).select("iso_id", "z", F.explode(around).alias("cell"))
-    once = queries is None
+    kind, once = dict(points.dtypes)["iso_id"], queries is None
+    schema = f"a {kind}, b {kind}, pearson array<double>"
+    spark, scratch = points.sparkSession, Scratch(points.sparkSession)
+    points = scratch.keep(points.select("iso_id", "z"))
+    pivots = _pivots(points, radii, min(PIVOTS, -(-points.count() // ROWS_A_PIVOT)))
+    if not pivots:
+        return spark.createDataFrame([], schema)
+    shared = spark.sparkContext.broadcast(pivots)
+    home = scratch.keep(_blocked(_placed(points, shared, radii), block))
+    visitors = home if once else scratch.keep(_blocked(_placed(queries.select("iso_id", "z"), shared, radii), block))
+    pairs = scratch.keep(near_blocks(home, visitors, pivots, radii, once))
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -93,14 +152,15 @@ def similar_pairs(points: DataFrame, queries: DataFrame | None, radii: list[floa
         x, y = _matrices(left.z), _matrices(right.z)
         i, j = within(x, y, radii)
         la, rb = left.iso_id.to_numpy()[i], right.iso_id.to_numpy()[j]
-        keep = la < rb if once else la != rb
+        keep = la < rb if once and left.pa.iloc[0] == left.pb.iloc[0] else la != rb
         i, j, la, rb = i[keep], j[keep], la[keep], rb[keep]
-        p = np.stack([(u[i] * v[j]).sum(1) / s for u, v, s in zip(x, y, sizes, strict=True)], 1) if len(i) else np.empty((0, n))
-        a, b = (la, rb) if once else (rb, la)
+        p = np.stack([(u[i] * v[j]).sum(1) / s for u, v, s in zip(x, y, sizes, strict=True)], 1) if len(i) else np.empty((0, len(radii)))
+        a, b = (np.where(la < rb, la, rb), np.where(la < rb, rb, la)) if once else (rb, la)
         return pd.DataFrame({"a": a, "b": b, "pearson": pd.Series(list(p), dtype=object)})
 
-    kind = dict(points.dtypes)["iso_id"]
-    return block_pairs(home, visitors, work, f"a {kind}, b {kind}, pearson array<double>", block)
+    left = home.select("iso_id", "z", F.col("part").alias("pa")).join(pairs, "pa")
+    right = visitors.select(F.col("iso_id").alias("iso_id"), F.col("z").alias("z"), F.col("part").alias("pb")).join(pairs, "pb")
+    return left.groupBy("pa", "pb").cogroup(right.groupBy("pa", "pb")).applyInPandas(lambda u, v: work(u, v), schema)
 
 
 def directed(edges: DataFrame) -> DataFrame:
@@ -119,19 +179,20 @@ def average_neighbours(points: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def compare_neighbours(points: DataFrame, found: DataFrame, correct: DataFrame) -> DataFrame:
-    """One row: queries, correct, non_empty, non_empty_correct, extra, missing, for two directed edge tables (src, dst)."""
-    f = found.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("f"))
-    c = correct.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("c"))
-    both = points.select(F.col("iso_id").alias("src")).join(f, "src", "left").join(c, "src", "left")
-    n = lambda x, y: F.size(F.array_except(x, y))
-    none = F.array().cast(dict(f.dtypes)["f"])
-    both = both.select(F.coalesce("f", none).alias("f"), F.coalesce("c", none).alias("c"))
-    same = F.col("f") == F.col("c")
-    return both.agg(
+    """One row: queries, correct, non_empty, non_empty_correct, extra, missing, for two directed edge tables (src, dst).
+
+    Edges are compared one by one and counted by query, so no query's neighbours are gathered.
+    """
+    f = found.select("src", "dst").distinct().withColumn("f", F.lit(1))
+    c = correct.select("src", "dst").distinct().withColumn("c", F.lit(1))
+    edges = f.join(c, ["src", "dst"], "full").groupBy("src").agg(F.count("f").alias("f"), F.count("c").alias("c"), F.count_if(F.col("f").isNotNull() & F.col("c").isNotNull()).alias("both"))
+    per = points.select(F.col("iso_id").alias("src")).join(edges, "src", "left").na.fill(0, ["f", "c", "both"])
+    same = (F.col("f") == F.col("both")) & (F.col("c") == F.col("both"))
+    return per.agg(
         F.count("*").alias("queries"),
         F.count_if(same).alias("correct"),
-        F.count_if(F.size("f") > 0).alias("non_empty"),
-        F.count_if(same & (F.size("f") > 0)).alias("non_empty_correct"),
-        F.coalesce(F.sum(n("f", "c")), F.lit(0)).cast("long").alias("extra"),
-        F.coalesce(F.sum(n("c", "f")), F.lit(0)).cast("long").alias("missing"),
+        F.count_if(F.col("f") > 0).alias("non_empty"),
+        F.count_if(same & (F.col("f") > 0)).alias("non_empty_correct"),
+        F.coalesce(F.sum(F.col("f") - F.col("both")), F.lit(0)).cast("long").alias("extra"),
+        F.coalesce(F.sum(F.col("c") - F.col("both")), F.lit(0)).cast("long").alias("missing"),
     )

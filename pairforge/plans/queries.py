@@ -1,7 +1,7 @@
 """Queries over the shared tables, one an operator or more, and the SQL that states the same results.
 
 Entities are the rows of embeddings: region A is elements 1-32, region B 33-64, each z-scored. Replicates take
-iso_id = vec_id % 30, and a print is erroneous if vec_id % 11 = 0, unknown if vec_id % 13 = 0. Doubles are rounded to 6 places.
+iso_id = vec_id // 16, and a print is erroneous if vec_id % 11 = 0, unknown if vec_id % 13 = 0. Doubles are rounded to 6 places.
 """
 
 from __future__ import annotations
@@ -78,7 +78,7 @@ def _event_prints(spark: SparkSession, d: str) -> DataFrame:
 
 def _prints(spark: SparkSession, d: str) -> DataFrame:
     bad = F.when(F.col("iso_id") % 13 != 0, F.col("iso_id") % 11 == 0)
-    one = _raw(spark, d).select(F.col("iso_id").alias("print_id"), (F.col("iso_id") % 30).alias("iso_id"), bad.alias("is_erroneous"))
+    one = _raw(spark, d).select(F.col("iso_id").alias("print_id"), F.floor(F.col("iso_id") / 16).alias("iso_id"), bad.alias("is_erroneous"))
     return one.withColumn("region", F.explode(F.array(*[F.lit(r) for r in REGIONS])))
 
 
@@ -98,10 +98,6 @@ def _r(*names: str) -> list[Column]:
     return [F.round(n, 6).alias(n) for n in names]
 
 
-def _rounded_array(c: str) -> Column:
-    return F.transform(c, lambda x: F.round(x, 6))
-
-
 def latest_print(spark: SparkSession, d: str) -> DataFrame:
     return pr.newest_valid(_event_prints(spark, d)).select("iso_id", "region", "print_id")
 
@@ -185,12 +181,12 @@ def cluster_size_hist(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cluster_map(spark: SparkSession, d: str) -> DataFrame:
-    return cmp.cluster_map(cmp.ordinals(_sevens(spark, d))).select("iso_id", F.col("cluster_ord").cast("long").alias("cluster_ord"), "extra")
+    return cmp.cluster_map(_sevens(spark, d))
 
 
 def _counts(spark: SparkSession, d: str, overlap: str) -> DataFrame:
     iso = _raw(spark, d).select("iso_id")
-    return cmp.pair_counts(iso, cmp.ordinals(_labelled(spark, d)), cmp.ordinals(_sevens(spark, d)), overlap)
+    return cmp.pair_counts(iso, _labelled(spark, d), _sevens(spark, d), overlap)
 
 
 def pair_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -209,7 +205,7 @@ def pair_classes(spark: SparkSession, d: str) -> DataFrame:
 
 def threshold_correctness(spark: SparkSession, d: str) -> DataFrame:
     near = _near(spark, d, BETA).where("pearson[0] > 0.2 and pearson[1] > 0.2")
-    out = cor.threshold_correctness(_points(spark, d), cmp.ordinals(_labelled(spark, d)), near, [ALPHA] * 2, [BETA] * 2)
+    out = cor.threshold_correctness(_points(spark, d), _labelled(spark, d), near, [ALPHA] * 2, [BETA] * 2)
     return out.select(*_r("correct_ds", "correct_dd", "mean", "tc_score", "squishy_ratio"))
 
 
@@ -218,8 +214,13 @@ def intra_pearsons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def inter_slots(spark: SparkSession, d: str) -> DataFrame:
-    expected = ks.expected_sample(_replicates(spark, d))
-    return ks.inter_slots(_labelled(spark, d), _points(spark, d), REGIONS, expected).groupBy("c1", "c2", "region").agg(F.sum("n").alias("n"))
+    """Pairs between clusters by how many replicate similarities lie below theirs (lt) and not above it (le)."""
+    return ks.inter_pearsons(_labelled(spark, d), _points(spark, d), REGIONS, ks.expected_sample(_replicates(spark, d)))
+
+
+def inter_pearsons(spark: SparkSession, d: str) -> DataFrame:
+    found = ks.inter_pearsons(_labelled(spark, d), _points(spark, d), REGIONS)
+    return found.groupBy("c1", "c2", "region", *_r("pearson")).agg(F.sum("n").alias("n"))
 
 
 def distribution_similarity(spark: SparkSession, d: str) -> DataFrame:
@@ -233,8 +234,7 @@ def distribution_correctness(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cluster_ks(spark: SparkSession, d: str) -> DataFrame:
-    m = _labelled(spark, d)
-    return ks.cluster_ks(_intra(spark, d, m), m, ks.expected_sample(_replicates(spark, d)))
+    return ks.cluster_ks(_labelled(spark, d), _points(spark, d), REGIONS, ks.expected_sample(_replicates(spark, d)))
 
 
 def cluster_ks(spark: SparkSession, d: str) -> DataFrame:
@@ -250,15 +250,13 @@ def cluster_ks_describe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def paired_ks_describe(spark: SparkSession, d: str) -> DataFrame:
-    m, expected = _labelled(spark, d), ks.expected_sample(_replicates(spark, d))
-    between = Scratch(spark).keep(ks.inter_slots(m, _points(spark, d), REGIONS, expected))
-    return _described(ks.paired_ks(_intra(spark, d, m), between, m, expected))
+    return _described(ks.paired_ks(_labelled(spark, d), _points(spark, d), REGIONS, ks.expected_sample(_replicates(spark, d))))
 
 
 def beta_ks(spark: SparkSession, d: str) -> DataFrame:
     """Similarities, moved to [0, 1], against a beta distribution."""
     sample = _intra(spark, d, _labelled(spark, d)).select("region", ((F.col("pearson") + 1) / 2).alias("pearson"))
-    return ks.beta_ks(sample, *BETA_SHAPE).select("region", "n", *_r("d"))
+    return ks.beta_ks(sample, *BETA_SHAPE).select("region", "n", *_r("d", "p"))
 
 
 def _csv_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -285,9 +283,9 @@ def import_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def id_list_diff(spark: SparkSession, d: str) -> DataFrame:
-    """A list line for each label; every entry quoted and padded."""
+    """List lines of a label's entries, 64 ids at most in one; every entry quoted and padded."""
     rows = _raw(spark, d).where("iso_id % 4 != 1 and label is not null")
-    line = rows.groupBy("label").agg(F.concat_ws(",", F.collect_list(F.concat(F.lit(" 'I"), F.col("iso_id") + 5, F.lit("' ")))).alias("line"))
+    line = rows.groupBy("label", F.floor(F.col("iso_id") / 64)).agg(F.concat_ws(",", F.collect_list(F.concat(F.lit(" 'I"), F.col("iso_id") + 5, F.lit("' ")))).alias("line"))
     return lists.list_difference(_known(spark, d), lists.id_list(line))
 
 
@@ -309,7 +307,7 @@ def clustering_equal(spark: SparkSession, d: str) -> DataFrame:
     link = Scratch(spark).keep(db.single_link(edges))
     out = au.difference(db.dbscan(edges, 1), link).select(F.lit(1).alias("min_neighbors"), "*")
     out = out.unionByName(au.difference(db.dbscan(edges, MIN_NEIGHBORS), link).select(F.lit(MIN_NEIGHBORS).alias("min_neighbors"), "*"))
-    return out.select("min_neighbors", "side", F.size("members").cast("long").alias("size"), F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
+    return out
 
 
 def dim_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -322,7 +320,7 @@ def dim_correlation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dim_topk(spark: SparkSession, d: str) -> DataFrame:
-    return dm.split_planes(_profiles(spark, d), 10).where("round = 0").select("region", "rank", "dim", *_r("coefficient"))
+    return dm.split_planes(_profiles(spark, d), 10).select("region", "round", "rank", "dim", *_r("coefficient"))
 
 
 def bounding_boxes(spark: SparkSession, d: str) -> DataFrame:
@@ -350,7 +348,7 @@ def region_parameters(spark: SparkSession, d: str) -> DataFrame:
 
 _NAMES = """latest_print complete_isolates replicate_groups zscore_profiles profile_build replicate_pairs replicate_counts neighbor_pairs neighbor_degree range_query
 neighbor_compare dbscan_membership single_link noise cluster_overlaps cluster_stats cluster_size_hist cluster_map pair_counts similarity_indexes pair_classes
-threshold_correctness intra_pearsons inter_slots distribution_similarity distribution_correctness cluster_ks cluster_ks_describe paired_ks_describe beta_ks
+threshold_correctness intra_pearsons inter_slots inter_pearsons distribution_similarity distribution_correctness cluster_ks cluster_ks_describe paired_ks_describe beta_ks
 import_clusters id_list_diff cluster_audit density_relations clustering_equal dim_profile dim_correlation dim_topk bounding_boxes median_split exact_sample
 region_parameters""".split()
 

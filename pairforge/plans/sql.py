@@ -11,7 +11,7 @@ prof AS (SELECT iso_id, 'A' AS region, za AS z FROM w UNION ALL SELECT iso_id, '
 EVENTS = "ev AS (SELECT event_id AS print_id, user_id AS iso_id, event_type AS region, value > 100 AS bad FROM events)"
 LATEST = f"{EVENTS}, latest AS (SELECT p1.iso_id, p1.region, p1.print_id FROM ev p1 LEFT JOIN ev p2 ON p1.iso_id = p2.iso_id AND p1.region = p2.region AND p2.bad IS FALSE AND p1.print_id < p2.print_id WHERE p1.bad IS FALSE AND p2.print_id IS NULL)"
 
-PRINTS = "pr AS (SELECT vec_id AS print_id, vec_id % 30 AS iso_id, CASE WHEN vec_id % 13 <> 0 THEN vec_id % 11 = 0 END AS bad FROM embeddings)"
+PRINTS = "pr AS (SELECT vec_id AS print_id, vec_id // 16 AS iso_id, CASE WHEN vec_id % 13 <> 0 THEN vec_id % 11 = 0 END AS bad FROM embeddings)"
 REPLICATES = f"""{W}, {PRINTS},
 top AS (SELECT p1.print_id, p1.iso_id FROM pr p1 WHERE p1.bad IS FALSE AND (SELECT count(*) FROM pr p2 WHERE p2.iso_id = p1.iso_id AND p2.bad IS FALSE AND p2.print_id > p1.print_id) < 10),
 rep AS (SELECT a.region, p1.iso_id, p1.print_id AS p1, p2.print_id AS p2, list_dot_product(a.z, b.z) / 32 AS pearson
@@ -104,6 +104,24 @@ DIMS = f"WITH {W}, d AS (SELECT iso_id, region, CAST(unnest(range(32)) AS INTEGE
 MAIN = "st AS (SELECT region, dim, stddev_pop(v) AS std FROM d GROUP BY ALL), mn AS (SELECT region, arg_max(dim, std) AS main FROM st GROUP BY 1)"
 CORR = f"{MAIN}, co AS (SELECT d.region, d.dim, covar_samp(d.v, m.v) / (stddev_pop(d.v) * stddev_pop(m.v)) AS c FROM d JOIN mn ON mn.region = d.region JOIN d m ON m.iso_id = d.iso_id AND m.region = d.region AND m.dim = mn.main GROUP BY ALL)"
 
+INTER = """inter AS (SELECT x.cluster_id AS c1, y.cluster_id AS c2, p.region, round(list_dot_product(p.z, q.z) / 32, 12) AS v
+  FROM lab x JOIN lab y ON x.cluster_id < y.cluster_id JOIN prof p ON p.iso_id = x.iso_id JOIN prof q ON q.iso_id = y.iso_id AND p.region = q.region)"""
+
+
+def _round(i: int) -> str:
+    """Round i of the split planes: the 10 unused dimensions with the highest std * |correlation| with the main one of the unused."""
+    used = " UNION ALL ".join(["SELECT NULL AS region, NULL AS dim WHERE false", *[f"SELECT region, dim FROM t{j}" for j in range(i)]])
+    return f"""s{i} AS (SELECT st.* FROM st ANTI JOIN ({used}) u ON u.region = st.region AND u.dim = st.dim),
+m{i} AS (SELECT region, arg_max(dim, std) AS main FROM s{i} GROUP BY 1),
+c{i} AS (SELECT d.region, d.dim, s{i}.std, covar_samp(d.v, m.v) / (stddev_pop(d.v) * stddev_pop(m.v)) AS c FROM d JOIN m{i} k ON k.region = d.region
+  JOIN d m ON m.iso_id = d.iso_id AND m.region = d.region AND m.dim = k.main JOIN s{i} ON s{i}.region = d.region AND s{i}.dim = d.dim GROUP BY ALL),
+r{i} AS (SELECT *, CAST(row_number() OVER (PARTITION BY region ORDER BY std * abs(c) DESC, dim) AS INTEGER) AS rank FROM c{i}),
+t{i} AS (SELECT r.region, {i} AS round, r.rank, r.dim, round(CASE WHEN r.rank = 1 THEN 1.0 ELSE r.c * f.std / r.std END, 6) AS coefficient
+  FROM r{i} r JOIN r{i} f ON f.region = r.region AND f.rank = 1 WHERE r.rank <= 10)"""
+
+
+TOPK = f"{DIMS}, st AS (SELECT region, dim, stddev_pop(v) AS std FROM d GROUP BY ALL), {', '.join(_round(i) for i in range(4))} " + " UNION ALL ".join(f"SELECT * FROM t{i}" for i in range(4))
+
 SQL = {
     "latest_print": f"WITH {LATEST} SELECT iso_id, region, print_id FROM latest",
     "complete_isolates": f"WITH {LATEST} SELECT iso_id FROM latest GROUP BY 1 HAVING count(DISTINCT region) = (SELECT count(DISTINCT region) FROM ev)",
@@ -124,7 +142,7 @@ SELECT count(*) AS queries, count(*) FILTER (c = r) AS correct, count(*) FILTER
     "cluster_overlaps": f"WITH {SEVENS} SELECT iso_id, count(DISTINCT cluster_id) AS n_clusters FROM sev GROUP BY 1 HAVING count(DISTINCT cluster_id) > 1",
     "cluster_stats": f"{DB}, s AS (SELECT cluster_id, count(*) AS n FROM db GROUP BY 1) SELECT count(*) AS n_clusters, min(n) AS min_size, max(n) AS max_size, round(avg(n), 6) AS mean_size, round(stddev_samp(n), 6) AS std_size, (SELECT count(*) FROM w WHERE iso_id NOT IN (SELECT iso_id FROM db)) AS noise FROM s",
     "cluster_size_hist": f"{DB}, s AS (SELECT cluster_id, count(*) AS n FROM db GROUP BY 1 HAVING count(*) > 1) SELECT count(*) FILTER (n < 4) AS below_4, count(*) FILTER (n >= 4 AND n < 8) AS from_4, count(*) FILTER (n >= 8 AND n < 16) AS from_8, count(*) FILTER (n >= 16 AND n < 32) AS from_16, count(*) FILTER (n >= 32 AND n < 64) AS from_32, count(*) FILTER (n >= 64 AND n < 128) AS from_64, count(*) FILTER (n >= 128) AS from_128 FROM s",
-    "cluster_map": f"WITH {SEVENS}, o AS (SELECT cluster_id, dense_rank() OVER (ORDER BY cluster_id) - 1 AS k FROM (SELECT DISTINCT cluster_id FROM sev)) SELECT iso_id, max(k) AS cluster_ord, count(*) - 1 AS extra FROM sev JOIN o ON o.cluster_id = sev.cluster_id GROUP BY 1",
+    "cluster_map": f"WITH {SEVENS} SELECT iso_id, max(cluster_id) AS cluster_id, count(*) - 1 AS extra FROM sev GROUP BY 1",
     "pair_counts": f"""WITH {LABELLED}, {SEVENS}, {LAST}, {PAIRS}, anyp AS (SELECT EXISTS (SELECT 1 FROM lab p JOIN lab q ON p.cluster_id = q.cluster_id WHERE p.iso_id = x.vec_id AND q.iso_id = y.vec_id) AS s1,
   EXISTS (SELECT 1 FROM sev p JOIN sev q ON p.cluster_id = q.cluster_id WHERE p.iso_id = x.vec_id AND q.iso_id = y.vec_id) AS s2 FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id)
 SELECT 'last' AS overlap, {COUNTS} FROM pairs UNION ALL SELECT 'any', {COUNTS} FROM anyp""",
@@ -136,7 +154,16 @@ k AS (SELECT same, CASE WHEN pa >= 0.3 AND pb >= 0.3 THEN 'DS' WHEN pa <= 0.2 OR
 c AS (SELECT count(*) FILTER (kind = 'DS') AS ds, count(*) FILTER (kind = 'DS' AND same) AS sds, count(*) FILTER (kind = 'DD') AS dd, count(*) FILTER (kind = 'DD' AND NOT same) AS ddd, count(*) FILTER (kind = 'squishy') AS sq, count(*) AS n FROM k)
 SELECT round(sds / ds, 6) AS correct_ds, round(ddd / dd, 6) AS correct_dd, round((sds / ds + ddd / dd) / 2, 6) AS mean, round((sds + ddd) / (ds + dd), 6) AS tc_score, round(sq / n, 6) AS squishy_ratio FROM c""",
     "intra_pearsons": f"WITH {W}, {SEVENS}, {intra('sev')} SELECT cluster_id, a, b, region, round(pearson, 6) AS pearson FROM intra",
-    "inter_slots": f"WITH {LABELLED} SELECT x.cluster_id AS c1, y.cluster_id AS c2, r.region, count(*) AS n FROM lab x JOIN lab y ON x.cluster_id < y.cluster_id JOIN (VALUES ('A'), ('B')) r(region) ON true GROUP BY ALL",
+    "inter_slots": f"""WITH {REPLICATES}, {LABELLED}, {INTER}, r AS (SELECT region, round(pearson, 12) AS v FROM rep),
+g AS (SELECT DISTINCT region, v FROM inter), k AS (SELECT g.region, g.v, count(*) FILTER (r.v < g.v) AS lt, count(*) FILTER (r.v <= g.v) AS le FROM g JOIN r ON r.region = g.region GROUP BY ALL)
+SELECT c1, c2, inter.region, lt, le, count(*) AS n FROM inter JOIN k ON k.region = inter.region AND k.v = inter.v GROUP BY ALL""",
+    "inter_pearsons": f"WITH {W}, {LABELLED}, {INTER} SELECT c1, c2, region, round(v, 6) AS pearson, count(*) AS n FROM inter GROUP BY ALL",
+    "beta_ks": f"""WITH {W}, {LABELLED}, {intra('lab')}, s AS (SELECT region, round((pearson + 1) / 2, 12) AS x, count(*) AS n FROM intra GROUP BY ALL),
+c AS (SELECT region, x, n, sum(n) OVER (PARTITION BY region ORDER BY x) AS le, sum(n) OVER (PARTITION BY region) AS total,
+  list_sum([[6435.0, 5005.0, 3003.0, 1365.0, 455.0, 105.0, 15.0, 1.0][j - 7] * pow(x, j) * pow(1 - x, 15 - j) FOR j IN range(8, 16)]) AS f FROM s),
+d AS (SELECT region, max(total) AS n, max(greatest(le / total - f, f - (le - n) / total)) AS d FROM c GROUP BY region),
+x AS (SELECT *, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * d AS x FROM d)
+SELECT region, CAST(n AS BIGINT) AS n, round(d, 6) AS d, round(CASE WHEN x < 0.18 THEN 1.0 ELSE greatest(0.0, least(1.0, list_sum([(CASE WHEN i % 2 = 1 THEN 2.0 ELSE -2.0 END) * exp(-2.0 * i * i * x * x) FOR i IN range(1, 101)]))) END, 6) AS p FROM x""",
     "distribution_similarity": f"WITH {W}, {LABELLED}, {SEVENS}, {intra('lab', 'x1')}, {intra('sev', 'x2')}, {ks('x1', '', 'x1', 'x2', 't')} SELECT region, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, {KS_OUT} FROM t",
     "distribution_correctness": f"WITH {REPLICATES}, {LABELLED}, {intra('lab', 'x1')}, {ks('x1', '', 'x1', 'rep', 't')} SELECT region, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, {KS_OUT} FROM t",
     "cluster_ks": f"{CLUSTER_KS} SELECT cluster_id, region, CAST(n1 AS BIGINT) AS n, {KS_OUT} FROM t",
@@ -148,13 +175,12 @@ SELECT CASE WHEN l.iso_id IS NULL THEN 'missing' WHEN k.iso_id IS NULL THEN 'ext
     "cluster_audit": AUDIT,
     "density_relations": f"{DB} SELECT a AS p, b AS q, EXISTS (SELECT 1 FROM db x JOIN db y ON x.cluster_id = y.cluster_id WHERE x.iso_id = a AND x.is_core AND y.iso_id = b) AS reachable, EXISTS (SELECT 1 FROM db x JOIN db y ON x.cluster_id = y.cluster_id WHERE x.iso_id = a AND y.iso_id = b) AS connected FROM edges",
     "clustering_equal": f"""WITH RECURSIVE {W}, {near(0.3)}, {clusters(1, "one")}, {clusters(3, "three")},
-s AS (SELECT 0 AS k, {SETS} AS m FROM one GROUP BY cluster_id), t AS (SELECT 3 AS k, {SETS} AS m FROM three GROUP BY cluster_id)
-SELECT 3 AS min_neighbors, 'first' AS side, len(m) AS size, array_to_string(m, ',') AS members FROM t WHERE m NOT IN (SELECT m FROM s)
-UNION ALL SELECT 3, 'second', len(m), array_to_string(m, ',') FROM s WHERE m NOT IN (SELECT m FROM t)""",
+s AS (SELECT cluster_id, {SETS} AS m FROM one GROUP BY cluster_id), t AS (SELECT cluster_id, {SETS} AS m FROM three GROUP BY cluster_id)
+SELECT 3 AS min_neighbors, 'first' AS side, cluster_id, unnest(m) AS iso_id FROM t WHERE m NOT IN (SELECT m FROM s)
+UNION ALL SELECT 3, 'second', cluster_id, unnest(m) FROM s WHERE m NOT IN (SELECT m FROM t)""",
     "dim_profile": f"{DIMS} SELECT region, dim, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM d GROUP BY ALL",
     "dim_correlation": f"{DIMS}, {CORR} SELECT region, dim, round(c, 6) AS correlation FROM co",
-    "dim_topk": f"""{DIMS}, {CORR}, r AS (SELECT co.region, co.dim, c, std, CAST(row_number() OVER (PARTITION BY co.region ORDER BY std * abs(c) DESC, co.dim) AS INTEGER) AS rank FROM co JOIN st ON st.region = co.region AND st.dim = co.dim)
-SELECT r.region, r.rank, r.dim, round(CASE WHEN r.rank = 1 THEN 1.0 ELSE r.c * f.std / r.std END, 6) AS coefficient FROM r JOIN r f ON f.region = r.region AND f.rank = 1 WHERE r.rank <= 10""",
+    "dim_topk": TOPK,
     "bounding_boxes": f"{DIMS}, {LABELLED} SELECT lab.cluster_id, region, dim, round(min(v), 6) AS low, round(max(v), 6) AS high FROM d JOIN lab ON lab.iso_id = d.iso_id GROUP BY ALL UNION ALL SELECT -1, region, dim, round(min(v), 6), round(max(v), 6) FROM d JOIN lab ON lab.iso_id = d.iso_id GROUP BY ALL",
     "median_split": f"WITH {W}, k AS (SELECT region, z[1] + 0.5 * z[2] - 0.25 * z[3] AS v FROM prof), r AS (SELECT region, v, row_number() OVER (PARTITION BY region ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY region) AS n FROM k) SELECT region, round(avg(v), 6) AS split FROM r WHERE i IN (n // 2, n // 2 + 1) GROUP BY 1",
     "exact_sample": "SELECT vec_id AS iso_id FROM embeddings ORDER BY md5(vec_id || ':1'), vec_id LIMIT 100",

@@ -119,7 +119,7 @@ def test_audit_finds_planted_faults(spark):
 
 
 def membership(spark, *sets):
-    return spark.createDataFrame([(i, x) for i, s in enumerate(sets) for x in s], "cluster_ord long, iso_id long")
+    return spark.createDataFrame([(i, x) for i, s in enumerate(sets) for x in s], "cluster_id long, iso_id long")
 
 
 @pytest.mark.parametrize(
@@ -178,7 +178,8 @@ def test_slot_ks_and_window_ks_equal_the_plain_statistic(spark):
     e = spark.createDataFrame([("r", float(x)) for x in expected], "region string, pearson double")
     known = ks.expected_sample(e)
     rows = spark.createDataFrame([(g, "r", float(x)) for g, xs in groups.items() for x in xs], "cluster_id long, region string, pearson double")
-    got = {r.cluster_id: r.d for r in ks.slot_ks(ks.intra_slots(rows, known), ["cluster_id"], known).collect()}
+    assert known.local is not None and known.totals.first().n_expected == 200
+    got = {r.cluster_id: r.d for r in ks.slot_ks(ks._slots(rows.withColumn("n", F.lit(1)).withColumn("pearson", F.round("pearson", 12)), ["cluster_id"], known), ["cluster_id"], known).collect()}
     for g, xs in groups.items():
         want = plain_ks(np.round(xs, 12), np.round(expected, 12))
         assert math.isclose(got[g], want, abs_tol=1e-12)
@@ -188,13 +189,70 @@ def test_slot_ks_and_window_ks_equal_the_plain_statistic(spark):
     assert same.d == 0 and same.p == 1
 
 
+def test_cluster_tests_are_the_same_with_a_large_expected_sample_and_take_any_function(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    z = rng.normal(size=(60, 2, 6))
+    z = (z - z.mean(2, keepdims=True)) / z.std(2, keepdims=True)
+    points = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(z)], "iso_id long, z array<array<double>>")
+    members = membership(spark, range(0, 30), range(30, 50), range(50, 55), range(55, 58))
+    e = spark.createDataFrame([(r, float(x)) for r in "AB" for x in np.round(rng.uniform(-1, 1, 300), 2)], "region string, pearson double")
+    found = []
+    for most in (ks.LOCAL, -1):
+        monkeypatch.setattr(ks, "LOCAL", most)
+        known = ks.expected_sample(e)
+        assert (known.local is None) == (most < 0)
+        one, two = ks.cluster_ks(members, points, ["A", "B"], known).collect(), ks.paired_ks(members, points, ["A", "B"], known).collect()
+        found.append((sorted(map(tuple, one)), sorted(map(tuple, two))))
+    assert found[0] == found[1] and {r[0] for r in found[0][0]} == {0, 1} and {r[:2] for r in found[0][1]} == {(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)}
+    p = z[:, 0] @ z[:, 0].T / 6
+    merged = np.array([p[i, j] for i in range(50) for j in range(i + 1, 50)])
+    d = next(r.d for r in two if (r.c1, r.c2, r.region) == (0, 1, "A"))
+    assert math.isclose(d, plain_ks(np.round(merged, 12), np.array([r.pearson for r in e.where("region = 'A'").collect()])), abs_tol=1e-12)
+    counted = ks.cluster_ks(members, points, ["A"], known, lambda slots, keys, _: slots.groupBy(*keys, "region").agg(F.sum("n").alias("n")))
+    assert sorted(values(counted)) == [(0, "A", 435), (1, "A", 190)]
+    between = ks.inter_pearsons(members, points, ["A"], least_size=30).groupBy("c1", "c2").agg(F.sum("n").alias("n"))
+    assert sorted(values(between)) == [(0, 1, 600), (0, 2, 150), (0, 3, 90)]
+    intra = ks.intra_pearsons(members, points, ["A"]).withColumn("pearson", (F.col("pearson") + 1) / 2)
+    each = {r.cluster_id: r for r in ks.beta_ks(intra, 2.0, 2.0, ["cluster_id"]).collect()}
+    x = np.sort((p[np.triu_indices(30, 1)[0], np.triu_indices(30, 1)[1]] + 1) / 2)
+    f = 3 * x**2 - 2 * x**3
+    assert each[0].n == 435 and math.isclose(each[0].d, max((np.arange(1, 436) / 435 - f).max(), (f - np.arange(435) / 435).max()), abs_tol=1e-6)
+
+
+def test_similarity_join_prunes_blocks_of_clustered_data(spark):
+    rng = np.random.default_rng(2)
+    centers = rng.normal(size=(30, 2, 8)) * 10
+    x = centers[rng.integers(0, 30, 9000)] + rng.normal(scale=0.05, size=(9000, 2, 8))
+    df = spark.createDataFrame([(i, z.tolist()) for i, z in enumerate(x)], "iso_id long, z array<array<double>>")
+    radii = [0.2, 0.2]
+    pivots = neighbors._pivots(df, radii, 36)
+    home = neighbors._blocked(neighbors._placed(df, spark.sparkContext.broadcast(pivots), radii), 128)
+    n = home.select("part").distinct().count()
+    assert neighbors.near_blocks(home, home, pivots, radii, True).count() < 0.1 * n * (n + 1) / 2
+    got = neighbors.similar_pairs(df.where("iso_id < 1500"), None, radii, [8, 8], block=64)
+    y = x[:1500]
+    near = [np.linalg.norm(y[:, None, k] - y[None, :, k], axis=2) <= 0.2 for k in range(2)]
+    assert {(r.a, r.b) for r in got.select("a", "b").collect()} == {(i, j) for i, j in zip(*np.nonzero(near[0] & near[1]), strict=True) if i < j}
+
+
+def test_pairs_in_any_shared_cluster(spark):
+    rng = np.random.default_rng(7)
+    first, second = [[set(map(int, rng.choice(40, 12, replace=False))) for _ in range(6)] for _ in range(2)]
+    iso = spark.createDataFrame([(i,) for i in range(40)], "iso_id long")
+    share = lambda sets, i, j: any(i in s and j in s for s in sets)
+    both = [(share(first, i, j), share(second, i, j)) for i in range(40) for j in range(i + 1, 40)]
+    want = (sum(a and b for a, b in both), sum(a != b for a, b in both), sum(not a and not b for a, b in both))
+    assert values(compare.pair_counts(iso, membership(spark, *first), membership(spark, *second), "any")) == [want]
+
+
 def test_beta(spark):
     got = ks.beta_cdf(np.array([0.9953, 0.9941, 0.9915]), 668.1768, 1.532336)
     assert np.allclose(got, [0.10241, 0.05035, 0.01029], atol=2e-5)
     assert np.allclose(ks.beta_cdf(np.array([0.0, 0.25, 0.5, 1.0]), 2, 2), [0, 0.15625, 0.5, 1], atol=1e-9)
     rng = np.random.default_rng(2)
     right = spark.createDataFrame([("r", float(x)) for x in rng.beta(2, 5, 2000)], "region string, pearson double")
-    assert ks.beta_ks(right, 2, 5).first().d < 0.04 < 0.3 < ks.beta_ks(right, 5, 2).first().d
+    fits, off = ks.beta_ks(right, 2, 5).first(), ks.beta_ks(right, 5, 2).first()
+    assert fits.d < 0.04 < 0.3 < off.d and fits.p > 0.01 > 1e-9 > off.p
 
 
 def test_describe(spark):
