@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pairforge.llm.tables import table
+from pairforge.llm.tables import table, unused
 
 Tree = dict[str, dict[str, dict[int, float]]]
 
@@ -74,7 +74,8 @@ def shard(docs: DataFrame, tree: Tree, key: str = "doc_id", text: str = "text")
     A shard is cut by leading digits of the md5 into groups that fit a sort; a group's first slot is the sum
     of the counts before it, so no task sorts a whole shard, whatever its size.
     """
-    docs = docs.drop(*COLUMNS[1:], "_md5", "_part", "_row", "_start", "_n")
+    docs = docs.drop(*COLUMNS[1:])
+    md5, part, row, start = unused(docs, "md5", "part", "row", "start")
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     n_shards = sum(len(s) for r in tree.values() for s in r.values())
@@ -88,13 +89,13 @@ def shard(docs: DataFrame, tree: Tree, key: str = "doc_id", text: str = "text")
         F.lit("key").alias("law"),
         place(name, tree).alias("shard"),
         place(name, grown(tree)).alias("grown_shard"),
-        F.md5(name.cast("binary")).alias("_md5"),
-    ).withColumn("_part", F.substring("_md5", 1, digits))
-    inside = W.partitionBy("shard", "_part").orderBy("_md5", F.col(key), "text_crc32", "size")
-    before = W.partitionBy("shard").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = rows.groupBy("shard", "_part").agg(F.count("*").alias("_n")).select("shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    placed = rows.withColumn("_row", F.row_number().over(inside)).join(starts, ["shard", "_part"])
-    return placed.withColumn("slot", F.col("_start") + F.col("_row") - 1).select(*docs.columns, *COLUMNS[1:])
+        F.md5(name.cast("binary")).alias(md5),
+    ).withColumn(part, F.substring(md5, 1, digits))
+    inside = W.partitionBy("shard", part).orderBy(md5, F.col(key), "text_crc32", "size")
+    before = W.partitionBy("shard").orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    starts = rows.groupBy("shard", part).agg(F.count("*").alias("n")).select("shard", part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(start))
+    placed = rows.withColumn(row, F.row_number().over(inside)).join(starts, ["shard", part])
+    return placed.withColumn("slot", F.col(start) + F.col(row) - 1).select(*docs.columns, *COLUMNS[1:])
 
 
 def op4_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ to the digests of known whole texts. The known table is small by nature (a row f
 is left to Spark to broadcast or shuffle by its size.
 
 Defined cases: null texts, and texts without a letter or digit, have a null digest and no licence; two known texts with one
-canonical form give the smaller license_id; repeated rows get equal results; an empty table gives an empty result.
+canonical form give the smaller license_id; repeated rows get equal results; very long texts are read
+whole; columns with the names of results are replaced, others stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.llm.licenses import EQUIVALENT, KNOWN, more_whole_texts
-from pairforge.llm.tables import table
+from pairforge.llm.tables import table, unused
 from pairforge.plans.joins import salted_join
 from pairforge.plans.scratch import Scratch
 
@@ -66,17 +67,18 @@ def scan_licenses(docs: DataFrame, known: DataFrame, text: str = "text") -> Data
     keyed by the text's hash and length, so copies of a text share one set of hits.
     """
     scratch = Scratch(docs.sparkSession)
-    docs = docs.drop("digest", "license_id", "notices", "n_notices", "_h", "_n", "_l")  # columns of these names are replaced
-    read = docs.select(*[c for c in docs.columns if c != text], F.xxhash64(text).alias("_h"), F.length(text).alias("_n"), canonical_lines(F.col(text)).alias("_l"))
-    c = canonical(F.col("_l"))
+    docs = docs.drop("digest", "license_id", "notices", "n_notices")  # columns of these names are replaced
+    h, n, l = unused(docs, "h", "n", "l")  # noqa: E741
+    read = docs.select(*[c for c in docs.columns if c != text], F.xxhash64(text).alias(h), F.length(text).alias(n), canonical_lines(F.col(text)).alias(l))
+    c = canonical(F.col(l))
     hashed = F.transform(F.array(c), lambda x: F.when(x != "", F.unhex(F.sha2(x, 256))))
-    read = read.withColumn("digest", F.element_at(hashed, 1)).withColumn("_l", F.transform("_l", lambda x: F.when(x != "", F.xxhash64(_respelt(x)))))
+    read = read.withColumn("digest", F.element_at(hashed, 1)).withColumn(l, F.transform(l, lambda x: F.when(x != "", F.xxhash64(_respelt(x)))))
     read = scratch.keep(read)
-    lines = read.select("_h", "_n", F.posexplode("_l").alias("pos", "line_key")).where("line_key is not null")
-    hits = lines.join(known.select("line_key", "license_id"), "line_key").select("_h", "_n", "pos", "license_id").distinct()
-    hits = hits.groupBy("_h", "_n", "license_id").agg(F.count("*").alias("n")).groupBy("_h", "_n").agg(F.array_sort(F.collect_list(F.struct("license_id", "n"))).alias("notices"))
-    whole = read.drop("_l").join(known.select("digest", "license_id"), "digest", "left").withColumn("digest", F.lower(F.hex("digest")))
-    found = salted_join(whole, hits, ["_h", "_n"], "left").drop("_h", "_n")
+    lines = read.select(h, n, F.posexplode(l).alias("pos", "line_key")).where("line_key is not null")
+    hits = lines.join(known.select("line_key", "license_id"), "line_key").select(h, n, "pos", "license_id").distinct()
+    hits = hits.groupBy(h, n, "license_id").agg(F.count("*").alias("times")).groupBy(h, n).agg(F.array_sort(F.collect_list(F.struct("license_id", F.col("times").alias("n")))).alias("notices"))
+    whole = read.drop(l).join(known.select("digest", "license_id"), "digest", "left").withColumn("digest", F.lower(F.hex("digest")))
+    found = salted_join(whole, hits, [h, n], "left").drop(h, n)
     found = found.withColumn("notices", F.coalesce("notices", F.array().cast("array<struct<license_id:string,n:long>>")))
     return found.withColumn("n_notices", F.size("notices").cast("long"))
 

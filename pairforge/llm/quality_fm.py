@@ -5,7 +5,7 @@ cost time linear in the features. It is fitted on the driver on at most 2 * PER_
 bound); the features of those rows are made by tasks. Every document is then scored whole, in Arrow batches.
 
 Defined cases: null and empty texts are scored by their statistics; with labels of one class, or none, every score is the share of
-label 1 among them (1 without labels: nothing is known against a text); repeated rows get equal scores; other columns pass through.
+label 1 among them (1 without labels: nothing is known against a text); repeated rows get equal scores; very long texts are scored whole; score and predicted are replaced, other columns pass through.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ joint statistic over all candidates of the corpus (a bounded table: bands x bins
 
 Defined cases: a null or empty text has no spans, and the digest of the empty text; repeated rows get equal
 results; without candidates no threshold is needed; rows are independent, so ids may be null or repeat; other
-columns do not matter. Positions are code points, the end is exclusive.
+columns do not matter, those with the names of results are replaced; very long texts are read whole. Positions are code points, the end is exclusive.
 """
 
 from __future__ import annotations
@@ -49,6 +49,7 @@ SERIAL, RUNS = 0.4, 0.65
 SWITCH = {k: 1 - sum((sum(c in part for c in a) / len(a)) ** 2 for part in (DIGITS, LOWER, UPPER, "+/-_")) for k, a in ALPHABETS.items()}
 #: First length of each band, the rate of false discoveries, and the bins of the statistic.
 BANDS, RATE, BIN, TOP = [20, 24, 32, 48], 0.01, 0.05, 400
+CHUNK = 256
 
 
 def _hits(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0, guard: str | None = None) -> Column:
@@ -65,7 +66,19 @@ def _hits(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0,
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
 
     parts = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value"))
-    found = F.aggregate(parts, start, step, lambda acc: acc["out"])
+    # Matches are put together CHUNK at a time, and the chunks then, so that a text of many matches does not copy all of them for each.
+    first = F.expr("named_struct('at', 0, 'out', cast(array() as array<array<struct<start:int,kind:int,end:int,value:string>>>))")
+
+    def chunk(acc: Column, xs: Column) -> Column:
+        one = F.aggregate(xs, F.struct(acc["at"].alias("at"), empty.alias("out")), step)
+        return _let(one, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    def chunks(all_: Column) -> Column:
+        cuts = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / CHUNK).cast("int"))
+        return F.transform(cuts, lambda c: F.slice(all_, c * CHUNK + 1, CHUNK))
+
+    many = lambda all_: F.flatten(F.aggregate(chunks(all_), first, chunk, lambda acc: acc["out"]))
+    found = _let(parts, lambda all_: F.when(F.size(all_) <= CHUNK, F.aggregate(all_, start, step, lambda acc: acc["out"])).otherwise(many(all_)))
     found = F.filter(found, lambda x: F.length(x["value"]) >= least) if least else found
     return F.when(text.rlike(guard or pattern), found).otherwise(empty)
 
@@ -179,11 +192,6 @@ def scan_secrets(docs: DataFrame, text: str = "text", rate: float = RATE) -> Dat
     return out.withColumns({"n_assign": n(0), "n_access": n(1), "n_hex": n(2), "base_sha256": F.sha2(_joined(F.col("base_spans")), 256), "spans": _joined(F.col("all_spans"))})
 
 
-def _joined(spans: Column) -> Column:
-    names = F.array(*[F.lit(k) for k in KINDS])
-    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))))
-
-
 def op9_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")

@@ -6,7 +6,7 @@ each swap, so naming a group cannot carry toxicity by itself. L1 shrinkage leave
 keeps long clean documents clean. The fit runs on the driver over at most 2 * PER_CLASS labelled rows (the documented bound).
 
 Defined cases: null and empty texts get the score of a text without telling words; with labels of one class, or none, every score is
-that class (0 without labels); repeated rows get equal scores; other columns pass through.
+that class (0 without labels); repeated rows get equal scores; very long texts are scored whole; score and predicted are replaced, other columns pass through.
 """
 
 from __future__ import annotations

@@ -462,6 +462,32 @@ def brute_base(t):
     return [f"{kinds[k]}:{s}:{e}" for s, k, e in sorted(found)]
 
 
+def test_secrets_of_a_text_with_many_matches(spark):
+    t = " ".join(f"x{i} token={'a' * (i % 9 + 3)}" for i in range(20_000))
+    r = randomness.scan_secrets(documents(spark, [(1, t)])).first()
+    want = [(m.start(), m.end()) for m in re.finditer("token=(a+)", t) if len(m[1]) >= 6]
+    assert r.n_assign == len(want) and [(x.start, x.end) for x in r.base_spans] == want
+
+
+def test_results_leave_other_columns_alone(spark):
+    names = ["md5", "part", "row", "start", "n", "h", "l", "_h", "_md5"]
+    docs = documents(spark, [(1, "MIT"), (2, None)])
+    for x in names:
+        docs = docs.withColumn(x, F.lit("kept"))
+    for out in (hash_tree.shard(docs, hash_tree.tree_of(40)), license_scan.scan_licenses(docs, license_scan.known_table(spark)), randomness.scan_secrets(docs)):
+        assert all(r[x] == "kept" for r in out.collect() for x in names)
+
+
+def test_swap_penalty_lowers_false_positives():
+    rng = np.random.default_rng(3)
+    text = lambda bad, group: " ".join([*rng.choice(["tall", "trees", "walk", "rain", "stone"], 4), *(["vile"] if bad and rng.random() < 0.6 else []), *(["muslim"] if group else [])])
+    rows = [(text(y, rng.random() < (0.4 if y else 0.04)).encode(), y) for y in rng.integers(0, 2, 600)]
+    made = [(toxicity.present(toxicity.words(t)), int(y)) for t, y in rows]
+    swapped = [(np.setdiff1d(b, a), np.setdiff1d(a, b), 1) for t, _ in rows for a, b in toxicity.swaps(t)]
+    weight = lambda penalty: (lambda w: w[toxicity.present([b"muslim"])].sum() - w[toxicity.present([b"christian"])].sum())(toxicity.fit(made, swapped, penalty)[1])
+    assert len(swapped) > 60 and abs(weight(50.0)) < 0.3 * weight(0.0)
+
+
 def test_secrets_equal_brute_force(spark):
     key = "q7Zt9LkX2vBn4RwYc8Hd3MfJ6PsGu1Ae5TxKz0Vb"
     texts = [
