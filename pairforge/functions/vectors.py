@@ -48,6 +48,11 @@ def projection(z: Column | str, dims: list[int], coefficients: list[float], unit
     return sum((F.element_at(z, d + 1) * (c / scale) for d, c in zip(dims, coefficients, strict=True)), F.lit(0.0))
 
 
+def signed_plane_distance(value: Column, split: Column | float, coefficients: list[float]) -> Column:
+    """How far a point with this projection lies from the plane of points with projection `split`; negative below it."""
+    return (value - split) / sum(c * c for c in coefficients) ** 0.5
+
+
 def distance_to_box(point: Column, low: Column, high: Column) -> Column:
     """0 inside the box."""
     outside = F.zip_with(F.zip_with(point, low, lambda p, a: a - p), F.zip_with(point, high, lambda p, b: p - b), lambda x, y: F.greatest(x, y, F.lit(0.0)))

@@ -28,8 +28,8 @@ def stage_path(folder: str, name: str, **parameters: object) -> str:
 
 
 def load_or_compute(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """What is stored at path; made and stored there first if nothing is."""
+    """What is stored at path; made and stored there first if nothing is. What a failed attempt left there is overwritten."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        make().write.mode("ignore").parquet(path)
+        make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
