@@ -264,3 +264,21 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op2_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def sql() -> str:
+    """DuckDB SQL by the definition: all pairs of texts that share a shingle, counted, and their closure."""
+    run = f"array_to_string(w[i:i + {WORDS - 1}], ' ')"
+    return rf"""
+WITH RECURSIVE texts AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+nodes AS MATERIALIZED (SELECT w, min(doc_id) AS node FROM texts WHERE len(w) > 0 GROUP BY w),
+sets AS MATERIALIZED (SELECT node, w, CASE WHEN len(w) < {WORDS} THEN [array_to_string(w, ' ')] ELSE list_distinct([{run} FOR i IN range(1, len(w) - {WORDS - 2})]) END AS s FROM nodes),
+items AS MATERIALIZED (SELECT node, len(s) AS n, unnest(s) AS x FROM sets),
+linked AS MATERIALIZED (SELECT a.node AS a, b.node AS b FROM items a JOIN items b ON a.x = b.x AND a.node <> b.node AND 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n)
+  GROUP BY a.node, b.node HAVING 100 * count(*) >= {PERCENT} * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT node AS a, node AS b FROM nodes UNION SELECT r.a, l.b FROM reach r JOIN linked l ON r.b = l.a),
+least AS (SELECT a AS node, min(b) AS component_id FROM reach GROUP BY a)
+SELECT t.doc_id, CAST(coalesce(len(s.s), 0) AS BIGINT) AS n_shingles, coalesce(l.component_id, t.doc_id) AS component_id, coalesce(t.doc_id = coalesce(l.component_id, t.doc_id), false) AS kept
+FROM texts t LEFT JOIN sets s ON t.w = s.w LEFT JOIN least l ON s.node = l.node
+"""

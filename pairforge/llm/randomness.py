@@ -195,3 +195,58 @@ def scan_secrets(docs: DataFrame, text: str = "text", rate: float = RATE) -> Dat
 def op9_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def sql(rate: float = RATE) -> str:
+    """DuckDB SQL: matches placed by the gaps between them, symbols of a run as rows, the normal tail by Simpson's rule on a grid."""
+    either = lambda x: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in x)
+    assign = ASSIGN.replace("(?i:", "(?:").replace("password|passwd|secret|token|api_?key", either("password|passwd|secret|token|api_?key")).replace("'", "''")
+    run = RUN.replace("(?<![A-Za-z0-9+/_-])", "")  # a greedy run begins after no key character anyway
+
+    def hits(kind: int, pattern: str, value: str = "m") -> str:
+        """Ids repeat at will: r tells rows apart."""
+        matches = f"regexp_extract_all(text, '{pattern}')"
+        return f"""
+  SELECT r, {kind} AS kind, m, {value} AS value, CAST(sum(length(g) + length(m)) OVER (PARTITION BY r ORDER BY i) AS BIGINT) AS stop
+  FROM (SELECT r, unnest({matches}) AS m, unnest(string_split_regex(text, '{pattern}')[:len({matches})]) AS g, generate_subscripts({matches}, 1) AS i FROM docs)"""
+
+    has = lambda x: f"regexp_matches(core, '{x}')"
+    mixed = f"({has('[0-9]')} AND {has('[A-Za-z]')} OR {has('[A-Z].*[a-z].*[A-Z].*[a-z].*[A-Z]')})"
+    whole = lambda x: f"regexp_full_match(core, '{x}')"
+    encoding = f"""CASE WHEN {whole('[0-9a-f]+')} AND {has('[0-9]')} AND {has('[a-z]')} THEN 'hex' WHEN {whole('[0-9A-F]+')} AND {has('[0-9]')} AND {has('[A-Z]')} THEN 'HEX'
+    WHEN {whole('[A-Z2-7]+')} AND {has('[0-9]')} AND {has('[A-Z]')} THEN 'base32' WHEN {whole('[A-Za-z0-9]+')} AND {mixed} THEN 'base62'
+    WHEN {whole('[A-Za-z0-9+/]+')} AND {mixed} THEN 'base64' WHEN {whole('[A-Za-z0-9_-]+')} AND {mixed} THEN 'base64url' END"""
+    alphabets = ", ".join(f"('{k}', '{a}', {float(len(a))}::DOUBLE, {UNEVEN[k]}::DOUBLE, {SWITCH[k]!r}::DOUBLE)" for k, a in ALPHABETS.items())
+    band = " + ".join(f"CAST(length(core) >= {b} AS INTEGER)" for b in BANDS[1:])
+    bell = lambda x: f"exp(-({x}) * ({x}) / 2)"
+    names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    listed = f"coalesce(string_agg({names}[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop), '')"
+    return f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+base AS MATERIALIZED (SELECT r, kind, stop - length(m) AS start, stop FROM (
+{hits(0, assign, f"regexp_extract(m, '{assign}', 2)")} UNION ALL {hits(1, ACCESS)} UNION ALL {hits(2, HEX)}) WHERE kind > 0 OR length(value) >= 6),
+runs AS MATERIALIZED (SELECT *, row_number() OVER () AS c FROM (SELECT *, {encoding} AS enc, {band} AS band FROM (
+  SELECT r, kind, stop - length(m) AS start, stop, regexp_replace(m, '=+$', '') AS core FROM ({hits(3, run)}))) WHERE enc IS NOT NULL),
+alphabets(enc, symbols, size, uneven, switch) AS (VALUES {alphabets}),
+chars AS (SELECT c, unnest(string_split(core, '')) AS x, generate_subscripts(string_split(core, ''), 1) AS i FROM runs),
+places AS (SELECT c, x, i, CAST(instr(symbols, x) AS DOUBLE) AS place,
+  CASE WHEN x BETWEEN 'a' AND 'z' THEN 1 WHEN x BETWEEN 'A' AND 'Z' THEN 2 WHEN x BETWEEN '0' AND '9' THEN 3 ELSE 4 END AS class FROM chars JOIN runs USING (c) JOIN alphabets USING (enc)),
+counts AS (SELECT c, sum(k * k)::DOUBLE AS squares FROM (SELECT c, x, count(*) AS k FROM places GROUP BY c, x) GROUP BY c),
+devs AS (SELECT *, place - avg(place) OVER (PARTITION BY c) AS dev FROM places),
+steps AS (SELECT c, dev, lag(dev) OVER w AS dev0, class <> lag(class) OVER w AS switched FROM devs WINDOW w AS (PARTITION BY c ORDER BY i)),
+sums AS (SELECT c, count(*)::DOUBLE AS n, coalesce(sum(dev * dev0), 0) / greatest(sum(dev * dev), 1e-9) AS serial, (count(*) FILTER (switched))::DOUBLE AS switches FROM steps GROUP BY c),
+scored AS MATERIALIZED (SELECT r, kind, start, stop, band, ((size - 1 + n * uneven - (size / n * squares - n)) / sqrt(2 * (size - 1 + 2 * n * uneven))
+  + ({SERIAL}::DOUBLE - abs(serial)) * sqrt(n) + ((switches + 1) / (1 + (n - 1) * switch) - {RUNS}::DOUBLE) * sqrt(n)) / sqrt(3::DOUBLE) AS z
+  FROM runs JOIN alphabets USING (enc) JOIN counts USING (c) JOIN sums USING (c)),
+grid AS (SELECT i, sum(({bell('i / 200.0::DOUBLE')} + 4 * {bell('(i + 0.5::DOUBLE) / 200')} + {bell('(i + 1) / 200.0::DOUBLE')}) / 1200 / sqrt(2 * pi())) OVER (ORDER BY i DESC) AS tail
+  FROM range({-TOP * 10}, {TOP * 20}) g(i)),
+bins AS (SELECT band, k, sum(n) OVER (PARTITION BY band) AS m, sum(n) OVER (PARTITION BY band ORDER BY k DESC) AS above FROM (
+  SELECT band, greatest({-TOP}, least({TOP}, CAST(floor(z / {BIN}::DOUBLE) AS INTEGER))) AS k, count(*) AS n FROM scored GROUP BY band, k)),
+bars AS (SELECT band, min(k) * {BIN}::DOUBLE AS bar FROM bins JOIN grid ON grid.i = 10 * k WHERE m * tail <= {rate} * above GROUP BY band),
+found AS (SELECT r, kind, start, stop FROM scored s JOIN bars USING (band) WHERE z >= bar
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = s.r AND b.start < s.stop AND s.start < b.stop)),
+of_base AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, {listed} AS base FROM base GROUP BY r),
+of_all AS (SELECT r, {listed} AS spans FROM (FROM base UNION ALL FROM found) GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN of_base USING (r) LEFT JOIN of_all USING (r)
+"""

@@ -19,7 +19,9 @@ QUERIES = {
 
 SQL = {
     "op1_cover_tree_topk": cover_tree.sql(),
+    "op2_circulant_minhash": circulant_minhash.sql(),
     "op3_template_tree": line_templates.sql(),
     "op4_hash_tree_shards": hash_tree.sql(),
     "op7_license_digests": license_scan.sql(),
+    "op9_randomness_battery": randomness.sql(),
 }

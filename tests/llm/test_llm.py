@@ -513,6 +513,22 @@ def test_false_discoveries_are_held(spark):
     assert sum(bool(got[i]) for i in range(200)) > 180 and sum(bool(got[i]) for i in range(200, 600)) <= 6
 
 
+def test_planted_secrets_equal_sql(spark, tmp_path):
+    """Random keys of every encoding and length among words, paths and base spans: the battery against its SQL."""
+    rng = np.random.default_rng(2)
+    words = ["river", "house", "little", "window", "garden", "number", "Token=abcdef1", "AKIA" + "C7" * 9, "é😀", "deadbeef" * 3, "x" * 22, "2020-12-31-2021-01-01-ab", "a/b/c/some/long/path/of/words1"]
+    texts = [None, "", *[" ".join(rng.choice(words, rng.integers(1, 9))) for _ in range(150)]]
+    for a in randomness.ALPHABETS.values():
+        for _ in range(40):
+            key = "".join(rng.choice(list(a), int(rng.integers(20, 70)))) + str(rng.choice(["", "=", "=="]))
+            texts.append(f"{rng.choice(words)} {rng.choice(['', 'secret: '])}{key} {rng.choice(words)}")
+    docs = documents(spark, list(enumerate(texts)))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["op9_randomness_battery"](spark, str(tmp_path)).toPandas()
+    assert got.spans.str.contains("random:").sum() > 60
+    assert rows_of(got) == rows_of(duck(registry.SQL["op9_randomness_battery"].replace("FROM documents", f"FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')"), D))
+
+
 # the pipeline
 
 
