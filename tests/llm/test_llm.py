@@ -316,6 +316,40 @@ def test_quality_on_held_out_rows(spark):
     assert len(got) == 1000 and got.score.between(0, 1).all() and auc(m.score.to_numpy(), m.quality.to_numpy()) > 0.97
 
 
+def test_quality_fit_equals_plain_loops(monkeypatch):
+    """Every row, feature and pair on its own: the loss's gradient from all pairs of features, not from the sums of squares."""
+    size, stats, rank, rate, decay = 30, quality_fm.STATS, quality_fm.RANK, quality_fm.RATE, quality_fm.DECAY
+    monkeypatch.setattr(quality_fm, "BUCKETS", size)
+    monkeypatch.setattr(quality_fm, "EPOCHS", 3)
+    monkeypatch.setattr(quality_fm, "BATCH", 4)
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(10):
+        ids = np.sort(rng.choice(size, 5, replace=False))
+        rows.append((np.concatenate([ids, np.arange(size, size + stats)]), np.concatenate([np.full(5, 5**-0.5), rng.random(stats)]), int(k % 3 > 0)))
+    m = quality_fm.fit(rows, 0.8)
+    column = np.array([x[-stats:] for _, x, _ in rows])
+    data = [(list(i), [*x[:-stats], *(np.clip((x[-stats:] - column.mean(0)) / (column.std(0) + 1e-3), -6, 6) / stats**0.5)], y) for i, x, y in rows]
+    share, width = sum(y for *_, y in rows) / len(rows), size + stats
+    w0, w, v = np.log(4.0), np.zeros(width), np.random.default_rng(7).normal(0, 0.01, (width, rank))
+    g0, gw, gv, order = 1e-6, np.full(width, 1e-6), np.full((width, rank), 1e-6), np.random.default_rng(11)
+    for _ in range(3):
+        shuffled = order.permutation(len(data))
+        for at in range(0, len(data), 4):
+            part = [data[i] for i in shuffled[at : at + 4]]
+            d0, dw, dv = 0.0, decay * w, decay * v
+            for ids, x, y in part:
+                z = w0 + sum(w[i] * a for i, a in zip(ids, x, strict=True)) + sum(v[ids[a]] @ v[ids[b]] * x[a] * x[b] for a, b in combinations(range(len(ids)), 2))
+                err = (1 / (1 + np.exp(-z)) - y) * (0.8 / share if y else 0.2 / (1 - share)) / len(part)
+                d0 += err
+                for a, i in enumerate(ids):
+                    dw[i] += err * x[a]
+                    dv[i] += err * x[a] * sum(v[j] * x[b] for b, j in enumerate(ids) if b != a)
+            g0, gw, gv = g0 + d0**2, gw + dw**2, gv + dv**2
+            w0, w, v = w0 - rate * d0 / g0**0.5, w - rate * dw / gw**0.5, v - rate * dv / gv**0.5
+    assert np.isclose(m.w0, w0) and np.allclose(m.w, w) and np.allclose(m.v, v)
+
+
 def test_factorisation_machine_equals_explicit_pairs():
     rng = np.random.default_rng(1)
     m = quality_fm.Machine(0.3, rng.normal(size=50), rng.normal(size=(50, 4)), np.zeros(quality_fm.STATS), np.ones(quality_fm.STATS))
@@ -488,6 +522,48 @@ def test_swap_penalty_lowers_false_positives():
     assert len(swapped) > 60 and abs(weight(50.0)) < 0.3 * weight(0.0)
 
 
+def test_toxicity_fit_equals_plain_loops(monkeypatch):
+    """The proximal Adagrad fit with its swap penalty, a feature at a time over dictionaries."""
+    monkeypatch.setattr(toxicity, "STEPS", 12)
+    monkeypatch.setattr(toxicity, "BATCH", 8)
+    rng = np.random.default_rng(4)
+    rows = [(np.sort(rng.choice(40, 6, replace=False)), int(y)) for y in [1, 0, 0] * 8]
+    swapped = [(np.array([3, 5]), np.array([7]), 4), (np.array([7]), np.array([3, 11]), 1)]
+    bias, got = toxicity.fit(rows, swapped, 2.0)
+    n, positives = len(rows), sum(y for _, y in rows)
+    df = {f: sum(f in i for i, _ in rows) for f in range(40)}
+    scale = {f: np.log((n + 1) / c) / 4 for f, c in df.items() if 2 <= c < 0.3 * n}
+    b, w, gb, gw, order = -1.0, dict.fromkeys(scale, 0.0), 1e-3, dict.fromkeys(scale, 1e-3), np.random.default_rng(5)
+    epochs = 4  # of 3 batches: 12 steps
+    for epoch in range(epochs):
+        shuffled, rate = order.permutation(n), toxicity.RATE * (1 - epoch / epochs)
+        for start in range(0, n, 8):
+            part = [rows[i] for i in shuffled[start : start + 8]]
+            total = sum((n - positives) / positives if y else 1.0 for _, y in part)
+            db, dw = 0.0, dict.fromkeys(scale, 0.0)
+            for ids, y in part:
+                z = b + sum(scale[f] * w[f] for f in ids if f in scale)
+                err = (1 / (1 + np.exp(-z)) - y) * ((n - positives) / positives if y else 1.0) / total
+                db += err
+                for f in ids:
+                    if f in scale:
+                        dw[f] += scale[f] * err
+            for plus, minus, count in swapped:
+                signs = [(f, s) for x, s in ((plus, 1), (minus, -1)) for f in x if f in scale]
+                change = sum(s * scale[f] * w[f] for f, s in signs)
+                for f, s in signs:
+                    dw[f] += 2 * 2.0 * count / 5 * change * s * scale[f]
+            gb += db**2
+            b -= rate * db / gb**0.5
+            for f in scale:
+                gw[f] += dw[f] ** 2
+                step = rate / gw[f] ** 0.5
+                moved = w[f] - step * dw[f]
+                w[f] = np.sign(moved) * max(abs(moved) - step * toxicity.SHRINK, 0)
+    assert len(scale) > 10 and {3, 7} <= set(scale) and np.isclose(bias, b)
+    assert np.allclose(got[:40], [w[f] * scale[f] if f in scale else 0.0 for f in range(40)]) and not got[40:].any()
+
+
 def test_secrets_equal_brute_force(spark):
     key = "q7Zt9LkX2vBn4RwYc8Hd3MfJ6PsGu1Ae5TxKz0Vb"
     texts = [
