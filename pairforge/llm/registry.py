@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairforge.llm import circulant_minhash, cover_tree, edit_match, hash_tree, license_scan, line_templates, quality_fm, randomness, soft_mixing, toxicity
+from pairforge.llm import bpe_speculate, circulant_minhash, cover_tree, edit_match, hash_tree, license_scan, line_templates, quality_fm, randomness, soft_mixing, toxicity
 
 QUERIES = {
     "op1_cover_tree_topk": cover_tree.op1_cover_tree_topk,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_soft_mixing": soft_mixing.op8_soft_mixing,
     "op9_randomness_battery": randomness.op9_randomness_battery,
     "op10_counterfactual_toxicity": toxicity.op10_counterfactual_toxicity,
+    "op11_speculative_bpe": bpe_speculate.op11_speculative_bpe,
 }
 
 SQL = {
