@@ -52,7 +52,7 @@ KNOWN_WORDS = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ],
 }
-SPACES = "\t-\r \x85\xa0 -     "
+SPACES = "\t-\r \x85\xa0\u2000-\u200a\u2028\u2029\u202f\u205f"
 #: Characters of which all Unicode versions since 6 agree.
 PLAIN = [*range(0x530), *range(0x2000, 0x2070)]
 

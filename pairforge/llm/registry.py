@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairforge.llm import bpe_speculate, circulant_minhash, cover_tree, edit_match, hash_tree, license_scan, line_templates, quality_fm, randomness, soft_mixing, toxicity
+from pairforge.llm import bpe_speculate, circulant_minhash, cover_tree, edit_match, hash_tree, license_scan, line_templates, quality_fm, randomness, soft_mixing, toxicity, turn_repair
 
 QUERIES = {
     "op1_cover_tree_topk": cover_tree.op1_cover_tree_topk,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_randomness_battery": randomness.op9_randomness_battery,
     "op10_counterfactual_toxicity": toxicity.op10_counterfactual_toxicity,
     "op11_speculative_bpe": bpe_speculate.op11_speculative_bpe,
+    "op12_turn_repair": turn_repair.op12_turn_repair,
 }
 
 SQL = {
@@ -25,4 +26,5 @@ SQL = {
     "op4_hash_tree_shards": hash_tree.sql(),
     "op7_license_digests": license_scan.sql(),
     "op9_randomness_battery": randomness.sql(),
+    "op12_turn_repair": turn_repair.sql(),
 }
