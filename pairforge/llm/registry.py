@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairforge.llm import bpe_speculate, circulant_minhash, cover_tree, edit_match, hash_tree, license_scan, line_templates, quality_fm, randomness, soft_mixing, toxicity, turn_repair
+from pairforge.llm import bpe_speculate, circulant_minhash, cover_tree, edit_match, hash_tree, license_scan, line_templates, norm_buckets, quality_fm, randomness, soft_mixing, toxicity, turn_repair
 
 QUERIES = {
     "op1_cover_tree_topk": cover_tree.op1_cover_tree_topk,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_counterfactual_toxicity": toxicity.op10_counterfactual_toxicity,
     "op11_speculative_bpe": bpe_speculate.op11_speculative_bpe,
     "op12_turn_repair": turn_repair.op12_turn_repair,
+    "op13_norm_buckets": norm_buckets.op13_norm_buckets,
 }
 
 SQL = {
@@ -27,4 +28,5 @@ SQL = {
     "op7_license_digests": license_scan.sql(),
     "op9_randomness_battery": randomness.sql(),
     "op12_turn_repair": turn_repair.sql(),
+    "op13_norm_buckets": norm_buckets.sql(),
 }
