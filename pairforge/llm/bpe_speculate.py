@@ -27,6 +27,7 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
@@ -39,6 +40,8 @@ NEVER = 1 << 40
 #: Words that a task keeps with their tokens, none longer than WORD_CHARS; the table is emptied when full.
 KEPT_WORDS, WORD_CHARS = 200_000, 64
 ROWS = 128
+#: Words of so many symbols or fewer are merged without a heap.
+SHORT = 64
 #: Marks words that the library has cut; no text holds a lone surrogate.
 LIBRARY = "\ud800"
 
@@ -85,7 +88,7 @@ class Bpe:
         self.known = spec.get("normalizer") == KNOWN_NORMALIZER and spec.get("pre_tokenizer") == KNOWN_WORDS
         self.plain = re.compile("[\\x00-\u052f\u2000-\u206f]*")
         self.word = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^{SPACES}{_class('L')}{_class('N')}]+")
-        self.space, self.letters = re.compile(f"[{SPACES}]+"), _byte_letters()
+        self.letters = {b: c for b, c in _byte_letters().items() if chr(b) != c}
         self._read(model)
         self.kept: dict[str, list[int]] = {}
 
@@ -95,19 +98,22 @@ class Bpe:
         self.names: list[str | None] = [None] * max([self.size, *[i + 1 for i in self.special.values()]])
         for name, i in chain(model["vocab"].items(), self.special.items()):
             self.names[i] = name
+        self.words = pa.array([n or "" for n in self.names], pa.string())
         self.left, self.right, self.rank = (np.full(self.size + 1, -1, np.int64) for _ in range(3))
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []
         self.ordered = True
         for rank, (a, b) in enumerate(tuple(m.split(" ")) if isinstance(m, str) else m for m in model["merges"]):
             x, y, z = ids[self._symbols(a)], ids[self._symbols(b)], ids[self._symbols(a + b)]
             # A part has to be a single symbol or made by an earlier merge, and each token is made by one merge.
             made = all(len(self._symbols(p)) == 1 or self.rank[i] >= 0 for p, i in ((a, x), (b, y)))
-            self.ordered &= made and self.rank[z] < 0 and (x, y) not in self.merges
+            self.ordered &= made and self.rank[z] < 0 and (x, y) not in self.ranks
             self.left[z], self.right[z], self.rank[z] = x, y, rank
-            self.merges.setdefault((x, y), (rank, z))
-        pairs = np.array([x * self.size + y for x, y in self.merges], np.int64)
+            self.ranks.setdefault((x, y), rank)
+            self.made.append(z)
+        pairs = np.array([x * self.size + y for x, y in self.ranks], np.int64)
         order = pairs.argsort()
-        self.pairs, self.pair_ranks = pairs[order], np.array([r for r, _ in self.merges.values()], np.int64)[order]
+        self.pairs, self.pair_ranks = pairs[order], np.array(list(self.ranks.values()), np.int64)[order]
         made = np.flatnonzero(self.rank[:-1] >= 0)
         own = ~self.crossed(self.left[made], self.right[made], self.rank[made])
         # A token encodes to itself if its parts do and nothing crosses their border earlier.
@@ -147,22 +153,38 @@ class Bpe:
     def merged(self, symbols: str) -> list[int]:
         """The exact encoding: the merge of the least rank first, of equal ones the leftmost."""
         ids = [self.ids[s] for s in symbols]
-        n = len(ids)
+        return self._merged_short(ids) if len(ids) <= SHORT else self._merged_long(ids)
+
+    def _merged_short(self, ids: list[int]) -> list[int]:
+        rank = self.ranks.get
+        ranks = [rank(p, NEVER) for p in zip(ids, ids[1:])]  # noqa: B905
+        while ranks and (least := min(ranks)) < NEVER:
+            i = ranks.index(least)
+            ids[i : i + 2] = [self.made[least]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), NEVER)
+            if i < len(ranks):
+                ranks[i] = rank((ids[i], ids[i + 1]), NEVER)
+        return ids
+
+    def _merged_long(self, ids: list[int]) -> list[int]:
+        """With a heap, for words in which looking at all pairs for each merge would take too long."""
+        n, rank = len(ids), self.ranks.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := self.merges.get((ids[i], ids[i + 1])))]
+        queue = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(queue)
         while queue:
-            _, i, x, y, z = heapq.heappop(queue)
+            least, i, x, y = heapq.heappop(queue)
             j = after[i]
             if ids[i] != x or j >= n or ids[j] != y:
                 continue
-            ids[i], ids[j], after[i] = z, -1, after[j]
+            ids[i], ids[j], after[i] = self.made[least], -1, after[j]
             if after[i] < n:
                 before[after[i]] = i
-                if m := self.merges.get((z, ids[after[i]])):
-                    heapq.heappush(queue, (m[0], i, z, ids[after[i]], m[1]))
-            if before[i] >= 0 and (m := self.merges.get((ids[before[i]], z))):
-                heapq.heappush(queue, (m[0], before[i], ids[before[i]], z, m[1]))
+            for left in (before[i], i):
+                if left >= 0 and after[left] < n and (r := rank((ids[left], ids[after[left]]))) is not None:
+                    heapq.heappush(queue, (r, left, ids[left], ids[after[left]]))
         return [t for t in ids if t >= 0]
 
     def speculated(self, words: list[str]) -> list[list[int]]:
@@ -183,8 +205,8 @@ class Bpe:
 
     def words_of(self, text: str) -> list[str]:
         if self.known and self.plain.fullmatch(text):
-            # The library lower-cases letter by letter, without a final form of sigma.
-            text = self.space.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
+            # The library lower-cases letter by letter, without a final form of sigma. White space is in no word, so it stays as it is.
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
             if self.plain.fullmatch(text):
                 return self.word.findall(text)
         if self.library.normalizer:
@@ -192,25 +214,44 @@ class Bpe:
         # Words of the library are in byte letters already; a mark in front tells them apart in the table of words.
         return [LIBRARY + w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)] if text else []
 
-    def encoded(self, texts: list[str | None]) -> list[list[int]]:
-        split = [self.cut.split(t) if self.cut else [t] for t in (t or "" for t in texts)]
-        parts = [[[p] if p in self.special else self.words_of(p) for p in parts if p] for parts in split]
+    def _parts(self, text: str | None) -> list[list[str]]:
+        """The words of a text; a special token is a part of its own."""
+        if not text:
+            return []
+        if self.cut is None or not self.cut.search(text):
+            return [self.words_of(text)]
+        return [[p] if p in self.special else self.words_of(p) for p in self.cut.split(text) if p]
+
+    def encoded(self, texts: list[str | None]) -> pa.ListArray:
+        """The tokens of each text, as int32."""
+        rows = [list(chain.from_iterable(ps)) if len(ps) > 1 else ps[0] if ps else [] for ps in map(self._parts, texts)]
         kept = self.kept
-        new = [w for w in {w for ps in parts for p in ps for w in p} if w not in kept and w not in self.special]
+        kept.update({s: np.int32(i).tobytes() for s, i in self.special.items()})
+        new = [w for w in set().union(*rows) if w not in kept]
         symbols = [self._symbols((w[1:] if w[0] == LIBRARY else w.encode().decode("latin1").translate(self.letters)) + self.ends) for w in new]
-        kept.update(zip(new, self.speculated(symbols), strict=True))
-        kept.update({s: [i] for s, i in self.special.items()})
-        out = [list(chain.from_iterable(map(kept.__getitem__, chain.from_iterable(ps)))) for ps in parts]
+        made = self.speculated(symbols)
+        flat = np.fromiter(chain.from_iterable(made), np.int32).tobytes()
+        ends = np.cumsum([4 * len(x) for x in made]).tolist()
+        kept.update((w, flat[a:b]) for w, a, b in zip(new, [0, *ends], ends))  # noqa: B905
+        # Tokens are put together as bytes: a text's are those of its words, one after the other.
+        found = [b"".join(map(kept.__getitem__, row)) for row in rows]
+        offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
         for w in new:
             if len(w) > WORD_CHARS:
                 del kept[w]
         if len(kept) > KEPT_WORDS:
             kept.clear()
-        return out
+        return pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(found), np.int32))
 
-    def decoded(self, ids: list[int | None] | None) -> str | None:
+    def decoded(self, lists: pa.ListArray) -> pa.Array:
         """Tokens as they are written in the vocabulary, with a space between: what a file without a decoder asks for."""
-        return None if ids is None else " ".join([self.names[i] for i in ids if i is not None and 0 <= i < len(self.names) and self.names[i] is not None])
+        ids = lists.flatten()
+        known = pc.fill_null(pc.and_(pc.greater_equal(ids, 0), pc.less(ids, len(self.names))), False)
+        if not pc.all(known).as_py():
+            return pa.array([None if x is None else " ".join([self.names[i] for i in x if i is not None and 0 <= i < len(self.names) and self.names[i] is not None]) for x in lists.to_pylist()], pa.string())
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        words = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), self.words.take(ids))
+        return pc.if_else(pc.is_valid(lists), pc.binary_join(words, " "), None)
 
 
 @lru_cache(maxsize=2)
@@ -222,11 +263,10 @@ def _added(df: DataFrame, read: str, name: str, kind, make) -> DataFrame:
     """df with the column `name`, made from `read` a batch at a time."""
     df = df.drop(*[c for c in df.columns if c.lower() == name and c != read])
     schema = StructType([f for f in df.schema.fields if f.name != name]).add(name, kind)
-    arrow = pa.list_(pa.int32()) if isinstance(kind, ArrayType) else pa.string()
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(rows, ROWS):
-            made = pa.array(make(batch.column(batch.schema.get_field_index(read)).to_pylist()), arrow)
+            made = make(batch.column(batch.schema.get_field_index(read)))
             names = [n for n in batch.schema.names if n != name]
             yield pa.record_batch([*[batch.column(batch.schema.get_field_index(n)) for n in names], made], names=[*names, name])
 
@@ -236,13 +276,13 @@ def _added(df: DataFrame, read: str, name: str, kind, make) -> DataFrame:
 def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """docs with ids: array<int>, the tokens of text. tokenizer: a BPE file of the tokenizers library, read by the driver and sent to the tasks (a vocabulary, some 2 MB)."""
     spec = docs.sparkSession.sparkContext.broadcast(_contents(tokenizer))
-    return _added(docs, text, "ids", ArrayType(IntegerType()), lambda texts: reader(spec.value).encoded(texts))
+    return _added(docs, text, "ids", ArrayType(IntegerType()), lambda texts: reader(spec.value).encoded(texts.to_pylist()))
 
 
 def decode(docs: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
     """docs with decoded: the text that the tokenizer's file gives for the ids."""
     spec = docs.sparkSession.sparkContext.broadcast(_contents(tokenizer))
-    return _added(docs, ids, "decoded", StringType(), lambda lists: [reader(spec.value).decoded(x) for x in lists])
+    return _added(docs, ids, "decoded", StringType(), lambda lists: reader(spec.value).decoded(lists))
 
 
 def _contents(path: str) -> str:
