@@ -15,7 +15,7 @@ joint statistic over all candidates of the corpus (a bounded table: bands x bins
 
 Defined cases: a null or empty text has no spans, and the digest of the empty text; repeated rows get equal
 results; without candidates no threshold is needed; rows are independent, so ids may be null or repeat; other
-columns do not matter, those with the names of results are replaced; very long texts are read whole. Positions are code points, the end is exclusive.
+columns do not matter, those with the names of results are replaced; very long texts and runs are read whole, in time that grows with their length. Positions are code points, the end is exclusive.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Capitals before, between and after lower-case letters, each found at its first place: one pass over a run of any length.
+TURNS = "^[^A-Z]*+[A-Z][^a-z]*+[a-z][^A-Z]*+[A-Z][^a-z]*+[a-z][^A-Z]*+[A-Z]"
 KINDS = ["assign", "access", "hex", "random"]
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -98,7 +100,7 @@ def _encoding(core: Column) -> Column:
     """The smallest alphabet that holds the run; null for words, plain numbers and mixed signs."""
     digit, lower, upper = core.rlike("[0-9]"), core.rlike("[a-z]"), core.rlike("[A-Z]")
     # A capital before lower-case letters is a word, not a mixture.
-    mixed = (digit & (lower | upper)) | core.rlike("[A-Z].*[a-z].*[A-Z].*[a-z].*[A-Z]")
+    mixed = (digit & (lower | upper)) | core.rlike(TURNS)
     return (
         F.when(core.rlike("^[0-9a-f]+$") & digit & lower, "hex")
         .when(core.rlike("^[0-9A-F]+$") & digit & upper, "HEX")
