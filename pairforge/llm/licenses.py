@@ -68,7 +68,7 @@ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
 
 
 def more_whole_texts() -> list[tuple[str, str]]:
-    """(license_id, text) of whole texts that the SQL does not know; the long ones are files in texts."""
+    """(license_id, text) of further whole texts; the long ones are files in texts."""
     files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0"}
     bsd = [("BSD-2-Clause", "BSD 2-Clause License", _BSD + _BSD_END), ("BSD-3-Clause", "BSD 3-Clause License", _BSD + _BSD_NAMES + _BSD_END)]
     short = [(i, t) for i, head, body in bsd for t in (body, head + "\n\n" + body)]
