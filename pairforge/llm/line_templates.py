@@ -1,8 +1,8 @@
 """Line dedup by a log-template tree of fixed depth. DataFrame and SQL functions only.
 
 A line is trimmed and cut at spaces; tokens that hold a digit become <*>. The tree's path to a leaf is the token count, then the
-first DEPTH tokens. A line weighs as many different texts as hold it, and recurs if they reach its bar: MIN_TEXTS, or
-LONG_TEXTS for lines of LONG_WORDS or more tokens. In a leaf, lines that do not recur as they are get a template: a token stays if lines of its leaf
+first DEPTH tokens. A line weighs as many different texts as hold it, and recurs if they reach its bar: as many texts as hold WEIGHT
+tokens of it together, LEAST_TEXTS at least, so the longer a line, the fewer texts. In a leaf, lines that do not recur as they are get a template: a token stays if lines of its leaf
 that hold it at its place reach the bar together, any other becomes <*>. So a leaf makes as many templates as it has messages, and a line
 always matches its own. A template in which fewer than SIMILAR percent of the tokens stay is void; others recur if different texts with lines of that template reach the bar.
 Lines that recur, as they are or by their template, are dropped from every document. Copies of one text count once, so a copied document
@@ -22,13 +22,14 @@ from pairforge.llm.tables import meet, table, unused
 from pairforge.plans.joins import salted_join
 from pairforge.plans.scratch import Scratch
 
-DEPTH, SIMILAR, MIN_TEXTS = 3, 70, 10
-LONG_WORDS, LONG_TEXTS = 20, 2
+DEPTH, SIMILAR = 3, 70
+#: A line recurs in as many different texts as give this many tokens together, in LEAST_TEXTS at least.
+WEIGHT, LEAST_TEXTS = 40, 2
 
 
 def masked(text: Column) -> Column:
     """Tokens that hold a digit as <*>, in all lines of a text at once."""
-    return F.when(text.rlike("[0-9]"), F.regexp_replace(text, "[^ \\n]*[0-9][^ \\n]*", "<*>")).otherwise(text)
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(text, "(?<![^ \\n])[^ \\n0-9]*+[0-9][^ \\n]*+", "<*>")).otherwise(text)
 
 
 def _constant(template: Column) -> Column:
@@ -36,11 +37,9 @@ def _constant(template: Column) -> Column:
     return F.when(F.contains(template, F.lit("<*>")), F.trim(F.replace(template, F.lit("<*>"), F.lit(""))) != "").otherwise(template != "")
 
 
-def _bar(k: Column, min_texts: int, long_words: int | None) -> Column:
+def _bar(k: Column, weight: int) -> Column:
     """How many different texts a line of k tokens has to recur in."""
-    if long_words is None:
-        return F.lit(min_texts)
-    return F.when(k >= long_words, min(LONG_TEXTS, min_texts)).otherwise(min_texts)
+    return F.greatest(F.lit(LEAST_TEXTS), F.floor((F.lit(weight - 1) + k) / k)).cast("int")
 
 
 def _copy(text: Column) -> Column:
@@ -59,12 +58,12 @@ def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
 LINE = ["leaf", "k", "m"]
 
 
-def recurring(docs: DataFrame, lines: DataFrame, scratch: Scratch, text: str = "text", min_texts: int = MIN_TEXTS, long_words: int | None = LONG_WORDS) -> DataFrame:
+def recurring(docs: DataFrame, lines: DataFrame, scratch: Scratch, text: str = "text", weight: int = WEIGHT) -> DataFrame:
     """(leaf, k, m, template: null if the line recurs as it is, n_texts) of every line that recurs.
 
     lines: those of docs without masked, as drop_templates keeps them. Only lines that need a template are read as texts again.
     """
-    bar = _bar(F.col("k"), min_texts, long_words)
+    bar = _bar(F.col("k"), weight)
     own = scratch.keep(lines.select(*LINE, "copy").distinct().groupBy(*LINE).agg(F.count("*").alias("n")))
     rest = own.where(F.col("n") < bar)
     # A leaf that all these lines together leave short of its bar has no template.
@@ -87,12 +86,12 @@ def recurring(docs: DataFrame, lines: DataFrame, scratch: Scratch, text: str = "
     return scratch.keep(as_is.unionByName(found))
 
 
-def drop_templates(docs: DataFrame, text: str = "text", min_texts: int = MIN_TEXTS, long_words: int | None = LONG_WORDS) -> DataFrame:
-    """docs with the recurring lines cut out of text; adds, or replaces, n_lines and n_dropped (long). long_words None: one bar for all lengths."""
+def drop_templates(docs: DataFrame, text: str = "text", weight: int = WEIGHT) -> DataFrame:
+    """docs with the recurring lines cut out of text; adds, or replaces, n_lines and n_dropped (long)."""
     docs = docs.drop("n_lines", "n_dropped")
     scratch = Scratch(docs.sparkSession)
     lines = scratch.keep(lines_of(docs, text).drop("masked"))
-    bad = recurring(docs, lines, scratch, text, min_texts, long_words)
+    bad = recurring(docs, lines, scratch, text, weight)
     # Lines meet the recurring ones by hash: a line's text does not travel.
     copy, dropped = unused(docs, "copy", "dropped")
     hit = meet(lines.select("copy", "pos", *LINE), bad.select(*LINE), LINE).select("copy", "pos")
@@ -115,7 +114,7 @@ def op3_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql() -> str:
-    bar = f"CASE WHEN k >= {LONG_WORDS} THEN {min(LONG_TEXTS, MIN_TEXTS)} ELSE {MIN_TEXTS} END"
+    bar = f"greatest({LEAST_TEXTS}, ({WEIGHT - 1} + k) // k)"
     constant = lambda x: f"trim(replace({x}, '<*>', '')) <> ''"
     return f"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
