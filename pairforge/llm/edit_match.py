@@ -1,19 +1,21 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts are compared in lower case with every run of characters other than letters and digits as one space. An item of n characters may
-differ from a passage by budget = floor(RATE * n) edits. Cut into budget + 1 pieces, at least one piece of it occurs
+Texts are compared in lower case with every run of characters other than letters and digits as one space, and one at each end. An item of n characters, taken with the
+space before and after it, so as whole words, may differ from a passage by budget = floor(RATE * n) edits. Cut into budget + 1 pieces, at least one piece of it occurs
 unchanged in any passage within the budget; an Aho-Corasick automaton finds all piece hits of a whole document in
 one run, and Myers' bit-parallel distance is computed over the stretch that each group of hits allows. The benchmark is sent to the tasks in parts
 of at most PART_CHARS characters; a larger one costs more passes, not more memory.
 
-Defined cases: null and empty texts match nothing; items too short for an edit (fewer than 20 characters) match as whole words only, items without letters or digits match nothing;
-very long texts are read whole; other columns stay as they are;
-repeated items and documents give one row a pair of ids; an empty table gives an empty result; of several passages the least distance counts.
+Defined cases: null and empty texts match nothing; items without letters or digits match nothing; items without an id count like others, and matches give their id as null;
+very long texts are read whole, and an item longer than PART_CHARS is a part of its own; other columns stay as they are;
+repeated items and documents give one row a pair of ids, and so do all documents, or items, whose id is null; ids are cast to long (text that is no number: an error in Spark's
+ANSI mode, else null); documents are dropped row by row, whatever their ids; an empty table gives an empty result; of several passages the least distance counts.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -41,10 +43,10 @@ def pieces(item: str, budget: int) -> list[tuple[int, str]]:
 class Pattern:
     """An item, ready for Myers' algorithm: Python integers hold the bit columns."""
 
-    def __init__(self, item_id: int, item: str):
-        self.id, self.text, self.budget = item_id, item, int(RATE * len(item))
+    def __init__(self, item_id: int | None, item: str):
+        self.id, self.text, self.budget = item_id, f" {item} ", int(RATE * len(item))
         self.masks: dict[str, int] = {}
-        for i, c in enumerate(item):
+        for i, c in enumerate(self.text):
             self.masks[c] = self.masks.get(c, 0) | 1 << i
 
     def least_distance(self, passage: str) -> int:
@@ -73,8 +75,7 @@ class Matcher:
         self.patterns = [Pattern(i, t) for i, t in items]
         found: dict[str, list[tuple[int, int]]] = {}
         for k, p in enumerate(self.patterns):
-            # An item without a budget is met between word boundaries only: its one piece holds the spaces around it.
-            for offset, piece in pieces(p.text, p.budget) if p.budget else [(-1, f" {p.text} ")]:
+            for offset, piece in pieces(p.text, p.budget):
                 found.setdefault(piece, []).append((k, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, places in found.items():
@@ -84,9 +85,10 @@ class Matcher:
     def matches(self, text: str) -> list[tuple[int, int]]:
         """(item id, distance) of all items that occur within their budget."""
         starts: dict[int, set[int]] = {}
-        for end, (length, places) in self.automaton.iter(f" {text} "):
+        text = f" {text} "
+        for end, (length, places) in self.automaton.iter(text):
             for k, offset in places:
-                starts.setdefault(k, set()).add(end - length - offset)
+                starts.setdefault(k, set()).add(end + 1 - length - offset)
         out = []
         for k, places in starts.items():
             p, best = self.patterns[k], None
@@ -110,14 +112,25 @@ class Matcher:
         yield first, last
 
 
-def _parts(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    items = benchmark.where("text is not null").select("item_id", "text").distinct()
+#: The automaton of the last part that a Python worker saw, by the part's name.
+_made: dict[str, Matcher] = {}
+
+
+def _matcher(name: str, items: list[tuple[int | None, str]]) -> Matcher:
+    if name not in _made:
+        _made.clear()
+        _made[name] = Matcher(items)
+    return _made[name]
+
+
+def _parts(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text").distinct()
     chars = items.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     n_parts = -(-chars // PART_CHARS)
     for k in range(n_parts):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == k)
         rows = [(r.item_id, plain(r.text)) for r in part.collect()]  # one part, about PART_CHARS
-        yield sorted((i, t) for i, t in rows if t and i is not None)
+        yield [(i, t) for i, t in rows if t]
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -128,10 +141,9 @@ def find_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for items in _parts(benchmark):
         shared = spark.sparkContext.broadcast(items)
 
-        def found(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = None
+        def found(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
             for batch in small(batches):
-                matcher = matcher or Matcher(shared.value)
+                matcher = _matcher(name, shared.value)
                 rows = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for m in matcher.matches(plain(t))] if shared.value else []
                 ids, item_ids, distances = zip(*rows, strict=True) if rows else ((), (), ())
                 yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "item_id": pa.array(item_ids, pa.int64()), "distance": pa.array(distances, pa.int32())})
@@ -147,10 +159,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for items in _parts(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
-        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = None
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
             for batch in small(batches):
-                matcher = matcher or Matcher(shared.value)
+                matcher = _matcher(name, shared.value)
                 keep = [not (t and shared.value and matcher.matches(plain(t))) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
