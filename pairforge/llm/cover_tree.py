@@ -12,7 +12,8 @@ radius radius' < worst. Worst scores come from a bounded sample of rows, then fr
 left go to tasks, where a row's bound is its product itself: one matrix product a pair.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part; nor do rows without an id; vectors meet those of their own
-length only; ids may repeat: every row is a candidate, for other rows of its id too, and every query row gives results; equal scores rank by smaller id;
+length only; ids may repeat: every row is a candidate, for other rows of its id too, and every query row gives results; scores beyond 64 bits become
+the largest or smallest long; equal scores rank by smaller id;
 fewer than k candidates give fewer rows; other columns do not matter; an empty table gives an empty result.
 """
 
@@ -87,6 +88,15 @@ def _assigned(rows: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
     return rows[["rid", "vec_id", "v", "asked", "node"]].assign(child=child, away=np.where(np.isnan(child), first, nearest))
 
 
+def _sampled(rows: DataFrame, by: str | None = None) -> DataFrame:
+    """SAMPLE rows at most of each group with n rows, the first by a hash. Only rows under a bar that leaves somewhat more than these meet in one task."""
+    mark = F.pmod(F.xxhash64("rid"), F.lit(1 << 30))
+    under = rows.where(mark.cast("double") * F.col("n") < 1.25 * SAMPLE * (1 << 30))
+    if by is None:
+        return under.orderBy(mark, "rid").limit(SAMPLE)
+    return under.withColumn("r", F.row_number().over(W.partitionBy(by).orderBy(mark, "rid"))).where(F.col("r") <= SAMPLE)
+
+
 ROW = "rid long, vec_id long, v array<double>, asked boolean"
 
 
@@ -97,8 +107,7 @@ def build(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     info = state.select("node").distinct().select("node", none.cast("array<double>").alias("center"))
     placed, cells = [], []
     while not state.isEmpty():
-        order = W.partitionBy("node").orderBy(F.xxhash64("rid"), "rid")
-        sample = state.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE).join(info, "node")
+        sample = _sampled(state, "node").join(info, "node")
         chosen = scratch.keep(sample.groupBy("node").applyInPandas(_chosen, "node string, centers array<array<double>>, reach double"))
         # A node's rows are dealt over tasks; its centres, BRANCH at most, go to each.
         parts = F.ceil(F.col("n") / PART)
@@ -172,7 +181,7 @@ def _searched(pairs: DataFrame, queries: DataFrame, data: DataFrame, k: int) ->
 
 def _with_floors(rows: DataFrame, k: int) -> DataFrame:
     """The query rows with floor, the kth score that they reach in a sample of SAMPLE rows."""
-    some = rows.orderBy(F.xxhash64("rid"), "rid").limit(SAMPLE).select("rid", "v").collect()
+    some = _sampled(rows.withColumn("n", F.lit(rows.count()))).select("rid", "v").collect()
     by_length = {n: (np.array([r.v for r in some if len(r.v) == n]).reshape(-1, n), np.array([r.rid for r in some if len(r.v) == n])) for n in {len(r.v) for r in some}}
     shared = rows.sparkSession.sparkContext.broadcast(by_length)  # SAMPLE vectors
     schema = f"{ROW}, q_block string, floor double"

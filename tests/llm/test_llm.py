@@ -104,6 +104,18 @@ def test_integral_and_large_products(spark):
     assert cover_tree.products(np.array([[3e9, 1.0]]), np.array([[2e9, 1.0]]))[0, 0] == 6 * 10**18 + 1
 
 
+def test_samples_of_a_large_node_meet_after_a_bar(spark):
+    """No task sorts a node's whole rows: what a window sees is bounded by a filter, whatever the session's settings."""
+    rows = spark.range(200_000).select(F.col("id").alias("rid"), (F.col("id") % 3 == 0).cast("string").alias("node")).withColumn("n", F.when(F.col("node") == "true", 66_667).otherwise(133_333))
+    under = rows.where((F.pmod(F.xxhash64("rid"), F.lit(1 << 30)).cast("double") * F.col("n")) < 1.25 * cover_tree.SAMPLE * (1 << 30))
+    assert {r["count"] <= 1.5 * cover_tree.SAMPLE for r in under.groupBy("node").count().collect()} == {True}
+    got = cover_tree._sampled(rows, "node")
+    assert {r["count"] for r in got.groupBy("node").count().collect()} == {cover_tree.SAMPLE}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Window") < plan.index("Exchange") < plan.rindex("Filter")
+    assert cover_tree._sampled(rows.where("rid < 500").withColumn("n", F.lit(500)), "node").count() == 500
+
+
 # 2: near-duplicates
 
 
