@@ -1,9 +1,8 @@
 """Exact similarity joins of multi-block vectors.
 
-Entities are dealt to the cells of PIVOTS pivots at most, chosen farthest-first from a bounded sample (which decides the cells, not what is found); a cell
-is cut into blocks of about BLOCK rows by the distance from its pivot. By the triangle inequality, two blocks whose distances from their pivots leave no
-pair within the radius in some region never meet. A task gets one pair of blocks that is left, for which it computes one matrix product a region,
-the later regions only for pairs that the earlier ones left. A cell that holds a third of all rows gives many blocks, not one large task.
+A tree of pivots (pivots.py) cuts the entities into leaves of BLOCK rows at most; pairs of its nodes are descended and left out by the triangle inequality. A task gets one
+pair of leaves that is left, for which it computes one matrix product a region, the later regions only for pairs that the earlier ones left. A cell that holds a
+third of all rows is cut into many leaves, not one large task.
 """
 
 from __future__ import annotations
@@ -12,14 +11,15 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from pairforge.operators.pivots import build, matrix, near_leaves, regions_of
 from pairforge.plans.scratch import Scratch
 
 BLOCK = 1024
-PIVOTS, SAMPLE, ROWS_A_PIVOT, RINGS = 256, 2048, 256, 64
 #: Distances this near to a radius, relatively, are computed again from the difference itself.
 BAND = 1e-9
 
@@ -37,12 +37,6 @@ def block_pairs(home: DataFrame, visitors: DataFrame, work: Callable[[pd.DataFra
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(lambda a, b: work(a, b), schema)
 
 
-def _matrices(z: pd.Series) -> list[np.ndarray]:
-    """One matrix a region, of rows z[i][region]."""
-    rows = z.tolist()
-    return [np.array([np.asarray(r[k], float) for r in rows]) for k in range(len(rows[0]))] if rows else []
-
-
 def within(a: list[np.ndarray], b: list[np.ndarray], radii: list[float]) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers (i, j) of pairs within the radius in every region, radii included."""
     i = j = None
@@ -60,107 +54,51 @@ def within(a: list[np.ndarray], b: list[np.ndarray], radii: list[float]) -> tupl
     return i, j
 
 
-def _units(x: list[np.ndarray], center: list[np.ndarray], radii: list[float]) -> np.ndarray:
-    """The largest distance from a centre over the regions, in radii."""
-    return np.max([np.sqrt(((v - c) ** 2).sum(1)) / max(r, 1e-300) for v, c, r in zip(x, center, radii, strict=True)], axis=0)
-
-
-def _pivots(points: DataFrame, radii: list[float], n: int) -> list[np.ndarray]:
-    """Farthest-first centres, of a sample: one matrix a region."""
-    x = _matrices(pd.Series([r.z for r in points.orderBy(F.xxhash64("iso_id"), "iso_id").limit(SAMPLE).select("z").collect()]))
-    if not x:
-        return []
-    chosen = [0]
-    away = _units(x, [v[0] for v in x], radii)
-    while len(chosen) < min(n, len(x[0])) and away.max() > 0:
-        chosen.append(int(away.argmax()))
-        away = np.minimum(away, _units(x, [v[chosen[-1]] for v in x], radii))
-    return [v[chosen] for v in x]
-
-
-def _placed(rows: DataFrame, pivots: Broadcast, radii: list[float]) -> DataFrame:
-    """rows with cell, the nearest pivot, and away, the distance from it in each region."""
-    kinds = dict(rows.dtypes)
-
-    def place(batches):
-        for pdf in batches:
-            x = _matrices(pdf.z)
-            cell, best = np.zeros(len(pdf), np.int64), np.full(len(pdf), np.inf)
-            for k in range(len(pivots.value[0]) if len(pdf) else 0):
-                d = _units(x, [c[k] for c in pivots.value], radii)
-                cell[d < best] = k
-                best = np.minimum(best, d)
-            away = [np.sqrt(((v - c[cell]) ** 2).sum(1)) for v, c in zip(x, pivots.value, strict=True)] if len(pdf) else []
-            yield pdf.assign(cell=cell, away=pd.Series(list(np.stack(away, 1)) if away else [], dtype=object))
-
-    return rows.mapInPandas(place, f"iso_id {kinds['iso_id']}, z {kinds['z']}, cell long, away array<double>")
-
-
-def _blocked(placed: DataFrame, block: int) -> DataFrame:
-    """placed with part: a cell of more than `block` rows is cut into rings by the distance in the first region, a ring that is still too large by a hash."""
-    grid = [i / RINGS for i in range(1, RINGS)]
-    cuts = placed.groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx(F.col("away")[0], grid).alias("cuts"))
-    ring = F.size(F.filter("cuts", lambda c: c < F.col("away")[0])) * F.least(F.lit(RINGS), F.ceil(F.col("n") / block)) / RINGS
-    ringed = placed.join(F.broadcast(cuts), "cell").withColumn("ring", F.floor(ring)).drop("cuts", "n")  # PIVOTS rows at most
-    sizes = ringed.groupBy("cell", "ring").agg(F.ceil(F.count("*") / block).alias("parts"))
-    part = F.concat_ws(":", "cell", "ring", F.pmod(F.xxhash64("iso_id"), F.col("parts")))
-    return ringed.join(F.broadcast(sizes), ["cell", "ring"]).withColumn("part", part).drop("ring", "parts")  # PIVOTS * RINGS rows at most
-
-
-def near_blocks(left: DataFrame, right: DataFrame, pivots: list[np.ndarray], radii: list[float], once: bool) -> DataFrame:
-    """(pa, pb): pairs of blocks that may hold entities within the radii. once: both sides are one table, each pair comes one way round.
-
-    With D between two pivots, and distances from its own pivot in [lo, hi] in each block, no pair is nearer than D - hi - hi', lo - D - hi' or lo' - D - hi.
-    """
-
-    def blocks(rows: DataFrame, x: str) -> DataFrame:
-        each = [F.min(F.col("away")[k]).alias(f"lo{k}") for k in range(len(radii))] + [F.max(F.col("away")[k]).alias(f"hi{k}") for k in range(len(radii))]
-        return rows.groupBy("cell", "part").agg(*each).select(F.col("cell").alias(f"c{x}"), F.col("part").alias(f"p{x}"), *[F.col(f"{e}{k}").alias(f"{e}{x}{k}") for e in ("lo", "hi") for k in range(len(radii))])
-
-    n = len(pivots[0])
-    apart = [np.sqrt(((c[:, None] - c[None]) ** 2).sum(2)) for c in pivots]
-    spark = left.sparkSession
-    between = spark.createDataFrame([(i, j, [float(d[i, j]) for d in apart]) for i in range(n) for j in range(n)], "ca long, cb long, apart array<double>")  # PIVOTS^2 rows at most
-    both = blocks(left, "a").join(F.broadcast(between), "ca").join(blocks(right, "b"), "cb")
-    ok = F.col("pa") <= F.col("pb") if once else F.lit(True)
-    for k, r in enumerate(radii):
-        d, la, ha, lb, hb = F.col("apart")[k], *[F.col(f"{e}{x}{k}") for x in "ab" for e in ("lo", "hi")]
-        ok = ok & (F.greatest(d - ha - hb, la - d - hb, lb - d - ha) <= F.lit(r * (1 + 1e-6) + 1e-6))
-    return both.where(ok).select("pa", "pb")
-
-
 def similar_pairs(points: DataFrame, queries: DataFrame | None, radii: list[float], sizes: list[int], block: int = BLOCK) -> DataFrame:
-    """points(iso_id, z: array of a vector a region) -> (a, b, pearson: array of a value a region).
+    """points(iso_id, z: array of a vector a region), sizes: the vectors' lengths -> (a, b, pearson: array of a value a region).
 
     Without queries: unordered pairs, a < b. With queries(iso_id, z): a is the query, b any other entity within the radii.
     """
     kind, once = dict(points.dtypes)["iso_id"], queries is None
     schema = f"a {kind}, b {kind}, pearson array<double>"
-    spark, scratch = points.sparkSession, Scratch(points.sparkSession)
-    points = scratch.keep(points.select("iso_id", "z"))
-    pivots = _pivots(points, radii, min(PIVOTS, -(-points.count() // ROWS_A_PIVOT)))
-    if not pivots:
-        return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast(pivots)
-    home = scratch.keep(_blocked(_placed(points, shared, radii), block))
-    visitors = home if once else scratch.keep(_blocked(_placed(queries.select("iso_id", "z"), shared, radii), block))
-    pairs = scratch.keep(near_blocks(home, visitors, pivots, radii, once))
-
-    def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "pearson": pd.Series([], dtype=object)})
-        x, y = _matrices(left.z), _matrices(right.z)
-        i, j = within(x, y, radii)
-        la, rb = left.iso_id.to_numpy()[i], right.iso_id.to_numpy()[j]
-        keep = la < rb if once and left.pa.iloc[0] == left.pb.iloc[0] else la != rb
-        i, j, la, rb = i[keep], j[keep], la[keep], rb[keep]
-        p = np.stack([(u[i] * v[j]).sum(1) / s for u, v, s in zip(x, y, sizes, strict=True)], 1) if len(i) else np.empty((0, len(radii)))
-        a, b = (np.where(la < rb, la, rb), np.where(la < rb, rb, la)) if once else (rb, la)
-        return pd.DataFrame({"a": a, "b": b, "pearson": pd.Series(list(p), dtype=object)})
-
-    left = home.select("iso_id", "z", F.col("part").alias("pa")).join(pairs, "pa")
-    right = visitors.select(F.col("iso_id").alias("iso_id"), F.col("z").alias("z"), F.col("part").alias("pb")).join(pairs, "pb")
-    return left.groupBy("pa", "pb").cogroup(right.groupBy("pa", "pb")).applyInPandas(lambda u, v: work(u, v), schema)
+    scratch = Scratch(points.sparkSession)
+    rows = points.select("iso_id", F.flatten("z").alias("v"), F.lit(True).alias("held"), F.lit(once).alias("asked"))
+    if not once:
+        rows = rows.unionByName(queries.select("iso_id", F.flatten("z").alias("v"), F.lit(False).alias("held"), F.lit(True).alias("asked")))
+    tree = build(scratch.keep(rows), sizes, radii, scratch, block)
+    pairs, _ = near_leaves(tree, sizes, radii, scratch)
+    parts = regions_of(sizes)
+    arrow = pa.schema([("a", to_arrow_type(points.schema["iso_id"].dataType)), ("b", to_arrow_type(points.schema["iso_id"].dataType)), ("pearson", pa.list_(pa.float64()))])
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return arrow.empty_table()
+        x, y = matrix(left.column("v")), matrix(right.column("v"))
+        i, j = within([x[:, p] for p in parts], [y[:, p] for p in parts], radii)
+        own, other = (np.array(t.column("iso_id").to_pylist(), object) if kind == "string" else t.column("iso_id").to_numpy() for t in (left, right))
+        same = left.column("la")[0] == right.column("lb")[0]
+        if once:
+            keep = own[i] < other[j] if same else own[i] != other[j]
+            turns = [(i[keep], j[keep])]
+        else:
+            asked, held = ([t.column(c).to_numpy(zero_copy_only=False).astype(bool) for t in (left, right)] for c in ("asked", "held"))
+            first = asked[0][i] & held[1][j] & (own[i] != other[j])
+            second = asked[1][j] & held[0][i] & (own[i] != other[j])
+            # Pairs of one leaf come both ways round as they are.
+            turns = [(i[first], j[first])] + ([] if same else [(i[second], j[second])])
+        found = []
+        for t, (p, q) in enumerate(turns):
+            r = np.stack([(x[p][:, s] * y[q][:, s]).sum(1) / n for s, n in zip(parts, sizes, strict=True)], 1) if len(p) else np.empty((0, len(parts)))
+            a, b = (own[p], other[q]) if t == 0 else (other[q], own[p])
+            if once:
+                a, b = np.where(a < b, a, b), np.where(a < b, b, a)
+            lists = pa.ListArray.from_arrays(np.arange(len(r) + 1, dtype=np.int32) * len(parts), r.ravel())
+            found.append(pa.table([pa.array(a, arrow.field("a").type), pa.array(b, arrow.field("b").type), lists], schema=arrow))
+        return pa.concat_tables(found)
+
+    left = tree.rows.withColumnRenamed("leaf", "la").join(pairs, "la")
+    right = tree.rows.select(*[F.col(c).alias(c) for c in tree.rows.columns if c != "leaf"], F.col("leaf").alias("lb")).join(pairs, "lb")
+    return left.groupBy("la", "lb").cogroup(right.groupBy("la", "lb")).applyInArrow(work, schema)
 
 
 def directed(edges: DataFrame) -> DataFrame:

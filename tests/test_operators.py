@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairforge.functions import vectors as v
-from pairforge.operators import audit, compare, correctness, dbscan, dims, ks, neighbors, profiles
+from pairforge.operators import audit, compare, correctness, dbscan, dims, ks, neighbors, pivots, profiles
 from pairforge.operators.components import connected_components
+from pairforge.plans.scratch import Scratch
 from pairforge.sources import lists
 from pairforge.sources.config import read_config
 from pairforge.sources.stages import load_or_compute, stage_path
@@ -219,20 +220,50 @@ def test_cluster_tests_are_the_same_with_a_large_expected_sample_and_take_any_fu
     assert each[0].n == 435 and math.isclose(each[0].d, max((np.arange(1, 436) / 435 - f).max(), (f - np.arange(435) / 435).max()), abs_tol=1e-6)
 
 
-def test_similarity_join_prunes_blocks_of_clustered_data(spark):
-    rng = np.random.default_rng(2)
-    centers = rng.normal(size=(30, 2, 8)) * 10
-    x = centers[rng.integers(0, 30, 9000)] + rng.normal(scale=0.05, size=(9000, 2, 8))
-    df = spark.createDataFrame([(i, z.tolist()) for i, z in enumerate(x)], "iso_id long, z array<array<double>>")
-    radii = [0.2, 0.2]
-    pivots = neighbors._pivots(df, radii, 36)
-    home = neighbors._blocked(neighbors._placed(df, spark.sparkContext.broadcast(pivots), radii), 128)
-    n = home.select("part").distinct().count()
-    assert neighbors.near_blocks(home, home, pivots, radii, True).count() < 0.1 * n * (n + 1) / 2
-    got = neighbors.similar_pairs(df.where("iso_id < 1500"), None, radii, [8, 8], block=64)
-    y = x[:1500]
-    near = [np.linalg.norm(y[:, None, k] - y[None, :, k], axis=2) <= 0.2 for k in range(2)]
-    assert {(r.a, r.b) for r in got.select("a", "b").collect()} == {(i, j) for i, j in zip(*np.nonzero(near[0] & near[1]), strict=True) if i < j}
+def clustered(spark, n, seed=2, per=150):
+    """n rows in n / per clusters, so twice the rows are twice the clusters."""
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(n // per, 2, 8)) * 10
+    x = centers[rng.integers(0, len(centers), n)] + rng.normal(scale=0.05, size=(n, 2, 8))
+    return x, spark.createDataFrame([(i, z.tolist()) for i, z in enumerate(x)], "iso_id long, z array<array<double>>")
+
+
+def test_pivot_tree_looks_at_pairs_of_blocks_in_proportion_to_the_rows(spark):
+    left, leaves = [], []
+    for n in (4000, 16_000):
+        scratch = Scratch(spark)
+        rows = scratch.keep(clustered(spark, n)[1].select("iso_id", F.flatten("z").alias("v")))
+        tree = pivots.build(rows, [8, 8], [0.2, 0.2], scratch, 128)
+        sizes = [r["count"] for r in tree.rows.groupBy("leaf").count().collect()]
+        assert sum(sizes) == n and max(sizes) <= 128
+        pairs, levels = pivots.near_leaves(tree, [8, 8], [0.2, 0.2], scratch)
+        leaves.append(len(sizes))
+        left.append(sum(t.count() for t in levels))
+        assert pairs.count() < 0.1 * len(sizes) ** 2 and len(levels) == tree.depth
+    assert leaves[1] > 2.5 * leaves[0] and left[1] < 6 * left[0]
+
+
+def test_pivot_tree_with_many_nodes_sends_rows_to_their_centres(spark, monkeypatch):
+    x, df = clustered(spark, 1500)
+    want = None
+    for shared in (2048, 1):
+        monkeypatch.setattr(pivots, "SHARED", shared)
+        got = {(r.a, r.b): r.pearson for r in neighbors.similar_pairs(df, None, [0.2, 0.2], [8, 8], block=64).collect()}
+        want = want or got
+        assert got == want
+    near = [np.linalg.norm(x[:, None, k] - x[None, :, k], axis=2) <= 0.2 for k in range(2)]
+    assert set(want) == {(i, j) for i, j in zip(*np.nonzero(near[0] & near[1]), strict=True) if i < j}
+
+
+def test_copies_beyond_a_block_are_dealt_to_leaves(spark):
+    x = np.random.default_rng(4).normal(size=(40, 2, 8))
+    df = spark.createDataFrame([(i, x[0 if i < 300 else i % 40].tolist()) for i in range(400)], "iso_id long, z array<array<double>>")
+    scratch = Scratch(spark)
+    tree = pivots.build(scratch.keep(df.select("iso_id", F.flatten("z").alias("v"))), [8, 8], [0.1, 0.1], scratch, 50)
+    assert max(r["count"] for r in tree.rows.groupBy("leaf").count().collect()) <= 100
+    got = neighbors.similar_pairs(df, None, [0.1, 0.1], [8, 8], block=50).count()
+    copies = [300 + sum(i % 40 == 0 for i in range(300, 400))] + [sum(i % 40 == k for i in range(300, 400)) for k in range(1, 40)]
+    assert got == sum(c * (c - 1) // 2 for c in copies)
 
 
 def test_pairs_in_any_shared_cluster(spark):
