@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions.vectors import distance_from_pearson
 from pairforge.operators import audit as au
+from pairforge.operators import boxes as bx
 from pairforge.operators import compare as cmp
 from pairforge.operators import correctness as cor
 from pairforge.operators import dbscan as db
@@ -145,8 +146,7 @@ def neighbor_degree(spark: SparkSession, d: str) -> DataFrame:
 
 def range_query(spark: SparkSession, d: str) -> DataFrame:
     points = _points(spark, d)
-    found = nb.similar_pairs(points, points.where("iso_id % 10 = 0"), _radius(0.1), [SIZE] * len(REGIONS))
-    return found.select(F.col("a").alias("query_id"), F.col("b").alias("iso_id"))
+    return bx.within_range(points, points.where("iso_id % 10 = 0"), REGIONS, [SIZE] * len(REGIONS), _radius(0.1))
 
 
 def neighbor_compare(spark: SparkSession, d: str) -> DataFrame:
