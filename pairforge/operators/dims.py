@@ -8,10 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from pairforge.functions.vectors import projection
 from pairforge.operators.pivots import matrix
+from pairforge.plans.ranks import running_sums
 from pairforge.plans.scratch import Scratch
 
 
@@ -129,18 +129,10 @@ def merged_boxes(boxes: DataFrame, by: str) -> DataFrame:
 
 
 def median_split(profiles: DataFrame, dims: list[int], coefficients: list[float], by: list[str]) -> DataFrame:
-    """(by, split): mean of the projections at 0-based ranks n // 2 and n // 2 + 1; the last one twice where there are too few.
-
-    Ranks come from counts of quantile buckets and a sort of each bucket, so no group is sorted as a whole.
-    """
-    keyed = profiles.select(*by, "iso_id", projection(F.col("z"), dims, coefficients).alias("v"))
-    cuts = keyed.groupBy(*by).agg(F.percentile_approx("v", [i / 64 for i in range(1, 64)]).alias("cuts"))
-    placed = keyed.join(cuts, by).withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
-    per = placed.groupBy(*by, "bucket").agg(F.count("*").alias("c"))
-    before = W.partitionBy(*by).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = per.select(*by, "bucket", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("o"), F.sum("c").over(W.partitionBy(*by)).alias("n"))
-    ranked = placed.withColumn("r", F.row_number().over(W.partitionBy(*by, "bucket").orderBy("v", "iso_id")) - 1).join(starts, [*by, "bucket"])
-    at = F.col("o") + F.col("r")
-    half = F.floor(F.col("n") / 2)
-    low, high = F.least(half, F.col("n") - 1), F.least(half + 1, F.col("n") - 1)
-    return ranked.groupBy(*by).agg(((F.max(F.when(at == low, F.col("v"))) + F.max(F.when(at == high, F.col("v")))) / 2).alias("split"))
+    """(by, split): mean of the projections at 0-based ranks n // 2 and n // 2 + 1; the last one twice where there are too few. No group is sorted as a whole."""
+    values = profiles.select(*by, projection(F.col("z"), dims, coefficients).alias("v")).groupBy(*by, "v").agg(F.count("*").alias("k"))
+    run = running_sums(values, by, ["v"], {"r": "k"}, Scratch(profiles.sparkSession))
+    half = F.floor(F.col("r_all") / 2)
+    at = lambda rank: F.max(F.when((F.col("r") - F.col("k") <= rank) & (rank < F.col("r")), F.col("v")))
+    low, high = F.least(half, F.col("r_all") - 1), F.least(half + 1, F.col("r_all") - 1)
+    return run.groupBy(*by).agg(((at(low) + at(high)) / 2).alias("split"))

@@ -259,6 +259,17 @@ def beta_ks(spark: SparkSession, d: str) -> DataFrame:
     return ks.beta_ks(sample, *BETA_SHAPE).select("region", "n", *_r("d", "p"))
 
 
+def beta_paired_ks(spark: SparkSession, d: str) -> DataFrame:
+    """Each merged pair of label clusters against the beta distribution."""
+    test = ks.beta_correctness(*BETA_SHAPE, lambda p: (p + 1) / 2)
+    return ks.paired_ks(_labelled(spark, d), _points(spark, d), REGIONS, None, test).select("c1", "c2", "region", "n", *_r("d", "p"))
+
+
+def beta_cluster_ks(spark: SparkSession, d: str) -> DataFrame:
+    test = ks.beta_correctness(*BETA_SHAPE, lambda p: (p + 1) / 2)
+    return ks.cluster_ks(_sevens(spark, d), _points(spark, d), REGIONS, None, test).select("cluster_id", "region", "n", *_r("d", "p"))
+
+
 def _csv_lines(spark: SparkSession, d: str) -> DataFrame:
     """A sectioned file for each label, with titles, blank lines, a second header and a terminator, from the rows of embeddings."""
     rows = _raw(spark, d).where("label is not null").select(F.concat(F.lit("f"), F.col("label")).alias("file"), "iso_id")
@@ -348,7 +359,7 @@ def region_parameters(spark: SparkSession, d: str) -> DataFrame:
 
 _NAMES = """latest_print complete_isolates replicate_groups zscore_profiles profile_build replicate_pairs replicate_counts neighbor_pairs neighbor_degree range_query
 neighbor_compare dbscan_membership single_link noise cluster_overlaps cluster_stats cluster_size_hist cluster_map pair_counts similarity_indexes pair_classes
-threshold_correctness intra_pearsons inter_slots inter_pearsons distribution_similarity distribution_correctness cluster_ks cluster_ks_describe paired_ks_describe beta_ks
+threshold_correctness intra_pearsons inter_slots inter_pearsons distribution_similarity distribution_correctness cluster_ks cluster_ks_describe paired_ks_describe beta_ks beta_cluster_ks beta_paired_ks
 import_clusters id_list_diff cluster_audit density_relations clustering_equal dim_profile dim_correlation dim_topk bounding_boxes median_split exact_sample
 region_parameters""".split()
 

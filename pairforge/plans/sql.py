@@ -74,12 +74,24 @@ SELECT mom.region, mom.measure, n, round(lo, 6) AS "min", round(hi, 6) AS "max",
 KS_OUT = "round(d, 6) AS d, round(weighted, 6) AS weighted, round(p, 6) AS p"
 CLUSTER_KS = f"""WITH {REPLICATES}, {LABELLED}, big AS (SELECT cluster_id FROM lab GROUP BY 1 HAVING count(*) >= 8), {intra("lab")},
 act AS (SELECT cluster_id, region, pearson FROM intra WHERE cluster_id IN (SELECT cluster_id FROM big)), {ks("act", "cluster_id", "act", "rep", "t")}"""
-PAIRED_KS = f"""WITH {REPLICATES}, {LABELLED}, {intra("lab")}, sz AS (SELECT cluster_id, count(*) AS s FROM lab GROUP BY 1),
+MERGED = """sz AS (SELECT cluster_id, count(*) AS s FROM lab GROUP BY 1),
 cp AS (SELECT x.cluster_id AS c1, y.cluster_id AS c2 FROM sz x JOIN sz y ON x.cluster_id < y.cluster_id WHERE x.s + y.s >= 8),
 act AS (SELECT c1, c2, region, pearson FROM cp JOIN intra ON intra.cluster_id = c1 UNION ALL SELECT c1, c2, region, pearson FROM cp JOIN intra ON intra.cluster_id = c2
-  UNION ALL SELECT c1, c2, p.region, list_dot_product(p.z, q.z) / 32 FROM cp JOIN lab x ON x.cluster_id = c1 JOIN lab y ON y.cluster_id = c2 JOIN prof p ON p.iso_id = x.iso_id JOIN prof q ON q.iso_id = y.iso_id AND p.region = q.region),
+  UNION ALL SELECT c1, c2, p.region, list_dot_product(p.z, q.z) / 32 FROM cp JOIN lab x ON x.cluster_id = c1 JOIN lab y ON y.cluster_id = c2 JOIN prof p ON p.iso_id = x.iso_id JOIN prof q ON q.iso_id = y.iso_id AND p.region = q.region)"""
+PAIRED_KS = f"""WITH {REPLICATES}, {LABELLED}, {intra("lab")}, {MERGED},
 {ks("act", "c1, c2", "act", "rep", "t")}"""
 
+
+def beta(source: str, keys: str = "") -> str:
+    """One-sample KS of source(keys, region, pearson), moved to [0, 1], against Beta(8, 8), whose distribution is a polynomial."""
+    return f"""s AS (SELECT {keys}region, round((pearson + 1) / 2, 12) AS x, count(*) AS n FROM {source} GROUP BY ALL),
+c AS (SELECT {keys}region, x, n, sum(n) OVER (PARTITION BY {keys}region ORDER BY x) AS le, sum(n) OVER (PARTITION BY {keys}region) AS total,
+  list_sum([[6435.0, 5005.0, 3003.0, 1365.0, 455.0, 105.0, 15.0, 1.0][j - 7] * pow(x, j) * pow(1 - x, 15 - j) FOR j IN range(8, 16)]) AS f FROM s),
+d AS (SELECT {keys}region, max(total) AS n, max(greatest(le / total - f, f - (le - n) / total)) AS d FROM c GROUP BY ALL),
+x AS (SELECT *, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * d AS x FROM d)
+SELECT {keys}region, CAST(n AS BIGINT) AS n, round(d, 6) AS d, round(CASE WHEN x < 0.18 THEN 1.0 ELSE greatest(0.0, least(1.0, list_sum([(CASE WHEN i % 2 = 1 THEN 2.0 ELSE -2.0 END) * exp(-2.0 * i * i * x * x) FOR i IN range(1, 101)]))) END, 6) AS p FROM x"""
+
+
 LINES = """src AS (SELECT 'f' || label AS file, vec_id AS i FROM embeddings WHERE label IS NOT NULL),
 lines AS (SELECT file, i * 2 + 10 AS n, CAST((i // 40) % 3 AS VARCHAR) AS id, 'I' || (i % 400) AS iso FROM src
   UNION ALL SELECT file, i * 2 + 11, 'Cluster Id', 'Isolate' FROM src WHERE i % 50 = 7 UNION ALL SELECT file, i * 2 + 11, 'Threshold: 0.99', '' FROM src WHERE i % 97 = 96),
@@ -158,12 +170,9 @@ SELECT round(sds / ds, 6) AS correct_ds, round(ddd / dd, 6) AS correct_dd, round
 g AS (SELECT DISTINCT region, v FROM inter), k AS (SELECT g.region, g.v, count(*) FILTER (r.v < g.v) AS lt, count(*) FILTER (r.v <= g.v) AS le FROM g JOIN r ON r.region = g.region GROUP BY ALL)
 SELECT c1, c2, inter.region, lt, le, count(*) AS n FROM inter JOIN k ON k.region = inter.region AND k.v = inter.v GROUP BY ALL""",
     "inter_pearsons": f"WITH {W}, {LABELLED}, {INTER} SELECT c1, c2, region, round(v, 6) AS pearson, count(*) AS n FROM inter GROUP BY ALL",
-    "beta_ks": f"""WITH {W}, {LABELLED}, {intra('lab')}, s AS (SELECT region, round((pearson + 1) / 2, 12) AS x, count(*) AS n FROM intra GROUP BY ALL),
-c AS (SELECT region, x, n, sum(n) OVER (PARTITION BY region ORDER BY x) AS le, sum(n) OVER (PARTITION BY region) AS total,
-  list_sum([[6435.0, 5005.0, 3003.0, 1365.0, 455.0, 105.0, 15.0, 1.0][j - 7] * pow(x, j) * pow(1 - x, 15 - j) FOR j IN range(8, 16)]) AS f FROM s),
-d AS (SELECT region, max(total) AS n, max(greatest(le / total - f, f - (le - n) / total)) AS d FROM c GROUP BY region),
-x AS (SELECT *, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * d AS x FROM d)
-SELECT region, CAST(n AS BIGINT) AS n, round(d, 6) AS d, round(CASE WHEN x < 0.18 THEN 1.0 ELSE greatest(0.0, least(1.0, list_sum([(CASE WHEN i % 2 = 1 THEN 2.0 ELSE -2.0 END) * exp(-2.0 * i * i * x * x) FOR i IN range(1, 101)]))) END, 6) AS p FROM x""",
+    "beta_ks": f"WITH {W}, {LABELLED}, {intra('lab')}, {beta('intra')}",
+    "beta_cluster_ks": f"WITH {W}, {SEVENS}, {intra('sev')}, act AS (SELECT * FROM intra WHERE cluster_id IN (SELECT cluster_id FROM sev GROUP BY 1 HAVING count(*) >= 8)), {beta('act', 'cluster_id, ')}",
+    "beta_paired_ks": f"WITH {W}, {LABELLED}, {intra('lab')}, {MERGED}, {beta('act', 'c1, c2, ')}",
     "distribution_similarity": f"WITH {W}, {LABELLED}, {SEVENS}, {intra('lab', 'x1')}, {intra('sev', 'x2')}, {ks('x1', '', 'x1', 'x2', 't')} SELECT region, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, {KS_OUT} FROM t",
     "distribution_correctness": f"WITH {REPLICATES}, {LABELLED}, {intra('lab', 'x1')}, {ks('x1', '', 'x1', 'rep', 't')} SELECT region, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, {KS_OUT} FROM t",
     "cluster_ks": f"{CLUSTER_KS} SELECT cluster_id, region, CAST(n1 AS BIGINT) AS n, {KS_OUT} FROM t",

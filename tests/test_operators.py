@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pairforge.functions import vectors as v
 from pairforge.operators import audit, compare, correctness, dbscan, dims, ks, neighbors, pivots, profiles
 from pairforge.operators.components import connected_components
+from pairforge.plans.ranks import running_sums
 from pairforge.plans.scratch import Scratch
 from pairforge.sources import lists
 from pairforge.sources.config import read_config
@@ -220,6 +221,57 @@ def test_cluster_tests_are_the_same_with_a_large_expected_sample_and_take_any_fu
     assert each[0].n == 435 and math.isclose(each[0].d, max((np.arange(1, 436) / 435 - f).max(), (f - np.arange(435) / 435).max()), abs_tol=1e-6)
 
 
+def test_blocks_of_clusters_too_small_together_never_meet(spark):
+    """Many clusters of three, one of 9: threes meet the large cluster only."""
+    rows = [(c, 3 * c + k, 3) for c in range(400) for k in range(3)] + [(1000, 5000 + k, 9) for k in range(9)]
+    members = spark.createDataFrame(rows, "cluster_id long, iso_id long, size long")
+    placed, pairs = ks.size_blocks(members, 8, block=100)
+    assert placed.count() == len(rows) and placed.groupBy("part").count().agg(F.max("count")).first()[0] < 200
+    assert {tuple(sorted((r.pa[0], r.pb[0]))) for r in pairs.collect()} == {("3", "8"), ("8", "8")} and pairs.count() == 13
+    every, both = ks.size_blocks(members, 0, block=100)
+    assert both.count() == 91 and every.count() == len(rows)
+    rng = np.random.default_rng(3)
+    z = {i: rng.normal(size=(1, 6)).tolist() for _, i, _ in rows}
+    points = spark.createDataFrame(list(z.items()), "iso_id long, z array<array<double>>")
+    found = ks.inter_pearsons(members, points, ["A"], least_size=8, block=100).groupBy("c1", "c2").agg(F.sum("n").alias("n")).collect()
+    assert {(r.c1, r.c2, r.n) for r in found} == {(c, 1000, 27) for c in range(400)}
+
+
+def test_small_clusters_share_blocks_and_large_ones_have_several(spark):
+    rng = np.random.default_rng(5)
+    members = [(f"c{c}", f"i{c}-{k}") for c in range(60) for k in range(c % 7)] + [("big", f"b{k}") for k in range(90)] + [("big", "i3-0"), ("c3", "i3-0")]
+    z = {i: rng.normal(size=(2, 5)) for _, i in members}
+    points = spark.createDataFrame([(i, x.tolist()) for i, x in z.items()], "iso_id string, z array<array<double>>")
+    rows, pairs = ks._blocks_of_clusters(ks._members(spark.createDataFrame(members, "cluster_id string, iso_id string"), points), 32)
+    assert pairs.count() < 40 and rows.count() == len(set(members))
+    got = ks.intra_pearsons(spark.createDataFrame(members, "cluster_id string, iso_id string"), points, ["A", "B"], block=32).collect()
+    want = {(c, a, b) for c, a in members for d, b in members if c == d and a < b}
+    assert len(got) == 2 * len(want) and {(r.cluster_id, r.a, r.b) for r in got} == want
+    assert all(math.isclose(r.pearson, z[r.a]["AB".index(r.region)] @ z[r.b]["AB".index(r.region)] / 5, abs_tol=1e-12) for r in got)
+
+
+def test_running_sums_over_ranges(spark):
+    rng = np.random.default_rng(6)
+    rows = [("hot" if i % 10 else f"g{i % 30}", int(x), int(n)) for i, (x, n) in enumerate(zip(rng.permutation(3000), rng.integers(0, 9, 3000), strict=True))]
+    run = running_sums(spark.createDataFrame(rows, "g string, x long, n long"), ["g"], ["x"], {"r": "n"}, Scratch(spark)).collect()
+    assert len(run) == 3000
+    for g in {g for g, _, _ in rows}:
+        own = sorted((x, n) for h, x, n in rows if h == g)
+        assert [(r.x, r.r, r.r_all) for r in sorted((r for r in run if r.g == g), key=lambda r: r.x)] == [(x, int(c), sum(n for _, n in own)) for (x, _), c in zip(own, np.cumsum([n for _, n in own]), strict=True)]
+
+
+def test_moments_of_many_parts_equal_those_of_the_whole(spark):
+    rng = np.random.default_rng(7)
+    x = {"A": rng.normal(size=(500, 5)) @ rng.normal(size=(5, 5)) + 1e6, "B": rng.normal(size=(300, 3))}
+    rows = [(i, r, v.tolist()) for r, m in x.items() for i, v in enumerate(m)] + [(900, "B", None), (901, "B", [1.0])]
+    got = {(r.region, r.i, r.j): (r.n, r.c) for r in dims.moments(spark.createDataFrame(rows, "iso_id long, region string, z array<double>").repartition(9)).collect()}
+    for r, m in x.items():
+        c = (m - m.mean(0)).T @ (m - m.mean(0))
+        assert {k[1:] for k in got if k[0] == r} == {(i, j) for i in range(len(c)) for j in range(i, len(c))}
+        assert all(got[r, i, j][0] == len(m) and math.isclose(got[r, i, j][1], c[i, j], rel_tol=1e-7, abs_tol=1e-6) for _, i, j in got if _ == r)
+    assert dims.split_planes(spark.createDataFrame([], "iso_id long, region string, z array<double>"), 3).count() == 0
+
+
 def clustered(spark, n, seed=2, per=150):
     """n rows in n / per clusters, so twice the rows are twice the clusters."""
     rng = np.random.default_rng(seed)
