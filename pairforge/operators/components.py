@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.plans.joins import salted_join
+from pairforge.plans.joins import hot_join
 from pairforge.plans.scratch import Scratch
 
 
@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> Da
 
     A round hooks every node to its smallest neighbour (an aggregate with map-side combine, so a hub
     is no hot task), jumps pointers until all point to roots, and goes on with the edges between
-    roots. Nodes at least halve in a round. Loops (src = dst) make a component of one; rows with a
+    roots. Nodes at least halve in a round. Roots and ends that many rows share are found by a bounded count and
+    dealt over partitions by their number; without such hubs nothing is repeated. Loops (src = dst) make a component of one; rows with a
     null end are left out. Every round cuts its lineage through a scratch table.
     """
     scratch = scratch or Scratch(edges.sparkSession)
@@ -26,14 +27,14 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> Da
         roots = scratch.keep(both.groupBy("node").agg(F.min("next").alias("next")).select("node", F.least("node", "next").alias("root")))
         while True:
             up = roots.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            jumped = scratch.keep(salted_join(roots, up, ["root"]).select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")))
+            jumped = scratch.keep(hot_join(roots, up, ["root"]).select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")))
             scratch.forget(roots)
             roots = jumped.drop("moved")
             if jumped.where("moved").isEmpty():
                 break
         maps.append(roots)
-        ends = salted_join(left, roots.withColumnRenamed("node", "src").withColumnRenamed("root", "a"), ["src"])
-        ends = salted_join(ends, roots.withColumnRenamed("node", "dst").withColumnRenamed("root", "b"), ["dst"])
+        ends = scratch.keep(hot_join(left, roots.withColumnRenamed("node", "src").withColumnRenamed("root", "a"), ["src"]).select("a", "dst"))
+        ends = hot_join(ends, roots.withColumnRenamed("node", "dst").withColumnRenamed("root", "b"), ["dst"])
         after = scratch.keep(ends.where("a != b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
         scratch.forget(left)
         left = after
@@ -42,5 +43,5 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> Da
     found = maps[-1]
     for earlier in reversed(maps[:-1]):
         above = found.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        found = scratch.keep(salted_join(earlier, above, ["root"], "left").select("node", F.coalesce("top", "root").alias("root")))
+        found = scratch.keep(hot_join(earlier, above, ["root"], "left").select("node", F.coalesce("top", "root").alias("root")))
     return found.withColumnRenamed("root", "component")

@@ -17,6 +17,18 @@ def pair_class(pearson: Column, alphas: list[float], betas: list[float]) -> Colu
     return F.when(every, "DS").when(some, "DD").otherwise("squishy")
 
 
+def pair_class_counts(points: DataFrame, near: DataFrame, alphas: list[float], betas: list[float]) -> DataFrame:
+    """(kind, n) of all pairs of points: DS, DD and squishy. near(a, b, pearson) holds all pairs above beta in every region; DD are all others, counted from the total and never made."""
+    if any(a <= b for a, b in zip(alphas, betas, strict=True)):
+        raise ValueError("every alpha has to exceed its beta")
+    kind = pair_class(F.col("pearson"), alphas, betas)
+    found = near.agg(F.count_if(kind == "DS").alias("ds"), F.count_if(kind == "squishy").alias("squishy")).withColumn("_k", F.lit(1))
+    total = points.agg((F.count("*") * (F.count("*") - 1) / 2).cast("long").alias("total")).withColumn("_k", F.lit(1))
+    rows = found.join(F.broadcast(total), "_k")  # one row each
+    kinds = [("DS", F.col("ds")), ("squishy", F.col("squishy")), ("DD", F.col("total") - F.col("ds") - F.col("squishy"))]
+    return rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), n.cast("long").alias("n")) for k, n in kinds])).alias("x")).select("x.*")
+
+
 def threshold_correctness(points: DataFrame, membership: DataFrame, near: DataFrame, alphas: list[float], betas: list[float]) -> DataFrame:
     """One row: correct_ds, correct_dd, mean, tc_score, squishy_ratio; null where a denominator is 0.
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pairforge.functions.vectors import pearson, zscore
 
 
+#: Hexadecimal digits that a step of a selection counts, and the rows that are put in order at its end.
+RADIX, SELECTED = 4, 100_000
+
+
 def valid_prints(prints: DataFrame) -> DataFrame:
     """prints whose is_erroneous is false; null is not valid."""
     return prints.where("is_erroneous IS FALSE")
@@ -78,11 +82,37 @@ def wide(profiles: DataFrame, regions: list[str]) -> DataFrame:
 
 
 def exact_sample(rows: DataFrame, n: int | str, key: str = "iso_id", seed: int = 1) -> DataFrame:
-    """n rows, or "All": the first by the md5 of key and seed. Same sample whatever the partitions."""
+    """n rows, or "All": the first by the md5 of key and seed, then by key. Same sample whatever the partitions.
+
+    The last row of the sample is found by radix selection: counts of four hexadecimal digits at a time, until the digits of the cut have SELECTED rows or fewer, of
+    which alone the order is looked at. The sample is then a filter, of any size, without a shuffle; only rows that repeat the last key are cut one by one.
+    """
     if n == "All":
         return rows
-    order: Column = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary"))
-    return rows.orderBy(order, key).limit(int(n))
+    n = int(n)
+    mark = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary"))
+    marks, prefix, before = rows.select(mark.alias("m"), F.col(key).alias("k")), "", 0
+    while True:
+        digits = len(prefix) + RADIX
+        counts = marks.where(F.col("m").startswith(prefix)).groupBy(F.substring("m", 1, digits).alias("p")).agg(F.count("*").alias("c")).orderBy("p").collect()  # 16^RADIX rows
+        for r in counts:
+            if before + r.c > n:
+                prefix, here = r.p, r.c
+                break
+            before += r.c
+        else:
+            # Only at the first digits: the sample is all rows that have a key, and of those without one what is left of n.
+            return rows.where(mark.isNotNull()).unionByName(rows.where(mark.isNull()).limit(max(0, n - before)))
+        if here <= SELECTED or len(prefix) == 32:
+            break
+    if before == n:
+        return rows.where(mark < prefix)
+    last = marks.where(F.col("m").startswith(prefix)).orderBy("m", "k").limit(n - before).agg(F.max(F.struct("m", "k")).alias("last")).first()["last"]
+    value = F.lit(last.k)
+    inside = (mark < last.m) | ((mark == last.m) & (F.col(key) < value))
+    equal = (mark == last.m) & (F.col(key) == value)
+    held = rows.where(inside).count()
+    return rows.where(inside).unionByName(rows.where(equal).limit(n - held)) if rows.where(equal).count() > n - held else rows.where(inside | equal)
 
 
 def replicate_pairs(prints: DataFrame, print_vectors: DataFrame, regions: DataFrame, at_most: int = 10) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.functions.vectors import distance_from_pearson
+from pairforge.functions.vectors import distance, distance_from_pearson, pearson_from_distance
 from pairforge.operators import audit as au
 from pairforge.operators import boxes as bx
 from pairforge.operators import compare as cmp
@@ -137,6 +137,14 @@ def neighbor_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _near(spark, d).select("a", "b", F.round(F.col("pearson")[0], 6).alias("pearson_a"), F.round(F.col("pearson")[1], 6).alias("pearson_b"))
 
 
+def neighbor_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Distances of the neighbours in region A, and the similarities that follow from them."""
+    vectors = pr.by_region(_profiles(spark, d))
+    side = lambda x: vectors.select(F.col("iso_id").alias(x), F.element_at("z", F.lit("A")).alias(f"z{x}"))
+    pairs = _edges(spark, d).join(side("a"), "a").join(side("b"), "b").withColumn("distance", distance("za", "zb"))
+    return pairs.select("a", "b", *_r("distance"), F.round(pearson_from_distance(F.col("distance"), SIZE), 6).alias("pearson"))
+
+
 def neighbor_degree(spark: SparkSession, d: str) -> DataFrame:
     points, edges = _points(spark, d), _edges(spark, d)
     degrees = nb.degrees(points, edges)
@@ -198,9 +206,7 @@ def similarity_indexes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pair_classes(spark: SparkSession, d: str) -> DataFrame:
-    near = _near(spark, d, BETA - 0.05)
-    kind = cor.pair_class(F.col("pearson"), [ALPHA] * 2, [BETA] * 2)
-    return near.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    return cor.pair_class_counts(_points(spark, d), _near(spark, d, BETA), [ALPHA] * 2, [BETA] * 2)
 
 
 def threshold_correctness(spark: SparkSession, d: str) -> DataFrame:
@@ -357,7 +363,7 @@ def region_parameters(spark: SparkSession, d: str) -> DataFrame:
     return p.select("a", "region", *_r("pearson"), F.round(dist, 6).alias("distance"))
 
 
-_NAMES = """latest_print complete_isolates replicate_groups zscore_profiles profile_build replicate_pairs replicate_counts neighbor_pairs neighbor_degree range_query
+_NAMES = """latest_print complete_isolates replicate_groups zscore_profiles profile_build replicate_pairs replicate_counts neighbor_pairs neighbor_distances neighbor_degree range_query
 neighbor_compare dbscan_membership single_link noise cluster_overlaps cluster_stats cluster_size_hist cluster_map pair_counts similarity_indexes pair_classes
 threshold_correctness intra_pearsons inter_slots inter_pearsons distribution_similarity distribution_correctness cluster_ks cluster_ks_describe paired_ks_describe beta_ks beta_cluster_ks beta_paired_ks
 import_clusters id_list_diff cluster_audit density_relations clustering_equal dim_profile dim_correlation dim_topk bounding_boxes median_split exact_sample

@@ -144,6 +144,7 @@ SQL = {
     "replicate_counts": f"WITH {REPLICATES} SELECT region, count(*) AS n FROM rep GROUP BY 1",
     "neighbor_pairs": f"WITH {W}, {near(0.3)} SELECT a, b, round(pa, 6) AS pearson_a, round(pb, 6) AS pearson_b FROM edges",
     "neighbor_degree": f"WITH {W}, {near(0.3)}, g AS (SELECT w.iso_id, count(edges.a) AS degree FROM w LEFT JOIN edges ON w.iso_id = edges.a OR w.iso_id = edges.b GROUP BY 1) SELECT iso_id, degree, degree >= 3 AS is_core, round((SELECT avg(degree) FROM g), 6) AS avg_neighbours FROM g",
+    "neighbor_distances": f"WITH {W}, {near(0.3)} SELECT a, b, round(list_distance(x.za, y.za), 6) AS distance, round(pa, 6) AS pearson FROM edges JOIN w x ON x.iso_id = a JOIN w y ON y.iso_id = b",
     "range_query": f"WITH {W}, {near(0.1)} SELECT a AS query_id, b AS iso_id FROM edges WHERE a % 10 = 0 UNION ALL SELECT b, a FROM edges WHERE b % 10 = 0",
     "neighbor_compare": f"""WITH {W}, {near(0.3)}, {near(0.28, "wider")}, s AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges), f AS (SELECT a, b FROM wider UNION ALL SELECT b, a FROM wider),
 n AS (SELECT iso_id, (SELECT count(*) FROM s WHERE a = iso_id) AS c, (SELECT count(*) FROM f WHERE a = iso_id) AS r FROM w)
@@ -159,7 +160,9 @@ SELECT count(*) AS queries, count(*) FILTER (c = r) AS correct, count(*) FILTER
   EXISTS (SELECT 1 FROM sev p JOIN sev q ON p.cluster_id = q.cluster_id WHERE p.iso_id = x.vec_id AND q.iso_id = y.vec_id) AS s2 FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id)
 SELECT 'last' AS overlap, {COUNTS} FROM pairs UNION ALL SELECT 'any', {COUNTS} FROM anyp""",
     "similarity_indexes": f"WITH {LABELLED}, {SEVENS}, {LAST}, {PAIRS}, c AS (SELECT {COUNTS} FROM pairs), r AS (SELECT both_same / (both_same + one_of_each) AS jaccard, both_diff / (both_diff + one_of_each) AS another, (both_same + both_diff) / (both_same + one_of_each + both_diff) AS rand FROM c) SELECT round(jaccard, 6) AS jaccard, round(another, 6) AS another, round((jaccard + another) / 2, 6) AS average, round(rand, 6) AS rand FROM r",
-    "pair_classes": f"WITH {W}, {near(0.2 - 0.05)} SELECT CASE WHEN pa >= 0.3 AND pb >= 0.3 THEN 'DS' WHEN pa <= 0.2 OR pb <= 0.2 THEN 'DD' ELSE 'squishy' END AS kind, count(*) AS n FROM edges GROUP BY 1",
+    "pair_classes": f"""WITH {W}, p AS (SELECT list_dot_product(a.za, b.za) / 32 AS pa, list_dot_product(a.zb, b.zb) / 32 AS pb FROM w a JOIN w b ON a.iso_id < b.iso_id),
+n AS (SELECT CASE WHEN pa >= 0.3 AND pb >= 0.3 THEN 'DS' WHEN pa <= 0.2 OR pb <= 0.2 THEN 'DD' ELSE 'squishy' END AS kind, count(*) AS n FROM p GROUP BY 1)
+SELECT kind, coalesce(n, 0) AS n FROM (VALUES ('DS'), ('DD'), ('squishy')) k(kind) LEFT JOIN n USING (kind)""",
     "threshold_correctness": f"""WITH {W}, {LABELLED}, m1 AS (SELECT iso_id, max(cluster_id) AS c FROM lab GROUP BY 1),
 p AS (SELECT list_dot_product(x.za, y.za) / 32 AS pa, list_dot_product(x.zb, y.zb) / 32 AS pb, coalesce(i.c = j.c, false) AS same FROM w x JOIN w y ON x.iso_id < y.iso_id LEFT JOIN m1 i ON i.iso_id = x.iso_id LEFT JOIN m1 j ON j.iso_id = y.iso_id),
 k AS (SELECT same, CASE WHEN pa >= 0.3 AND pb >= 0.3 THEN 'DS' WHEN pa <= 0.2 OR pb <= 0.2 THEN 'DD' ELSE 'squishy' END AS kind FROM p),

@@ -1,5 +1,6 @@
 """Hand-made cases for each operator."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pairforge.functions import vectors as v
 from pairforge.operators import audit, compare, correctness, dbscan, dims, ks, neighbors, pivots, profiles
 from pairforge.operators.components import connected_components
+from pairforge.plans import joins
 from pairforge.plans.ranks import running_sums
 from pairforge.plans.scratch import Scratch
 from pairforge.sources import lists
@@ -376,6 +378,60 @@ def test_sample(spark):
     assert a == b and len(a) == 37 and profiles.exact_sample(df, "All").count() == 1000
 
 
+@pytest.mark.parametrize("n", [0, 1, 499, 500, 999, 1000, 5000])
+def test_sample_is_a_filter_and_equals_a_sort(spark, monkeypatch, n):
+    monkeypatch.setattr(profiles, "RADIX", 1)
+    monkeypatch.setattr(profiles, "SELECTED", 5)
+    df = spark.range(1000).withColumnRenamed("id", "iso_id").repartition(5)
+    want = sorted(range(1000), key=lambda i: (hashlib.md5(f"{i}:1".encode()).hexdigest(), i))[:n]
+    got = profiles.exact_sample(df, n)
+    assert sorted(r.iso_id for r in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert n >= 1000 or ("SinglePartition" not in plan and "TakeOrdered" not in plan and "Sort" not in plan)
+
+
+def test_sample_of_repeated_and_missing_keys(spark):
+    df = spark.createDataFrame([("x",)] * 7 + [("y",)] * 3 + [(None,)] * 2, "iso_id string")
+    for n in range(13):
+        assert profiles.exact_sample(df, n).count() == min(n, 12)
+
+
+def test_hot_keys_alone_are_dealt_and_repeated(spark):
+    left = spark.range(6000).select(F.when(F.col("id") < 2500, -1).when(F.col("id") < 3200, -2).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    right = left.select("k").distinct().withColumn("w", F.col("k") * 2)
+    assert joins.hot_keys(left, ["k"], 10_000).count() == 0
+    plain = joins.hot_join(left, right, ["k"])
+    hot = joins.hot_keys(left, ["k"], 500)
+    assert sorted(r["_times"] for r in hot.collect()) == [2, 5]
+    a, b = joins.spread(left, right, ["k"], hot)
+    assert a.count() == 6000 and b.count() == right.count() + 1 + 4
+    sizes = a.where("k = -1").groupBy("_salt").count().collect()
+    assert len(sizes) == 5 and max(r["count"] for r in sizes) < 700
+    dealt = joins.hot_join(left, right, ["k"], hot_rows=500)
+    assert values(dealt) == values(plain) and plain.count() == 6000
+    other = right.where("k != -1")
+    assert joins.hot_join(left, other, ["k"], "left", 500).where("w is null").count() == 2500
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(joins, "HOT_ROWS", 20)
+    path = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 260)] + [(150, 20)]
+    got = dict(values(connected_components(spark.createDataFrame(path, "src long, dst long"))))
+    assert got == {**{i: 0 for i in range(41)}, **{i: 0 for i in range(100, 260)}}
+
+
+def test_pair_classes_count_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    z = rng.normal(size=(60, 2, 6))
+    z = (z - z.mean(2, keepdims=True)) / z.std(2, keepdims=True)
+    pts = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(z)], "iso_id long, z array<array<double>>")
+    near = neighbors.similar_pairs(pts, None, [(2 * 6 * 0.8) ** 0.5] * 2, [6, 6])
+    got = {r.kind: r.n for r in correctness.pair_class_counts(pts, near, [0.4, 0.4], [0.2, 0.2]).collect()}
+    p = np.einsum("ikd,jkd->ijk", z, z)[np.triu_indices(60, 1)] / 6
+    ds, dd = (p >= 0.4).all(1), (p <= 0.2).any(1)
+    assert got == {"DS": ds.sum(), "DD": dd.sum(), "squishy": (~ds & ~dd).sum()} and got["DS"] > 0
+
+
 def test_import(spark, tmp_path):
     text = "Some title,x\n\nThreshold: ignored before the header,0\nCluster Id,Isolate\n1,I1\n1, I2\n\n1,I9\n1,I3\n2,I4\n1,I5\nCluster Id,Isolate\n1,I6\nThreshold: 0.99,\n3,I1\n"
     (tmp_path / "c.csv").write_text(text)
