@@ -1,12 +1,12 @@
 """Whole batch jobs over a configuration and tables: cluster the entities, judge clusterings, compare with clusterings made elsewhere.
 
-Every costly stage is stored under a path that names its parameters, and is read from there the next time. Inputs are
+Every costly stage is stored under a path that names its parameters and a fingerprint of its input tables, and is read from there the next time. Inputs are
 prints(print_id, iso_id, region, is_erroneous) and z_long(print_id, position, z), from read_jdbc or read_table.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +16,7 @@ from pairforge.operators import compare, correctness, dbscan, ks, neighbors, pro
 from pairforge.plans.scratch import Scratch
 from pairforge.sources import lists
 from pairforge.sources.config import read_config
-from pairforge.sources.stages import load_or_compute, stage_path
+from pairforge.sources.stages import fingerprint, load_or_compute, stage_path
 
 
 @dataclass
@@ -31,6 +31,14 @@ class Job:
     betas: list[float]
     min_neighbors: int
     subset: str
+    seen: dict = field(default_factory=dict)
+
+    def inputs(self, *tables: DataFrame) -> str:
+        """The fingerprint of the tables, taken once a job."""
+        key = tuple(map(id, tables))
+        if key not in self.seen:
+            self.seen[key] = (fingerprint(*tables), tables)  # tables are held, so that no other takes their ids
+        return self.seen[key][0]
 
     def stage(self, name: str, make, **parameters: object) -> DataFrame:
         return load_or_compute(self.spark, stage_path(self.folder, name, **parameters), make)
@@ -51,12 +59,12 @@ def points(j: Job, prints: DataFrame, z_long: DataFrame) -> DataFrame:
         good, _ = profiles.checked(profiles.vectors(prints, z_long), j.regions)
         return profiles.exact_sample(profiles.wide(good, j.names), j.subset)
 
-    return j.stage("points", make, size=j.subset)
+    return j.stage("points", make, size=j.subset, inputs=j.inputs(prints, z_long))
 
 
 def clusters(j: Job, prints: DataFrame, z_long: DataFrame) -> DataFrame:
     """(cluster_id, iso_id, is_core): density clusters of the entities at the configured thresholds."""
-    at = {"size": j.subset, "radii": "_".join(f"{r:.6f}" for r in j.radii)}
+    at = {"size": j.subset, "inputs": j.inputs(prints, z_long), "radii": "_".join(f"{r:.6f}" for r in j.radii)}
     edges = j.stage("edges", lambda: neighbors.similar_pairs(points(j, prints, z_long), None, j.radii, j.sizes).select("a", "b"), **at)
     return j.stage("clusters", lambda: dbscan.dbscan(edges, j.min_neighbors), min_neighbors=j.min_neighbors, **at)
 
@@ -69,7 +77,7 @@ def expected(j: Job, prints: DataFrame, z_long: DataFrame) -> ks.Expected:
         vectors = newest.groupBy("print_id", "region").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "z"))), lambda p: p["z"]).alias("z"))
         return profiles.replicate_pairs(prints, vectors, j.regions)
 
-    return ks.expected_sample(j.stage("replicates", make))
+    return ks.expected_sample(j.stage("replicates", make, inputs=j.inputs(prints, z_long)))
 
 
 def quality(j: Job, prints: DataFrame, z_long: DataFrame, clusterings: dict[str, DataFrame], function: ks.Correctness = ks.slot_ks) -> DataFrame:

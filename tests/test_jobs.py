@@ -53,14 +53,19 @@ def job(spark, tmp_path_factory):
     return jobs.job(spark, str(at / "c.json"), str(at / "stages"))
 
 
-def test_cluster_job_reads_a_database_and_stores_its_stages(spark, tables, job):
+def test_cluster_job_reads_a_database_and_stores_its_stages(spark, tables, job, monkeypatch):
     prints, z_long = tables
     assert prints.rdd.getNumPartitions() == 3 and prints.where("is_erroneous").count() == 2
     assert {r.iso_id for r in jobs.points(job, prints, z_long).collect()} == {f"g{g}i{k}" for g in range(3) for k in range(8)} | {"lone"}
     got = jobs.clusters(job, prints, z_long).groupBy("cluster_id").agg(F.array_sort(F.collect_list("iso_id")).alias("m")).collect()
     assert sorted(r.m for r in got) == [[f"g{g}i{k}" for k in range(8)] for g in range(3)]
-    gone = spark.createDataFrame([], prints.schema)
-    assert jobs.clusters(job, gone, z_long.where("false")).count() == 24  # read, not made again
+    assert jobs.clusters(job, spark.createDataFrame([], prints.schema), z_long.where("false")).count() == 0  # other inputs are other stages
+
+    def fails(*_):
+        raise AssertionError("made again")
+
+    monkeypatch.setattr(jobs.dbscan, "dbscan", fails)
+    assert jobs.clusters(job, prints, z_long).count() == 24  # read, not made again
 
 
 def test_quality_job(tables, job):

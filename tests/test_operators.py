@@ -15,7 +15,7 @@ from pairforge.plans.ranks import running_sums
 from pairforge.plans.scratch import Scratch
 from pairforge.sources import lists
 from pairforge.sources.config import read_config
-from pairforge.sources.stages import load_or_compute, stage_path
+from pairforge.sources.stages import fingerprint, load_or_compute, stage_path
 
 Z = {"iso1": {"r1": [1, -1, 1, -1, 1, -1], "r2": [1, -1, 1, -1]}, "iso2": {"r1": [1, 1, 1, -1, -1, -1], "r2": [-1, 1, -1, 1]}}
 
@@ -330,6 +330,19 @@ def test_pairs_in_any_shared_cluster(spark):
     assert values(compare.pair_counts(iso, membership(spark, *first), membership(spark, *second), "any")) == [want]
 
 
+def test_pairs_in_any_shared_cluster_of_entities_with_many(spark, monkeypatch):
+    """Entities in up to twelve clusters of each clustering: counted by subsets, by pairs of kinds, and by both."""
+    rng = np.random.default_rng(8)
+    first, second = [[{int(i) for i in range(30) if rng.random() < (0.9 if i < 3 else 0.12)} for _ in range(9)] for _ in range(2)]
+    iso = spark.createDataFrame([(i,) for i in range(30)], "iso_id long")
+    share = lambda sets, i, j: any(i in s and j in s for s in sets)
+    both = [(share(first, i, j), share(second, i, j)) for i in range(30) for j in range(i + 1, 30)]
+    want = (sum(a and b for a, b in both), sum(a != b for a, b in both), sum(not a and not b for a, b in both))
+    for few in (0, 4, 12):
+        monkeypatch.setattr(compare, "FEW_CLUSTERS", few)
+        assert values(compare.pair_counts(iso, membership(spark, *first), membership(spark, *second), "any")) == [want]
+
+
 def test_beta(spark):
     got = ks.beta_cdf(np.array([0.9953, 0.9941, 0.9915]), 668.1768, 1.532336)
     assert np.allclose(got, [0.10241, 0.05035, 0.01029], atol=2e-5)
@@ -445,6 +458,56 @@ def test_import(spark, tmp_path):
     assert parts == [("extra", "I9"), ("missing", "I4"), ("missing", "I5"), ("missing", "I6"), ("shared", "I1"), ("shared", "I2"), ("shared", "I3")]
 
 
+def test_a_file_of_several_splits_gives_the_same_runs(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    body, n = [], 0
+    while n < 3000:
+        k = int(rng.integers(1, 90))
+        body += [f"{int(rng.integers(0, 3))},I{int(i)}" for i in rng.integers(0, 400, 1)] + [f"{int(rng.integers(0, 2))},I{n + i}" for i in range(k)]
+        n += k
+    text = "\n".join(["a title", "", "Cluster Id,Isolate", *body[:2000], "Cluster Id,Isolate", *body[2000:], "Threshold: 1", "9,I1"]) + "\n"
+    for name in ("a.csv", "b.csv"):
+        (tmp_path / name).write_text(text)
+    known = spark.createDataFrame([(f"I{i}",) for i in range(2500)], "iso_id string")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        lines = Scratch(spark).keep(lists.read_lines(spark, str(tmp_path)))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    split = text.rstrip("\n").split("\n")
+    assert [r.line for r in lines.where("file like '%a.csv'").orderBy("line_no").collect()] == split and lines.agg(F.max("line_no")).first()[0] == len(split) - 1
+    want, ordinal, last = set(), -1, None
+    for x in body:
+        c, iso = x.split(",")
+        if int(iso[1:]) < 2500:
+            ordinal, last = ordinal + (c != last), c
+            want.add((ordinal, iso))
+    for chunk in (7, 100, 100_000):
+        got = lists.import_clusters(lines, known, chunk)
+        for name in ("a.csv", "b.csv"):
+            assert {(r.cluster_ord, r.iso_id) for r in got.where(F.col("file").endswith(name)).collect()} == want
+
+
+def test_other_inputs_are_another_stage(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(5).write.parquet(path)
+    one = fingerprint(spark.read.parquet(path))
+    assert fingerprint(spark.read.parquet(path)) == one
+    spark.range(6).write.mode("overwrite").parquet(path)
+    two = fingerprint(spark.read.parquet(path))
+    mine = lambda *rows: fingerprint(spark.createDataFrame(list(rows), "a long, b string"))
+    assert len({one, two, mine((1, "x"), (2, None)), mine((1, "x"), (2, "y")), mine()}) == 5 and mine((1, "x"), (2, "y")) == mine((2, "y"), (1, "x"))
+    made = []
+    for df in (spark.read.parquet(path), spark.read.parquet(path), spark.range(9).toDF("id")):
+        at = stage_path(str(tmp_path / "stages"), "count", inputs=fingerprint(df))
+        found = load_or_compute(spark, at, lambda df=df: made.append(1) or df.agg(F.count("*").alias("n"))).first().n
+        assert found == df.count()
+    assert len(made) == 2
+
+
 def test_config_and_stages(spark, tmp_path):
     region = '{"name": "A", "dispCount": 95, "clusterThreshold": 0.99, "pearsonSimilarityThresholdAlpha": 0.99, "pearsonSimilarityThresholdBeta": 0.9, "betaDistributionAlpha": 2.0, "betaDistributionBeta": 3.0}'
     (tmp_path / "c.json").write_text('{"regions": [%s], "minNeighbors": 3, "pointsPerLeaf": 8, "dimsPerSplit": 10, "isolateSubsetSize": "All"}' % region)
