@@ -6,7 +6,7 @@ each swap, so naming a group cannot carry toxicity by itself. L1 shrinkage leave
 keeps long clean documents clean. The fit runs on the driver over at most 2 * PER_CLASS labelled rows (the documented bound).
 
 Defined cases: null and empty texts get the score of a text without telling words; with labels of one class, or none, every score is
-that class (0 without labels); repeated rows get equal scores; very long texts are scored whole; score and predicted are replaced, other columns pass through.
+that class (0 without labels); repeated rows get equal scores; very long texts are scored whole; score and predicted are replaced, other columns pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,19 +24,48 @@ from pairforge.llm.words import bucketed, labelled, small, words
 from pairforge.plans.scratch import Scratch
 
 BUCKETS, PER_CLASS, STEPS, BATCH, RATE, SHRINK, SWAP_PENALTY = 1 << 18, 4000, 640, 256, 0.1, 1e-3, 1.0
-LEAST, BEGINNINGS = 0.7, (3, 4, 5, 6)
+#: Lengths in bytes of the beginnings of words that are features; letters with accents have two.
+LEAST, BEGINNINGS = 0.7, (3, 4, 5, 6, 7, 8)
 
-#: Terms that name a group, by kind. A swap puts another term of the kind in place.
+#: Terms that name a group, by language, kind and number. A swap puts another term of the same list in place.
 IDENTITIES = [
+    # English
     ["women", "men", "girls", "boys"],
     ["woman", "man", "girl", "boy"],
     ["black", "white", "asian", "latino", "arab"],
     ["muslim", "christian", "jewish", "hindu", "buddhist", "atheist"],
     ["muslims", "christians", "jews", "hindus", "buddhists", "atheists"],
     ["gay", "straight", "lesbian", "bisexual", "transgender"],
-    ["immigrant", "immigrants", "refugee", "refugees", "foreigner", "foreigners"],
+    ["immigrant", "refugee", "foreigner"],
+    ["immigrants", "refugees", "foreigners"],
     ["african", "american", "mexican", "chinese", "indian", "european"],
     ["young", "old", "elderly", "disabled"],
+    # German
+    ["frauen", "männer", "mädchen", "jungen"],
+    ["frau", "mann"],
+    ["schwarze", "weiße", "asiatische", "arabische"],
+    ["muslimische", "christliche", "jüdische", "hinduistische", "buddhistische"],
+    ["muslime", "christen", "juden", "buddhisten", "atheisten"],
+    ["schwule", "lesbische", "bisexuelle", "heterosexuelle"],
+    ["einwanderer", "flüchtlinge", "ausländer"],
+    ["afrikaner", "amerikaner", "mexikaner", "chinesen", "inder", "europäer"],
+    # French
+    ["femmes", "hommes", "filles", "garçons"],
+    ["femme", "homme", "fille", "garçon"],
+    ["noirs", "blancs", "asiatiques", "arabes"],
+    ["musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"],
+    ["musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"],
+    ["homosexuels", "hétérosexuels", "bisexuels"],
+    ["immigrés", "réfugiés", "étrangers"],
+    ["africains", "américains", "mexicains", "chinois", "indiens", "européens"],
+    # Spanish
+    ["mujeres", "hombres", "niñas", "niños"],
+    ["mujer", "hombre", "niña", "niño"],
+    ["negros", "blancos", "asiáticos", "árabes"],
+    ["musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"],
+    ["homosexuales", "heterosexuales", "bisexuales"],
+    ["inmigrantes", "refugiados", "extranjeros"],
+    ["africanos", "americanos", "mexicanos", "chinos", "indios", "europeos"],
 ]
 _SWAP = {a.encode(): kind[(i + 1) % len(kind)].encode() for kind in IDENTITIES for i, a in enumerate(kind)}
 

@@ -431,6 +431,25 @@ def test_toxicity_catches_words_and_ignores_groups(spark):
     assert abs(names[0] - names[1]) < 0.2
 
 
+def test_swaps_stay_in_their_list_and_no_term_is_in_two():
+    terms = [t for kind in toxicity.IDENTITIES for t in kind]
+    assert len(terms) == len(set(terms)) == len(toxicity._SWAP) and all(t == t.lower() for t in terms)
+    for kind in toxicity.IDENTITIES:
+        assert {toxicity._SWAP[t.encode()].decode() for t in kind} == set(kind) and all(toxicity._SWAP[t.encode()] != t.encode() for t in kind)
+    (changed,) = toxicity.swaps("Nada. Los judíos y las mujeres.".encode())
+    assert set(changed[1]) == set(toxicity.present([b"los", "hindúes".encode(), b"y", b"las", b"hombres"]))
+
+
+def test_toxicity_of_odd_rows_with_a_fitted_model_and_of_an_empty_table(spark):
+    rows = documents(spark, [(i, f"plain words {i % 7} here " + ("vile" if i % 3 == 0 else "calm")) for i in range(300)])
+    model = toxicity.train(rows, spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int, toxic int"))
+    out = toxicity.score_toxicity(odd(spark).withColumn("predicted", F.lit("x")), model)
+    got = out.collect()
+    assert len(got) == 6 and all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in got) and len({r.score for r in got if r.doc_id == 4}) == 1
+    assert set(odd(spark).columns) | {"score", "predicted"} == set(out.columns)
+    assert toxicity.score_toxicity(empty(spark), model).count() == 0
+
+
 # 7: licences
 
 
@@ -536,6 +555,43 @@ def test_mix_meets_targets_of_a_skewed_corpus(spark):
     assert np.allclose(model.prior, (np.array([(kinds == k).sum() for k in weights]) + 1) / 603)
 
 
+def test_rates_equal_a_plain_solver(spark):
+    """Of the rates that meet the target, those nearest to 1: against a long plain gradient ascent of the dual on 50 rows; with rates of 0 and of 0.6 at least."""
+    rng = np.random.default_rng(6)
+    p, t = rng.dirichlet([0.4] * 3, 50), rng.integers(1, 300, 50)
+    table = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, p, strict=True)], "tokens long, posteriors array<double>")
+    for w, least, cover in ((np.array([0.1, 0.5, 0.4]), 0.0, False), (np.array([0.25, 0.4, 0.35]), 0.6, False)):
+        base = (p * t[:, None]).sum(0)
+        target, y = w * ((base / w).max() if cover else base.sum()), np.zeros(3)
+        for _ in range(200_000):
+            y -= (target - (p * (t * np.maximum(least, 1 - p @ y))[:, None]).sum(0)) / t.sum()
+        fit = soft_mixing.solve_rates(table, w, least, cover)
+        got = [x[0] for x in table.select(soft_mixing.rate(F.col("posteriors"), fit.steps, least)).collect()]
+        assert np.allclose(sorted(got), sorted(np.maximum(least, 1 - p @ y)), atol=5e-3) and fit.residual <= soft_mixing.CLOSE
+
+
+def test_posteriors_equal_plain_naive_bayes(spark):
+    from pairforge.llm.words import bucketed, words
+
+    rng = np.random.default_rng(7)
+    stock = {"en": "the and of with", "de": "der und von mit the", "fr": "le et de avec"}
+    rows = [(i, " ".join(rng.choice(stock[k].split(), int(rng.integers(1, 20)))), k, "s", 0) for i in range(60) for k in [("en", "de", "fr")[i % 3]]]
+    docs = spark.createDataFrame([*rows, (60, "", "en", "s", 0), (61, None, "de", "s", 0)], DOCS)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 40)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in soft_mixing.mix(docs, labels, {"en": 0.4, "de": 0.3, "fr": 0.3}).collect()}
+    counts, seen = {d: {} for d in stock}, dict.fromkeys(stock, 1)
+    for i, x, d, *_ in rows[:40]:
+        seen[d] += 1
+        for b in bucketed(words(x.encode()), soft_mixing.BUCKETS).tolist():
+            counts[d][b] = counts[d].get(b, 0) + 1
+    total = {d: sum(c.values()) + 0.1 * soft_mixing.BUCKETS for d, c in counts.items()}
+    for i, x, *_ in [*rows, (60, ""), (61, "")]:
+        ids = bucketed(words(x.encode()), soft_mixing.BUCKETS).tolist()
+        logit = np.array([np.log(seen[d] / sum(seen.values())) + (sum(np.log((counts[d].get(b, 0) + 0.1) / total[d]) for b in ids) / len(ids) ** 0.5 if ids else 0) for d in stock])
+        want = np.exp(logit - logit.max())
+        assert np.allclose(got[i].posteriors, want / want.sum()) and got[i].tokens == len(ids)
+
+
 def test_mixing_on_odd_rows(spark):
     labels = spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int")
     out = soft_mixing.mix(odd(spark), labels, soft_mixing.WEIGHTS).collect()
