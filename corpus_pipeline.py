@@ -3,6 +3,11 @@
 Each stage works on all documents that the one before it kept, and takes (spark, docs, sf_dir). All but the last return
 the columns of documents; the last adds size, text_crc32, law, shard, slot and grown_shard. Stages are written as Parquet
 and reread, so none recomputes another.
+
+Defined cases: null and empty texts are scored by the classifier like others (without words, by their structure alone), are linked with nothing, hold no benchmark item and weigh nothing in mixing; null and
+repeated ids stay as they are, as every stage judges rows; equal texts are one group of near-duplicates, of which the row with the smallest id stays; very long texts are read whole; columns other than those of
+documents are left out, whatever their names; without labels, or with labels of one class, nothing is rejected for its quality unless all labels say so; without benchmark items nothing is dropped for them;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
