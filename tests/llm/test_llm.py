@@ -763,3 +763,23 @@ def test_pipeline_stages(spark):
     assert sorted(last.doc_id) == sorted(r.doc_id for r in docs.collect()) and set(hash_tree.COLUMNS) <= set(last.columns)
     for _, part in last.groupby("shard"):
         assert sorted(part.slot) == list(range(len(part)))
+
+
+@pytest.mark.parametrize("kind", ["odd", "none"])
+def test_pipeline_on_odd_rows_and_empty_tables(spark, tmp_path, kind):
+    import corpus_pipeline as cp
+
+    prose = [(100 + i, " ".join(f"{w}{letters(i)}" for w in "all of these are words that this one text alone holds".split()), "en", "s", 60) for i in range(40)]
+    docs = spark.createDataFrame([*ODD, *prose, prose[0]] if kind == "odd" else [], DOCS)
+    for name in ("rate", "score", "copy", "tokens", "shard", "posteriors", "component_id"):
+        docs = docs.withColumn(name, F.lit("x"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(100, 120)] if kind == "odd" else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, prose[1][1]), (None, prose[2][1]), (3, None)] if kind == "odd" else [], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = cp.run(spark, str(tmp_path)).toPandas()
+    assert set(out.columns) == {*(f.split()[0] for f in DOCS.split(", ")), *hash_tree.COLUMNS}
+    if kind == "none":
+        assert len(out) == 0
+        return
+    ids = out.doc_id.dropna().astype(int).tolist()
+    assert set(ids) >= {1, 2, 3, 4, 100, *range(103, 140)} and not {101, 102} & set(ids) and out.doc_id.isna().sum() >= 1
