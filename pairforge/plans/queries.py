@@ -117,10 +117,12 @@ def zscore_profiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def profile_build(spark: SparkSession, d: str) -> DataFrame:
-    long = _read(spark, d, "embeddings").select(F.col("vec_id").alias("print_id"), F.posexplode("embedding").alias("position", "z")).withColumn("z", F.col("z").cast("double"))
-    prints = _prints(spark, d).where("region = 'A'")
-    made = pr.vectors(prints, long)
-    good, _ = pr.checked(made, spark.createDataFrame([("A", 64)], "region string, disp_count int"))
+    """Each region's print of an embedding has a number and elements of its own."""
+    long = _read(spark, d, "embeddings").select(F.col("vec_id"), F.posexplode("embedding").alias("at", "z"))
+    number = lambda i, region: F.col(i) * len(REGIONS) + region
+    long = long.select(number("vec_id", F.floor(F.col("at") / SIZE)).alias("print_id"), (F.col("at") % SIZE).alias("position"), F.col("z").cast("double").alias("z"))
+    prints = _prints(spark, d).withColumn("print_id", number("print_id", F.array_position(F.array(*[F.lit(r) for r in REGIONS]), F.col("region")) - 1))
+    good, _ = pr.checked(pr.vectors(prints, long), _regions(spark))
     return good.select("iso_id", "region", F.size("z").alias("n"), F.round(F.aggregate("z", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(F.element_at("z", -1), 6).alias("last"))
 
 

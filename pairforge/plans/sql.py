@@ -139,7 +139,9 @@ SQL = {
     "complete_isolates": f"WITH {LATEST} SELECT iso_id FROM latest GROUP BY 1 HAVING count(DISTINCT region) = (SELECT count(DISTINCT region) FROM ev)",
     "replicate_groups": f"WITH {EVENTS} SELECT iso_id, region, count(*) AS n FROM ev WHERE bad IS FALSE GROUP BY ALL HAVING count(*) > 1",
     "zscore_profiles": f"WITH {W} SELECT iso_id, region, CAST(unnest(range(32)) AS INTEGER) AS position, round(unnest(z), 6) AS z FROM prof",
-    "profile_build": f"WITH {W}, {PRINTS}, t AS (SELECT iso_id, max(print_id) AS p FROM pr WHERE bad IS FALSE GROUP BY 1) SELECT t.iso_id, 'A' AS region, CAST(len(v) AS INTEGER) AS n, round(list_sum(v), 6) AS total, round(v[64], 6) AS last FROM t JOIN e ON e.iso_id = t.p",
+    "profile_build": f"""WITH {W}, {PRINTS}, t AS (SELECT iso_id, max(print_id) AS p FROM pr WHERE bad IS FALSE GROUP BY 1),
+r AS (SELECT t.iso_id, unnest(['A', 'B']) AS region, unnest([v[1:32], v[33:64]]) AS z FROM t JOIN e ON e.iso_id = t.p)
+SELECT iso_id, region, CAST(len(z) AS INTEGER) AS n, round(list_sum(z), 6) AS total, round(z[32], 6) AS last FROM r""",
     "replicate_pairs": f"WITH {REPLICATES} SELECT region, iso_id, p1, p2, round(pearson, 6) AS pearson FROM rep",
     "replicate_counts": f"WITH {REPLICATES} SELECT region, count(*) AS n FROM rep GROUP BY 1",
     "neighbor_pairs": f"WITH {W}, {near(0.3)} SELECT a, b, round(pa, 6) AS pearson_a, round(pb, 6) AS pearson_b FROM edges",
