@@ -51,9 +51,12 @@ def spread(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame) ->
     return a, b
 
 
-def hot_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", hot_rows: int | None = None) -> DataFrame:
-    """left join right on `on`; right has few rows a key. left: a kept table, as its keys are counted first. Without hot keys it is a plain join, and nothing is repeated."""
-    hot = hot_keys(left, on, hot_rows)
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", hot_rows: int | None = None, counted: DataFrame | None = None) -> DataFrame:
+    """left join right on `on`; right has few rows a key. Without hot keys it is a plain join, and nothing is repeated.
+
+    left's keys are counted first, or those of `counted`, a kept table with the same keys, if left itself is costly.
+    """
+    hot = hot_keys(left if counted is None else counted, on, hot_rows)
     if hot.isEmpty():
         return left.join(right, on, how)
     a, b = spread(left, right, on, hot)
