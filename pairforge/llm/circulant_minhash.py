@@ -30,12 +30,14 @@ from pairforge.llm.tables import BROADCAST_IDS, table, unused
 from pairforge.llm.words import hashed, small
 from pairforge.operators.components import connected_components
 from pairforge.operators.neighbors import block_pairs
-from pairforge.plans.joins import salted_join
+from pairforge.plans.joins import hot_join, salted_join
 from pairforge.plans.scratch import Scratch
 
 WORDS, COORDINATES, ROWS, SMALL, PLACES = 5, 128, 4, 12, 256
 BANDS = COORDINATES // ROWS
 PERCENT = 75
+#: Pairs of one node that a task takes at most, about.
+PAIRS = 4096
 
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -139,10 +141,10 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b, ...) that are similar. Pairs are narrow; a pivot's hot partition is split by the adaptive skew join."""
+    """The pairs (a, b, ...) of a kept table that are similar. A pivot's pairs are dealt over partitions, PAIRS of them to each, as all meet whole sets."""
     b = sets.select(F.col("node").alias("b"), F.col("elements").alias("of_b"))
     a = sets.select(F.col("node").alias("a"), F.col("elements").alias("of_a"))
-    both = pairs.join(b, "b").join(a, "a")
+    both = hot_join(hot_join(pairs, b, ["b"], hot_rows=PAIRS), a, ["a"], hot_rows=PAIRS, counted=pairs)
     shared = F.size(F.array_intersect("of_a", "of_b"))
     both = both.withColumn("shared", shared)
     return both.where(100 * F.col("shared") >= PERCENT * (F.size("of_a") + F.size("of_b") - F.col("shared"))).drop("of_a", "of_b", "shared")

@@ -181,6 +181,14 @@ def test_dedup_keeps_one_row_of_each_text(spark):
     assert {(3, 3, True), (5, 3, False), (5, 5, True), (None, 3, False), (None, None, False), (8, 8, True)} <= judged
 
 
+def test_pairs_of_a_hot_pivot_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(cm, "PAIRS", 10)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[:59], f"end{i}"])) for i in range(90)] + [(200 + i, " ".join(f"{letters(i)}{k}" for k in range(12))) for i in range(20)]
+    got = {r.doc_id: r.component_id for r in cm.near_duplicates(documents(spark, rows)).collect()}
+    assert got == {i: 0 if i < 90 else i for i, _ in rows}
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2**63, 4000).astype(np.uint64)
