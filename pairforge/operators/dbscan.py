@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairforge.operators.components import connected_components
 from pairforge.operators.neighbors import directed
-from pairforge.plans.joins import salted_join
+from pairforge.plans.joins import hot_join
 from pairforge.plans.scratch import Scratch
 
 
@@ -20,11 +20,11 @@ def dbscan(edges: DataFrame, min_neighbors: int) -> DataFrame:
     scratch = Scratch(edges.sparkSession)
     both = scratch.keep(directed(edges).where("src != dst").distinct())
     cores = scratch.keep(both.groupBy("src").agg(F.count("*").alias("degree")).where(F.col("degree") >= min_neighbors).select(F.col("src").alias("core")))
-    from_core = scratch.keep(salted_join(both.withColumnRenamed("src", "core"), cores, ["core"]))
-    among = salted_join(from_core.withColumnRenamed("dst", "other").withColumnRenamed("core", "one"), cores.select(F.col("core").alias("other")), ["other"])
+    from_core = scratch.keep(hot_join(both.withColumnRenamed("src", "core"), cores, ["core"]))
+    among = hot_join(from_core.withColumnRenamed("dst", "other").withColumnRenamed("core", "one"), cores.select(F.col("core").alias("other")), ["other"])
     parts = connected_components(among.where("one < other").select(F.col("one").alias("src"), F.col("other").alias("dst")), scratch)
     of_core = scratch.keep(cores.join(parts.withColumnsRenamed({"node": "core", "component": "cluster_id"}), "core", "left").select("core", F.coalesce("cluster_id", "core").alias("cluster_id")))
-    reached = salted_join(from_core, of_core, ["core"]).select("cluster_id", F.col("dst").alias("iso_id"))
+    reached = hot_join(from_core, of_core, ["core"]).select("cluster_id", F.col("dst").alias("iso_id"))
     members = reached.unionByName(of_core.select("cluster_id", F.col("core").alias("iso_id"))).distinct()
     return members.join(cores.select(F.col("core").alias("iso_id"), F.lit(True).alias("c")), "iso_id", "left").select("cluster_id", "iso_id", F.coalesce("c", F.lit(False)).alias("is_core"))
 
