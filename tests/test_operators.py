@@ -536,3 +536,51 @@ def test_dims(spark):
     p = np.sort(x[:, 0] + 2 * x[:, 1])
     assert math.isclose(split, (p[30] + p[31]) / 2)
     assert dims.median_split(df.where("iso_id < 1"), [0], [1.0], ["region"]).first().split == x[0, 0]
+
+
+def test_largest_gaps_are_found_in_bins_without_listing_values(spark, monkeypatch):
+    """Every pass but the last counts bins, and so few values are counted one by one."""
+    monkeypatch.setattr(ks.gaps, "EXACT", 50)
+    monkeypatch.setattr(ks.gaps, "CUT", 65_536)
+    rng = np.random.default_rng(21)
+    z = rng.normal(size=(150, 2, 6))
+    z = (z - z.mean(2, keepdims=True)) / z.std(2, keepdims=True)
+    z[100:110] = z[:10]
+    points = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(z)], "iso_id long, z array<array<double>>")
+    sets = [range(0, 60), range(60, 100), range(100, 104), range(104, 150)]
+    members, others = membership(spark, *sets), membership(spark, range(0, 150, 2), range(1, 150, 2))
+    p = [np.round(z[:, r] @ z[:, r].T / 6, 12) for r in range(2)]
+    inside = lambda s, r: [p[r][i, j] for k, i in enumerate(s) for j in s[k + 1 :]]
+    e = spark.createDataFrame([(r, float(x)) for r in "AB" for x in np.round(rng.uniform(-1, 1, 300), 2)], "region string, pearson double")
+    want_e = {r: [x.pearson for x in e.where(F.col("region") == r).collect()] for r in "AB"}
+    for row in ks.paired_ks(members, points, ["A", "B"], ks.expected_sample(e)).collect():
+        r = "AB".index(row.region)
+        merged = inside(sets[row.c1], r) + inside(sets[row.c2], r) + [p[r][i, j] for i in sets[row.c1] for j in sets[row.c2]]
+        assert row.n == len(merged) and math.isclose(row.d, plain_ks(np.array(merged), np.array(want_e[row.region])), abs_tol=1e-12)
+    for row in ks.intra_two_samples(members, ks.intra_sample(others, points, ["A", "B"], True), points, ["A", "B"]).collect():
+        one, two = ([v for s in c for v in inside(s, "AB".index(row.region))] for c in (sets, [range(0, 150, 2), range(1, 150, 2)]))
+        assert (row.n1, row.n2) == (len(one), len(two)) and math.isclose(row.d, plain_ks(np.array(one), np.array(two)), abs_tol=1e-12)
+    moved = lambda v: (v + 1) / 2
+    listed = ks.intra_pearsons(members, points, ["A", "B"]).withColumn("pearson", moved(F.col("pearson")))
+    want = {r.region: r for r in ks.beta_ks(listed, 3.0, 2.0).collect()}
+    for row in ks.intra_beta_ks(members, points, ["A", "B"], 3.0, 2.0, moved).collect():
+        assert row.n == want[row.region].n and math.isclose(row.d, want[row.region].d, abs_tol=1e-9)
+
+
+def test_few_rows_are_sent_where_pairs_are_counted(spark):
+    """Blocks are a share of the entities, so an entity goes to as many blocks whatever the number of entities."""
+    sent = []
+    for n in (20_000, 80_000):
+        members = spark.range(n).select(F.lit(0).cast("long").alias("cluster_id"), F.col("id").alias("iso_id"))
+        rows, pairs = ks._blocks_of_clusters(members, None)
+        sent.append(pairs.count())
+        assert rows.groupBy("part").count().agg(F.max("count")).first()[0] <= ks.MOST
+    assert sent == [78, 78]
+
+
+def test_places_are_rounded_half_away_from_zero(spark):
+    """0.1234565 has 6 places and a half: 0.123457, and -0.123457 below zero, whatever the double nearest to it is."""
+    rows = [(0, [[1.0, 0.0]]), (1, [[0.246913, 0.0]]), (2, [[-0.246913, 0.0]])]
+    points = spark.createDataFrame(rows, "iso_id long, z array<array<double>>")
+    got = ks.inter_pearsons(membership(spark, [0], [1], [2]), points, ["A"], places=6).collect()
+    assert {(r.c1, r.c2): r.pearson for r in got} == {(0, 1): 0.123457, (0, 2): -0.123457, (1, 2): -0.030483}
