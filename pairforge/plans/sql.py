@@ -174,7 +174,7 @@ SELECT round(sds / ds, 6) AS correct_ds, round(ddd / dd, 6) AS correct_dd, round
     "inter_slots": f"""WITH {REPLICATES}, {LABELLED}, {INTER}, r AS (SELECT region, round(pearson, 12) AS v FROM rep),
 g AS (SELECT DISTINCT region, v FROM inter), k AS (SELECT g.region, g.v, count(*) FILTER (r.v < g.v) AS lt, count(*) FILTER (r.v <= g.v) AS le FROM g JOIN r ON r.region = g.region GROUP BY ALL)
 SELECT c1, c2, inter.region, lt, le, count(*) AS n FROM inter JOIN k ON k.region = inter.region AND k.v = inter.v GROUP BY ALL""",
-    "inter_pearsons": f"WITH {W}, {LABELLED}, {INTER} SELECT c1, c2, region, round(v, 6) AS pearson, count(*) AS n FROM inter GROUP BY ALL",
+    "inter_pearsons": f"WITH {W}, {LABELLED}, {INTER} SELECT c1, c2, region, CAST(round(CAST(v AS DECIMAL(18, 12)), 6) AS DOUBLE) AS pearson, count(*) AS n FROM inter GROUP BY ALL",
     "beta_ks": f"WITH {W}, {LABELLED}, {intra('lab')}, {beta('intra')}",
     "beta_cluster_ks": f"WITH {W}, {SEVENS}, {intra('sev')}, act AS (SELECT * FROM intra WHERE cluster_id IN (SELECT cluster_id FROM sev GROUP BY 1 HAVING count(*) >= 8)), {beta('act', 'cluster_id, ')}",
     "beta_paired_ks": f"WITH {W}, {LABELLED}, {intra('lab')}, {MERGED}, {beta('act', 'c1, c2, ')}",
