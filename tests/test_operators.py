@@ -584,3 +584,16 @@ def test_places_are_rounded_half_away_from_zero(spark):
     points = spark.createDataFrame(rows, "iso_id long, z array<array<double>>")
     got = ks.inter_pearsons(membership(spark, [0], [1], [2]), points, ["A"], places=6).collect()
     assert {(r.c1, r.c2): r.pearson for r in got} == {(0, 1): 0.123457, (0, 2): -0.123457, (1, 2): -0.030483}
+
+
+def test_a_row_is_sent_to_a_bounded_number_of_tasks_in_the_similarity_join(spark):
+    """On vectors without structure no pair of leaves is left out, and still a row goes to SIDES bundles or so, not to every leaf."""
+    rng = np.random.default_rng(31)
+    scratch, radii = Scratch(spark), [4.0, 4.0]
+    for n in (2000, 6000):
+        rows = spark.createDataFrame([(i, rng.normal(size=16).tolist(), True, True) for i in range(n)], "iso_id long, v array<double>, held boolean, asked boolean")
+        tree = pivots.build(scratch.keep(rows), [8, 8], radii, scratch, 64)
+        pairs, _ = pivots.near_leaves(tree, [8, 8], radii, scratch)
+        leaves = tree.rows.select("leaf").distinct().count()
+        sent = neighbors.tasks(tree, pairs, scratch, 64).where("wants is null").count()
+        assert leaves > 3 * neighbors.SIDES and sent <= (neighbors.SIDES + 2) * n
