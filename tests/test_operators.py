@@ -2,13 +2,14 @@
 
 import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pairforge.functions import vectors as v
-from pairforge.operators import audit, compare, correctness, dbscan, dims, ks, neighbors, pivots, profiles
+from pairforge.operators import audit, compare, correctness, dbscan, dims, gaps, ks, neighbors, pivots, profiles
 from pairforge.operators.components import connected_components
 from pairforge.plans import joins
 from pairforge.plans.ranks import running_sums
@@ -597,3 +598,34 @@ def test_a_row_is_sent_to_a_bounded_number_of_tasks_in_the_similarity_join(spark
         leaves = tree.rows.select("leaf").distinct().count()
         sent = neighbors.tasks(tree, pairs, scratch, 64).where("wants is null").count()
         assert leaves > 3 * neighbors.SIDES and sent <= (neighbors.SIDES + 2) * n
+
+
+def test_bins_of_single_groups_are_counted_in_arrays(spark):
+    rng = np.random.default_rng(5)
+    sums = ks._Sums()
+    bins, values = ks._Bins(sums), []
+    for turn in range(30):
+        k = rng.integers(-500 * (turn + 1), 400 * (turn + 1), 5000)
+        values.append((turn % 3, k))
+        bins.add(turn % 3, k)
+    bins.add(1, np.array([-(1 << 40), 1 << 40]))  # beyond the range of an array
+    values.append((1, np.array([-(1 << 40), 1 << 40])))
+    assert len(bins.of) == 3 and sums.kept == 2
+    bins.flush()
+    codes, numbers, n = sums.total()
+    known = Counter((c, int(x)) for c, k in values for x in k)
+    assert dict(zip(zip(codes.tolist(), numbers.tolist(), strict=True), n.tolist(), strict=True)) == known
+
+
+def test_cdf_is_asked_once_an_edge(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def cdf(x):
+        asked.add(len(x))
+        return np.clip(x, 0, 1)
+
+    bins = spark.createDataFrame([("A", b) for b in range(100)], "region string, bin long")
+    rows = gaps._edges_of_cdf(cdf, 32, bins, Scratch(spark)).collect()
+    assert len(rows) == 100 and asked.value == 101
+    for r in rows:
+        assert (r.e0, r.e1) == (min(1, (r.bin << 32) / gaps.SCALE), min(1, ((r.bin + 1) << 32) / gaps.SCALE))
