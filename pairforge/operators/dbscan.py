@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pairforge.operators.components import connected_components
 from pairforge.operators.neighbors import directed
@@ -11,21 +17,95 @@ from pairforge.plans.joins import hot_join
 from pairforge.plans.scratch import Scratch
 
 
-def dbscan(edges: DataFrame, min_neighbors: int) -> DataFrame:
+#: Up to so many cores and their clusters go to every task, as sorted arrays (16 MB a million).
+SHARED = 1_000_000
+
+
+def _numbers(cores: DataFrame) -> bool:
+    return cores.schema["core"].dataType.simpleString() in ("int", "bigint")
+
+
+def _shared(rows: DataFrame, columns: list[str]) -> Broadcast:
+    """Columns of whole numbers, SHARED rows at most, as arrays in the order of the first."""
+    table = rows.select(*columns).toArrow()
+    arrays = [table.column(c).to_numpy() for c in columns]
+    order = np.argsort(arrays[0])
+    return rows.sparkSession.sparkContext.broadcast([x[order] for x in arrays])
+
+
+def _places(known: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ids are in sorted known ones, and whether they are there."""
+    if not len(known):
+        return np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+    at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+    return at, known[at] == ids
+
+
+def among_cores(edges: DataFrame, cores: DataFrame) -> DataFrame:
+    """(src, dst): edges(a, b) with a core at both ends; where edges lie, if cores(core) are few enough to be sent to them."""
+    edges = edges.where("a != b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    if not _numbers(cores) or cores.count() > SHARED:
+        first = hot_join(edges, cores.withColumnRenamed("core", "src"), ["src"])
+        return hot_join(first, cores.withColumnRenamed("core", "dst"), ["dst"]).select("src", "dst")
+    known = _shared(cores, ["core"])
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [_places(known.value[0], batch.column(c).to_numpy())[1] for c in ("src", "dst")]
+            yield batch.filter(pa.array(both[0] & both[1]))
+
+    kinds = dict(edges.dtypes)
+    return edges.where("src is not null and dst is not null").mapInArrow(keep, f"src {kinds['src']}, dst {kinds['dst']}")
+
+
+def reached(edges: DataFrame, of_core: DataFrame) -> DataFrame:
+    """(cluster_id, iso_id), each once: the neighbours of the cores of of_core(core, cluster_id), over edges(a, b). Each batch sends a pair once, and the aggregate's map side leaves one a partition."""
+    kind = of_core.schema["cluster_id"].dataType
+    few = _numbers(of_core) and kind.simpleString() in ("int", "bigint") and of_core.count() <= SHARED
+    if not few:
+        from_core = directed(edges).where("src != dst").withColumnRenamed("src", "core")
+        return hot_join(from_core, of_core, ["core"]).select("cluster_id", F.col("dst").alias("iso_id")).distinct()
+    known = _shared(of_core, ["core", "cluster_id"])
+    iso = edges.schema["a"].dataType
+    types = [to_arrow_type(kind), to_arrow_type(iso)]
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cores, clusters = known.value
+        for batch in batches:
+            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+            (pa_, ina), (pb_, inb) = _places(cores, a), _places(cores, b)
+            first = np.concatenate([clusters[pa_[ina]], clusters[pb_[inb]]]) if len(cores) else np.empty(0, np.int64)
+            found = pa.table([pa.array(first, types[0]), pa.array(np.concatenate([b[ina], a[inb]]), types[1])], names=["cluster_id", "iso_id"])
+            yield from found.group_by(["cluster_id", "iso_id"]).aggregate([]).combine_chunks().to_batches()
+
+    out = edges.where("a != b").select("a", "b").mapInArrow(find, f"cluster_id {kind.simpleString()}, iso_id {iso.simpleString()}")
+    return out.groupBy("cluster_id", "iso_id").agg(F.lit(1).alias("_")).drop("_")
+
+
+def cores_of(edges: DataFrame, min_neighbors: int) -> DataFrame:
+    """(core) of edges(a, b), undirected, each once. Both ends of an edge are counted where it lies, so a task sends a row an entity."""
+    ends = edges.where("a != b").select(F.explode(F.array("a", "b")).alias("core"))
+    return ends.groupBy("core").agg(F.count("*").alias("degree")).where(F.col("degree") >= min_neighbors).select("core")
+
+
+def once(edges: DataFrame) -> DataFrame:
+    """(a, b) of any edge table, a < b, each once; loops and null ends left out."""
+    return edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def dbscan(edges: DataFrame, min_neighbors: int, distinct: bool = False) -> DataFrame:
     """edges(a, b), undirected -> (cluster_id, iso_id, is_core). cluster_id is the smallest core of the cluster.
 
     A core has at least min_neighbors neighbours, itself not counted. A cluster is a component of the graph among cores with all neighbours
     of its cores, so a border entity belongs to every cluster that reaches it, and no visiting order matters.
+    distinct: no edge is there twice, either way round, so none needs to be looked for. Edges are then read where they lie, and what is shuffled grows with the entities of a partition, not with its edges.
     """
     scratch = Scratch(edges.sparkSession)
-    both = scratch.keep(directed(edges).where("src != dst").distinct())
-    cores = scratch.keep(both.groupBy("src").agg(F.count("*").alias("degree")).where(F.col("degree") >= min_neighbors).select(F.col("src").alias("core")))
-    from_core = scratch.keep(hot_join(both.withColumnRenamed("src", "core"), cores, ["core"]))
-    among = hot_join(from_core.withColumnRenamed("dst", "other").withColumnRenamed("core", "one"), cores.select(F.col("core").alias("other")), ["other"])
-    parts = connected_components(among.where("one < other").select(F.col("one").alias("src"), F.col("other").alias("dst")), scratch)
+    edges = edges.select("a", "b") if distinct else scratch.keep(once(edges))
+    cores = scratch.keep(cores_of(edges, min_neighbors))
+    parts = connected_components(among_cores(edges, cores), scratch)
     of_core = scratch.keep(cores.join(parts.withColumnsRenamed({"node": "core", "component": "cluster_id"}), "core", "left").select("core", F.coalesce("cluster_id", "core").alias("cluster_id")))
-    reached = hot_join(from_core, of_core, ["core"]).select("cluster_id", F.col("dst").alias("iso_id"))
-    members = reached.unionByName(of_core.select("cluster_id", F.col("core").alias("iso_id"))).distinct()
+    members = reached(edges, of_core).unionByName(of_core.select("cluster_id", F.col("core").alias("iso_id"))).distinct()
     return members.join(cores.select(F.col("core").alias("iso_id"), F.lit(True).alias("c")), "iso_id", "left").select("cluster_id", "iso_id", F.coalesce("c", F.lit(False)).alias("is_core"))
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairforge.functions import vectors as v
-from pairforge.operators import audit, compare, correctness, dbscan, dims, gaps, ks, neighbors, pivots, profiles
+from pairforge.operators import audit, compare, components, correctness, dbscan, dims, gaps, ks, neighbors, pivots, profiles
 from pairforge.operators.components import connected_components
 from pairforge.plans import joins
 from pairforge.plans.ranks import running_sums
@@ -629,3 +629,12 @@ def test_cdf_is_asked_once_an_edge(spark):
     assert len(rows) == 100 and asked.value == 101
     for r in rows:
         assert (r.e0, r.e1) == (min(1, (r.bin << 32) / gaps.SCALE), min(1, ((r.bin + 1) << 32) / gaps.SCALE))
+
+
+def test_components_send_a_forest_of_each_partition(spark, monkeypatch):
+    monkeypatch.setattr(components, "KEPT", 50)
+    edges = spark.range(0, 3000, 1, 3).select((F.col("id") * 7 % 40).alias("src"), (F.col("id") * 13 % 40 + 100 * (F.col("id") % 2)).alias("dst"))
+    sent = components.forests(edges).groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert max(sent) < 130
+    rows = [(1, 2), (2, 3), (7, 7), (9, 8), (None, 1)]
+    assert values(connected_components(spark.createDataFrame(rows, "src long, dst long"))) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 8), (9, 8)]
