@@ -638,3 +638,19 @@ def test_components_send_a_forest_of_each_partition(spark, monkeypatch):
     assert max(sent) < 130
     rows = [(1, 2), (2, 3), (7, 7), (9, 8), (None, 1)]
     assert values(connected_components(spark.createDataFrame(rows, "src long, dst long"))) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 8), (9, 8)]
+
+
+def test_mean_similarity_to_later_members_makes_no_pairs(spark):
+    rng = np.random.default_rng(9)
+    z = rng.normal(size=(40, 6))
+    points = spark.createDataFrame([(i, [z[i, :4].tolist(), z[i, 4:].tolist()]) for i in range(40)], "iso_id long, z array<array<double>>")
+    members = [(i % 3, i) for i in range(40)] + [(5, i) for i in range(0, 40, 4)]
+    found = ks.mean_to_later(spark.createDataFrame(members, "cluster_id long, iso_id long"), points, ["A", "B"], [4, 2])
+    pairs = {}
+    for c, a in members:
+        for c2, b in members:
+            if c == c2 and a < b:
+                for r, p in (("A", slice(0, 4)), ("B", slice(4, 6))):
+                    pairs.setdefault((a, r), []).append(z[a, p] @ z[b, p] / (p.stop - p.start))
+    got = {(r.a, r.region): r.pearson for r in found.collect()}
+    assert got.keys() == pairs.keys() and all(math.isclose(got[k], np.mean(x), abs_tol=1e-9) for k, x in pairs.items())
