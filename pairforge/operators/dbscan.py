@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pairforge.operators.components import connected_components
+from pairforge.operators.components import KEPT, _roots, connected_components
 from pairforge.operators.neighbors import directed
 from pairforge.plans.joins import hot_join
 from pairforge.plans.scratch import Scratch
@@ -93,16 +93,71 @@ def once(edges: DataFrame) -> DataFrame:
     return edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def thinned(edges: DataFrame, min_neighbors: int) -> DataFrame:
+    """(a, b, n) of edges(a, b), undirected, each there once: what tells the density clusters with min_neighbors neighbours or fewer, made where edges lie, in one pass over them.
+
+    Each partition gives an entity's edges there by their number (b is null), and edges (n is null): those between two entities that have min_neighbors of them there, which are cores for certain, as a
+    forest, and all others, of which an entity has fewer than min_neighbors. So rows grow with the entities of a partition, not with its edges, and neither does a task hold more.
+    """
+    arrow = to_arrow_type(edges.schema["a"].dataType)
+    text, least = not pa.types.is_integer(arrow), max(1, min_neighbors)
+    schema = pa.schema([("a", arrow), ("b", arrow), ("n", pa.int64())])
+    none = np.empty(0, object if text else np.int64)
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, degree, joined, loose = none, np.empty(0, np.int64), (none, none), (none, none)
+        fresh, n, most = [], 0, KEPT
+
+        def settle() -> None:
+            nonlocal known, degree, joined, loose
+            a, b = (np.concatenate(x) for x in zip(*fresh, strict=True))
+            every = np.unique(np.concatenate([known, a, b]))
+            counts = np.bincount(np.searchsorted(every, np.concatenate([a, b])), minlength=len(every))
+            counts[np.searchsorted(every, known)] += degree
+            known, degree = every, counts
+            a, b = (np.searchsorted(known, np.concatenate([x, y])) for x, y in zip(loose, (a, b), strict=True))
+            sure = (degree[a] >= least) & (degree[b] >= least)
+            loose = known[a[~sure]], known[b[~sure]]
+            a, b = (np.concatenate([np.searchsorted(known, x), y[sure]]) for x, y in zip(joined, (a, b), strict=True))
+            root = _roots(a, b, len(known))
+            rest = np.flatnonzero(root != np.arange(len(known)))
+            joined = known[root[rest]], known[rest]
+
+        for batch in batches:
+            fresh.append(tuple(np.array(batch.column(c).to_pylist(), object) if text else batch.column(c).to_numpy() for c in ("a", "b")))
+            n += batch.num_rows
+            if n > most:
+                settle()
+                fresh, n, most = [], 0, max(KEPT, len(known))
+        if n:
+            settle()
+        counted = pa.table([pa.array(known, arrow), pa.nulls(len(known), arrow), pa.array(degree)], schema=schema)
+        yield from counted.to_batches(max_chunksize=1 << 16)
+        for a, b in (joined, loose):
+            yield from pa.table([pa.array(a, arrow), pa.array(b, arrow), pa.nulls(len(a), pa.int64())], schema=schema).to_batches(max_chunksize=1 << 16)
+
+    name = edges.schema["a"].dataType.simpleString()
+    return edges.where("a != b").select("a", "b").mapInArrow(task, f"a {name}, b {name}, n long")
+
+
 def dbscan(edges: DataFrame, min_neighbors: int, distinct: bool = False) -> DataFrame:
     """edges(a, b), undirected -> (cluster_id, iso_id, is_core). cluster_id is the smallest core of the cluster.
 
     A core has at least min_neighbors neighbours, itself not counted. A cluster is a component of the graph among cores with all neighbours
     of its cores, so a border entity belongs to every cluster that reaches it, and no visiting order matters.
-    distinct: no edge is there twice, either way round, so none needs to be looked for. Edges are then read where they lie, and what is shuffled grows with the entities of a partition, not with its edges.
+    distinct: no edge is there twice, either way round, so none needs to be looked for. Edges are then read once, where they lie, and what is shuffled and written grows with the entities of a partition, not with its edges.
     """
     scratch = Scratch(edges.sparkSession)
     edges = edges.select("a", "b") if distinct else scratch.keep(once(edges))
-    cores = scratch.keep(cores_of(edges, min_neighbors))
+    return density_clusters(scratch.keep(thinned(edges, min_neighbors)), min_neighbors)
+
+
+def density_clusters(thin: DataFrame, min_neighbors: int) -> DataFrame:
+    """dbscan of the edges that were thinned for so many neighbours or more, from a kept table."""
+    scratch = Scratch(thin.sparkSession)
+    degrees = thin.where("n is not null").groupBy(F.col("a").alias("core")).agg(F.sum("n").alias("degree"))
+    cores = scratch.keep(degrees.where(F.col("degree") >= min_neighbors).select("core"))
+    edges = thin.where("n is null").select("a", "b")
     parts = connected_components(among_cores(edges, cores), scratch)
     of_core = scratch.keep(cores.join(parts.withColumnsRenamed({"node": "core", "component": "cluster_id"}), "core", "left").select("core", F.coalesce("cluster_id", "core").alias("cluster_id")))
     members = reached(edges, of_core).unionByName(of_core.select("cluster_id", F.col("core").alias("iso_id"))).distinct()

@@ -654,3 +654,34 @@ def test_mean_similarity_to_later_members_makes_no_pairs(spark):
                     pairs.setdefault((a, r), []).append(z[a, p] @ z[b, p] / (p.stop - p.start))
     got = {(r.a, r.region): r.pearson for r in found.collect()}
     assert got.keys() == pairs.keys() and all(math.isclose(got[k], np.mean(x), abs_tol=1e-9) for k, x in pairs.items())
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_thinned_edges_tell_the_density_clusters_and_grow_with_entities(spark, text, monkeypatch):
+    monkeypatch.setattr(dbscan, "KEPT", 500)
+    rng = np.random.default_rng(5)
+    pairs = {(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 60, (3000, 2)) if a != b}  # dense
+    pairs |= {(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(60, 400, (300, 2)) if a != b}  # sparse: borders, noise
+    pairs |= {(200, 20), (60, 5)}
+    name = (lambda i: f"i{i}") if text else int
+    rows = [(name(a), name(b)) for a, b in rng.permutation(sorted(pairs)).tolist()]
+    edges = spark.createDataFrame(rows, "a string, b string" if text else "a long, b long").repartition(3)
+    thin = dbscan.thinned(edges, 3).cache()
+    assert thin.where("n is null").count() < len(rows) - 800 and thin.where("n is not null").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 400
+    near = {}
+    for a, b in rows:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for least in (1, 2, 3):
+        cores, want, seen = {x for x in near if len(near[x]) >= least}, set(), set()
+        for start in sorted(cores):
+            found, todo = set(), [start] if start not in seen else []
+            while todo:
+                x = todo.pop()
+                if x not in found:
+                    found.add(x)
+                    todo += near[x] & cores
+            seen |= found
+            want |= {(min(found), y, y in cores) for x in found for y in near[x] | {x}}
+        assert {tuple(r) for r in dbscan.density_clusters(thin, least).collect()} == want
+        assert {tuple(r) for r in dbscan.dbscan(edges, least, True).collect()} == want
