@@ -1,31 +1,37 @@
 """Range queries over boxes of median planes.
 
 Points are cut at the medians of PLANES projections at a time, of the dimensions that vary most with each other (dims.split_planes), until a cell holds `block` points; a cell's bounding box has
-a low and a high corner in each region, and boxes merge upwards into a tree. Queries fall into the same cells and are dealt to blocks with boxes of their own.
+a low and a high corner in each region, and boxes merge upwards into a tree. Queries fall into the same cells; cells that follow each other make blocks of about QUERY_BLOCK queries, with boxes of their own.
 Blocks of queries descend the tree: a box that is farther away in some region than its radius is left out with all that lies in it, and one whose farthest corner is within
 all radii of the whole block is taken as it is. Of what is left, each query meets each box by its own point: it leaves the box out, takes it whole, or has its points compared.
-Only the last costs products. Medians decide where boxes lie, not what is found, so they are approximate.
+Only the last costs products. Boxes and blocks are bundled, a SIDES-th of the rows or MOST rows at most, and a task gets a bundle of each, every row once; so a row is sent to as many tasks as there
+are bundles of the other side, and no table of queries and boxes is made. Medians decide where boxes lie, not what is found, so they are approximate.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pairforge.functions.vectors import box_in_ball, distance_to_box, projection
+from pairforge.functions.vectors import projection
 from pairforge.operators.dims import split_planes
-from pairforge.operators.neighbors import within
+from pairforge.operators.neighbors import MOST, SENT, SIDES, _by_task, within
 from pairforge.operators.pivots import matrix, regions_of
 from pairforge.plans.joins import salted_join
+from pairforge.plans.ranks import running_sums
 from pairforge.plans.scratch import Scratch
 
 BLOCK, PLANES, DIMS_A_PLANE, QUERY_BLOCK = 512, 3, 8, 512
+#: Points that a block of queries meets in one product, about.
+TILE = 4096
 #: Up to so many cells their medians go to all tasks (some 2 MB).
 SHARED = 50_000
 ROOT = "0"
@@ -104,9 +110,11 @@ def build(points: DataFrame, queries: DataFrame, regions: list[str], widths: lis
         waiting = scratch.keep(waiting.where(~here).unionByName(merged.withColumn("parent", above)))
     nodes.append(waiting)
     tree = scratch.keep(reduce(DataFrame.unionByName, [t.select("parent", "box", "low", "high") for t in nodes]))
-    homes = placed.where("not held").groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("parts"))
+    counts = placed.where("not held").groupBy("cell").agg(F.count("*").alias("n"))
+    homes = running_sums(counts, [], ["cell"], {"upto": "n"}, scratch)
+    homes = homes.select("cell", F.floor((F.col("upto") - F.col("n")) / QUERY_BLOCK).alias("start"), F.ceil(F.col("n") / QUERY_BLOCK).alias("parts"))
     asked = salted_join(placed.where("not held").select("iso_id", "cell"), homes, ["cell"])
-    asked = asked.select("iso_id", F.concat_ws("#", "cell", F.pmod(F.xxhash64("iso_id"), F.col("parts")).cast("string")).alias("block"))
+    asked = asked.select("iso_id", F.concat_ws("#", F.col("start").cast("string"), F.pmod(F.xxhash64("iso_id"), F.col("parts")).cast("string")).alias("block"))
     asked = scratch.keep(asked.join(vectors.where("not held").drop("held"), "iso_id"))
     blocks = scratch.keep(asked.groupBy("block").applyInArrow(_corners("block"), "block string, low array<double>, high array<double>"))
     return BoxTree(rows, asked, tree, blocks, turn + 2)
@@ -129,59 +137,143 @@ def _apart(low: str, high: str, low2: str, high2: str, part: slice) -> tuple[Col
     return total(gap), total(reach)
 
 
-def met_boxes(tree: BoxTree, widths: list[int], radii: list[float], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """((block, box) that a whole block of queries takes as they are; (iso_id, box, inside) of the boxes that are left to single queries: taken, or to be compared)."""
+def met_blocks(tree: BoxTree, widths: list[int], radii: list[float], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """((block, box) that a whole block of queries takes as they are; (block, box) of the leaves that are left to its single queries)."""
     parts = regions_of(widths)
-    # Near a radius the products decide.
-    far, close = [r * (1 + 1e-6) + 1e-6 for r in radii], [r * (1 - 1e-9) for r in radii]
+    far, close = _limits(radii)
     boxes = tree.nodes.select(F.col("parent").alias("at"), F.col("box").alias("next"), F.col("low").alias("l2"), F.col("high").alias("h2"))
     bounds = [_apart("low", "high", "l2", "h2", p) for p in parts]
     pairs = tree.blocks.select("block", F.lit("").alias("at"), F.lit(False).alias("inside"))
     for _ in range(tree.depth):
-        met = pairs.where("not inside").join(boxes, "at").join(tree.blocks, "block").where(_every([near <= r for (near, _), r in zip(bounds, far, strict=True)]))
+        met = pairs.where("not inside").repartition("block").join(boxes, "at").join(tree.blocks, "block").where(_every([near <= r for (near, _), r in zip(bounds, far, strict=True)]))
         met = met.select("block", F.col("next").alias("at"), _every([reach <= r for (_, reach), r in zip(bounds, close, strict=True)]).alias("inside"))
         pairs = scratch.keep(met.unionByName(pairs.where("inside")))
-    whole = pairs.where("inside").select("block", F.col("at").alias("box"))
-    leaves = tree.nodes.where("parent = box").select("box", F.col("low").alias("l2"), F.col("high").alias("h2"))
-    single = pairs.where("not inside").withColumnRenamed("at", "box").join(leaves, "box").join(tree.asked, "block")
-    single = single.where(_every([distance_to_box(_piece("v", p), _piece("l2", p), _piece("h2", p)) <= r for p, r in zip(parts, far, strict=True)]))
-    inside = _every([box_in_ball(_piece("l2", p), _piece("h2", p), _piece("v", p), F.lit(r)) for p, r in zip(parts, close, strict=True)])
-    return whole, scratch.keep(single.select("iso_id", "box", inside.alias("inside")))
+    pairs = pairs.withColumnRenamed("at", "box")
+    return pairs.where("inside").select("block", "box"), pairs.where("not inside").select("block", "box")
+
+
+def _limits(radii: list[float]) -> tuple[list[float], list[float]]:
+    """Distances beyond which boxes are left out, and up to which they are taken: near a radius the products decide."""
+    return [r * (1 + 1e-6) + 1e-6 for r in radii], [r * (1 - 1e-9) for r in radii]
+
+
+@dataclass
+class _Met:
+    """Queries of a block and some boxes, in a task."""
+
+    x: np.ndarray
+    queries: np.ndarray
+    y: np.ndarray
+    points: np.ndarray
+    names: list[str]
+    box: np.ndarray  # the box of a point, by its place in names
+    inside: np.ndarray  # a row a query, a column a box: taken whole
+    open: np.ndarray  # likewise: to be compared
+
+
+def _bundles(rows: DataFrame, name: str, least: int, scratch: Scratch) -> DataFrame:
+    """(name, bundle): leaves or blocks that follow each other, a SIDES-th of the rows together, least at least and MOST at most."""
+    counts = scratch.keep(rows.groupBy(name).agg(F.count("*").alias("n")))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    size = min(MOST, max(least, -(-total // SIDES)))
+    return scratch.keep(running_sums(counts, [], [name], {"upto": "n"}, scratch).select(name, F.floor((F.col("upto") - F.col("n")) / size).alias("bundle")))
+
+
+def _met_in_tasks(tree: BoxTree, left: DataFrame, widths: list[int], radii: list[float], work: Callable[[_Met], pa.Table], schema: str, scratch: Scratch) -> DataFrame:
+    """work(queries and boxes) for all pairs of left(block, box), in tasks that get bundles of both."""
+    parts = regions_of(widths)
+    far, close = _limits(radii)
+    text = dict(tree.rows.dtypes)["iso_id"] == "string"
+    homes = _bundles(tree.rows, "box", BLOCK, scratch), _bundles(tree.asked, "block", QUERY_BLOCK, scratch)
+    placed = left.join(homes[0].withColumnRenamed("bundle", "pb"), "box").join(homes[1].withColumnRenamed("bundle", "pa"), "block")
+    marks = scratch.keep(placed.groupBy("pa", "pb", F.col("block").alias("name")).agg(F.collect_list("box").alias("wants")))
+    sent = marks.select("pa", "pb", F.explode("wants").alias("name")).distinct()
+    side = lambda rows, of, asked: rows.select("iso_id", "v", F.col(of).alias("name"), F.lit(asked).alias("asked"))
+    rows = side(tree.rows, "box", False).join(sent, "name").unionByName(side(tree.asked, "block", True).join(marks.select("pa", "pb", "name"), "name"))
+    rows = rows.select("pa", "pb", "asked", "name", "iso_id", "v", F.lit(None).cast("array<string>").alias("wants"))
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("iso_id", "v")]
+    rows = rows.unionByName(marks.select("pa", "pb", F.lit(True).alias("asked"), "name", *none, "wants"))
+    n = marks.select("pa", "pb").distinct().count()
+
+    def cut(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+        """Rows sorted by name: their vectors, ids, the names, and where each begins."""
+        names = table.column("name").combine_chunks().dictionary_encode()
+        starts = np.flatnonzero(np.diff(names.indices.to_numpy(), prepend=-1))
+        iso = table.column("iso_id")
+        return matrix(table.column("v")), np.array(iso.to_pylist(), object) if text else iso.to_numpy(), names.dictionary.to_pylist(), starts
+
+    def met(table: pa.Table) -> Iterator[_Met]:
+        mark = pc.is_valid(table.column("wants"))
+        marks, held = table.filter(mark), table.filter(pc.invert(mark))
+        x, queries, blocks, first = cut(held.filter(held.column("asked")))
+        y, points, boxes, starts = cut(held.filter(pc.invert(held.column("asked"))))
+        ends, rows_of = np.append(starts[1:], len(y)), dict(zip(blocks, zip(first, np.append(first[1:], len(x)), strict=True), strict=True))
+        low, high = np.minimum.reduceat(y, starts), np.maximum.reduceat(y, starts)
+        at = {b: i for i, b in enumerate(boxes)}
+        for block, wants in zip(marks.column("name").to_pylist(), marks.column("wants").to_pylist(), strict=True):
+            s, e = rows_of[block]
+            wanted = np.sort([at[b] for b in wants])
+            turns = np.cumsum(ends[wanted] - starts[wanted]) // TILE
+            for turn in np.unique(turns):
+                w = wanted[turns == turn]
+                near, inside = (np.ones((e - s, len(w)), bool) for _ in range(2))
+                for p, f, c in zip(parts, far, close, strict=True):
+                    q, a, b = x[s:e, None, p], low[None, w, p], high[None, w, p]
+                    near &= np.sqrt((np.maximum(np.maximum(a - q, q - b), 0.0) ** 2).sum(2)) <= f
+                    inside &= np.sqrt((np.maximum(np.abs(q - a), np.abs(q - b)) ** 2).sum(2)) <= c
+                rows = np.concatenate([np.arange(starts[i], ends[i]) for i in w])
+                yield _Met(x[s:e], queries[s:e], y[rows], points[rows], [boxes[i] for i in w], np.repeat(np.arange(len(w)), ends[w] - starts[w]), near & inside, near & ~inside)
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, n = [], 0
+        for table in _by_task(batches):
+            for one in met(table):
+                found = work(one)
+                kept, n = [*kept, found] if found.num_rows else kept, n + found.num_rows
+                if n >= SENT:
+                    yield from pa.concat_tables(kept).combine_chunks().to_batches(max_chunksize=SENT)
+                    kept, n = [], 0
+        if kept:
+            yield from pa.concat_tables(kept).combine_chunks().to_batches(max_chunksize=SENT)
+
+    return rows.repartition(max(1, n), "pa", "pb").sortWithinPartitions("pa", "pb", "asked", "name").mapInArrow(task, schema)
+
+
+def met_boxes(tree: BoxTree, widths: list[int], radii: list[float], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """((block, box) that a whole block of queries takes as they are; (iso_id, box, inside) of the boxes that are left to single queries: taken, or to be compared)."""
+    whole, left = met_blocks(tree, widths, radii, scratch)
+    kind = to_arrow_type(tree.rows.schema["iso_id"].dataType)
+
+    def boxes(m: _Met) -> pa.Table:
+        i, k = np.nonzero(m.inside | m.open)
+        return pa.table({"iso_id": pa.array(m.queries[i], kind), "box": pa.array([m.names[b] for b in k], pa.string()), "inside": pa.array(m.inside[i, k])})
+
+    name = dict(tree.rows.dtypes)["iso_id"]
+    return whole, scratch.keep(_met_in_tasks(tree, left, widths, radii, boxes, f"iso_id {name}, box string, inside boolean", scratch))
 
 
 def within_range(points: DataFrame, queries: DataFrame, regions: list[str], widths: list[int], radii: list[float], block: int = BLOCK) -> DataFrame:
     """points, queries(iso_id, z: array of a vector a region) -> (query_id, iso_id): all other points within the radius of each region, radii included."""
     scratch = Scratch(points.sparkSession)
     tree = build(points, queries, regions, widths, scratch, block)
-    whole, single = met_boxes(tree, widths, radii, scratch)
+    whole, left = met_blocks(tree, widths, radii, scratch)
     # A box that a block takes may be an inner one: its leaves are those whose path goes through it.
     cells = tree.rows.select("iso_id", "box").withColumn("path", F.split(F.substring_index("box", "#", 1), "/"))
     above = F.transform(F.sequence(F.lit(1), F.size("path")), lambda i: F.concat_ws("/", F.slice("path", 1, i)))
     held = cells.select("iso_id", F.explode(F.array_append(above, F.col("box"))).alias("box"))
     taken = salted_join(whole, tree.asked.select(F.col("iso_id").alias("query_id"), "block"), ["block"]).select("query_id", "box")
     taken = salted_join(taken, held.join(whole.select("box").distinct(), "box", "left_semi"), ["box"])
-    alone = salted_join(single.where("inside").select(F.col("iso_id").alias("query_id"), "box"), tree.rows.select("iso_id", "box"), ["box"])
-    found = taken.select("query_id", "iso_id").unionByName(alone.select("query_id", "iso_id")).where("query_id != iso_id")
-    return found.unionByName(_compared(tree, single.where("not inside").select("iso_id", "box"), widths, radii))
+    found = taken.select("query_id", "iso_id").where("query_id != iso_id")
+    parts, kind, name = regions_of(widths), to_arrow_type(tree.rows.schema["iso_id"].dataType), dict(tree.rows.dtypes)["iso_id"]
 
+    def pairs(m: _Met) -> pa.Table:
+        some, rows = np.flatnonzero(m.open.any(1)), np.flatnonzero(m.open.any(0)[m.box])
+        i, j = within([m.x[some][:, p] for p in parts], [m.y[rows][:, p] for p in parts], radii)
+        i, j = some[i], rows[j]
+        compared = m.open[i, m.box[j]]
+        query, point = np.nonzero(m.inside[:, m.box])
+        a, b = (np.concatenate(t) for t in ((m.queries[i[compared]], m.queries[query]), (m.points[j[compared]], m.points[point])))
+        other = a != b
+        return pa.table({"query_id": pa.array(a[other], kind), "iso_id": pa.array(b[other], kind)})
 
-def _compared(tree: BoxTree, open_: DataFrame, widths: list[int], radii: list[float]) -> DataFrame:
-    """(query_id, iso_id) of the queries and boxes that only products tell. A task gets a box and QUERY_BLOCK queries, about."""
-    parts = regions_of(widths)
-    counts = open_.groupBy("box").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("parts"))
-    asked = salted_join(open_, counts, ["box"]).withColumn("part", F.pmod(F.xxhash64("iso_id"), F.col("parts"))).drop("parts").join(tree.asked.select("iso_id", "v"), "iso_id")
-    data = tree.rows.join(counts, "box").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
-    kind = to_arrow_type(tree.rows.schema["iso_id"].dataType)
-    arrow = pa.schema([("query_id", kind), ("iso_id", kind)])
-
-    def compare(q: pa.Table, d: pa.Table) -> pa.Table:
-        if not q.num_rows or not d.num_rows:
-            return arrow.empty_table()
-        x, y = matrix(q.column("v")), matrix(d.column("v"))
-        i, j = within([x[:, p] for p in parts], [y[:, p] for p in parts], radii)
-        a, b = q.column("iso_id").take(pa.array(i)).combine_chunks(), d.column("iso_id").take(pa.array(j)).combine_chunks()
-        other = pa.array(np.array(a.to_pylist(), object) != np.array(b.to_pylist(), object), pa.bool_()) if len(a) else pa.array([], pa.bool_())
-        return pa.table([a, b], schema=arrow).filter(other)
-
-    name = dict(tree.rows.dtypes)["iso_id"]
-    return asked.groupBy("box", "part").cogroup(data.groupBy("box", "part")).applyInArrow(compare, f"query_id {name}, iso_id {name}")
+    return found.unionByName(_met_in_tasks(tree, left, widths, radii, pairs, f"query_id {name}, iso_id {name}", scratch))

@@ -1,6 +1,7 @@
 """Range queries over boxes against brute force, and how many boxes never need a product."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,3 +63,19 @@ def test_boxes_are_pruned_and_taken_whole(spark):
     assert whole.count() + single.where("inside").count() > 0
     got = boxes.within_range(df, df.where("iso_id % 10 = 0"), REGIONS, WIDTHS, radii, block=64)
     assert {(r.query_id, r.iso_id) for r in got.collect()} == brute(x, radii, lambda i: i % 10 == 0)
+
+
+def test_a_row_is_sent_to_as_many_tasks_as_there_are_bundles(spark):
+    rng = np.random.default_rng(3)
+    x = [rng.normal(size=(2600, w)) for w in WIDTHS]  # no structure: every query meets nearly every box
+    df, radii, sent = table(spark, x), [2.5, 2.0], []
+    scratch = Scratch(spark)
+    tree = boxes.build(df, df.where("iso_id % 4 = 0"), REGIONS, WIDTHS, scratch, 16)
+    _, left = boxes.met_blocks(tree, WIDTHS, radii, scratch)
+    every = lambda m: pa.table({"points": [len(m.points)], "queries": [len(m.queries)]})
+    for r in boxes._met_in_tasks(tree, left, WIDTHS, radii, every, "points long, queries long", scratch).collect():
+        sent.append((r.points, r.queries))
+    assert tree.blocks.count() <= 3 and tree.rows.select("box").distinct().count() > 200
+    assert sum(p for p, _ in sent) <= 3 * 2600 and len(sent) < 30
+    got = boxes.within_range(df, df.where("iso_id % 4 = 0"), REGIONS, WIDTHS, radii, block=16)
+    assert {(r.query_id, r.iso_id) for r in got.collect()} == brute(x, radii, lambda i: i % 4 == 0)
