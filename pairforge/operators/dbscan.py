@@ -10,9 +10,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from pairforge.operators.components import KEPT, _roots, connected_components
-from pairforge.operators.neighbors import directed
+from pairforge.operators.neighbors import Through, directed
 from pairforge.plans.joins import hot_join
 from pairforge.plans.scratch import Scratch
 
@@ -93,13 +94,13 @@ def once(edges: DataFrame) -> DataFrame:
     return edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def thinned(edges: DataFrame, min_neighbors: int) -> DataFrame:
-    """(a, b, n) of edges(a, b), undirected, each there once: what tells the density clusters with min_neighbors neighbours or fewer, made where edges lie, in one pass over them.
+def thinning(iso: DataType, min_neighbors: int) -> Through:
+    """Edges (a, b, ...), undirected, each there once -> (a, b, n): what tells the density clusters with min_neighbors neighbours or fewer, made where edges lie, in one pass over them.
 
     Each partition gives an entity's edges there by their number (b is null), and edges (n is null): those between two entities that have min_neighbors of them there, which are cores for certain, as a
     forest, and all others, of which an entity has fewer than min_neighbors. So rows grow with the entities of a partition, not with its edges, and neither does a task hold more.
     """
-    arrow = to_arrow_type(edges.schema["a"].dataType)
+    arrow = to_arrow_type(iso)
     text, least = not pa.types.is_integer(arrow), max(1, min_neighbors)
     schema = pa.schema([("a", arrow), ("b", arrow), ("n", pa.int64())])
     none = np.empty(0, object if text else np.int64)
@@ -136,8 +137,13 @@ def thinned(edges: DataFrame, min_neighbors: int) -> DataFrame:
         for a, b in (joined, loose):
             yield from pa.table([pa.array(a, arrow), pa.array(b, arrow), pa.nulls(len(a), pa.int64())], schema=schema).to_batches(max_chunksize=1 << 16)
 
-    name = edges.schema["a"].dataType.simpleString()
-    return edges.where("a != b").select("a", "b").mapInArrow(task, f"a {name}, b {name}, n long")
+    return task, f"a {iso.simpleString()}, b {iso.simpleString()}, n long"
+
+
+def thinned(edges: DataFrame, min_neighbors: int) -> DataFrame:
+    """thinning of a table of edges(a, b); loops and null ends are left out."""
+    task, schema = thinning(edges.schema["a"].dataType, min_neighbors)
+    return edges.where("a != b").select("a", "b").mapInArrow(task, schema)
 
 
 def dbscan(edges: DataFrame, min_neighbors: int, distinct: bool = False) -> DataFrame:
